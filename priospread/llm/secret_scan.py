@@ -35,6 +35,8 @@ _SYMBOL = np.full(256, len(ALPHABET), np.int64)
 _SYMBOL[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
 #: Runs that may be secrets, the least ratio in all and per character (natural logarithm).
 LEAST_RUN, LEAST_RATIO, LEAST_MEAN = 20, 12.0, 0.45
+#: Weight, in counts, of a symbol's own share against its pairs.
+BACK_OFF = 20.0
 #: Documents whose words train the ordinary model, and random strings made for the other.
 SAMPLE_DOCS, SAMPLE_RANDOM, SAMPLE_SEED = 2000, 6000, 7
 
@@ -52,17 +54,22 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = SAMPLE_SEED) -> list[byte
 
 
 def train(secret: Iterable[bytes], ordinary: Iterable[bytes]) -> np.ndarray:
-    """Log-likelihood ratio of each symbol pair, with add-one smoothing; row n is the start."""
+    """Log-likelihood ratio of each symbol pair; row n is the start.
+
+    Pairs back off to the symbols' own shares (add-one), so a pair that no sample shows is as
+    unlikely as its symbols and not as likely as any other.
+    """
     n = len(ALPHABET) + 1
 
     def model(samples: Iterable[bytes]) -> np.ndarray:
-        counts = np.ones((n + 1, n))
+        counts = np.zeros((n + 1, n))
         for s in samples:
             x = _SYMBOL[np.frombuffer(s, np.uint8)]
             if len(x):
                 counts[n, x[0]] += 1
                 np.add.at(counts, (x[:-1], x[1:]), 1)
-        return np.log(counts / counts.sum(1, keepdims=True))
+        alone = (counts.sum(0) + 1) / (counts.sum() + n)
+        return np.log((counts + BACK_OFF * alone) / (counts.sum(1, keepdims=True) + BACK_OFF))
 
     return model(secret) - model(ordinary)
 
