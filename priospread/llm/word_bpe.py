@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker keeps; the table starts anew beyond that.
+#: Chunks that a worker keeps; a text that finds more starts it anew.
 CACHE_CHUNKS = 1_000_000
 # ASCII and Latin-1 letters, which NFC leaves alone and whose lower case is one letter.
 _LETTERS = re.compile("[a-zß-öø-ÿ]{1,64}")
@@ -52,8 +52,6 @@ class WordBpe:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Put the ids of new chunks into the table."""
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
         cores: dict[bytes, str] = {}
         split: dict[bytes, tuple[bytes, bytes]] = {}
         other: list[bytes] = []
@@ -85,9 +83,9 @@ class WordBpe:
     def encode(self, text: bytes, end: int | None = None) -> np.ndarray:
         """Little-endian unsigned 32-bit ids of a whole UTF-8 text, ``end`` after them."""
         words = text.lower().split()
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache.clear()
         if new := set(words).difference(self.cache):
             self.learn(sorted(new))
-            if not all(map(self.cache.__contains__, words)):  # the table was cleared: chunks from before are gone
-                self.learn(sorted(set(words).difference(self.cache)))
         tail = b"" if end is None else int(end).to_bytes(4, "little")
         return np.frombuffer(b"".join(map(self.cache.__getitem__, words)) + tail, "<u4")
