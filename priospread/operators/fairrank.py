@@ -31,8 +31,12 @@ def fair_jump(nodes: DataFrame, phi: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(per), "group_id", "left").select("node_id", F.coalesce("jump", F.lit(0.0)).alias("jump"))
 
 
-def _settled(state: DataFrame, step, rounds: int, epsilon: float | None, every: int = 5) -> DataFrame:
-    """Iterate (node_id, value, ...) until the summed change is below ``epsilon``."""
+def _settled(state: DataFrame, step, rounds: int, epsilon: float | None, every: int = 1) -> DataFrame:
+    """Iterate (node_id, value, ...) until the summed change is below ``epsilon``.
+
+    The state is used several times a round, so the plan is cut each round: uncut it would grow
+    by that factor every time.
+    """
     for i in range(1, rounds + 1):
         new = step(state)
         if i % every == 0 or i == rounds:
@@ -177,13 +181,12 @@ def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, rounds: i
     edges = cut(edges.select("src", "dst").join(out, "src"))
     start = sources.select(F.col("node_id").alias("source")).distinct()
     state = start.select("source", F.col("source").alias("node_id"), F.lit(1.0).alias("value"))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         flow = edges.join(state.withColumnRenamed("node_id", "src"), "src").groupBy("source", F.col("dst").alias("node_id")).agg(F.sum(FOLLOW * F.col("value") / F.col("out")).alias("value"))
         back = flow.groupBy("source").agg(F.sum("value").alias("kept"))
         home = start.join(back, "source", "left").select("source", F.col("source").alias("node_id"), (1.0 - F.coalesce("kept", F.lit(0.0))).alias("value"))
         state = flow.unionAll(home).groupBy("source", "node_id").agg(F.sum("value").alias("value"))
-        if i % 4 == 0:
-            state = cut(state)
+        state = cut(state)  # the state is used twice a round: an uncut plan would double each time
     return state.join(nodes.select("node_id", "group_id"), "node_id").groupBy("source", "group_id").agg(F.sum("value").alias("mass"))
 
 
@@ -208,12 +211,11 @@ def simplex_projection(v: np.ndarray, total: float = 1.0) -> np.ndarray:
     return np.maximum(v - below[k[-1]] / (k[-1] + 1), 0)
 
 
-def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5, protected: int = 1, gamma: float = 0.15, steps: int = 4000) -> pd.DataFrame | None:
+def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5, protected: int = 1, gamma: float = 0.15, steps: int = 1500) -> pd.DataFrame | None:
     """min |Qv - p|^2 over v >= 0 with sum 1 and protected mass ``share``, small graphs only.
 
     Q maps a jump vector to its PageRank p. The group of label ``protected`` gets the share
-    whatever the ranking's order. Accelerated projected gradients; the feasible set is a product
-    of constraints on the two groups of Qv, met by alternating projections. None if infeasible.
+    whatever the ranking's order. Accelerated gradients, projected exactly. None if infeasible.
     """
     ids = np.sort(nodes.node_id.to_numpy())
     n = len(ids)
@@ -231,16 +233,25 @@ def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5,
     if not a.min() - 1e-12 <= share <= a.max() + 1e-12:
         return None
 
-    def project(v: np.ndarray) -> np.ndarray:
-        """Dykstra between the simplex and the plane a.v = share."""
-        x, y = v.copy(), np.zeros(n)
-        for _ in range(200):
-            s = simplex_projection(x + y)
-            y = x + y - s
-            x = s - a * ((a @ s - share) / (a @ a))
-            if np.abs(x - s).max() < 1e-12:
+    def project(x: np.ndarray) -> np.ndarray:
+        """The nearest feasible point: max(x - l - m a, 0), with l by the simplex and m by bisection.
+
+        The protected mass falls as m grows, so its target is bracketed and halved.
+        """
+        low, high = -1.0, 1.0
+        while a @ simplex_projection(x - low * a) < share and low > -1e12:
+            low *= 2
+        while a @ simplex_projection(x - high * a) > share and high < 1e12:
+            high *= 2
+        for _ in range(100):
+            mid = (low + high) / 2
+            if a @ simplex_projection(x - mid * a) > share:
+                low = mid
+            else:
+                high = mid
+            if high - low <= 1e-14 * max(1.0, abs(mid)):
                 break
-        return np.maximum(x, 0)
+        return simplex_projection(x - high * a)
 
     rate = 1 / np.linalg.norm(q, 2) ** 2
     v = z = project(np.full(n, 1 / n))

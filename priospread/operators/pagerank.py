@@ -30,12 +30,12 @@ def exponential_jump(graph: Graph, ranking: Sequence[int], base: float = 0.5) ->
     return graph.nodes.select("node_id", F.coalesce(F.pow(F.lit(base), pos), F.lit(0.0)).alias("jump"))
 
 
-def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
+def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, every: int = 1) -> DataFrame:
     """``node_id``, ``value``: starts at the jump vector; mass of nodes without edges jumps too.
 
     Stops when the summed change is below n * tolerance, or, with tolerance None, after exactly
     ``rounds``. Each round is one join with the edges, which stay partitioned by their source,
-    and one aggregate; the lineage is cut every few rounds.
+    and one aggregate. A round uses the state three times, so the lineage is cut each round.
     """
     jump = uniform_jump(graph) if jump is None else jump
     total = jump.agg(F.sum("jump"), F.count("*")).first()
