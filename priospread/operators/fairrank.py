@@ -108,12 +108,15 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     edges = cut(edges.select("src", "dst"))
     phi = cut(phi)
     counts = cut(out_counts(edges, nodes))
-    dealt = cut(edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(counts, ["src", "group_id"]).join(F.broadcast(phi), "group_id").select("src", "dst", (F.col("share") / F.col("k")).alias("weight")))
+    dealt = edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(counts, ["src", "group_id"]).join(F.broadcast(phi), "group_id")
+    dealt = cut(dealt.select("src", "dst", (F.col("share") / F.col("k")).alias("weight")).repartition("src"))  # partitioned once for all rounds
     chosen = nodes if targets is None else nodes.join(targets.select("node_id").distinct(), "node_id", "left_semi")
     sizes = cut(chosen.groupBy("group_id").agg(F.count("*").alias("size")).join(phi, "group_id"))  # one row a group
     # The groups that a node has no neighbour in.
-    without = cut(nodes.select("node_id").crossJoin(F.broadcast(phi)).join(counts.select(F.col("src").alias("node_id"), "group_id", "k"), ["node_id", "group_id"], "left_anti").select("node_id", "group_id", "share"))
-    base = cut(fair_jump(nodes, phi).join(nodes, "node_id"))
+    without = cut(nodes.select("node_id").crossJoin(F.broadcast(phi)).join(counts.select(F.col("src").alias("node_id"), "group_id", "k"), ["node_id", "group_id"], "left_anti").select("node_id", "group_id", "share").repartition("node_id"))
+    base = cut(fair_jump(nodes, phi).join(nodes, "node_id").repartition("node_id"))
+    # Without targets every group's part arrives, directly or through its bucket.
+    passed = float(sizes.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0]) if targets is None else None
     marked = base if targets is None else base.join(targets.select("node_id", F.lit(True).alias("hit")).distinct(), "node_id", "left")
 
     def step(state: DataFrame) -> DataFrame:
@@ -122,8 +125,10 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
         per = sizes.join(bucket, "group_id", "left").select("group_id", (F.coalesce("bucket", F.lit(0.0)) / F.col("size")).alias("even"))
         rows = marked.join(flow, "node_id", "left").join(F.broadcast(per), "group_id", "left")
         even = F.coalesce("even", F.lit(0.0)) if targets is None else F.when(F.col("hit"), F.coalesce("even", F.lit(0.0))).otherwise(F.lit(0.0))
-        got = rows.select("node_id", (F.coalesce("direct", F.lit(0.0)) + even).alias("got"))
-        return _mixed(base, got)
+        got = F.coalesce("direct", F.lit(0.0)) + even
+        if passed is not None:
+            return rows.select(*base.columns, (FOLLOW * got + F.lit(1.0 - FOLLOW * passed) * F.col("jump")).alias("value"))
+        return _mixed(base, rows.select("node_id", got.alias("got")))
 
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
@@ -155,8 +160,11 @@ def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int
         flow = edges.join(known.select(F.col("node_id").alias("src"), (F.col("value") * F.col("x")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
         buckets = known.agg(F.sum(F.col("value") * F.col("e1")).alias("b1"), F.sum(F.col("value") * F.col("e0")).alias("b0"))  # one row
         bucket = F.when(F.col("group_id") == favoured, F.col("b1")).otherwise(F.col("b0"))
-        got = base.join(flow, "node_id", "left").crossJoin(F.broadcast(buckets)).select("node_id", (F.coalesce("direct", F.lit(0.0)) + bucket * F.col("s")).alias("got"))
-        return _mixed(base, got)
+        rows = base.join(flow, "node_id", "left").crossJoin(F.broadcast(buckets))
+        got = F.coalesce("direct", F.lit(0.0)) + bucket * F.col("s")
+        if excess is None:  # both buckets are spread whole
+            return rows.select(*base.columns, (FOLLOW * got + F.lit(1.0 - FOLLOW) * F.col("jump")).alias("value"))
+        return _mixed(base, rows.select("node_id", got.alias("got")))
 
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
