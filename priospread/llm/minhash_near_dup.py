@@ -3,11 +3,14 @@
 1. Each text becomes its set of distinct shingles (64-bit hashes of five words); texts with equal
    sets are one class, whose smallest key represents it.
 2. Representatives get a MinHash signature and ``BANDS`` band keys of ``ROWS`` values each.
-3. Rows that share a band key are candidates. A bucket is not expanded into all pairs: a round
-   compares its members with one of them, the hub; links found merge components; a next round
-   takes another hub for the buckets that still hold several components. When a round's work no
-   longer shrinks or the pairs that are left are few, the pairs between different components
-   that were not compared are compared one by one. Pairs inside a component need no comparison.
+3. Rows that share a band key are candidates. A bucket is not expanded into all pairs. First its
+   members are compared with one of them, the hub, and links merge components. Buckets of three
+   and more that still hold several components are compared in blocks of ``BLOCK`` members: a
+   task holds two blocks of signatures and prunes their pairs in memory. It first returns each
+   member's best partner in another component, which merges nearly all that belongs together.
+   Then the members that still have an unpruned partner in another component meet once more,
+   with their full shingle sets, and a task returns the links that join components. Pairs inside
+   a component need no comparison, and no list of all pairs is ever written.
 4. A candidate's signatures are compared in batches of ``BATCH`` values. With a uniform prior the
    posterior of the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair is pruned
    once the posterior probability of reaching the threshold is below ``MISS``. Survivors are
@@ -32,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_order, map_texts, mix64, restrict
+from .common import checkpoint, map_texts, mix64, restrict
 from .components import connected_components
 
 WORDS, THRESHOLD_PERCENT = 5, 75
-BANDS, ROWS, BATCH, MISS, SEED = 32, 4, 16, 1e-5, 20_011
-#: Hub rounds at most; pairs left over per representative below which they are compared singly.
-HUB_ROUNDS, LEFT_OVER = 8, 0.5
+BANDS, ROWS, BATCH, MISS, SEED = 32, 4, 16, 1e-4, 20_011
+#: Members of a block of a bucket.
+BLOCK = 1024
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 1_000_000
 
@@ -141,25 +144,140 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select("a", "b").schema)
 
 
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are similar enough."""
+    if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+        return False
+    both = np.sort(np.concatenate([u, v]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(u) + len(v) - same)
+
+
+def _unpruned(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of a bucket's block pair whose components differ and that survive, and matches."""
+    component, block, sig = t.column("component").to_numpy(), t.column("block").to_numpy(), _blocks(t.column("sig"))
+    differs = component[:, None] != component[None, :]
+    if t.column("lo")[0] != t.column("hi")[0]:
+        differs &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(differs, 1))
+    matches, at = np.zeros(len(i), np.int16), 0
+    for n, m in least_matches():
+        matches = matches + (sig[i, at:n] == sig[j, at:n]).sum(1, dtype=np.int16)
+        good = matches >= m
+        i, j, matches, at = i[good], j[good], matches[good], n
+    return i, j, matches
+
+
+def _best(t: pa.Table) -> pa.RecordBatch:
+    """(a, b): each member's partner of most matches."""
+    ids = t.column("id").to_numpy()
+    i, j, matches = _unpruned(t)
+    if len(i):
+        ends, mates, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([matches, matches])
+        order = np.lexsort((ids[mates], -score, ends))
+        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
+        i, j = ends[first], mates[first]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+
+def _first_shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unpruned pairs that share no earlier band than this bucket's: each pair has one bucket."""
+    i, j, matches = _unpruned(t)
+    if not len(i):
+        return i, j, matches
+    sig = _blocks(t.column("sig"))
+    band = band_keys(sig[0]).index(t.column("key")[0].as_py())
+    part = slice(0, band * ROWS)
+    alone = ~(sig[i, part] == sig[j, part]).reshape(len(i), band, ROWS).all(2).any(1)
+    return i[alone], j[alone], matches[alone]
+
+
+def _waiting(t: pa.Table) -> pa.RecordBatch:
+    """(key, id): members that have an unpruned partner."""
+    i, j, _ = _first_shared(t)
+    return pa.RecordBatch.from_arrays([t.column(c).take(np.unique(np.concatenate([i, j]))).combine_chunks() for c in ("key", "id")], ["key", "id"])
+
+
+def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
+    """(a, b): links on the full sets that join components, likeliest pairs first."""
+    ids, component = t.column("id").to_numpy(), t.column("component").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+    i, j, matches = _first_shared(t)
+    of: dict = {}
+
+    def root(x):
+        while (y := of.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for k in np.argsort(-matches, kind="stable"):
+        x, y = int(i[k]), int(j[k])
+        rx, ry = root(component[x]), root(component[y])
+        if rx != ry and _linked(sets[x], sets[y], percent):
+            of[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    x, y = np.array(out, int).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+
+
+def _blocked(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over the block pairs of the mixed buckets of three and more of ``rows``.
+
+    ``rows``: key, id, component, sig and more. Buckets of two were decided by their hub. Each
+    row goes to the tasks of its block with every block of its bucket; a task streams sorted
+    buckets and holds one block pair at a time.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    at = rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*rows.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+
+    def run(batches):
+        held = None  # the last, perhaps unfinished, block pair
+        for x in batches:
+            if not x.num_rows:
+                continue
+            t = pa.Table.from_batches([x])
+            t = t if held is None else pa.concat_tables([held, t])
+            name = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            at = 0
+            for end in (np.flatnonzero(np.any([c[1:] != c[:-1] for c in name], axis=0)) + 1).tolist():
+                yield work(t.slice(at, end - at).combine_chunks())
+                at = end
+            held = t.slice(at)
+        if held is not None:
+            yield work(held.combine_chunks())
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def _mixed(members: DataFrame, state: DataFrame | None, signatures: DataFrame) -> DataFrame:
+    """key, id, component, sig of the buckets of three and more that hold several components."""
+    at = members.withColumn("component", F.col("id"))
+    if state is not None:
+        at = members.join(state, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi")
+    at = checkpoint(at.join(mixed.select("key"), "key"))
+    return at.join(restrict(signatures, checkpoint(at.select("id").distinct()), "id"), "id").select("key", "id", "component", "sig")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id`` and the sorted shingle hashes ``s`` of the wanted documents."""
+    made = map_texts(restrict(docs, ids, "id"), ["id"], "text", lambda: lambda t: [[shingles(x, words).tobytes() for x in t]], pa.schema([("s", pa.binary())]))
+    return made.groupBy("id").agg(F.first("s").alias("s"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    texts = restrict(docs, _ids(pairs), "id")
-    sets = map_texts(texts, ["id"], "text", lambda: lambda t: [[shingles(x, words).tobytes() for x in t]], pa.schema([("s", pa.binary())]))
-    sets = sets.groupBy("id").agg(F.first("s").alias("s"))
+    sets = _sets(docs, _ids(pairs), words)
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").select("a", "b", "s_a", "s_b")
 
-    def linked(x: bytes, y: bytes) -> bool:
-        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-            return False
-        both = np.sort(np.concatenate([u, v]), kind="stable")
-        same = int((both[1:] == both[:-1]).sum())
-        return 100 * same >= percent * (len(u) + len(v) - same)
-
     def run(batches):
         for x in batches:
             if x.num_rows:
-                good = [linked(u, v) for u, v in zip(x.column("s_a").to_pylist(), x.column("s_b").to_pylist())]
+                good = [_linked(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), percent) for u, v in zip(x.column("s_a").to_pylist(), x.column("s_b").to_pylist())]
                 yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(run, rows.select("a", "b").schema)
@@ -182,43 +300,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     banded = signatures.mapInArrow(_band_rows, "key long, id " + rows.schema["id"].dataType.simpleString())
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = checkpoint(banded.join(shared, "key"))
-    n_docs = classes.count()
-
-    state: DataFrame | None = None  # id, component; ids not in it are their own
-    links = tested = None
-    before = float("inf")
-    for turn in range(HUB_ROUNDS + 1):
-        at = members.withColumn("component", F.col("id"))
-        if state is not None:
-            at = members.join(state, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-            mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            at = at.join(mixed, "key")
-            members = checkpoint(at)
-            at, members = members, members.select("key", "id")
-            sizes = at.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-            left = float(sizes.agg(F.coalesce(F.sum(F.col("pairs").cast("double")), F.lit(0.0))).first()[0]) / 2
-            if not left:
-                break
-            last = turn == HUB_ROUNDS or left <= LEFT_OVER * n_docs or left > 0.9 * before
-            before = left
-        else:
-            last = False
-        if last:
-            other = at.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = at.withColumnRenamed("id", "a").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
-        else:
-            hubs = at.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.struct(hash_order("id", seed=turn), "id")).alias("hub"))
-            pairs = at.join(hubs, "key").where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        good = checkpoint(_prune(pairs, signatures))
-        found = checkpoint(_verify(good, docs, words, percent))
-        links = found if links is None else links.unionAll(found)
-        state = checkpoint(connected_components(links))
-        if last:
-            break
+    kind = rows.schema["id"].dataType.simpleString()
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
+    near = checkpoint(members.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    near = checkpoint(_prune(near, signatures))
+    links = checkpoint(_verify(near, docs, words, percent))
+    state = None if links.isEmpty() else connected_components(links)
+    best = checkpoint(_blocked(_mixed(members, state, signatures), _best, f"a {kind}, b {kind}").join(near, ["a", "b"], "left_anti"))
+    if not best.isEmpty():
+        links = links.unionAll(checkpoint(_verify(best, docs, words, percent)))
+        state = None if links.isEmpty() else connected_components(links)
+        at = checkpoint(_mixed(members, state, signatures))
+        waiting = checkpoint(_blocked(at, _waiting, f"key long, id {kind}"))
+        if not waiting.isEmpty():
+            sets = _sets(docs, checkpoint(waiting.select("id").distinct()), words)
+            joined = checkpoint(_blocked(at.join(waiting, ["key", "id"]).join(sets, "id").select(*at.columns, "s"), lambda t: _joining(t, percent), f"a {kind}, b {kind}"))
+            links = links.unionAll(joined)
+            state = None if links.isEmpty() else connected_components(links)
 
     classes = classes.select("digest", "id")
     if state is not None:

@@ -55,9 +55,9 @@ def corpus(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("rounds", [8, 0])
-def test_texts_match_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(M, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_texts_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, id string, n int")
     sizes, component = brute_texts(texts)
