@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Results per query, scale of a component, rows and queries of a block, list entries per step.
+#: Results per query, scale of a component, rows and queries of a block, list entries of the first
+#: step; each step reads twice as many, so reading ends at most at twice the depth that is needed.
 TOP, SCALE, ROW_BLOCK, QUERY_BLOCK, STEP = 10, 1024, 4096, 1024, 16
 
 
@@ -47,9 +48,9 @@ def threshold_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: tuple
     if own is not None:
         seen[ids == own] = True
     best_i, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    depth = 0
+    depth, step = 0, STEP
     while depth < n:
-        to = min(n, depth + STEP)
+        to, step = min(n, depth + step), 2 * step
         if len(dims):
             at = np.arange(depth, to)
             at = np.where(read[None, :] == 0, at[:, None], n - 1 - at[:, None])
