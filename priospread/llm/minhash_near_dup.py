@@ -221,17 +221,19 @@ def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
 
-def _blocked(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` over the block pairs of the mixed buckets of three and more of ``rows``.
+def _blocked(at: DataFrame, wide: list[DataFrame], work, schema: str) -> DataFrame:
+    """``work`` over the block pairs of the mixed buckets of ``at(key, id, component)``.
 
-    ``rows``: key, id, component, sig and more. Buckets of two were decided by their hub. Each
-    row goes to the tasks of its block with every block of its bucket; a task streams sorted
-    buckets and holds one block pair at a time.
+    Each row goes to the tasks of its block with every block of its bucket; a task streams sorted
+    buckets and holds one block pair at a time. Rows are dealt while they are narrow; the columns
+    of ``wide`` (by id) join last, so signatures and sets are shuffled once.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    at = rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*rows.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    dealt = at.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    for more in wide:
+        dealt = dealt.join(more, "id")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
     def run(batches):
@@ -253,14 +255,16 @@ def _blocked(rows: DataFrame, work, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
-def _mixed(members: DataFrame, state: DataFrame | None, signatures: DataFrame) -> DataFrame:
-    """key, id, component, sig of the buckets of three and more that hold several components."""
+def _mixed(members: DataFrame, state: DataFrame | None) -> DataFrame:
+    """key, id, component of the buckets of three and more that hold several components.
+
+    Buckets of two were decided by their hub.
+    """
     at = members.withColumn("component", F.col("id"))
     if state is not None:
         at = members.join(state, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi")
-    at = checkpoint(at.join(mixed.select("key"), "key"))
-    return at.join(restrict(signatures, checkpoint(at.select("id").distinct()), "id"), "id").select("key", "id", "component", "sig")
+    return checkpoint(at.join(mixed.select("key"), "key"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -306,15 +310,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     near = checkpoint(_prune(near, signatures))
     links = checkpoint(_verify(near, docs, words, percent))
     state = None if links.isEmpty() else connected_components(links)
-    best = checkpoint(_blocked(_mixed(members, state, signatures), _best, f"a {kind}, b {kind}").join(near, ["a", "b"], "left_anti"))
+    at = _mixed(members, state)
+    wanted = lambda rows: checkpoint(rows.select("id").distinct())
+    best = checkpoint(_blocked(at, [restrict(signatures, wanted(at), "id")], _best, f"a {kind}, b {kind}").join(near, ["a", "b"], "left_anti"))
     if not best.isEmpty():
         links = links.unionAll(checkpoint(_verify(best, docs, words, percent)))
         state = None if links.isEmpty() else connected_components(links)
-        at = checkpoint(_mixed(members, state, signatures))
-        waiting = checkpoint(_blocked(at, _waiting, f"key long, id {kind}"))
+        at = _mixed(members, state)
+        waiting = checkpoint(_blocked(at, [restrict(signatures, wanted(at), "id")], _waiting, f"key long, id {kind}"))
         if not waiting.isEmpty():
-            sets = _sets(docs, checkpoint(waiting.select("id").distinct()), words)
-            joined = checkpoint(_blocked(at.join(waiting, ["key", "id"]).join(sets, "id").select(*at.columns, "s"), lambda t: _joining(t, percent), f"a {kind}, b {kind}"))
+            ids = wanted(waiting)
+            wide = [restrict(signatures, ids, "id"), _sets(docs, ids, words)]
+            joined = checkpoint(_blocked(at.join(waiting, ["key", "id"]), wide, lambda t: _joining(t, percent), f"a {kind}, b {kind}"))
             links = links.unionAll(joined)
             state = None if links.isEmpty() else connected_components(links)
 
