@@ -6,11 +6,12 @@
 3. Rows that share a band key are candidates. A bucket is not expanded into all pairs. First its
    members are compared with one of them, the hub, and links merge components. Buckets of three
    and more that still hold several components are compared in blocks of ``BLOCK`` members: a
-   task holds two blocks of signatures and prunes their pairs in memory. It first returns each
-   member's best partner in another component, which merges nearly all that belongs together.
-   Then the members that still have an unpruned partner in another component meet once more,
-   with their full shingle sets, and a task returns the links that join components. Pairs inside
-   a component need no comparison, and no list of all pairs is ever written.
+   task holds two blocks of signatures and prunes their pairs in memory. It returns the members
+   that have an unpruned partner in another component, each with its best one; the best pairs are
+   verified and merge components. Where waiting members of a bucket are then still in several
+   components, they meet once more, with their full shingle sets, and a task returns the links
+   that join components. A pair counts in the first bucket it shares; pairs inside a component
+   need no comparison, and no list of all pairs is ever written.
 4. A candidate's signatures are compared in batches of ``BATCH`` values. With a uniform prior the
    posterior of the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair is pruned
    once the posterior probability of reaching the threshold is below ``MISS``. Survivors are
@@ -168,18 +169,6 @@ def _unpruned(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i, j, matches
 
 
-def _best(t: pa.Table) -> pa.RecordBatch:
-    """(a, b): each member's partner of most matches."""
-    ids = t.column("id").to_numpy()
-    i, j, matches = _unpruned(t)
-    if len(i):
-        ends, mates, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([matches, matches])
-        order = np.lexsort((ids[mates], -score, ends))
-        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
-        i, j = ends[first], mates[first]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
-
-
 def _first_shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The unpruned pairs that share no earlier band than this bucket's: each pair has one bucket."""
     i, j, matches = _unpruned(t)
@@ -193,9 +182,13 @@ def _first_shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _waiting(t: pa.Table) -> pa.RecordBatch:
-    """(key, id): members that have an unpruned partner."""
-    i, j, _ = _first_shared(t)
-    return pa.RecordBatch.from_arrays([t.column(c).take(np.unique(np.concatenate([i, j]))).combine_chunks() for c in ("key", "id")], ["key", "id"])
+    """(key, id, mate): members that have an unpruned partner, and the one of most matches."""
+    ids = t.column("id").to_numpy()
+    i, j, matches = _first_shared(t)
+    ends, mates, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([matches, matches])
+    order = np.lexsort((ids[mates], -score, ends))
+    first = order[np.flatnonzero(np.diff(ends[order], prepend=-1))]
+    return pa.RecordBatch.from_arrays([t.column("key").take(pa.array(ends[first])).combine_chunks(), pa.array(ids[ends[first]]), pa.array(ids[mates[first]])], ["key", "id", "mate"])
 
 
 def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
@@ -221,20 +214,18 @@ def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
 
-def _blocked(at: DataFrame, wide: list[DataFrame], work, schema: str) -> DataFrame:
+def _blocked(at: DataFrame, wide: DataFrame, work, schema: str) -> DataFrame:
     """``work`` over the block pairs of the mixed buckets of ``at(key, id, component)``.
 
     Each row goes to the tasks of its block with every block of its bucket; a task streams sorted
     buckets and holds one block pair at a time. Rows are dealt while they are narrow; the columns
-    of ``wide`` (by id) join last, so signatures and sets are shuffled once.
+    of ``wide`` (a row per id) join last, so signatures and sets are shuffled once.
     """
     sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     dealt = at.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
-    for more in wide:
-        dealt = dealt.join(more, "id")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    dealt = dealt.join(wide, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
     def run(batches):
         held = None  # the last, perhaps unfinished, block pair
@@ -255,15 +246,12 @@ def _blocked(at: DataFrame, wide: list[DataFrame], work, schema: str) -> DataFra
     return dealt.mapInArrow(run, schema).distinct()
 
 
-def _mixed(members: DataFrame, state: DataFrame | None) -> DataFrame:
-    """key, id, component of the buckets of three and more that hold several components.
-
-    Buckets of two were decided by their hub.
-    """
+def _mixed(members: DataFrame, state: DataFrame | None, least: int) -> DataFrame:
+    """key, id, component of the buckets of ``least`` and more that hold several components."""
     at = members.withColumn("component", F.col("id"))
     if state is not None:
         at = members.join(state, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi")
+    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"n >= {least} and lo <> hi")
     return checkpoint(at.join(mixed.select("key"), "key"))
 
 
@@ -310,19 +298,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     near = checkpoint(_prune(near, signatures))
     links = checkpoint(_verify(near, docs, words, percent))
     state = None if links.isEmpty() else connected_components(links)
-    at = _mixed(members, state)
+    at = _mixed(members, state, 3)  # buckets of two were decided by their hub
     wanted = lambda rows: checkpoint(rows.select("id").distinct())
-    best = checkpoint(_blocked(at, [restrict(signatures, wanted(at), "id")], _best, f"a {kind}, b {kind}").join(near, ["a", "b"], "left_anti"))
-    if not best.isEmpty():
-        links = links.unionAll(checkpoint(_verify(best, docs, words, percent)))
+    waiting = checkpoint(_blocked(at, restrict(signatures, wanted(at), "id"), _waiting, f"key long, id {kind}, mate {kind}"))
+    if not waiting.isEmpty():
+        best = waiting.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
+        links = links.unionAll(checkpoint(_verify(checkpoint(best.join(near, ["a", "b"], "left_anti")), docs, words, percent)))
         state = None if links.isEmpty() else connected_components(links)
-        at = _mixed(members, state)
-        waiting = checkpoint(_blocked(at, [restrict(signatures, wanted(at), "id")], _waiting, f"key long, id {kind}"))
-        if not waiting.isEmpty():
-            ids = wanted(waiting)
-            wide = [restrict(signatures, ids, "id"), _sets(docs, ids, words)]
-            joined = checkpoint(_blocked(at.join(waiting, ["key", "id"]), wide, lambda t: _joining(t, percent), f"a {kind}, b {kind}"))
-            links = links.unionAll(joined)
+        at = _mixed(waiting.select("key", "id").distinct(), state, 2)
+        if not at.isEmpty():
+            ids = wanted(at)
+            wide = restrict(signatures, ids, "id").join(_sets(docs, ids, words), "id")
+            links = links.unionAll(checkpoint(_blocked(at, wide, lambda t: _joining(t, percent), f"a {kind}, b {kind}")))
             state = None if links.isEmpty() else connected_components(links)
 
     classes = classes.select("digest", "id")
