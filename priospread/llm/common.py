@@ -97,6 +97,7 @@ def map_texts(
             made = work(b.column("_text").to_pylist(), *[b.column(f"_also_{k}").to_pylist() for k in also])
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(made, fields)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *arrays], [*keep, *fields.names])
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import from_arrow_schema
 

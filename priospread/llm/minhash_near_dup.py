@@ -43,8 +43,10 @@ WORDS, THRESHOLD_PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS, SEED = 32, 4, 16, 1e-4, 20_011
 #: Members of a block of a bucket.
 BLOCK = 1024
-#: Word hashes that a worker keeps.
-CACHE_WORDS = 1_000_000
+#: Word hashes that a task keeps.
+CACHE_WORDS = 250_000
+#: Pairs of a block pair that are compared at once.
+PAIRS = 1 << 17
 
 
 class _WordHashes(dict):
@@ -55,15 +57,13 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, words: int = WORDS, hashes: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole UTF-8 text."""
     found = text.lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.array([_hashes[w] for w in found], np.uint64)
+    hashes = _WordHashes() if hashes is None else hashes
+    h = np.array([hashes[w] for w in found], np.uint64)
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -157,16 +157,20 @@ def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
 def _unpruned(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows i < j of a bucket's block pair whose components differ and that survive, and matches."""
     component, block, sig = t.column("component").to_numpy(), t.column("block").to_numpy(), _blocks(t.column("sig"))
-    differs = component[:, None] != component[None, :]
-    if t.column("lo")[0] != t.column("hi")[0]:
-        differs &= block[:, None] != block[None, :]
-    i, j = np.nonzero(np.triu(differs, 1))
-    matches, at = np.zeros(len(i), np.int16), 0
-    for n, m in least_matches():
-        matches = matches + (sig[i, at:n] == sig[j, at:n]).sum(1, dtype=np.int16)
-        good = matches >= m
-        i, j, matches, at = i[good], j[good], matches[good], n
-    return i, j, matches
+    within, n_rows, out = t.column("lo")[0] == t.column("hi")[0], len(component), []
+    for top in range(0, n_rows, step := max(1, PAIRS // max(1, n_rows))):
+        rows = slice(top, top + step)
+        differs = component[rows, None] != component[None, :]
+        if not within:
+            differs &= block[rows, None] != block[None, :]
+        i, j = np.nonzero(np.triu(differs, top + 1))
+        i, matches, at = i + top, np.zeros(len(i), np.int16), 0
+        for n, m in least_matches():
+            matches = matches + (sig[i, at:n] == sig[j, at:n]).sum(1, dtype=np.int16)
+            good = matches >= m
+            i, j, matches, at = i[good], j[good], matches[good], n
+        out.append((i, j, matches))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _first_shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +261,12 @@ def _mixed(members: DataFrame, state: DataFrame | None, least: int) -> DataFrame
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``id`` and the sorted shingle hashes ``s`` of the wanted documents."""
-    made = map_texts(restrict(docs, ids, "id"), ["id"], "text", lambda: lambda t: [[shingles(x, words).tobytes() for x in t]], pa.schema([("s", pa.binary())]))
+
+    def worker():
+        hashes = _WordHashes()
+        return lambda texts: [[shingles(t, words, hashes).tobytes() for t in texts]]
+
+    made = map_texts(restrict(docs, ids, "id"), ["id"], "text", worker, pa.schema([("s", pa.binary())]))
     return made.groupBy("id").agg(F.first("s").alias("s"))
 
 
@@ -279,13 +288,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """``key``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
-    def signed(texts):
-        found = [shingles(t, words) for t in texts]
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
-        return [len(s) for s in found], digest, [signature(s).tobytes() if len(s) else None for s in found]
+    def signer():
+        hashes = _WordHashes()
+
+        def signed(texts):
+            found = [shingles(t, words, hashes) for t in texts]
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+            return [len(s) for s in found], digest, [signature(s).tobytes() if len(s) else None for s in found]
+
+        return signed
 
     fields = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
-    rows = checkpoint(map_texts(docs, ["id"], "text", lambda: signed, fields))
+    rows = checkpoint(map_texts(docs, ["id"], "text", signer, fields))
     classes = checkpoint(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     # One row per id: a repeated id with unequal texts is in several classes; all of them count.
     signatures = classes.select("id", "sig")

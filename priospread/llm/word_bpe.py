@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker keeps; a text that finds more starts it anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 400_000
 # ASCII and Latin-1 letters, which NFC leaves alone and whose lower case is one letter.
 _LETTERS = re.compile("[a-zß-öø-ÿ]{1,64}")
 _TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
