@@ -1,19 +1,20 @@
-"""Embedding near-duplicates by a pivot-permutation index.
+"""Embedding near-duplicates: blocks of a pivot index, compared without loss.
 
-Reference points are a bounded sample of the vectors themselves. Every vector is described by
-its ``NEAREST`` pivots in order of nearness. An inverted list per (label, pivot) holds the
-vectors that name the pivot; two vectors are candidates when they share at least ``SHARED``
-pivots. The candidates are verified by cosine in double precision.
+Reference points are a bounded sample of the vectors themselves. Every vector belongs to the
+region of its nearest pivot. The regions of a label, in order of their pivots, fill blocks of
+about ``BLOCK`` vectors; a larger region is cut into blocks of its own by a hash. Two blocks are
+compared unless the triangle inequality shows for all their regions that no pair can be near:
+the angle between two pivots is at most the radii of both regions and the angle of a link. So
+every link is found, however dense or hot its surroundings.
 
-Lists are compared in blocks: a list is cut into blocks of at most ``BLOCK`` vectors by a hash,
-and a task takes two blocks of a list, counts shared pivots by one matrix product and cosines by
-another. A pair belongs to the list of the smallest pivot that both name, so it is counted once.
-Tasks return link counts per vector and a spanning forest of the links instead of all pairs.
-Vectors that are equal bit for bit are one class with a count, so groups of exact copies, however
-large, are one row of the index.
+A block is one row, and a pair of blocks is one task: a matrix product in double precision gives
+the cosines. A pair of vectors belongs to one pair of blocks, so it is counted once. Tasks return
+link counts per vector and a spanning forest of the links instead of all pairs. Vectors that are
+equal bit for bit are one class with a count, so groups of exact copies, however large, are one
+row of the index.
 
-The number of pivots follows the square root of the number of classes, between bounds, so lists
-grow with the square root as well. Every vector is indexed; the recall is measured in the tests.
+Vectors without structure (all far from every pivot) leave no pair of blocks out: the work then
+grows with the square of a label's classes.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components and rows with a
 null label link with nothing and are their own component; vectors of unequal length never link;
@@ -25,19 +26,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpoint, hash_order
 from .components import connected_components
 
 #: Least cosine of a link.
 COSINE = 0.93
-#: Pivots (least, most, per square root of the classes), those that describe a vector, shared
-#: pivots of a candidate, vectors of a block.
-LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, NEAREST, SHARED, BLOCK = 64, 2048, 1.0, 8, 2, 1024
+#: Pivots (least, most, per square root of the classes), vectors of a block.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, BLOCK = 64, 2048, 1.0, 1024
 
 
 def _matrix(rows) -> np.ndarray:
@@ -83,54 +84,80 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
     def describe(batches):
         for pdf in batches:
             for size, part in pdf.groupby(pdf.v.map(len)):
-                # A length without a pivot shares one list; it still splits into blocks.
-                p = pivots.get(size)
-                near = np.zeros((len(part), 1), int) if p is None else np.argsort(-(_unit(_matrix(part.v)) @ p.T), axis=1, kind="stable")[:, :NEAREST]
-                yield part.assign(near=list(near.astype(np.int32)))
-
-    described = checkpoint(classes.mapInPandas(describe, T.StructType([*classes.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])))
-    listed = described.select("id", "label", "v", "copies", "near", F.explode("near").alias("pivot"))
-    sizes = described.select("label", F.explode("near").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks >= 1")
-    own = listed.join(sizes, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets every block of its list: it goes to the tasks (block, k) and (k, block).
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "v", "copies", "near", "label", "pivot", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, lo, hi = (int(pdf[c].iloc[0]) for c in ("pivot", "lo", "hi"))
-        parts = []
-        for _, part in pdf.groupby(pdf.v.map(len)):
-            part = part.sort_values("id")
-            if len(part) < 2:
-                continue
-            near = part.near.to_list()
-            if len(near[0]) > 1:
-                names, at = np.unique(np.concatenate(near), return_inverse=True)
-                has = np.zeros((len(part), len(names)), np.float32)
-                has[np.repeat(np.arange(len(part)), len(near[0])), at] = 1
-                first = has[:, names < pivot]
-                mask = (has @ has.T >= SHARED) & (first @ first.T == 0)
-            else:
-                mask = np.ones((len(part), len(part)), bool)
-            unit, block = _unit(_matrix(part.v)), part.block.to_numpy()
-            cosines = unit @ unit.T
-            mask &= cosines >= cosine - 1e-9
-            if lo != hi:
-                mask &= block[:, None] != block[None, :]
+                # A length without a pivot is one region as wide as can be.
+                at, angle = np.full(len(part), -1), np.full(len(part), math.pi)
+                if (p := pivots.get(size)) is not None:
+                    near = _unit(_matrix(part.v)) @ p.T
+                    at, angle = near.argmax(1), np.arccos(np.clip(near.max(1), -1, 1))
+                yield part.assign(size=size, pivot=at, angle=angle)
+
+    described = checkpoint(classes.mapInPandas(describe, T.StructType([*classes.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+    regions = described.groupBy("label", "size", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    before = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).over(Window.partitionBy("label", "size").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1))
+    # Small regions share the blocks 0, 1, ..; a large one has parts of a block below 0.
+    regions = regions.withColumn("block", F.when(F.col("n") > BLOCK, -2 - F.col("pivot")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / BLOCK)).cast("long"))
+    regions = checkpoint(regions.withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    packed = described.join(regions.select("label", "size", "pivot", "block", "parts"), ["label", "size", "pivot"]).withColumn("at", F.struct("block", part.alias("part")))
+    packed = packed.groupBy("label", "size", "at").agg(F.sort_array(F.collect_list(F.struct("id", "copies", "v"))).alias("m"))
+    packed = checkpoint(packed.select("label", "size", "at", F.col("m.id").alias("ids"), F.col("m.copies").alias("copies"), F.flatten("m.v").alias("v")))
+    blocks = regions.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("label", "size", F.struct("block", "part").alias("at")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("pivot", "radius")).alias("r"))
+    blocks = blocks.select("label", "size", "at", "n", F.col("r.pivot").alias("pivots"), F.col("r.radius").alias("radii"))
+    lo, hi = (blocks.select("label", "size", *[F.col(c).alias(f"{side}_{c}") for c in ("at", "n", "pivots", "radii")]) for side in ("lo", "hi"))
+    pairs = lo.join(hi, ["label", "size"]).where("lo_at < hi_at or lo_at = hi_at and lo_n > 1")
+    link = math.acos(max(-1.0, min(1.0, cosine))) + 1e-6
+
+    def near_pairs(batches):
+        for pdf in batches:
+            keep = []
+            for size, a, b, r, q in zip(pdf["size"], pdf.lo_pivots, pdf.hi_pivots, pdf.lo_radii, pdf.hi_radii):
+                if (p := pivots.get(size)) is None:
+                    keep.append(True)
+                    continue
+                apart = np.arccos(np.clip(p[a] @ p[b].T, -1, 1))
+                keep.append(bool((apart <= np.asarray(r)[:, None] + np.asarray(q)[None, :] + link).any()))
+            yield pdf.loc[keep, ["pair"]]
+
+    pairs = checkpoint(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    near = pairs.select("pair", "size", "lo_pivots", "hi_pivots", "lo_radii", "hi_radii").mapInPandas(near_pairs, "pair long")
+    pairs = checkpoint(pairs.select("pair", "label", "size", "lo_at", "hi_at").join(near, "pair"))
+    sides = pairs.select("pair", "label", "size", F.col("lo_at").alias("at"), F.lit(0).alias("side"), (F.col("lo_at") == F.col("hi_at")).alias("own")).unionAll(pairs.where("lo_at <> hi_at").select("pair", "label", "size", "hi_at", F.lit(1), F.lit(False)))
+    dealt = sides.join(packed, ["label", "size", "at"]).select("pair", "side", "own", "size", "ids", "copies", "v")
+    id_type = to_arrow_type(classes.schema["id"].dataType)
+
+    def compare(table: pa.Table) -> pa.Table:
+        if not table["own"][0].as_py() and table.num_rows < 2:  # the hash left a part of a region empty
+            return pa.table({"id": pa.array([], id_type), "n": pa.array([], pa.int64()), "other": pa.array([], id_type)})
+        table = table.sort_by("side")
+        size, sides = table["size"][0].as_py(), []
+        for i in range(table.num_rows):
+            ids, v = table["ids"][i].values, table["v"][i].values.to_numpy().reshape(-1, size)
+            sides.append((ids, table["copies"][i].values.to_numpy(), v, _unit(v)))
+        a, b = sides[0], sides[-1]
+        cosines = a[3] @ b[3].T
+        mask = cosines >= cosine - 1e-9
+        if a is b:
             np.fill_diagonal(mask, False)
-            for i, j in zip(*np.nonzero(np.triu(mask & (cosines < cosine + 1e-9)))):  # at the bound: decided in plain order
-                mask[i, j] = mask[j, i] = exact_cosine(part.v.iloc[i], part.v.iloc[j]) >= cosine
-            ids = part.id.to_numpy()
-            counts = mask @ part.copies.to_numpy()
-            some = np.flatnonzero(counts)
-            parts.append(pd.DataFrame({"id": ids[some], "n": counts[some], "other": ids[some]}))
-            if edges := forest(mask):
-                a, b = np.array(edges).T
-                parts.append(pd.DataFrame({"id": ids[a], "n": 0, "other": ids[b]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"id": pdf.id[:0], "n": pd.Series([], dtype="int64"), "other": pdf.id[:0]})
+        for i, j in zip(*np.nonzero(mask & (cosines < cosine + 1e-9))):  # at the bound: decided in plain order
+            mask[i, j] = exact_cosine(a[2][i], b[2][j]) >= cosine
+        parts = [(a[0], mask @ b[1])] if a is b else [(a[0], mask @ b[1]), (b[0], a[1] @ mask)]
+        found, other, n = [], [], []
+        for ids, links in parts:
+            some = ids.take(pa.array(np.flatnonzero(links)))
+            found, other, n = [*found, some], [*other, some], [*n, links[links > 0]]
+        rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        mask = mask[np.ix_(rows, cols)]
+        names = a[0].take(pa.array(rows))
+        if a is not b:
+            names = pa.concat_arrays([names, b[0].take(pa.array(cols))])
+            mask = np.block([[np.zeros((len(rows),) * 2, bool), mask], [mask.T, np.zeros((len(cols),) * 2, bool)]])
+        if edges := forest(mask):
+            x, y = np.array(edges).T
+            found, other, n = [*found, names.take(pa.array(x))], [*other, names.take(pa.array(y))], [*n, np.zeros(len(x), int)]
+        return pa.table({"id": pa.concat_arrays(found).cast(id_type), "n": pa.array(np.concatenate(n), pa.int64()), "other": pa.concat_arrays(other).cast(id_type)})
 
     kind = classes.schema["id"].dataType.simpleString()
-    found = checkpoint(dealt.groupBy("label", "pivot", "lo", "hi").applyInPandas(compare, f"id {kind}, n long, other {kind}"))
+    found = checkpoint(dealt.groupBy("pair").applyInArrow(compare, f"id {kind}, n long, other {kind}"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     of = classes.join(counts, "id", "left").join(components, "id", "left")

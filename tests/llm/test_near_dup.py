@@ -142,6 +142,20 @@ def test_blocks_count_each_pair_once(spark, monkeypatch):
     assert len(exact) >= 0.9 * len(counts)
 
 
+def test_hot_group_of_near_vectors_keeps_every_link(spark):
+    """A third of 10,000 vectors are near copies of one another; every row counts all its links."""
+    rng, n = np.random.default_rng(4), 10_000
+    x = rng.normal(size=(n, 64))
+    centre = rng.normal(size=64)
+    x[::3] = centre + 0.2 * rng.normal(size=(len(x[::3]), 64))
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= P.COSINE).sum(1) - 1
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = np.array([r.n_links for r in P.embedding_near_duplicates(df).orderBy("vec_id").collect()])
+    assert want.sum() > 2_000_000 and got.sum() / want.sum() == 1 and (got == want).all()
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1.0, 0.0], 1), (11, [1e30, 0.0], 1), (12, [1.0, None], 1)]
