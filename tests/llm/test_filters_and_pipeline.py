@@ -63,6 +63,15 @@ def test_distrust_spreads_against_links(spark):
     assert U.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_hub_passes_on_to_single_links(spark):
+    """A blocked host with over a million links to it still spreads distrust to a host that links once."""
+    edges = spark.createDataFrame([("farm.test", "bad.test", 3_000_000), ("once.test", "bad.test", 1), ("once.test", "good.test", 1)], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("distrust", "bad.test", 1), ("trust", "far.test", 1)], "kind string, host string, weight long")
+    got = {r.host: (r.trust, r.distrust) for r in U.propagate(edges, seeds).collect()}
+    assert got["once.test"][0] == 0 and got["once.test"][1] > 0
+    assert abs(got["farm.test"][1] / got["once.test"][1] / 3_000_000 - 1) < 1e-4
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = Q.train_quality(docs, labels.where(~Q.held_out()))
