@@ -17,6 +17,8 @@ from .loops import cut
 
 #: The ranking, blend, spreading probability and runs that the queries use.
 RANKING, BETA, PROBABILITY, RUNS, DIGITS = (0, 1), 30, 0.05, 20, 9
+#: Betas of the registry query, those of the reference's experiments.
+BETAS = (0.99, 0.5, 0.1, 0.01)
 #: Rankings of the comparison queries.
 RANKINGS = ((0, 1), (1, 0), (2, 3))
 
@@ -381,12 +383,10 @@ def block_random_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def method_registry(spark: SparkSession, sf: str) -> DataFrame:
-    """Named methods of each kind through the registry, on the nation graph."""
+    """Every named method, with the blended ones of all betas, through the registry on the nation graph."""
     g = nation_trade_graph(spark, sf)
     g = Graph(cut(g.nodes), cut(g.edges))
-    names = ["degree", "h1_index", "local_gravity", "lexipeeling", "lexipeeling_extended", "degree_lexicographic", "random", *registry.COMPOSITES, "restricted_degree", "restricted_first_degree"]
-    names = [n for n in names if "coreness" not in n]
-    return registry.run_methods(g, [RANKING], names, graph_name="nations")[0].drop("runtime")
+    return registry.run_methods(g, [RANKING], registry.all_names(BETAS), BETAS, graph_name="nations")[0].drop("runtime")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -226,3 +226,16 @@ def test_front_and_registry(spark):
     groups, edges = random_graph(2)
     rows, late = registry.run_methods(framed(spark, groups, edges), [[0, 1]], ["degree", "lexipeeling", "degree_lexipeeling", "restricted_degree"])
     assert not late and rows.groupBy("method").count().where("count <> 14").count() == 0
+
+
+def test_registry_query_runs_every_name(monkeypatch):
+    """The registered query hands all names and all betas on; nothing is filtered out."""
+    from priospread.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "nation_trade_graph", lambda *a: Graph(None, None))
+    monkeypatch.setattr(queries, "cut", lambda df: df)
+    monkeypatch.setattr(registry, "run_methods", lambda g, rankings, names, betas=(), **how: asked.append((names, betas)) or [type("Out", (), {"drop": lambda self, c: self})()])
+    queries.queries()["method_registry"](None, "")
+    [(names, betas)] = asked
+    assert sorted(betas) == [0.01, 0.1, 0.5, 0.99] and set(names) == set(registry.all_names(betas)) and len(names) == 142
