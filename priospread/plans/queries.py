@@ -17,6 +17,8 @@ from .loops import cut
 
 #: The ranking, blend, spreading probability and runs that the queries use.
 RANKING, BETA, PROBABILITY, RUNS, DIGITS = (0, 1), 30, 0.05, 20, 9
+#: Runs for each seed on the customer graph, as many as in the reference's experiments.
+SIR_RUNS = 1000
 #: Betas of the registry query, those of the reference's experiments.
 BETAS = (0.99, 0.5, 0.1, 0.01)
 #: Rankings of the comparison queries.
@@ -245,6 +247,39 @@ def sir_summary(spark: SparkSession, sf: str) -> DataFrame:
     return epidemic.summary(g, _reach(g), PROBABILITY, name="nations").select("num_nodes", "num_nodes_evaluated", F.round("mean_total", DIGITS).alias("mean_total"), F.round("median_total", DIGITS).alias("median_total"), F.round("p75_total", DIGITS).alias("p75_total"), "num_significant", "significant_ratio")
 
 
+def _customer_reach(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
+    """The customer graph, which grows with the tables, and its reach in SIR_RUNS runs."""
+    g = cosource_graph(spark, sf)
+    g = Graph(cut(g.nodes), cut(g.edges))
+    return g, epidemic.reach(g, g.nodes, PROBABILITY, SIR_RUNS)
+
+
+def sir_reach_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    out = _customer_reach(spark, sf)[1]
+    return out.select("node_id", "group_id", F.round("mean", DIGITS).alias("mean"), F.round("std", DIGITS).alias("std"), "num_simulations")
+
+
+def sir_truth_rank_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    return epidemic.truth_rank_raw(cut(_customer_reach(spark, sf)[1]), RANKING).select("node_id", "rank")
+
+
+def sir_snr_rank_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    return epidemic.truth_rank_snr(cut(_customer_reach(spark, sf)[1]), RANKING, 50).select("node_id", "rank")
+
+
+def sir_summary_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    g, sir = _customer_reach(spark, sf)
+    return epidemic.summary(g, cut(sir), PROBABILITY, name="customers").select("num_nodes", "num_nodes_evaluated", F.round("mean_total", DIGITS).alias("mean_total"), F.round("median_total", DIGITS).alias("median_total"), F.round("p75_total", DIGITS).alias("p75_total"), "num_significant", "significant_ratio")
+
+
+def component_ids_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.components(cosource_graph(spark, sf))
+
+
+def largest_component_edges_cosource(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.largest_component(cosource_graph(spark, sf)).edges
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """``ranking``, ``method``, ``node_id``, ``m``, ``s`` of three methods and rankings."""
     g = nation_trade_graph(spark, sf)
@@ -400,6 +435,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         kendall_tau, weighted_tau, tie_statistics, tie_profile, aggregate_levels, node_ranks, cumulative_score, cumulative_score_percent,
         best_spreaders, pareto_front, metric_pivot, best_markers, worst_gap, selected_nodes, assortativity, edge_mix, degree_histogram,
         graph_report, uniform_random_graph, block_random_graph, method_registry,
+        sir_reach_cosource, sir_truth_rank_cosource, sir_snr_rank_cosource, sir_summary_cosource, component_ids_cosource,
+        largest_component_edges_cosource,
     ]
     return {f.__name__: f for f in plain} | {f"h{k}_rank": _h_rank(k) for k in (1, 2, 3)}
 

@@ -239,3 +239,31 @@ def test_registry_query_runs_every_name(monkeypatch):
     queries.queries()["method_registry"](None, "")
     [(names, betas)] = asked
     assert sorted(betas) == [0.01, 0.1, 0.5, 0.99] and set(names) == set(registry.all_names(betas)) and len(names) == 142
+
+
+def test_customer_sir_takes_the_reference_runs(spark, monkeypatch):
+    """SIR on the customer graph: 1000 runs of every node, equal to a plain simulation."""
+    from priospread.plans import queries
+
+    groups, edges = random_graph(6, n=10)
+    monkeypatch.setattr(queries, "cosource_graph", lambda *a: framed(spark, groups, edges))
+    got = {(r.node_id, r.group_id): r for r in queries.queries()["sir_reach_cosource"](spark, "").collect()}
+    assert len(got) == len(groups) * len(set(groups.values())) and {r.num_simulations for r in got.values()} == {1000}
+    adj, f = near(groups, edges), epidemic.FACTORS
+    for seed in groups:
+        sums = dict.fromkeys(groups.values(), 0)
+        for sim in range(1000):
+            seen, front = {seed}, {seed}
+            while front:
+                new = set()
+                for u in front:
+                    for v in adj[u] - seen:
+                        h = (u * f["u"] + v * f["v"] + seed * f["seed"] + sim * f["sim"] + 17) % epidemic.PRIME
+                        for c in epidemic.OFFSETS:
+                            h = (h * h + c * (h % 65536) + c) % epidemic.PRIME
+                        if h < int(queries.PROBABILITY * epidemic.PRIME):
+                            new.add(v)
+                seen, front = seen | new, new
+            for u in seen:
+                sums[groups[u]] += 1
+        assert all(got[seed, g].mean == pytest.approx(n / 1000) for g, n in sums.items())
