@@ -44,6 +44,10 @@ RESTRICTABLE = tuple(m for m in (*INDEPENDENT, "degree_lexicographic", "pagerank
 UNDEFINED = ("fairgd", "adaptgd")
 
 
+class TooLarge(Exception):
+    """A graph beyond the bound of a method."""
+
+
 @dataclass
 class Run:
     """One graph and ranking; ``made`` holds each base once."""
@@ -118,8 +122,10 @@ def _near_fair(run: Run) -> DataFrame | None:
 
 
 def _sensitive(run: Run) -> DataFrame | None:
-    if len(run.ranking) != 2 or run.graph.nodes.limit(fairrank.DENSE_NODES + 1).count() > fairrank.DENSE_NODES:
+    if len(run.ranking) != 2:
         return None
+    if run.graph.nodes.limit(fairrank.DENSE_NODES + 1).count() > fairrank.DENSE_NODES:
+        raise TooLarge(f"fspr solves a dense system of at most {fairrank.DENSE_NODES} nodes")
     share = {r["group_id"]: r["share"] for r in run.phi().collect()}.get(1, 0.5)  # one row a group
     edges, nodes = run.directed().toPandas(), run.graph.nodes.toPandas()  # at most DENSE_NODES nodes
     got: pd.DataFrame | None = fairrank.sensitive_jump(edges, nodes, share)
@@ -239,9 +245,9 @@ def with_limit(spark, name: str, seconds: float, work: Callable[[], DataFrame |
 
 
 def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out.
+    """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out or were too large.
 
-    A method that times out is skipped for later rankings, with everything built on it.
+    Such a method is skipped for later rankings, with everything built on it.
     """
     shared: dict[str, DataFrame] = {}
     spark, out, late = graph.nodes.sparkSession, None, []
@@ -254,7 +260,7 @@ def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence
             began = time.time()
             try:
                 got = with_limit(spark, f"{graph_name}:{name}", limit, lambda: ranked(run, name, betas))
-            except TimedOut:
+            except (TimedOut, TooLarge):
                 with lock:
                     late.append((graph_name, name))
                 continue

@@ -267,3 +267,12 @@ def test_customer_sir_takes_the_reference_runs(spark, monkeypatch):
             for u in seen:
                 sums[groups[u]] += 1
         assert all(got[seed, g].mean == pytest.approx(n / 1000) for g, n in sums.items())
+
+
+def test_sensitive_ranks_report_a_graph_beyond_their_bound(spark, monkeypatch):
+    """fspr on a larger graph is listed, not left out in silence; so is what is built on it when asked alone."""
+    groups, edges = random_graph(2)
+    g = framed(spark, groups, edges)
+    monkeypatch.setattr(fairrank, "DENSE_NODES", 13)
+    assert registry.run_methods(g, [[0, 1]], ["degree", "fspr"])[1] == [("graph", "fspr")]
+    assert registry.run_methods(g, [[0, 1]], ["restricted_fspr"]) == (None, [("graph", "restricted_fspr")])
