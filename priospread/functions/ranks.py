@@ -1,29 +1,30 @@
 """Rank operators: dense, competition, fractional, tie-break, restriction, selection.
 
-A rank over all nodes must not put them into one task. ``rank_by`` deals the rows by the order
-key into ranges with bounds from a fixed sample, ranks within a range, and adds the counts of
-the ranges before: any orderable key works, arrays included, and the plan stays parallel.
+A rank over all nodes must not put them into one task. ``rank_by`` counts the rows of each order
+key, deals the distinct keys into ranges with bounds from a fixed sample, ranks within a range,
+and adds the counts of the ranges before: any orderable key works, arrays included, and the plan
+stays parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a two-phase rank; order keys that a range bound is drawn from.
+from ..plans.loops import cut
+
+#: Ranges of a two-phase rank; distinct keys that the range bounds are drawn from.
 RANGES, BOUND_SAMPLE = 32, 1024
 #: Rows below which one range is enough.
 ONE_RANGE = 100_000
 
 
-def _bounds(df: DataFrame, order: Column, rows: int) -> list:
-    """At most RANGES - 1 order keys that split a sample of the rows evenly."""
-    if rows <= ONE_RANGE:
-        return []
-    keys = df.select(order.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(BOUND_SAMPLE)
-    found = sorted(r["k"] for r in keys.collect())
+def _bounds(keys: DataFrame) -> list:
+    """At most RANGES - 1 order keys that split a sample of the distinct keys evenly."""
+    found = sorted(r["_k"] for r in keys.select("_k").where("_k is not null").distinct().orderBy(F.xxhash64("_k")).limit(BOUND_SAMPLE).collect())
     step = max(1, len(found) // RANGES)
     return found[step::step][: RANGES - 1]
 
@@ -31,28 +32,30 @@ def _bounds(df: DataFrame, order: Column, rows: int) -> list:
 def rank_by(df: DataFrame, order: Column, by: Sequence[str] = (), name: str = "rank", kind: str = "dense", descending: bool = True, rows: int | None = None) -> DataFrame:
     """``df`` with the column ``name``: dense or competition rank of ``order`` within ``by``.
 
-    Null keys come last. ``rows`` is the row count if it is known, else the rows are counted.
+    Null keys come last. ``rows`` is the row count if it is known, else the rows are counted. Up
+    to ONE_RANGE rows one window ranks them. Beyond, the distinct keys are ranked with their
+    counts, range by range, and joined back, so a key that most rows hold is one row in the window.
     """
+    turn = F.desc_nulls_last if descending else F.asc_nulls_last
     keyed = df.withColumn("_k", order)
-    bounds = _bounds(df, order, df.count() if rows is None else rows)
-    if not bounds:
-        over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc_nulls_last("_k") if descending else F.asc_nulls_last("_k"))
+    if (df.count() if rows is None else rows) <= ONE_RANGE:
+        over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(turn("_k"))
         return keyed.withColumn(name, (F.dense_rank() if kind == "dense" else F.rank()).over(over)).drop("_k")
-    least = F.lit(len(bounds) + 1) if not descending else F.lit(-1)
+    keyed = cut(keyed)
+    keys = cut(keyed.groupBy(*by, "_k").agg(F.count("*").alias("_n")))
+    bounds = _bounds(keys)
     inside = sum((F.when(F.col("_k") >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    keyed = keyed.withColumn("_r", F.when(F.col("_k").isNull(), least).otherwise(inside))
-    turn = (F.desc_nulls_last if descending else F.asc_nulls_last)
-    local = Window.partitionBy(*by, "_r").orderBy(turn("_k"))
-    keyed = keyed.withColumn(name, (F.dense_rank() if kind == "dense" else F.rank()).over(local))
-    counts = keyed.groupBy(*by, "_r").agg((F.max(name) if kind == "dense" else F.count("*")).alias("_n"))  # RANGES rows a group
+    keys = keys.withColumn("_r", F.when(F.col("_k").isNull(), F.lit(-1) if descending else F.lit(len(bounds) + 1)).otherwise(inside))
+    step = F.lit(1).cast("long") if kind == "dense" else F.col("_n")
+    local = Window.partitionBy(*by, "_r").orderBy(turn("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keys.withColumn("_at", F.coalesce(F.sum(step).over(local), F.lit(0)))
+    sizes = keys.groupBy(*by, "_r").agg(F.sum(step).alias("_m"))  # RANGES rows a group
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_r") if descending else F.asc("_r")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*by, "_r")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = keyed.alias("x").join(offsets.alias("o"), cond)
-    return out.select(*[F.col(f"x.{c}") for c in df.columns], (F.col(f"x.{name}") + F.col("o._before")).alias(name))
+    offsets = sizes.select(*by, "_r", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+    ranks = placed.alias("x").join(offsets.alias("o"), same("x", "o", [*by, "_r"])).select(*[F.col(f"x.{c}") for c in (*by, "_k")], (F.col("x._at") + F.col("o._before") + 1).cast("int").alias("_rank"))
+    out = keyed.alias("x").join(ranks.alias("k"), same("x", "k", [*by, "_k"]))  # few keys are broadcast, many are spread; AQE splits a hot one
+    return out.select(*[F.col(f"x.{c}") for c in df.columns if c != name], F.col("k._rank").alias(name))
 
 
 def dense_rank_desc(df: DataFrame, value: str = "value", by: Sequence[str] = (), name: str = "rank") -> DataFrame:

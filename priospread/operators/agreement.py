@@ -44,6 +44,29 @@ def metrics(pairs: DataFrame, by: Sequence[str] = ("method",), top: Sequence[int
     return rows.groupBy(*by).agg(*cols)
 
 
+def _ahead(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: earlier places of smaller value, their count and summed weight (merge counting)."""
+    n = len(values)
+    _, y = np.unique(values, return_inverse=True)
+    order, w = np.arange(n), weights
+    count, total, width = np.zeros(n, np.int64), np.zeros(n), 1
+    while width < n:
+        # Runs of ``width`` places are sorted by value; each pair is merged, all pairs in one sort.
+        run = np.arange(n) // (2 * width)
+        right = (np.arange(n) // width) % 2 == 1
+        merged = np.lexsort((~right[np.arange(n)], y[order], run))  # on a tie the right side first: it counts smaller ones only
+        left_w, left_n = np.where(right[merged], 0.0, w[order[merged]]), (~right[merged]).astype(np.int64)
+        sums, nums = np.cumsum(left_w), np.cumsum(left_n)
+        start = run[merged] * 2 * width
+        base_w, base_n = np.where(start > 0, sums[start - 1], 0.0), np.where(start > 0, nums[start - 1], 0)
+        here = right[merged]
+        who = order[merged][here]
+        total[who] += (sums - base_w)[here]
+        count[who] += (nums - base_n)[here]
+        order, width = order[merged], 2 * width
+    return count, total
+
+
 def kendall_parts(m: np.ndarray, s: np.ndarray) -> float:
     """Kendall's tau-b of two rank vectors in n log n: ties by counts, discordance by merging."""
     n = len(m)
@@ -51,20 +74,24 @@ def kendall_parts(m: np.ndarray, s: np.ndarray) -> float:
     m, s = m[order], s[order]
     tied = lambda *x: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(x), axis=1, return_counts=True)[1])
     both, n1, n2, n0 = tied(m, s), tied(m), tied(s), n * (n - 1) // 2
-    swaps, width, a = 0, 1, s.copy()
-    while width < n:  # bottom-up merge sort, counting inversions
-        out = np.empty_like(a)
-        for lo in range(0, n, 2 * width):
-            left, right = a[lo : lo + width], a[lo + width : lo + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            part = np.concatenate([left, right])
-            out[lo : lo + len(part)] = np.sort(part, kind="stable")
-        a, width = out, 2 * width
+    swaps = int(_ahead(-s, np.ones(n))[0].sum())
     if n0 in (n1, n2):
         return 0.0
     return (n0 - n1 - n2 + both - 2 * swaps) / float(np.sqrt(float(n0 - n1)) * np.sqrt(float(n0 - n2)))
 
 
+def _weighted_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
+    """Sum over all pairs of (w_i + w_j) * sign(a_i - a_j) * sign(b_i - b_j), in n log n."""
+    n, out = len(a), 0.0
+    for sign in (1, -1):  # concordant pairs, then discordant ones as concordant with -b
+        y = sign * b
+        # Equal a: falling y, so that such pairs never look ordered.
+        order = np.lexsort((-y, a))
+        count, total = _ahead(y[order], w[order])
+        out += sign * float((total + count * w[order]).sum())
+    return out if n else 0.0
+
+
 def weighted_tau(x: np.ndarray, y: np.ndarray, invert: bool = False) -> float:
     """Weighted tau with additive hyperbolic weights, the mean over both orders of importance.
 
@@ -73,19 +100,17 @@ def weighted_tau(x: np.ndarray, y: np.ndarray, invert: bool = False) -> float:
     """
     x, y = (-np.asarray(x, float), -np.asarray(y, float)) if invert else (np.asarray(x, float), np.asarray(y, float))
 
+    def untied(a: np.ndarray, w: np.ndarray) -> float:
+        """Weight of the pairs that differ in ``a``: (size - own block) * w summed over nodes."""
+        _, of, sizes = np.unique(a, return_inverse=True, return_counts=True)
+        return float((w * (len(a) - sizes[of])).sum())
+
     def one(a: np.ndarray, b: np.ndarray) -> float:
-        order = np.lexsort((b, a))[::-1]
         r = np.empty(len(a))
-        r[order] = np.arange(len(a))
+        r[np.lexsort((b, a))[::-1]] = np.arange(len(a))
         w = 1 / (1 + r)
-        up = ta = tb = 0.0
-        for i in range(0, len(a), 512):
-            da, db = np.sign(a[i : i + 512, None] - a), np.sign(b[i : i + 512, None] - b)
-            ww = w[i : i + 512, None] + w
-            up += float((ww * da * db).sum())
-            ta += float((ww * (da != 0)).sum())
-            tb += float((ww * (db != 0)).sum())
-        return up / np.sqrt(ta * tb) if ta and tb else float("nan")
+        ta, tb = untied(a, w), untied(b, w)
+        return _weighted_pairs(a, b, w) / np.sqrt(ta * tb) if ta and tb else float("nan")
 
     return (one(x, y) + one(y, x)) / 2
 
@@ -93,7 +118,8 @@ def weighted_tau(x: np.ndarray, y: np.ndarray, invert: bool = False) -> float:
 def kendall(pairs: DataFrame, by: Sequence[str] = ("method",), weighted: bool = True) -> DataFrame:
     """``kendall_tau`` and ``weighted_tau`` per group, nodes aligned by id; undefined tau is 0.
 
-    One task per (method, ranking, probability); a group is one rank per node.
+    One task per (method, ranking, probability): a group is two numbers per node, counted in
+    n log n by merging, so 100 million nodes are some GB of one task and no pair is ever listed.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,20 +134,8 @@ def kendall(pairs: DataFrame, by: Sequence[str] = ("method",), weighted: bool =
 
 
 def kendall_sql(pairs: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Tau-b from counts of rank pairs, in DataFrame operations.
-
-    Equal (m, s) pairs are counted first, so the pair join runs over distinct rank pairs of one
-    group; meant for coarse ranks. Undefined tau is 0.
-    """
-    cells = cut(pairs.groupBy(*by, "m", "s").agg(F.count("*").alias("c")))
-    other = cells.select(*by, F.col("m").alias("m2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    sign = F.signum(F.col("m2") - F.col("m")) * F.signum(F.col("s2") - F.col("s"))
-    p = cells.join(other, list(by)).where("m < m2").groupBy(*by).agg(F.sum(F.col("c") * F.col("c2") * sign).alias("p"))
-    halves = lambda c, out: cells.groupBy(*by, c).agg(F.sum("c").alias("c")).groupBy(*by).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(out))
-    n = cells.groupBy(*by).agg((F.sum("c") * (F.sum("c") - 1) / 2).alias("n0"))
-    rows = n.join(halves("m", "n1"), list(by)).join(halves("s", "n2"), list(by)).join(p, list(by), "left")
-    down = (F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2"))
-    return rows.select(*by, F.when(down > 0, F.coalesce("p", F.lit(0.0)) / F.sqrt(down)).otherwise(F.lit(0.0)).alias("kendall_tau"))
+    """Tau-b alone, per group."""
+    return kendall(pairs, by, weighted=False).drop("weighted_tau")
 
 
 def compare(methods: DataFrame, truth: DataFrame, vectors: DataFrame | None = None, group: str = "none") -> DataFrame:
@@ -167,3 +181,11 @@ def tie_profile(methods: DataFrame, by: Sequence[str] = ("method",)) -> DataFram
 
 def fractional(methods: DataFrame) -> DataFrame:
     return fractional_rank(methods, "rank", ["method"])
+
+
+def tie_summary(statistics: DataFrame, by: Sequence[str] = ("variant", "component_index")) -> DataFrame:
+    """Tie statistics over rankings and probabilities: mean, least and largest share, mean counts."""
+    return statistics.groupBy(*by).agg(
+        F.avg("fraction_tied").alias("fraction_tied_mean"), F.min("fraction_tied").alias("fraction_tied_min"), F.max("fraction_tied").alias("fraction_tied_max"),
+        F.avg("num_nodes_tied").alias("num_nodes_tied_mean"), F.avg("num_unique_vectors").alias("num_unique_vectors_mean"), F.count("*").alias("count"),
+    )

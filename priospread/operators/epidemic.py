@@ -43,22 +43,23 @@ def coin(u: Column, v: Column, seed: Column, sim: Column) -> Column:
     return h
 
 
-def spread(graph: Graph, seeds: DataFrame, probability: float, simulations: int, rounds: int = 1000) -> DataFrame:
+def spread(graph: Graph, seeds: DataFrame, probability: float, simulations: int) -> DataFrame:
     """``seed``, ``sim``, ``node_id``, ``step``: everyone that each run reaches, the seed included.
 
     Rounds are synchronous; an infected node tries each susceptible neighbour once and recovers.
-    All runs move together: one frontier join a round, keyed by (seed, run, node).
+    All runs move together: one frontier join a round, keyed by (seed, run, node), until no run
+    has an infected node.
     """
-    adjacency = cut(graph.adjacency)
+    adjacency = graph.cut().adjacency
     front = cut(seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))).alias("sim")).select("seed", "sim", F.col("seed").alias("node_id"), F.lit(0).alias("step")))
     reached = front
     hit = coin(F.col("src"), F.col("dst"), F.col("seed"), F.col("sim")) < F.lit(int(probability * PRIME))
-    for step in range(1, rounds + 1):
+    step = 0
+    while not front.isEmpty():
+        step += 1
         tries = front.withColumnRenamed("node_id", "src").join(adjacency, "src").where(hit)
         new = tries.select("seed", "sim", F.col("dst").alias("node_id")).distinct().join(reached, ["seed", "sim", "node_id"], "left_anti")
         front = cut(new.withColumn("step", F.lit(step)))
-        if front.isEmpty():
-            break
         reached = reached.unionAll(front)
         if step % 8 == 0:
             reached = cut(reached)
@@ -121,6 +122,11 @@ def truth_rank_blended(sir: DataFrame, ranking: Sequence[int], beta: float, perc
     return rank_by(vectors, F.col("vec"), kind="competition")
 
 
+def rank_by_total(sir: DataFrame) -> DataFrame:
+    """``node_id``, ``total_mean``, ``rank``: seeds by their reach over all groups, largest first."""
+    return rank_by(reach_totals(sir).select("node_id", "total_mean"), F.struct(F.round("total_mean", 9).alias("t")), kind="competition")
+
+
 def reach_totals(sir: DataFrame) -> DataFrame:
     return sir.groupBy("node_id").agg(F.sum("mean").alias("total_mean"), F.max("num_simulations").alias("num_simulations"))
 

@@ -6,16 +6,19 @@ each group's target share. An undirected graph comes in as both directions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut
+from ..plans.loops import cut, forget
 
 FOLLOW, EPSILON, ROUNDS = 0.85, 1e-4, 100
-#: Nodes up to which a dense programme runs in one process.
-DENSE_NODES = 2_000
+#: Nodes up to which a programme holds its matrix (32 MB), and edges and nodes that one process
+#: may hold for it (24 MB of arrays, some hundred MB while it runs).
+DENSE_NODES, PROGRAMME_EDGES = 2_000, 1_000_000
 
 
 def default_phi(nodes: DataFrame) -> DataFrame:
@@ -31,22 +34,22 @@ def fair_jump(nodes: DataFrame, phi: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(per), "group_id", "left").select("node_id", F.coalesce("jump", F.lit(0.0)).alias("jump"))
 
 
-def _settled(state: DataFrame, step, rounds: int, epsilon: float | None, every: int = 1) -> DataFrame:
+def _settled(state: DataFrame, step, rounds: int, epsilon: float | None) -> DataFrame:
     """Iterate (node_id, value, ...) until the summed change is below ``epsilon``.
 
     The state is used several times a round, so the plan is cut each round: uncut it would grow
     by that factor every time.
     """
-    for i in range(1, rounds + 1):
-        new = step(state)
-        if i % every == 0 or i == rounds:
-            old = state
-            new = cut(new)
-            if epsilon is not None:
-                moved = new.select("node_id", "value").join(old.select("node_id", F.col("value").alias("old")), "node_id").agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
-                if (moved or 0.0) < epsilon:
-                    return new
+    for _ in range(rounds):
+        new = cut(step(state))
+        moved = None
+        if epsilon is not None:
+            old = state.select("node_id", F.col("value").alias("old"))
+            moved = new.select("node_id", "value").join(old, "node_id").agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0
+        forget(state)
         state = new
+        if moved is not None and moved < epsilon:
+            break
     return state
 
 
@@ -133,54 +136,176 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
 
-def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int = 1, excess: DataFrame | None = None, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
-    """Two groups: each node passes an equal share x to all neighbours so that neither group of
-    them gets more than its target, and the rest of the mass to the bucket of the other group.
+def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int | None = None, excess: DataFrame | None = None, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+    """Each node passes an equal share x to all neighbours so that no group of them gets more than
+    its target, and the rest of each group's target to the bucket of that group.
 
-    With k1 of k neighbours in group c whose share is phi_c: x = min(phi_1 / k1, phi_0 / k0).
+    With k_c of the neighbours in group c whose share is phi_c: x = min over those groups of
+    phi_c / k_c. Any number of groups; with two, the favoured one is given whole by the neighbours.
     Buckets are spread evenly, or by ``excess`` (node_id, weight), within their group.
     """
     nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
-    if (n := phi.count()) != 2:
-        raise ValueError(f"the step form needs two groups, not {n}")
-    shares = {r["group_id"]: float(r["share"]) for r in phi.collect()}  # two rows
-    other = next(g for g in shares if g != favoured)
-    one, two = shares[favoured], shares[other]
-    k = edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.count_if(F.col("group_id") == favoured).alias("k1"), F.count_if(F.col("group_id") == other).alias("k0"))
-    part = F.least(F.when(F.col("k1") > 0, F.lit(one) / F.col("k1")), F.when(F.col("k0") > 0, F.lit(two) / F.col("k0")))
-    info = nodes.select("node_id").join(k, "node_id", "left").select("node_id", F.coalesce(part, F.lit(0.0)).alias("x"), F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("k0", F.lit(0)).alias("k0"))
-    info = cut(info.select("node_id", "x", (F.lit(one) - F.col("x") * F.col("k1")).alias("e1"), (F.lit(two) - F.col("x") * F.col("k0")).alias("e0")))
+    counts = out_counts(edges, nodes).join(F.broadcast(phi), "group_id")  # phi: a row a group
+    part = counts.groupBy(F.col("src").alias("node_id")).agg(F.min(F.col("share") / F.col("k")).alias("x"))
+    x = cut(nodes.select("node_id").join(part, "node_id", "left").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x")))
+    # What a node owes each bucket: a row per node and group, as long as the result for all groups.
+    owed = x.crossJoin(F.broadcast(phi)).join(counts.select(F.col("src").alias("node_id"), "group_id", "k"), ["node_id", "group_id"], "left")
+    owed = cut(owed.select("node_id", "group_id", (F.col("share") - F.col("x") * F.coalesce("k", F.lit(0))).alias("e")).where("e <> 0"))
     weights = nodes.withColumn("w", F.lit(1.0)) if excess is None else nodes.join(excess.select("node_id", F.col("weight").alias("w")), "node_id", "left").fillna(0.0, ["w"])
     totals = weights.groupBy("group_id").agg(F.sum("w").alias("t"))
     spread = weights.join(F.broadcast(totals), "group_id").select("node_id", "group_id", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(F.lit(0.0)).alias("s"))
     base = cut(fair_jump(nodes, phi).join(spread, "node_id"))
+    passed = float(phi.join(totals.where("t > 0"), "group_id").agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0])
 
     def step(state: DataFrame) -> DataFrame:
-        known = state.select("node_id", "value").join(info, "node_id")
-        flow = edges.join(known.select(F.col("node_id").alias("src"), (F.col("value") * F.col("x")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
-        buckets = known.agg(F.sum(F.col("value") * F.col("e1")).alias("b1"), F.sum(F.col("value") * F.col("e0")).alias("b0"))  # one row
-        bucket = F.when(F.col("group_id") == favoured, F.col("b1")).otherwise(F.col("b0"))
-        rows = base.join(flow, "node_id", "left").crossJoin(F.broadcast(buckets))
-        got = F.coalesce("direct", F.lit(0.0)) + bucket * F.col("s")
-        if excess is None:  # both buckets are spread whole
-            return rows.select(*base.columns, (FOLLOW * got + F.lit(1.0 - FOLLOW) * F.col("jump")).alias("value"))
+        flow = edges.join(state.join(x, "node_id").select(F.col("node_id").alias("src"), (F.col("value") * F.col("x")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
+        buckets = owed.join(state.select("node_id", "value"), "node_id").groupBy("group_id").agg(F.sum(F.col("value") * F.col("e")).alias("bucket"))  # a row a group
+        rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
+        got = F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")
+        if excess is None:  # all buckets are spread whole
+            return rows.select(*base.columns, (FOLLOW * got + F.lit(1.0 - FOLLOW * passed) * F.col("jump")).alias("value"))
         return _mixed(base, rows.select("node_id", got.alias("got")))
 
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
 
-def step_fair_proportional(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int = 1, **how) -> DataFrame:
+def step_fair_proportional(edges: DataFrame, nodes: DataFrame, phi: DataFrame, **how) -> DataFrame:
     """Buckets spread by plain PageRank."""
     weight = directed_pagerank(edges, nodes).select("node_id", F.col("value").alias("weight"))
-    return step_fair(edges, nodes, phi, favoured, weight, **how)
+    return step_fair(edges, nodes, phi, None, weight, **how)
+
+
+def unfavoured(ranks: DataFrame, nodes: DataFrame, phi: DataFrame) -> int:
+    """The group that plain PageRank keeps furthest below its share; the larger id on ties."""
+    mass = group_mass(ranks, nodes).join(phi, "group_id")
+    return mass.orderBy(F.desc(F.col("share") - F.col("mass")), F.desc("group_id")).select("group_id").first()[0]
 
 
-def hybrid_top(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, favoured: int = 1, **how) -> DataFrame:
-    """The other group's bucket goes to its k nodes of most PageRank only."""
+def _top_weights(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int) -> tuple[int, DataFrame]:
+    """The unfavoured group and ``node_id``: its k nodes of most PageRank, and all other groups."""
     ranks = cut(directed_pagerank(edges, nodes).join(nodes, "node_id"))
-    top = ranks.where(F.col("group_id") != favoured).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
-    chosen = ranks.where(F.col("group_id") == favoured).select("node_id").unionAll(top)
-    return step_fair(edges, nodes, phi, favoured, chosen.withColumn("weight", F.lit(1.0)), **how)
+    short = unfavoured(ranks.select("node_id", "value"), nodes, phi)
+    top = ranks.where(F.col("group_id") == short).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
+    return short, cut(ranks.where(F.col("group_id") != short).select("node_id").unionAll(top))
+
+
+def hybrid_top(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, **how) -> DataFrame:
+    """The unfavoured group's bucket goes to its k nodes of most PageRank only."""
+    _, chosen = _top_weights(edges, nodes, phi, k)
+    return step_fair(edges, nodes, phi, None, chosen.withColumn("weight", F.lit(1.0)), **how)
+
+
+def hybrid_top_neighbourhood(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+    """Neighbourhood fairness whose unfavoured group gets at most 1 / out-degree from a neighbour.
+
+    What that leaves of the group's share, and the whole share where a node has no neighbour in the
+    group, goes to the group's k nodes of most PageRank; other groups' buckets are spread evenly.
+    """
+    short, chosen = _top_weights(edges, nodes, phi, k)
+    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
+    degree = edges.groupBy("src").agg(F.count("*").alias("out"))
+    counts = cut(out_counts(edges, nodes).join(degree, "src").join(F.broadcast(phi), "group_id"))
+    each = F.when(F.col("group_id") == short, F.least(F.col("share") / F.col("k"), 1 / F.col("out"))).otherwise(F.col("share") / F.col("k"))
+    weighed = cut(counts.select("src", "group_id", each.alias("w"), (F.col("share") - each * F.col("k")).alias("left")))
+    dealt = cut(edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(weighed, ["src", "group_id"]).select("src", "dst", "w"))
+    lacks = nodes.select(F.col("node_id").alias("src")).crossJoin(F.broadcast(phi)).join(counts.select("src", "group_id"), ["src", "group_id"], "left_anti").select("src", "group_id", F.col("share").alias("left"))
+    owed = cut(weighed.select("src", "group_id", "left").where("left > 0").unionByName(lacks))
+    takers = nodes.join(chosen, "node_id", "left_semi")
+    sizes = takers.groupBy("group_id").agg(F.count("*").alias("size"))
+    spread = takers.join(F.broadcast(sizes), "group_id").select("node_id", (1.0 / F.col("size")).alias("s"))
+    base = cut(fair_jump(nodes, phi).join(nodes, "node_id").join(spread, "node_id", "left").fillna(0.0, ["s"]))
+
+    def step(state: DataFrame) -> DataFrame:
+        now = state.select(F.col("node_id").alias("src"), "value")
+        flow = dealt.join(now, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("w")).alias("direct"))
+        buckets = owed.join(now, "src").groupBy("group_id").agg(F.sum(F.col("value") * F.col("left")).alias("bucket"))
+        rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
+        return _mixed(base, rows.select("node_id", (F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")).alias("got")))
+
+    return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
+
+
+def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: DataFrame, kind: str = "uniform", k: int | None = None, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+    """Two groups: fairness among the nodes of ``targets`` (node_id) only.
+
+    A node with h of its d neighbours in the targets sends them h / d of its mass: each the share x
+    that gives the group it favours its target, the rest to the other group's targets, spread
+    evenly (``uniform``), by plain PageRank (``proportional``) or over the node's own neighbours in
+    that group, over all its targets where there is none (``neighbourhood``). Other neighbours get
+    1 / d. What is left jumps: k / n by groups to the targets, evenly to the others.
+    """
+    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
+    hit = cut(targets.select("node_id").distinct().join(nodes, "node_id"))
+    shares = {r["group_id"]: float(r["share"]) for r in phi.orderBy("group_id").collect()}
+    if len(shares) != 2 or hit.select("group_id").distinct().count() != 2:
+        raise ValueError("target fairness needs two groups, both among the targets")
+    (zero, share0), (one, share1) = shares.items()
+    n, many = nodes.count(), hit.count()
+    k = many if k is None else k
+    out = edges.join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left").groupBy("src").agg(F.count("*").alias("d"), F.count_if(F.col("g") == zero).alias("h0"), F.count_if(F.col("g") == one).alias("h1"))
+    h = F.col("h0") + F.col("h1")
+    likes0 = F.col("h0") / h >= share0
+    out = out.withColumn("likes", F.when(h > 0, F.when(likes0, zero).otherwise(one)))
+    x = F.when(h > 0, h / F.col("d") * F.when(likes0, F.lit(share0) / F.col("h0")).otherwise(F.lit(share1) / F.col("h1"))).otherwise(F.lit(0.0))
+    out = out.withColumn("x", x).withColumn("rest", h / F.col("d") - F.col("x") * h).withColumn("to", F.when(F.col("likes") == zero, one).when(F.col("likes") == one, zero))
+    out = cut(out.select("src", "d", "x", "rest", "to", F.when(F.col("to") == zero, F.col("h0")).otherwise(F.col("h1")).alias("own")))
+    if kind == "proportional":
+        weight = directed_pagerank(edges, nodes).join(hit, "node_id").select("node_id", "group_id", F.col("value").alias("w"))
+    else:
+        weight = hit.withColumn("w", F.lit(1.0))
+    total = weight.groupBy("group_id").agg(F.sum("w").alias("t"))
+    sizes = hit.groupBy("group_id").agg(F.count("*").alias("size")).join(phi, "group_id")
+    taking = weight.join(F.broadcast(total), "group_id").join(F.broadcast(sizes), "group_id").select("node_id", (F.col("w") / F.col("t")).alias("s"), (F.lit(k / n) * F.col("share") / F.col("size")).alias("j"))
+    base = cut(nodes.join(taking, "node_id", "left").select("node_id", "group_id", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("j", F.lit(1.0 / n)).alias("jump")))
+    links = edges.join(out, "src").join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left")
+    near = (F.col("g") == F.col("to")) & (F.col("own") > 0) if kind == "neighbourhood" else F.lit(False)
+    amount = F.when(F.col("g").isNull(), 1 / F.col("d")).otherwise(F.col("x") + F.when(near, F.col("rest") / F.col("own")).otherwise(F.lit(0.0)))
+    dealt = cut(links.select("src", "dst", amount.alias("w")))
+    owed = cut(out.where("to is not null and rest <> 0" + (" and own = 0" if kind == "neighbourhood" else "")).select("src", F.col("to").alias("group_id"), "rest"))
+
+    def step(state: DataFrame) -> DataFrame:
+        now = state.select(F.col("node_id").alias("src"), "value")
+        flow = dealt.join(now, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("w")).alias("direct"))
+        buckets = owed.join(now, "src").groupBy("group_id").agg(F.sum(F.col("value") * F.col("rest")).alias("bucket"))
+        rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
+        return _mixed(base, rows.select("node_id", (F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")).alias("got")))
+
+    return _settled(base.withColumn("value", F.lit(1.0 / n)), step, rounds, epsilon).select("node_id", "value")
+
+
+def top_targets(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The k nodes of most plain PageRank, ties to the smaller id."""
+    return directed_pagerank(edges, nodes).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
+
+
+def attribute_jump(nodes: DataFrame, attributes: DataFrame, attribute: int) -> DataFrame:
+    """Equal jumps to the nodes that have an attribute (node_id, attribute)."""
+    having = attributes.where(F.col("attribute") == attribute).select("node_id").distinct().join(nodes, "node_id", "left_semi")
+    n = having.agg(F.count("*").alias("n"))
+    return nodes.select("node_id").join(having.withColumn("in", F.lit(1.0)), "node_id", "left").crossJoin(F.broadcast(n)).select("node_id", F.when(F.col("in").isNotNull(), 1.0 / F.col("n")).otherwise(F.lit(0.0)).alias("jump"))
+
+
+def node_jump(nodes: DataFrame, node: int) -> DataFrame:
+    """All jumps to one node."""
+    return nodes.select("node_id", (F.col("node_id") == node).cast("double").alias("jump"))
+
+
+def all_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame | None = None, k: int | None = None, **how) -> DataFrame:
+    """``algorithm``, ``node_id``, ``value`` of the six algorithms, or with ``k`` of the six top-k ones."""
+    phi = cut(default_phi(nodes) if phi is None else phi)
+    edges, nodes = cut(edges.select("src", "dst")), cut(nodes.select("node_id", "group_id"))
+    plain = cut(directed_pagerank(edges, nodes, **how))
+    if k is None:
+        made = {
+            "global_uniform": global_uniform(plain, nodes, phi), "global_proportional": global_proportional(plain, nodes, phi),
+            "lfpr_u": step_fair(edges, nodes, phi, **how), "lfpr_p": step_fair_proportional(edges, nodes, phi, **how),
+            "lfpr_n": neighbourhood_fair(edges, nodes, phi, **how),
+        }
+    else:
+        some = cut(top_targets(edges, nodes, k))
+        made = {f"lfpr_{name}_topk": target_fair(edges, nodes, phi, some, kind, k, **how) for name, kind in (("n", "neighbourhood"), ("u", "uniform"), ("p", "proportional"))}
+        made |= {"lfpr_hu_topk": hybrid_top(edges, nodes, phi, k, **how), "lfpr_hn_topk": hybrid_top_neighbourhood(edges, nodes, phi, k, **how)}
+    return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("algorithm"), "node_id", "value") for name, df in {"pagerank": plain, **made}.items()])
 
 
 def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, rounds: int = 20) -> DataFrame:
@@ -198,8 +323,11 @@ def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, rounds: i
     return state.join(nodes.select("node_id", "group_id"), "node_id").groupBy("source", "group_id").agg(F.sum("value").alias("mass"))
 
 
-def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Per node: out and in degree, share of same-group neighbours both ways, position by rank."""
+def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, phi: DataFrame | None = None) -> DataFrame:
+    """Per node: out and in degree, share of same-group neighbours both ways, position by rank.
+
+    With ``phi`` also ``excess``: the share of its mass that the step rule sends to buckets.
+    """
     of = nodes.select("node_id", "group_id")
     pairs = edges.join(of.select(F.col("node_id").alias("src"), F.col("group_id").alias("gs")), "src").join(of.select(F.col("node_id").alias("dst"), F.col("group_id").alias("gd")), "dst")
     same = F.avg((F.col("gs") == F.col("gd")).cast("double"))
@@ -208,7 +336,21 @@ def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataF
     from ..functions.ranks import rank_by
 
     placed = rank_by(ranks.select("node_id", "value"), F.struct("value", -F.col("node_id")), name="position", kind="competition")
-    return of.join(out, "node_id", "left").join(into, "node_id", "left").join(placed, "node_id", "left").fillna(0, ["out_degree", "in_degree"])
+    rows = of.join(out, "node_id", "left").join(into, "node_id", "left").join(placed, "node_id", "left").fillna(0, ["out_degree", "in_degree"])
+    if phi is None:
+        return rows
+    x = out_counts(edges, nodes).join(F.broadcast(phi), "group_id").groupBy(F.col("src").alias("node_id")).agg(F.min(F.col("share") / F.col("k")).alias("x"))
+    return rows.join(x, "node_id", "left").withColumn("excess", 1.0 - F.coalesce("x", F.lit(0.0)) * F.col("out_degree")).drop("x")
+
+
+def neighbour_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id``, ``group_id``, ``n_in``, ``n_out`` and their shares: neighbours of a node in each group."""
+    into = out_counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_in"))
+    out = out_counts(edges, nodes).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_out"))
+    both = into.join(out, ["node_id", "group_id"], "full").fillna(0, ["n_in", "n_out"])
+    total = both.groupBy("node_id").agg(F.sum("n_in").alias("i"), F.sum("n_out").alias("o"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return both.join(total, "node_id").select("node_id", "group_id", "n_in", "n_out", share("n_in", "i").alias("share_in"), share("n_out", "o").alias("share_out"))
 
 
 def simplex_projection(v: np.ndarray, total: float = 1.0) -> np.ndarray:
@@ -219,32 +361,62 @@ def simplex_projection(v: np.ndarray, total: float = 1.0) -> np.ndarray:
     return np.maximum(v - below[k[-1]] / (k[-1] + 1), 0)
 
 
-def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5, protected: int = 1, gamma: float = 0.15, steps: int = 1500) -> pd.DataFrame | None:
-    """min |Qv - p|^2 over v >= 0 with sum 1 and protected mass ``share``, small graphs only.
+class RankOperator:
+    """Q of a directed graph, which maps a jump vector v to its PageRank Q v, without the matrix.
+
+    Q v = gamma * sum of ((1 - gamma) P^T)^k v; the series is cut below 1e-13 of the sum. Nodes
+    without out-edges link to all. Up to DENSE_NODES nodes Q is held as a matrix.
+    """
 
-    Q maps a jump vector to its PageRank p. The group of label ``protected`` gets the share
-    whatever the ranking's order. Accelerated gradients, projected exactly. None if infeasible.
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: int, gamma: float = 0.15) -> None:
+        self.n, self.gamma, out = n, gamma, np.bincount(src, minlength=n)
+        self.src, self.dst, self.w, self.sinks = src, dst, 1.0 / out[src], out == 0
+        self.q: np.ndarray | None = None
+        if n <= DENSE_NODES:
+            p = np.zeros((n, n))
+            p[src, dst] = self.w
+            p[self.sinks] = 1 / n
+            self.q = gamma * np.linalg.inv(np.eye(n) - (1 - gamma) * p).T
+
+    def _series(self, x: np.ndarray, move) -> np.ndarray:
+        total, term, keep = x.copy(), x, 1 - self.gamma
+        while True:
+            term = keep * move(term)
+            total += term
+            if np.abs(term).sum() <= 1e-13 * max(np.abs(total).sum(), 1e-300):
+                return self.gamma * total
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        if self.q is not None:
+            return self.q @ v
+        return self._series(v, lambda x: np.bincount(self.dst, x[self.src] * self.w, self.n) + x[self.sinks].sum() / self.n)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """Q^T r."""
+        if self.q is not None:
+            return self.q.T @ r
+        return self._series(r, lambda x: np.where(self.sinks, x.mean(), np.bincount(self.src, x[self.dst] * self.w, self.n)))
+
+
+def fair_programme(edges: pd.DataFrame, nodes: pd.DataFrame, row, gamma: float = 0.15, steps: int = 1500, near_itself: bool = False) -> pd.DataFrame | None:
+    """min |Qv - p|^2 over v >= 0 with sum 1 and a . v = b, of a graph whose size was checked.
+
+    ``row(Q, plain, groups)`` gives (a, b), one linear condition on the jump vector. Accelerated
+    gradients, projected exactly; only products with Q are formed. With ``near_itself`` the target
+    is |v - p|^2 (Q = I). None if infeasible.
     """
     ids = np.sort(nodes.node_id.to_numpy())
     n = len(ids)
-    if n > DENSE_NODES:
-        raise ValueError(f"a dense programme of {n} nodes; at most {DENSE_NODES}")
-    p = np.zeros((n, n))
-    at = [np.searchsorted(ids, edges[c].to_numpy()) for c in ("src", "dst")]
-    p[at[0], at[1]] = 1
-    p[p.sum(1) == 0] = 1
-    p /= p.sum(1, keepdims=True)
-    q = gamma * np.linalg.inv(np.eye(n) - (1 - gamma) * p).T
-    plain = q @ np.full(n, 1 / n)
-    red = nodes.sort_values("node_id").group_id.to_numpy() == protected
-    a = q[red].sum(0)  # protected mass of each jump
+    q = RankOperator(*[np.searchsorted(ids, edges[c].to_numpy()) for c in ("src", "dst")], n, gamma)
+    plain = q(np.full(n, 1 / n))
+    a, share = row(q, plain, nodes.sort_values("node_id").group_id.to_numpy())
     if not a.min() - 1e-12 <= share <= a.max() + 1e-12:
         return None
 
     def project(x: np.ndarray) -> np.ndarray:
         """The nearest feasible point: max(x - l - m a, 0), with l by the simplex and m by bisection.
 
-        The protected mass falls as m grows, so its target is bracketed and halved.
+        a . v falls as m grows, so its target is bracketed and halved.
         """
         low, high = -1.0, 1.0
         while a @ simplex_projection(x - low * a) < share and low > -1e12:
@@ -261,16 +433,43 @@ def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5,
                 break
         return simplex_projection(x - high * a)
 
-    rate = 1 / np.linalg.norm(q, 2) ** 2
+    if near_itself:
+        v = project(plain)
+        return pd.DataFrame({"node_id": ids, "jump": v, "value": v})
+    x = np.full(n, n**-0.5)
+    for _ in range(30):  # the largest singular value, from below
+        x = q.back(q(x))
+        size = np.linalg.norm(x)
+        x /= size
+    rate = 1 / (1.05 * size)
     v = z = project(np.full(n, 1 / n))
     t = 1.0
     for _ in range(steps):
-        new = project(z - rate * (q.T @ (q @ z - plain)))
+        new = project(z - rate * q.back(q(z) - plain))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, moved, v, t = new + (t - 1) / t2 * (new - v), np.abs(new - v).max(), new, t2
         if moved < 1e-10:
             break
-    return pd.DataFrame({"node_id": ids, "jump": v, "value": q @ v})
+    return pd.DataFrame({"node_id": ids, "jump": v, "value": q(v)})
+
+
+def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5, protected: int = 1, gamma: float = 0.15, steps: int = 1500) -> pd.DataFrame | None:
+    """The protected group as a whole gets ``share`` of the rank, whatever the ranking's order."""
+    return fair_programme(edges, nodes, lambda q, plain, group: (q.back((group == protected).astype(float)), share), gamma, steps)
+
+
+def targeted_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float, k: int | None = None, targets: list[int] | None = None, protected: int = 1, gamma: float = 0.15, steps: int = 1500, near_itself: bool = False) -> pd.DataFrame | None:
+    """Of what the top ``k`` by plain rank (or the ``targets``) get, the protected ones get ``share``."""
+    ids = np.sort(nodes.node_id.to_numpy())
+
+    def row(q: RankOperator, plain: np.ndarray, group: np.ndarray):
+        top = np.isin(ids, targets) if targets is not None else np.zeros(len(ids), bool)
+        if targets is None:
+            top[np.argsort(-plain, kind="stable")[:k]] = True
+        r = (top & (group == protected)) - share * top
+        return (r.astype(float) if near_itself else q.back(r.astype(float))), 0.0
+
+    return fair_programme(edges, nodes, row, gamma, steps, near_itself)
 
 
 def group_mass(ranks: DataFrame, nodes: DataFrame) -> DataFrame:

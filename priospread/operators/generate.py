@@ -81,31 +81,35 @@ def assign_groups(nodes: DataFrame, fractions: Sequence[float], seed: int = 42)
     return placed.select("node_id", of.cast("int").alias("group_id"))
 
 
-def grown_graph(spark: SparkSession, n: int, start: int, edges_each: int, minority: float, homophily: float, seed: int = 42, tries: int = 1000) -> Graph:
+def grown_graph(spark: SparkSession, n: int, start: int, edges_each: int, minority: float, homophily: float | tuple[float, float], seed: int = 42, tries: int = 1000) -> Graph:
     """Preferential attachment with two groups, on the driver: growth is sequential by nature.
 
-    Starts as a clique with both groups. A candidate of the same group is rejected when the draw
-    is below ``homophily``, another group's when it is not; after ``tries`` any node will do.
+    Starts as a clique with both groups. ``homophily`` is one number or one for each group of the
+    new node. A candidate, drawn by its degree before this node came, is tried again if it is linked
+    already, if it has the same group and the draw is below the homophily, or if it has the other
+    group and the draw is not. An edge that finds no end in ``tries`` is left out; only a node that
+    got none at all is linked to one at random. The size is bounded by the driver's memory.
     """
+    each = homophily if isinstance(homophily, tuple) else (homophily, homophily)
     rng = random.Random(seed)
     group = [int(rng.random() < minority) for _ in range(n)]
     if start >= 2 and len(set(group[:start])) < 2:
         group[0] = 1 - group[0]
-    edges = {(a, b) for b in range(start) for a in range(b)}
-    ends = [x for e in edges for x in e] or [0]
+    edges = [(a, b) for b in range(start) for a in range(b)]
+    ends = [x for e in edges for x in e]  # a node as often as its degree
     for v in range(start, n):
-        chosen: set[int] = set()
-        while len(chosen) < min(edges_each, v):
+        chosen: list[int] = []
+        for _ in range(edges_each if ends else 0):
             for _ in range(tries):
-                u = rng.choice(ends)
-                same, draw = group[u] == group[v], rng.random()
-                if u != v and u not in chosen and not (same and draw < homophily) and not (not same and draw >= homophily):
+                u, draw = rng.choice(ends), rng.random()
+                same = group[u] == group[v]
+                if u not in chosen and not (same and draw < each[group[v]]) and (same or draw < each[group[v]]):
+                    chosen.append(u)
                     break
-            else:
-                u = rng.choice([x for x in range(v) if x not in chosen])
-            chosen.add(u)
+        if not chosen and v:
+            chosen = [rng.randrange(v)]
         for u in chosen:
-            edges.add((u, v))
+            edges.append((u, v))
             ends += [u, v]
     nodes = spark.createDataFrame(list(enumerate(group)), "node_id long, group_id int")
     return Graph(nodes, spark.createDataFrame(sorted(edges), "src long, dst long"))
@@ -120,3 +124,33 @@ def metadata(graph: Graph, name: str, seed: int, replicate: int = 0) -> DataFram
 
 def replicate_seed(base: int, replicate: int) -> int:
     return base + replicate * 1000
+
+
+def group_sizes(n: int, groups: int, distribution: str, minority: float = 0.1) -> list[int]:
+    """Nodes of each group: all alike (``uniform``), or one large group and small ones (``imbalanced``)."""
+    if distribution == "uniform":
+        return [n // groups + (i < n % groups) for i in range(groups)]
+    small = [round(minority * n)] * (groups - 1)
+    return [n - sum(small), *small]
+
+
+def from_config(spark: SparkSession, config: dict, replicate: int = 0) -> tuple[str, Graph]:
+    """Name and graph of one entry: type, n, avg_degree, group_sizes or fractions, alpha, assignment, seed."""
+    seed = replicate_seed(int(config.get("random_seed", 42)), replicate)
+    n, name = int(config["n"]), f"{config['name']}_rep{replicate}"
+    fractions = list(config.get("group_fractions") or [1 / int(config.get("num_groups", 2))] * int(config.get("num_groups", 2)))
+    if config.get("type", "ER").upper() == "ER":
+        nodes = spark.range(n).select(F.col("id").alias("node_id"))
+        return name, Graph(assign_groups(nodes, fractions, seed), uniform_graph(spark, n, float(config["avg_degree"]), seed))
+    sizes = [round(f * n) for f in fractions[:-1]]
+    edges, blocks = block_graph(spark, [*sizes, n - sum(sizes)], float(config["avg_degree"]), float(config.get("alpha", 0.2)), seed)
+    groups = blocks if config.get("assignment", "aligned") == "aligned" else assign_groups(blocks.select("node_id"), fractions, seed)
+    return name, Graph(groups, edges)
+
+
+def write_graph(graph: Graph, folder: str, name: str, seed: int, replicate: int = 0) -> None:
+    """Edge and group text files (``u v`` and ``node group`` lines) and the metadata as JSON."""
+    line = lambda df, a, b: df.select(F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")).alias("value"))
+    line(graph.edges, "src", "dst").write.mode("overwrite").text(f"{folder}/{name}_edges.txt")
+    line(graph.nodes, "node_id", "group_id").write.mode("overwrite").text(f"{folder}/{name}_groups.txt")
+    metadata(graph, name, seed, replicate).write.mode("overwrite").json(f"{folder}/{name}_metadata.json")

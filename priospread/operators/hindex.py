@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, iterate
+from ..plans.loops import cut, forget
 from ..sources.text import Graph
 from .degrees import degree
 
+#: Edges and nodes that one task may hold: 8 MB of ids as they come, below 60 MB while peeled.
+TASK_EDGES = 250_000
+
 
 def h_index(neighbours: DataFrame, by: str = "src", value: str = "value") -> DataFrame:
     """``node_id``, ``value``: the largest h with h neighbour values of h or more.
@@ -30,20 +35,75 @@ def h_step(adjacency: DataFrame, state: DataFrame) -> DataFrame:
 
 def h_chain(graph: Graph, k: int) -> DataFrame:
     """The k-th h-index of every node; k = 0 is the degree. Steps share their prefix."""
-    adjacency, state = graph.adjacency, degree(graph)
-    if k > 1:
-        adjacency = cut(adjacency)
+    if k:
+        graph = graph.cut()
+    state = degree(graph)
     for _ in range(k):
-        state = h_step(adjacency, state)
+        state = h_step(graph.adjacency, state)
     return state
 
 
-def coreness(graph: Graph, rounds: int = 200) -> DataFrame:
-    """Core numbers: the chain until it stops falling."""
-    adjacency = cut(graph.adjacency)
+def core_numbers(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Core numbers of nodes 0..n-1: nodes leave in rounds, those of the least degree first."""
+    ends, other = np.concatenate([src, dst]), np.concatenate([dst, src])
+    near = other[np.argsort(ends, kind="stable")]
+    deg = np.bincount(ends, minlength=n)
+    first = np.concatenate([[0], np.cumsum(deg)])
+    core, here, level = np.zeros(n, np.int64), np.ones(n, bool), 0
+    go = np.flatnonzero(deg <= level)
+    while here.any():
+        while len(go):
+            core[go], here[go] = level, False
+            lost = np.concatenate([near[first[u] : first[u + 1]] for u in go]) if len(go) else go
+            lost, times = np.unique(lost[here[lost]], return_counts=True)
+            deg[lost] -= times
+            go = lost[deg[lost] <= level]
+        if here.any():
+            level = int(deg[here].min())
+            go = np.flatnonzero(here & (deg <= level))
+    return core
+
+
+def _one_task(graph: Graph) -> DataFrame:
+    """``coreness`` of a graph whose size was checked, by one task."""
+    rows = graph.edges.select("src", "dst").unionAll(graph.nodes.select("node_id", "node_id"))  # nodes ride along as loops
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst = (table[c].to_numpy() for c in ("src", "dst"))
+        loops = src == dst
+        ids = np.unique(src[loops])
+        value = core_numbers(len(ids), *[np.searchsorted(ids, x[~loops]) for x in (src, dst)])
+        return pa.table({"node_id": ids, "value": value})
 
-    def step(state: DataFrame) -> DataFrame:
-        new = h_step(adjacency, state).withColumnRenamed("value", "new")
-        return state.join(new, "node_id").select("node_id", F.least("value", "new").alias("value"), (F.col("new") < F.col("value")).alias("changed"))
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "node_id long, value long")
 
-    return iterate(cut(degree(graph)), step, "changed", rounds)
+
+def coreness(graph: Graph) -> DataFrame:
+    """Core numbers: the h-index chain until it rests, however many rounds that takes.
+
+    A graph of at most TASK_EDGES edges and as many nodes (counted first) is done by one task.
+
+    A node's value can only fall after a neighbour's did, so a round looks at the neighbours of
+    the nodes that fell in the round before (the frontier) and leaves all others alone. On chains
+    the frontier is a few nodes a round.
+    """
+    graph = graph.cut()
+    if all(x.limit(TASK_EDGES + 1).count() <= TASK_EDGES for x in (graph.nodes, graph.edges)):
+        return _one_task(graph)
+    adjacency = cut(graph.adjacency.repartition("src"))
+    state = cut(degree(graph))
+    frontier: DataFrame | None = None  # nodes whose neighbours fell
+    while True:
+        values = state.select(F.col("node_id").alias("dst"), "value")
+        asked = adjacency if frontier is None else adjacency.join(frontier, "src", "left_semi")
+        new = h_index(asked.join(values, "dst")).withColumnRenamed("value", "new")
+        fallen = cut(state.join(new, "node_id").where("new < value").select("node_id", "new"))
+        if fallen.isEmpty():
+            return state
+        after = cut(state.join(fallen, "node_id", "left").select("node_id", F.coalesce("new", "value").alias("value")))
+        touched = adjacency.join(fallen.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src").distinct()
+        frontier_new = cut(touched)
+        forget(state)
+        forget(fallen)
+        forget(frontier)
+        state, frontier = after, frontier_new

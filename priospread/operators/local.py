@@ -9,7 +9,7 @@ from ..plans.loops import cut
 from ..sources.text import Graph
 from .degrees import degree
 from .hindex import coreness, h_chain
-from .paths import distances
+from .paths import by_sources, distances
 
 #: Steps that gravity sums reach.
 REACH = 3
@@ -49,12 +49,30 @@ def clustering_coefficient(graph: Graph) -> DataFrame:
     return rows.select("node_id", F.when(d > 1, 2.0 * (d + t) / (d * (d - 1))).otherwise(F.lit(0.0)).alias("value"))
 
 
-def gravity(graph: Graph, mass: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """mass(i) * sum over nodes within three steps of mass(j) / d^2."""
+#: Common multiple of the squared distances 1, 4 and 9: gravity sums are whole in 36ths.
+SQUARES = 36
+
+
+def pulls(graph: Graph, mass: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``node_id``, ``value``: mass(i) * sum over nodes within three steps of 36 mass(j) / d^2.
+
+    Masses are whole numbers, so this is one too: equal scores are equal in any order of adding.
+    """
     pairs = distances(graph, REACH) if pairs is None else pairs
-    near = pairs.join(mass.select(F.col("node_id").alias("dst"), F.col("value").alias("mj")), "dst")
-    sums = near.groupBy(F.col("src").alias("node_id")).agg(F.sum(F.col("mj") / (F.col("d") * F.col("d"))).alias("pull"))
-    return _all(graph, mass.join(sums, "node_id"), F.col("value") * F.col("pull"))
+    near = pairs.join(mass.select(F.col("node_id").alias("dst"), F.col("value").cast("long").alias("mj")), "dst")
+    share = F.expr(f"mj * CAST({SQUARES} DIV (d * d) AS BIGINT)")
+    sums = near.groupBy(F.col("src").alias("node_id")).agg(F.sum(share).alias("pull"))
+    return mass.join(sums, "node_id", "left").select("node_id", (F.col("value").cast("long") * F.coalesce("pull", F.lit(0))).alias("value"))
+
+
+def in_units(whole: DataFrame) -> DataFrame:
+    """Scores from whole 36ths: one division at the end."""
+    return whole.select("node_id", (F.col("value").cast("double") / SQUARES).alias("value"))
+
+
+def gravity(graph: Graph, mass: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """mass(i) * sum over nodes within three steps of mass(j) / d^2; masses are whole numbers."""
+    return in_units(pulls(graph, mass, pairs))
 
 
 def gravity_centrality(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
@@ -67,12 +85,13 @@ def local_gravity(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
 
 def neighbour_sum(graph: Graph, values: DataFrame) -> DataFrame:
     near = graph.adjacency.join(values.select(F.col("node_id").alias("dst"), "value"), "dst")
-    return _all(graph, near.groupBy(F.col("src").alias("node_id")).agg(F.sum("value").alias("value")))
+    sums = near.groupBy(F.col("src").alias("node_id")).agg(F.sum("value").alias("value"))
+    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def extended_gravity(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
-    """Sum of the neighbours' gravity."""
-    return neighbour_sum(graph, gravity_centrality(graph, pairs))
+def extended_gravity(graph: Graph, pairs: DataFrame | None = None, mass: DataFrame | None = None) -> DataFrame:
+    """Sum of the neighbours' gravity, added up in whole 36ths."""
+    return in_units(neighbour_sum(graph, pulls(graph, coreness(graph) if mass is None else mass, pairs)))
 
 
 def gravity_h_index(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
@@ -81,6 +100,7 @@ def gravity_h_index(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
     hv(i): neighbours whose degree is at least i's h-index. constraint(i): sum over neighbours j
     of (1 / deg i * (1 + sum over common neighbours w of 1 / deg w))^2.
     """
+    graph = graph.cut()
     deg = cut(degree(graph))
     h = h_chain(graph, 1).withColumnRenamed("value", "h")
     near = graph.adjacency.join(deg.select(F.col("node_id").alias("dst"), F.col("value").alias("dj")), "dst")
@@ -114,15 +134,17 @@ def entropy_degree_distance(graph: Graph, pairs: DataFrame | None = None) -> Dat
 
 
 def _degree_distance(graph: Graph, e: DataFrame, pairs: DataFrame | None, both: bool) -> DataFrame:
-    pairs = distances(graph) if pairs is None else pairs
-    rows = pairs.join(e.select(F.col("node_id").alias("dst"), F.col("e").alias("ej")), "dst")
-    if both:
-        rows = rows.join(e.select(F.col("node_id").alias("src"), F.col("e").alias("ei")), "src")
-        # The entropy of one neighbour is 0 up to rounding; keep roots real.
-        term = F.sqrt(F.greatest(F.col("ei") + F.col("ej"), F.lit(0.0))) / F.col("d")
-    else:
-        term = F.col("ej") / F.col("d")
-    sums = rows.groupBy(F.col("src").alias("node_id")).agg(F.sum(term).alias("far"))
+    def far(rows: DataFrame) -> DataFrame:
+        rows = rows.join(e.select(F.col("node_id").alias("dst"), F.col("e").alias("ej")), "dst")
+        if both:
+            rows = rows.join(e.select(F.col("node_id").alias("src"), F.col("e").alias("ei")), "src")
+            # The entropy of one neighbour is 0 up to rounding; keep roots real.
+            term = F.sqrt(F.greatest(F.col("ei") + F.col("ej"), F.lit(0.0))) / F.col("d")
+        else:
+            term = F.col("ej") / F.col("d")
+        return rows.groupBy(F.col("src").alias("node_id")).agg(F.sum(term).alias("far"))
+
+    sums = by_sources(graph, far) if pairs is None else far(pairs)
     n = graph.nodes.agg(F.count("*").alias("n"))
     out = degree(graph).join(sums, "node_id").crossJoin(F.broadcast(n))
     return _all(graph, out.select("node_id", (F.col("value") / F.col("n") * F.col("far")).alias("value")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexi
-from ..plans.loops import cut
+from ..plans.loops import cut, forget
 from ..sources.text import Graph
 
 ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
@@ -37,6 +37,7 @@ def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA,
     ``rounds``. Each round is one join with the edges, which stay partitioned by their source,
     and one aggregate. A round uses the state three times, so the lineage is cut each round.
     """
+    graph = graph.cut()
     jump = uniform_jump(graph) if jump is None else jump
     total = jump.agg(F.sum("jump"), F.count("*")).first()
     if not total[0]:
@@ -47,6 +48,7 @@ def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA,
     )
     adjacency, n = cut(graph.adjacency.repartition("src")), total[1]
     state = base.select("node_id", "p", "deg", F.col("p").alias("value"))
+    made = None
     for i in range(1, rounds + 1):
         flow = adjacency.join(state.where("deg > 0").select(F.col("node_id").alias("src"), (F.col("value") / F.col("deg")).alias("part")), "src")
         got = flow.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
@@ -55,7 +57,8 @@ def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA,
         value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("p")) + (1 - alpha) * F.col("p")
         state = new.select("node_id", "p", "deg", value.alias("value"), F.abs(value - F.col("value")).alias("change"))
         if i % every == 0 or i == rounds:
-            state = cut(state)
+            forget(made)
+            made = state = cut(state)
             if tolerance is not None and state.agg(F.sum("change")).first()[0] < n * tolerance:
                 break
         state = state.drop("change")

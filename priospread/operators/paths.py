@@ -3,47 +3,54 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, iterate
+from ..plans.loops import cut, forget, iterate
 from ..sources.text import Graph
 
-#: Edges that a worker may hold for path counting.
-WORKER_EDGES = 5_000_000
+#: Edges and nodes that a worker may hold for path counting (16 MB of ids, below 150 MB as lists).
+WORKER_EDGES = 500_000
+#: Pairs of a batch of sources.
+BATCH_PAIRS = 200_000_000
 
 
 def distances(graph: Graph, most: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """``src``, ``dst``, ``d`` of reachable pairs, d from 1, up to ``most`` steps or all.
 
-    One frontier join per step; pairs already seen are removed by an anti-join, and a frontier
-    is distinct before it is joined again. All pairs of a large graph are n^2 rows: give
+    One frontier join per step; pairs of the last two steps are removed by anti-joins, and a
+    frontier is distinct before it is joined again. All pairs of a large graph are n^2 rows: give
     ``sources`` or ``most`` there.
     """
-    adjacency = cut(graph.adjacency)
+    adjacency = graph.cut().adjacency
     starts = sources.select(F.col("node_id").alias("src")).distinct() if sources is not None else None
     front = adjacency if starts is None else adjacency.join(starts, "src", "left_semi")
     front = cut(front.select("src", "dst", F.lit(1).alias("d")))
-    seen, step = front, 1
+    seen, step, parts = front, 1, [front]
     while most is None or step < most:
         step += 1
         hop = adjacency.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
         new = front.join(hop, "dst").where("to <> src").select("src", F.col("to").alias("dst")).distinct()
-        front = cut(new.join(seen, ["src", "dst"], "left_anti").withColumn("d", F.lit(step)))
+        for old in parts[-2:]:  # a neighbour of the frontier lies in it, beside it or ahead
+            new = new.join(old, ["src", "dst"], "left_anti")
+        front = cut(new.withColumn("d", F.lit(step)))
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
-        if step % 8 == 0:
-            seen = cut(seen)
+        parts.append(front)
+    seen._parts = parts
     return seen
 
 
-def components(graph: Graph, rounds: int = 60) -> DataFrame:
-    """``node_id``, ``component``: the smallest node id that is reachable."""
-    adjacency = cut(graph.adjacency)
+def components(graph: Graph) -> DataFrame:
+    """``node_id``, ``component``: the smallest node id that is reachable, at any distance."""
+    graph = graph.cut()
+    adjacency = graph.adjacency
 
     def step(state: DataFrame) -> DataFrame:
         near = adjacency.join(state.select(F.col("node_id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
@@ -51,7 +58,7 @@ def components(graph: Graph, rounds: int = 60) -> DataFrame:
         up = state.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
         return low.join(up, "component").select("node_id", F.least("component", "up").alias("component"), (F.least("component", "up") < F.col("was")).alias("changed"))
 
-    return iterate(graph.nodes.select("node_id", F.col("node_id").alias("component")), step, "changed", rounds)
+    return iterate(graph.nodes.select("node_id", F.col("node_id").alias("component")), step, "changed")
 
 
 def largest_component(graph: Graph) -> Graph:
@@ -63,15 +70,64 @@ def largest_component(graph: Graph) -> Graph:
     return Graph(nodes, graph.edges.join(chosen.withColumnRenamed("node_id", "src"), "src", "left_semi"))
 
 
+def by_sources(graph: Graph, work: Callable[[DataFrame], DataFrame], most_pairs: int | None = None) -> DataFrame:
+    """``work`` over the distances of all pairs, some sources at a time.
+
+    All pairs are n^2 rows. Sources are dealt by a hash into batches of about ``most_pairs`` pairs;
+    the pairs of a batch are gone once ``work`` has aggregated them per source.
+    """
+    graph = graph.cut()
+    n = graph.nodes.count()
+    batches = max(1, -(-n * n // (most_pairs or BATCH_PAIRS)))
+    parts = []
+    for i in range(batches):
+        some = graph.nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i) if batches > 1 else None
+        pairs = distances(graph, sources=some)
+        parts.append(cut(work(pairs)) if batches > 1 else work(pairs))
+        if batches > 1:
+            for x in getattr(pairs, "_parts", []):
+                forget(x)
+    return reduce(DataFrame.unionAll, parts)
+
+
 def closeness(graph: Graph, pairs: DataFrame | None = None, scaled: bool = True) -> DataFrame:
     """(r - 1) / sum of distances, times (r - 1) / (n - 1) for r reached nodes if ``scaled``."""
-    pairs = distances(graph) if pairs is None else pairs
-    sums = pairs.groupBy(F.col("src").alias("node_id")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
+    summed = lambda rows: rows.groupBy(F.col("src").alias("node_id")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
+    sums = by_sources(graph, summed) if pairs is None else summed(pairs)
     n = graph.nodes.agg((F.count("*") - 1).alias("n"))
     value = F.col("r") / F.col("total") * ((F.col("r") / F.col("n")) if scaled else F.lit(1.0))
     return graph.nodes.select("node_id").join(sums, "node_id", "left").crossJoin(F.broadcast(n)).select("node_id", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
+def _dependencies(graph: Graph, sources: DataFrame) -> DataFrame:
+    """``node_id``, ``part``: Brandes' dependencies on ``sources``, level by level over DataFrames.
+
+    Forward: path counts of the next level are sums over the edges from the last one. Backward:
+    each level hands (1 + dependency) / paths to its predecessors. A level is one written table.
+    """
+    adjacency = graph.adjacency
+    levels = [cut(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("paths")))]
+    seen = [levels[0].select("s", "v")]
+    while True:
+        ahead = levels[-1].join(adjacency, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("w")).agg(F.sum("paths").alias("paths")).withColumnRenamed("w", "v")
+        for old in seen[-2:]:  # a neighbour of a level lies in it, beside it or ahead
+            ahead = ahead.join(old, ["s", "v"], "left_anti")
+        level = cut(ahead)
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen.append(level.select("s", "v"))
+    owed = cut(levels[-1].withColumn("owed", F.lit(0.0)))
+    parts = []
+    for level in reversed(levels[:-1]):
+        parts.append(owed.groupBy(F.col("v").alias("node_id")).agg(F.sum("owed").alias("part")))
+        back = owed.select("s", F.col("v").alias("dst"), ((1 + F.col("owed")) / F.col("paths")).alias("give")).join(adjacency, "dst").groupBy("s", F.col("src").alias("v")).agg(F.sum("give").alias("give"))
+        owed = cut(level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("owed")))
+    if not parts:
+        return sources.select("node_id", F.lit(0.0).alias("part")).limit(0)
+    return reduce(DataFrame.unionAll, parts).groupBy("node_id").agg(F.sum("part").alias("part"))
+
+
 def path_sums(source: int, near: list[np.ndarray]) -> np.ndarray:
     """Brandes' dependencies of all nodes on one source."""
     n = len(near)
@@ -98,12 +154,26 @@ def path_sums(source: int, near: list[np.ndarray]) -> np.ndarray:
 def betweenness(graph: Graph, sources: DataFrame | None = None, tasks: int = 64) -> DataFrame:
     """Normalised betweenness without endpoints: Brandes per source, sources in parallel.
 
-    The adjacency is broadcast, so its size is checked first. With ``sources`` the sum over
-    those is scaled up to all nodes (an estimate).
+    A graph of at most WORKER_EDGES edges and nodes (counted first) is broadcast and each task
+    takes some sources; a larger one goes level by level over DataFrames, some sources at a time.
+    With ``sources`` the sum over those is scaled up to all nodes (an estimate).
     """
-    spark = graph.edges.sparkSession
-    if graph.edges.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
-        raise ValueError("betweenness holds the graph in each worker; give a smaller graph")
+    graph = graph.cut()
+    asked = cut((graph.nodes if sources is None else sources).select("node_id").distinct())
+    n, k = graph.nodes.count(), asked.count()
+    if n <= WORKER_EDGES and graph.edges.limit(WORKER_EDGES + 1).count() <= WORKER_EDGES:
+        parts = _shared_dependencies(graph, asked.repartition(min(tasks, max(1, k)), "node_id"))
+    else:
+        batches = max(1, -(-n * k // BATCH_PAIRS))
+        dealt = [asked.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i) for i in range(batches)]
+        parts = reduce(DataFrame.unionAll, [cut(_dependencies(graph, some)) for some in dealt])
+    scale = F.lit((n / max(1, k)) / ((n - 1) * (n - 2)) if n > 2 else 0.0)
+    sums = parts.groupBy("node_id").agg(F.sum("part").alias("part"))
+    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", (F.coalesce("part", F.lit(0.0)) * scale).alias("value"))
+
+
+def _shared_dependencies(graph: Graph, asked: DataFrame) -> DataFrame:
+    """The dependencies on ``asked``, each task with the whole graph, whose size was checked."""
     ids = np.array(sorted(r[0] for r in graph.nodes.select("node_id").collect()), np.int64)
     edges = graph.edges.select("src", "dst").toPandas()
     n = len(ids)
@@ -111,7 +181,7 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, tasks: int = 64)
     both = np.concatenate(at), np.concatenate(at[::-1])
     order = np.argsort(both[0], kind="stable")
     first = np.concatenate([[0], np.cumsum(np.bincount(both[0], minlength=n))])
-    shared = spark.sparkContext.broadcast((ids, both[1][order], first))
+    shared = graph.edges.sparkSession.sparkContext.broadcast((ids, both[1][order], first))
 
     def run(batches):
         ids, near, first = shared.value
@@ -123,9 +193,4 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, tasks: int = 64)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"node_id": ids[some], "part": total[some]})
 
-    asked = (graph.nodes if sources is None else sources).select("node_id").distinct()
-    k = asked.count()
-    parts = asked.repartition(min(tasks, max(1, k)), "node_id").mapInPandas(run, "node_id long, part double")
-    scale = F.lit((n / max(1, k)) / ((n - 1) * (n - 2)) if n > 2 else 0.0)
-    sums = parts.groupBy("node_id").agg(F.sum("part").alias("part"))
-    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", (F.coalesce("part", F.lit(0.0)) * scale).alias("value"))
+    return asked.mapInPandas(run, "node_id long, part double")

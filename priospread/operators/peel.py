@@ -27,8 +27,8 @@ from ..plans.loops import cut, iterate
 from ..sources.text import Graph
 from .degrees import degree_vector
 
-#: Edges that one task may hold.
-TASK_EDGES = 5_000_000
+#: Edges and nodes that one task may hold: 6 MB of ids as they come, about 250 MB as Python tuples.
+TASK_EDGES = 250_000
 
 
 def _weights(ranking: Sequence[int], beta: int, scale: int) -> list[list[int]]:
@@ -44,7 +44,7 @@ def _weights(ranking: Sequence[int], beta: int, scale: int) -> list[list[int]]:
     return out
 
 
-def fixpoint_cores(graph: Graph, ranking: Sequence[int], beta: int = 0, scale: int = 1, rounds: int = 500) -> DataFrame:
+def fixpoint_cores(graph: Graph, ranking: Sequence[int], beta: int = 0, scale: int = 1) -> DataFrame:
     """``node_id``, ``vec``: the peel vector as the largest fix-point of a lexicographic h-index.
 
     A node's next vector is the larger of its own contribution and the best, over its
@@ -52,6 +52,7 @@ def fixpoint_cores(graph: Graph, ranking: Sequence[int], beta: int = 0, scale: i
     the neighbours so far add up to.
     """
     s, add = len(ranking), _weights(ranking, beta, scale)
+    graph = graph.cut()
     placed = graph.nodes.select("node_id", lexi.position(F.col("group_id"), ranking).alias("pos"))
     own = lambda i: F.expr("CASE pos " + " ".join(f"WHEN {p} THEN {add[p][i]}L" for p in range(s)) + " ELSE 0L END")
     mine = cut(placed.select("node_id", *[own(i).alias(f"o{i}") for i in range(s)]))
@@ -69,7 +70,7 @@ def fixpoint_cores(graph: Graph, ranking: Sequence[int], beta: int = 0, scale: i
         new = state.join(mine, "node_id").join(best, "node_id", "left").select("node_id", "vec", F.coalesce(F.greatest(self_vec, "cand"), self_vec).alias("new"))
         return new.select("node_id", F.least("vec", "new").alias("vec"), (F.col("new") < F.col("vec")).alias("changed"))
 
-    return iterate(cut(start), step, "changed", rounds)
+    return iterate(cut(start), step, "changed")
 
 
 def peel_arrays(n: int, src: np.ndarray, dst: np.ndarray, pos: np.ndarray, add: list[list[int]]) -> list[tuple[int, ...]]:
@@ -104,8 +105,9 @@ def peel_arrays(n: int, src: np.ndarray, dst: np.ndarray, pos: np.ndarray, add:
 
 def grouped_cores(graph: Graph, rankings: Sequence[Sequence[int]], beta: int = 0, scale: int = 1) -> DataFrame:
     """``ranking``, ``node_id``, ``vec`` for several rankings, one task each."""
+    graph = graph.cut()
     edges, nodes = graph.edges.select("src", "dst"), graph.nodes.select("node_id", "group_id")
-    if edges.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+    if any(x.limit(TASK_EDGES + 1).count() > TASK_EDGES for x in (edges, nodes)):
         parts = [fixpoint_cores(graph, r, beta, scale).select(F.lit(lexi.ranking_key(r)).alias("ranking"), "node_id", "vec") for r in rankings]
         out = parts[0]
         for p in parts[1:]:

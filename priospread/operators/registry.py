@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexi
@@ -44,6 +44,16 @@ RESTRICTABLE = tuple(m for m in (*INDEPENDENT, "degree_lexicographic", "pagerank
 UNDEFINED = ("fairgd", "adaptgd")
 
 
+#: Digits of a score that its rank looks at: sums in another order differ in the last ones only.
+DIGITS = 12
+
+
+def significant(x: Column, digits: int = DIGITS) -> Column:
+    """``x`` rounded to significant digits; whole numbers below 10^digits stay themselves."""
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
+    return F.when((x == 0) | (x == F.rint(x)) & (F.abs(x) < 10.0**digits), x).otherwise(F.rint(x * scale) / scale)
+
+
 class TooLarge(Exception):
     """A graph beyond the bound of a method."""
 
@@ -66,9 +76,6 @@ class Run:
     def near(self) -> DataFrame:
         return self.once("_near", lambda: paths.distances(self.graph, local.REACH))
 
-    def far(self) -> DataFrame:
-        return self.once("_far", lambda: paths.distances(self.graph))
-
     def directed(self) -> DataFrame:
         return self.graph.adjacency
 
@@ -101,35 +108,40 @@ def _random(run: Run) -> DataFrame:
     return run.graph.nodes.select("node_id", (h / F.lit(float(1 << 53))).alias("value"))
 
 
-def _binary(run: Run) -> tuple[DataFrame, DataFrame] | None:
-    """Two-group nodes and shares (label 1 is the first ranked group), for two-group rankings."""
-    if len(run.ranking) != 2 or len(run.graph.group_ids()) != 2:
-        return None
-    nodes = run.graph.nodes.select("node_id", F.when(F.col("group_id") == int(run.ranking[0]), 1).otherwise(0).alias("group_id"))
-    phi = run.phi().select(F.when(F.col("group_id") == int(run.ranking[0]), 1).otherwise(0).alias("group_id"), "share")
-    return nodes, phi
+def _phi(run: Run, base: float) -> DataFrame | None:
+    """Target shares of all groups, for rankings of exactly two groups."""
+    return pagerank.target_distribution(run.graph.nodes, run.ranking, base) if len(run.ranking) == 2 else None
 
 
-def _step_fair(run: Run) -> DataFrame | None:
-    two = _binary(run)
-    return None if two is None else fairrank.step_fair(run.directed(), *two)
+def _step_fair(run: Run, base: float = 0.5) -> DataFrame | None:
+    phi = _phi(run, base)
+    return None if phi is None else fairrank.step_fair(run.directed(), run.graph.nodes, phi)
 
 
-def _near_fair(run: Run) -> DataFrame | None:
-    if len(run.ranking) != 2:
-        return None
-    return fairrank.neighbourhood_fair(run.directed(), run.graph.nodes, run.phi())
+def _near_fair(run: Run, base: float = 0.5) -> DataFrame | None:
+    phi = _phi(run, base)
+    return None if phi is None else fairrank.neighbourhood_fair(run.directed(), run.graph.nodes, phi)
 
 
-def _sensitive(run: Run) -> DataFrame | None:
-    if len(run.ranking) != 2:
+def _sensitive(run: Run, base: float = 0.5) -> DataFrame | None:
+    phi, most = _phi(run, base), fairrank.PROGRAMME_EDGES
+    if phi is None:
         return None
-    if run.graph.nodes.limit(fairrank.DENSE_NODES + 1).count() > fairrank.DENSE_NODES:
-        raise TooLarge(f"fspr solves a dense system of at most {fairrank.DENSE_NODES} nodes")
-    share = {r["group_id"]: r["share"] for r in run.phi().collect()}.get(1, 0.5)  # one row a group
-    edges, nodes = run.directed().toPandas(), run.graph.nodes.toPandas()  # at most DENSE_NODES nodes
-    got: pd.DataFrame | None = fairrank.sensitive_jump(edges, nodes, share)
-    return None if got is None else run.graph.nodes.sparkSession.createDataFrame(got[["node_id", "value"]])
+    if any(x.limit(most + 1).count() > most for x in (run.graph.nodes, run.graph.edges)):
+        raise TooLarge(f"fspr solves a programme of at most {most} nodes and edges")
+    share = {r["group_id"]: r["share"] for r in phi.collect()}.get(1, 0.5)  # one row a group
+    nodes, links = run.graph.nodes.select("node_id", "group_id"), run.directed()
+    # Nodes ride along as loops; one task solves the programme of a graph whose size was checked.
+    rows = links.select("src", "dst", F.lit(None).cast("int").alias("g")).unionAll(nodes.select("node_id", "node_id", "group_id"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        loops = pdf.src == pdf.dst
+        named = pdf[loops].rename(columns={"src": "node_id", "g": "group_id"})[["node_id", "group_id"]]
+        got = fairrank.sensitive_jump(pdf[~loops].sort_values(["src", "dst"]), named, share)
+        return pd.DataFrame({"node_id": [], "value": []}) if got is None else got[["node_id", "value"]]
+
+    out = cut(rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, "node_id long, value double"))
+    return None if out.isEmpty() else out
 
 
 METHODS: dict[str, Callable[[Run], DataFrame | None]] = {
@@ -138,14 +150,14 @@ METHODS: dict[str, Callable[[Run], DataFrame | None]] = {
     "betweenness": lambda r: paths.betweenness(r.graph),
     "pagerank": lambda r: pagerank.pagerank(r.graph),
     **{f"h{k}_index": _h(k) for k in range(1, 6)},
-    "closeness_centrality": lambda r: paths.closeness(r.graph, r.far()),
+    "closeness_centrality": lambda r: paths.closeness(r.graph),
     "gravity_centrality": lambda r: local.gravity(r.graph, r.once("coreness", lambda: hindex.coreness(r.graph)), r.near()),
-    "extended_gravity_centrality": lambda r: local.neighbour_sum(r.graph, r.once("gravity_centrality", lambda: METHODS["gravity_centrality"](r))),
+    "extended_gravity_centrality": lambda r: local.extended_gravity(r.graph, r.near(), r.once("coreness", lambda: hindex.coreness(r.graph))),
     "local_gravity": lambda r: local.local_gravity(r.graph, r.near()),
     "gravity_h_index": lambda r: local.gravity_h_index(r.graph, r.near()),
     "clustering_coefficient_centrality": lambda r: local.clustering_coefficient(r.graph),
-    "local_global_centrality": lambda r: local.local_global(r.graph, r.far()),
-    "entropy_degree_distance_combination": lambda r: local.entropy_degree_distance(r.graph, r.far()),
+    "local_global_centrality": lambda r: local.local_global(r.graph),
+    "entropy_degree_distance_combination": lambda r: local.entropy_degree_distance(r.graph),
     "lexipeeling": _lexi,
     "lexipeeling_extended": _extended,
     "degree_lexicographic": lambda r: degrees.degree_vector(r.graph, r.ranking),
@@ -165,7 +177,9 @@ def beta_methods(beta: float) -> dict[str, Callable[[Run], DataFrame | None]]:
         f"betas_degree_lexicographic_{label}": lambda r: degrees.blended_degree_vector(r.graph, r.ranking, scaled),
         f"betas_lexipeeling_{label}": lambda r: peel.grouped_cores(r.graph, [r.ranking], scaled, 100).select("node_id", "vec"),
         f"betas_pagerank_exponential_jump_{label}": lambda r: pagerank.pagerank(r.graph, pagerank.exponential_jump(r.graph, r.ranking, 0.5 + beta)),
-        f"betas_lfpr_n_{label}": lambda r: None if len(r.ranking) != 2 else fairrank.neighbourhood_fair(r.directed(), r.graph.nodes, pagerank.target_distribution(r.graph.nodes, r.ranking, 0.5 + beta)),
+        f"betas_fspr_{label}": lambda r: _sensitive(r, 0.5 + beta),
+        f"betas_lfpr_u_{label}": lambda r: _step_fair(r, 0.5 + beta),
+        f"betas_lfpr_n_{label}": lambda r: _near_fair(r, 0.5 + beta),
     }
     return {k: (lambda r, f=f: f(r) if len(r.ranking) >= 2 else None) for k, f in base.items()}
 
@@ -202,7 +216,8 @@ def ranked(run: Run, name: str, betas: Sequence[float] = ()) -> DataFrame | None
         elif "vec" in got.columns:
             out = rank_by(got.select("node_id", F.lit(None).cast("double").alias("value"), F.col("vec").cast("array<double>").alias("vec")), F.col("vec"))
         else:
-            out = rank_by(got.select("node_id", F.col("value").cast("double").alias("value"), F.lit(None).cast("array<double>").alias("vec")), F.col("value"))
+            rows = got.select("node_id", F.col("value").cast("double").alias("value"), F.lit(None).cast("array<double>").alias("vec"))
+            out = rank_by(rows, significant(F.col("value")))
     elif name in pairs:
         a, b = (ranked(run, x, betas) for x in pairs[name])
         out = None if a is None or b is None else tie_break(a, b)
@@ -250,6 +265,7 @@ def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence
     Such a method is skipped for later rankings, with everything built on it.
     """
     shared: dict[str, DataFrame] = {}
+    graph = graph.cut()
     spark, out, late = graph.nodes.sparkSession, None, []
     lock = threading.Lock()
     for ranking in rankings:

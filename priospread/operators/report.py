@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_by
+from ..plans.loops import cut
 from .rollup import is_composite
 
 
@@ -45,17 +46,26 @@ def wins(table: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame
     return long.join(F.broadcast(best), "c").groupBy("method").agg(F.count_if(F.col("v") == F.col("best")).alias("wins"))
 
 
-def cumulative_scores(node_ranks: DataFrame, ks: Sequence[int], limits: Sequence[int], percent: bool = False, by: Sequence[str] = ()) -> DataFrame:
+def cumulative_scores(node_ranks: DataFrame, ks: Sequence[int], limits: Sequence[int], percent: bool = False, by: Sequence[str] = (), truth: str = "sir_rank_snr", rounded_up: bool = False) -> DataFrame:
     """``k``, ``t``, ``score``: of nodes with method rank <= k, the share of truth rank <= t in %.
 
     Averaged within (ranking, probability) first and over them next. ``percent`` reads t as
-    percent of the nodes, at least rank 1. The bound on the rank reaches the scan.
+    percent: 100 * rank / n <= t, with n the method's median number of nodes; with ``rounded_up``
+    rank <= max(1, ceil(n * t / 100)) instead. The bound on the rank reaches the scan.
     """
-    rows = node_ranks.where(F.col("method_rank") <= max(ks))
-    at = rows.select(*by, "method", "ranking", "infection_prob", "method_rank", "ground_truth_rank", "n_nodes", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("method_rank <= k")
+    rows = node_ranks.where(F.col("method_rank") <= max(ks)).select(*by, "method", "ranking", "infection_prob", "method_rank", F.col(truth).alias("truth"), "n_nodes")
+    if percent:
+        n = rows.groupBy(*by, "method").agg(F.median("n_nodes").alias("n"))
+        rows = rows.join(n, [*by, "method"])  # a row a method
+    at = rows.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("method_rank <= k")
     at = at.select("*", F.explode(F.array(*[F.lit(t) for t in limits])).alias("t"))
-    limit = F.greatest(F.lit(1), F.ceil(F.col("n_nodes") * F.col("t") / 100)) if percent else F.col("t")
-    one = at.groupBy(*by, "method", "k", "t", "ranking", "infection_prob").agg(F.avg((F.col("ground_truth_rank") <= limit).cast("double")).alias("share"))
+    if not percent:
+        hit = F.col("truth") <= F.col("t")
+    elif rounded_up:
+        hit = F.col("truth") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("t") / 100))
+    else:
+        hit = F.col("truth") / F.col("n") * 100 <= F.col("t")
+    one = at.groupBy(*by, "method", "k", "t", "ranking", "infection_prob").agg(F.avg(hit.cast("double")).alias("share"))
     return one.groupBy(*by, "method", "k", "t").agg((100 * F.avg("share")).alias("score"))
 
 
@@ -66,13 +76,19 @@ def cumulative_table(scores: DataFrame, k: int, limits: Sequence[int]) -> DataFr
 def pareto_front(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Rows that no other beats in both values.
 
-    Sorted by x falling, a row survives if its y is above all earlier ones: one window over the
-    distinct best y per x instead of a self join.
+    By falling x, a row survives if its y is above all earlier ones. The distinct x are dealt into
+    ranges with sampled bounds; a range starts with the best y of the ranges before it, so no
+    window holds more than a range.
     """
-    best = points.groupBy(x).agg(F.max(y).alias(y))
-    before = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_high", F.max(y).over(before)).where(F.col("_high").isNull() | (F.col(y) > F.col("_high"))).select(x, y)
-    return points.join(front, [x, y], "left_semi")
+    best = cut(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias(y)))
+    found = sorted(r[0] for r in best.select(x).orderBy(F.xxhash64(x)).limit(1024).collect())
+    bounds = found[32::32]
+    ranged = best.withColumn("_r", sum((F.when(F.col(x) >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)))
+    before = ranged.groupBy("_r").agg(F.max(y).alias("_m")).withColumn("_high", F.max("_m").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))  # at most 32 rows
+    local = Window.partitionBy("_r").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
+    front = ranged.withColumn("_near", F.max(y).over(local)).join(F.broadcast(before.select("_r", "_high")), "_r")
+    high = F.greatest("_near", "_high")  # skips nulls
+    return points.join(front.where(high.isNull() | (F.col(y) > high)).select(x, y), [x, y], "left_semi")
 
 
 def gap_to_best(scores: DataFrame, value: str = "score", dataset: str = "graph_name") -> DataFrame:
@@ -95,17 +111,24 @@ def strategy_comparison(levels: DataFrame, a: str, b: str, value: str, dataset:
 
 
 def strategy_cumulative(node_ranks: DataFrame, strategies: DataFrame, percents: Sequence[int]) -> DataFrame:
-    """Cumulative scores of rank-1 rows by strategy."""
+    """Cumulative scores of rank-1 rows by strategy; the limit of a percent is rounded up to a rank."""
     first = strategies.select("ranking", "ranking_strategy").distinct()
     rows = node_ranks.where("method_rank = 1").join(first, "ranking")
-    return cumulative_scores(rows, [1], percents, percent=True, by=["ranking_strategy"]).drop("k")
+    return cumulative_scores(rows, [1], percents, percent=True, by=["ranking_strategy"], rounded_up=True).drop("k")
 
 
 def robustness(levels: DataFrame, value: str, k: int = 3) -> DataFrame:
-    """All methods tied at the maximum when they are more than k, else the top k."""
-    rows = rank_by(levels.select("method", F.col(value).alias("v")), F.col("v"), name="r", kind="competition")
-    n = rows.agg(F.count_if(F.col("r") == 1).alias("n"))
-    return rows.crossJoin(F.broadcast(n)).where(F.when(F.col("n") > k, F.col("r") == 1).otherwise(F.col("r") <= k)).select("method", "v")
+    """``method``: the peel, and of the baselines all at the maximum if they are more than k, else k.
+
+    Baselines are the methods without the peel's name in theirs; ties among the k go by name.
+    """
+    rows = cut(levels.where(~F.col("method").contains("lexipeeling") & F.col(value).isNotNull()).select("method", F.col(value).alias("v")))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("v"), "method")  # methods: some hundreds
+    top = rows.agg(F.max("v").alias("top"))
+    placed = rows.withColumn("r", F.row_number().over(down)).crossJoin(F.broadcast(top))
+    placed = placed.withColumn("tied", F.count_if(F.col("v") == F.col("top")).over(Window.partitionBy(F.lit(0))))
+    chosen = placed.where(F.when(F.col("tied") > k, F.col("v") == F.col("top")).otherwise(F.col("r") <= k)).select("method")
+    return chosen.unionAll(levels.where("method = 'lexipeeling'").select("method")).distinct()
 
 
 def beta_reach(reach: DataFrame, beta: str = "beta", value: str = "pct") -> DataFrame:
@@ -119,23 +142,41 @@ def reach_by_beta(comparisons: DataFrame, value: str = "mrr") -> DataFrame:
     return comparisons.groupBy("method").pivot("betas_group").agg(F.avg(value))
 
 
-def tie_curve(methods: DataFrame, points: int = 200) -> DataFrame:
-    """``method``, ``pct``, ``size``: tie block size over the cumulative % of nodes, interpolated.
+def tie_curve(methods: DataFrame, points: int = 200, by: Sequence[str] = ("method", "ranking")) -> DataFrame:
+    """``by``, ``pct``, ``size``: tie block size over the cumulative % of nodes in the order of rank.
 
-    Blocks sorted by size falling give (cumulative %, size) knots; each grid point lies between
-    the last knot at or before it and the next one. The join is bounded: ``points`` a method.
+    Blocks from rank 1 on give (cumulative %, size) knots, one curve per ranking; each of the grid
+    points 0 to 100 lies between the last knot at or before it and the next one, or has the size
+    of the first knot. The join is bounded: ``points`` a curve.
     """
-    blocks = methods.groupBy("method", "rank").agg(F.count("*").alias("c"))
-    down = Window.partitionBy("method").orderBy(F.desc("c"), "rank")
-    all_ = Window.partitionBy("method")
-    knots = blocks.select("method", F.col("c").cast("double").alias("size"), (100 * F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(all_)).alias("x"))
-    ahead = Window.partitionBy("method").orderBy("x")
-    spans = knots.select("method", F.coalesce(F.lag("x").over(ahead), F.lit(-1.0)).alias("x0"), F.coalesce(F.lag("size").over(ahead), F.col("size")).alias("y0"), F.col("x").alias("x1"), F.col("size").alias("y1"))
+    blocks = methods.groupBy(*by, "rank").agg(F.count("*").alias("c"))
+    up, all_ = Window.partitionBy(*by).orderBy("rank"), Window.partitionBy(*by)
+    knots = blocks.select(*by, "rank", F.col("c").cast("double").alias("size"), (F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(all_) * 100).alias("x"))
+    spans = knots.select(*by, F.coalesce(F.lag("x").over(up), F.lit(-1.0)).alias("x0"), F.coalesce(F.lag("size").over(up), F.col("size")).alias("y0"), F.col("x").alias("x1"), F.col("size").alias("y1"))
     step = 100.0 / max(1, points - 1)
-    inside = F.filter(F.sequence(F.greatest(F.lit(0), F.floor(F.col("x0") / step).cast("int")), F.least(F.lit(points - 1), F.ceil(F.col("x1") / step).cast("int"))), lambda i: (i * step > F.col("x0")) & (i * step <= F.col("x1") + 1e-9))
-    at = spans.select("*", F.explode(inside).alias("i")).withColumn("pct", F.col("i") * step)
+    pct = lambda i: F.when(i == points - 1, F.lit(100.0)).otherwise(i * F.lit(step))
+    span = F.sequence(F.greatest(F.lit(0), F.floor(F.col("x0") / step).cast("int")), F.least(F.lit(points - 1), F.ceil(F.col("x1") / step).cast("int")))
+    inside = F.filter(span, lambda i: (pct(i) > F.col("x0")) & ((pct(i) <= F.col("x1")) | ((F.col("x1") > 100 - 1e-9) & (i == points - 1))))
+    at = spans.select("*", F.explode(inside).alias("i")).withColumn("pct", pct(F.col("i")))
     y = F.when(F.col("x0") < 0, F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("pct") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    return at.select("method", "pct", y.alias("size"))
+    return at.select(*by, "pct", y.alias("size"))
+
+
+def tie_bands(methods: DataFrame, points: int = 200) -> DataFrame:
+    """Median and quartiles of the rankings' tie curves at each grid point, per method."""
+    p = lambda q: F.percentile("size", F.lit(q))
+    return tie_curve(methods, points).groupBy("method", "pct").agg(p(0.5).alias("median"), p(0.25).alias("q25"), p(0.75).alias("q75"))
+
+
+def sem_ties(node_ranks: DataFrame, levels: Sequence[str], probability: float, method: str = "coreness") -> DataFrame:
+    """``sem``: nodes, distinct truth ranks and mean tie size of one method's rows at one probability.
+
+    ``levels`` names the truth-rank column of each noise level; averaged over rankings.
+    """
+    rows = node_ranks.where((F.col("method") == method) & (F.col("infection_prob") == probability))
+    long = rows.select("ranking", F.explode(F.array(*[F.struct(F.lit(c).alias("sem"), F.col(c).alias("r")) for c in levels])).alias("e")).select("ranking", "e.*")
+    one = long.groupBy("ranking", "sem").agg(F.count("*").alias("n"), F.countDistinct("r").alias("k"))
+    return one.groupBy("sem").agg(F.avg("n").alias("n_nodes"), F.avg("k").alias("n_unique"), F.avg(F.col("n") / F.col("k")).alias("mean_tie"))
 
 
 def quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

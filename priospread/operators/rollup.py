@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexi import median_vector
-from ..functions.ranks import rank_by
+from ..plans.loops import cut
 
 # The levels of the summary tables.
 LEVELS = {
@@ -27,13 +28,17 @@ LEVELS = {
 
 
 def graph_features(df: DataFrame, name: str = "graph_name") -> DataFrame:
-    """Type, size distribution, group assignment and base configuration from a graph's name."""
-    g = F.lower(name)
-    kind = F.when(g.startswith("er_") | g.contains("_er_"), "ER").when(g.startswith("sbm_") | g.contains("_sbm_"), "SBM").otherwise("real")
-    size = F.when(g.contains("unbalanced"), "unbalanced").when(g.contains("balanced"), "balanced").otherwise("unknown")
-    how = F.when(g.contains("aligned"), "aligned").when(g.contains("random"), "random").otherwise("unknown")
-    out = df.withColumns({"graph_type": kind, "size_distribution": size, "group_assignment": how, "base_config": F.regexp_replace(name, "_rep[^_]*$", "")})
-    return out.withColumn("detailed_type", F.when(F.col("graph_type") == "SBM", F.concat_ws("_", "graph_type", "group_assignment")).otherwise(F.col("graph_type")))
+    """Type, size distribution, group assignment, base configuration and detailed type from a graph's name.
+
+    What the name does not say is null; graphs that are neither ER nor SBM have the detailed type
+    ``real``. The base configuration ends before the last ``_rep``.
+    """
+    g = F.col(name)
+    kind = F.when(g.startswith("ER_"), "ER").when(g.startswith("SBM_"), "SBM")
+    size = F.when(g.contains("uniform"), "uniform").when(g.contains("imbalanced"), "imbalanced")
+    how = F.when(kind == "ER", "random").when((kind == "SBM") & g.contains("aligned"), "aligned").when((kind == "SBM") & g.contains("random"), "random")
+    detail = F.when(kind == "SBM", F.concat(F.lit("SBM_"), F.coalesce(how, F.lit("None")))).otherwise(F.coalesce(kind, F.lit("real")))
+    return df.withColumns({"graph_type": kind, "size_distribution": size, "group_assignment": how, "base_config": F.regexp_replace(g, r"(?s)^(.*)_rep.*$", "$1"), "detailed_type": detail})
 
 
 def enrich(comparisons: DataFrame, rankings: DataFrame, methods: DataFrame) -> DataFrame:
@@ -113,17 +118,63 @@ def median_reach(methods: DataFrame, vectors: DataFrame, by: Sequence[str] = ("m
     return methods.where("rank = 1").join(vectors, "node_id").groupBy(*by).agg(median_vector(F.collect_list("vec")).alias("median_reach"), F.count("*").alias("n"))
 
 
+# Parts of composite names, methods that are always selected, and methods that need a ranking.
+COMPOSITE_PARTS = (
+    "lexipeeling_coreness", "lexipeeling_degree", "lexipeeling_degree_lexicographic", "degree_lexicographic_lexipeeling",
+    "restricted_degree_lexicographic",
+)
+ALWAYS = ("lexipeeling", "lexipeeling_extended")
+NEED_RANKING = (
+    "lexipeeling", "lexipeeling_extended", "degree_lexicographic", "random", "pagerank_uniform_jump", "pagerank_exponential_jump",
+    "fairgd", "adaptgd", "fspr", "lfpr_u", "lfpr_n",
+)
+
+
 def is_composite(method: Column) -> Column:
-    """Names that combine the peel with another method."""
-    return method.contains("lexipeeling") & ~method.isin("lexipeeling", "lexipeeling_extended")
+    """Names that hold a composite's pattern."""
+    return reduce(lambda a, b: a | b, [method.contains(p) for p in COMPOSITE_PARTS])
+
+
+def is_ranking_independent(method: Column) -> Column:
+    """Names of methods that give one result for all rankings."""
+    return ~method.isin(*NEED_RANKING) & ~method.startswith("betas_") & ~method.startswith("restricted_") & ~is_composite(method)
+
 
+def select_methods(levels: DataFrame, metric: str, top_baselines: int = 3, top_composites: int = 3, always: Sequence[str] = (), groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``method``, ``in_full``, ``in_basic``: the methods of the full and of the basic set.
 
-def select_methods(levels: DataFrame, metric: str, top: int = 3, always: Sequence[str] = (), groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """The ``top`` of baselines and of composites, those asked for, and the best of each named group."""
-    kind = F.when(is_composite(F.col("method")), "composite").otherwise("baseline")
-    rows = levels.select("method", F.col(metric).alias("v"), kind.alias("kind"))
-    best = rank_by(rows, F.struct("v", "method"), ["kind"], "r", "competition").where(F.col("r") <= top).select("method")
-    out = best.unionAll(rows.where(F.col("method").isin(list(always))).select("method"))
+    Both hold the top baselines, the methods of ALWAYS and ``always``, and each named group's best
+    baseline; the full set holds the top composites as well. A method that is always selected is
+    neither baseline nor composite. Several rows of a method are averaged; ties go by name.
+    """
+    scores = levels.where(F.col(metric).isNotNull()).groupBy("method").agg(F.avg(metric).alias("v"))
+    kind = F.when(is_composite(F.col("method")), "composite").when(F.col("method").isin(*ALWAYS), "always").otherwise("baseline")
+    rows = cut(scores.withColumn("kind", kind))
+    place = Window.partitionBy("kind").orderBy(F.desc("v"), "method")
+    best = rows.withColumn("r", F.row_number().over(place))  # methods: some hundreds
+    chosen = best.where(((F.col("kind") == "baseline") & (F.col("r") <= top_baselines)) | F.col("method").isin(*ALWAYS, *always)).select("method", F.lit(True).alias("basic"))
+    composites = best.where((F.col("kind") == "composite") & (F.col("r") <= top_composites)).select("method", F.lit(False).alias("basic"))
     for names in (groups or {}).values():
-        out = out.unionAll(rows.where(F.col("method").isin(list(names))).orderBy(F.desc("v"), "method").limit(1).select("method"))
-    return out.distinct()
+        of = rows.where((F.col("kind") == "baseline") & F.col("method").isin(list(names)))
+        chosen = chosen.unionAll(of.orderBy(F.desc("v"), "method").limit(1).select("method", F.lit(True).alias("basic")))
+    return chosen.unionAll(composites).groupBy("method").agg(F.lit(True).alias("in_full"), F.max("basic").alias("in_basic"))
+
+
+def reach_over_probabilities(best: DataFrame) -> DataFrame:
+    """Means of the best spreaders' group percentages over infection probabilities, per method and ranking."""
+    parts = [c for c in best.columns if c.startswith("group_") and "_pct_" in c]
+    keys = [c for c in ("graph_name", "ranking", "method") if c in best.columns]
+    return best.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in parts], F.avg("num_rank1_nodes").alias("num_rank1_nodes"), F.countDistinct("infection_prob").alias("num_probabilities"))
+
+
+def top1_simple(methods: DataFrame, truth: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Per method: how many nodes it puts first, their best, mean and worst truth rank, and whether one is the truth's first."""
+    rows = methods.where("rank = 1").select(*by, "node_id").join(truth.select("node_id", F.col("rank").alias("truth")), "node_id")
+    return rows.groupBy(*by).agg(F.count("*").alias("num_rank1_nodes"), F.min("truth").alias("best_truth_rank"), F.avg("truth").alias("mean_truth_rank"), F.max("truth").alias("worst_truth_rank"), (F.min("truth") == 1).alias("hits_top"))
+
+
+def top1_detail(methods: DataFrame, truth: DataFrame, totals: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Per method: its first nodes in id order with truth rank and total reach, and the reach's mean and deviation."""
+    rows = methods.where("rank = 1").select(*by, "node_id").join(truth.select("node_id", F.col("rank").alias("truth")), "node_id").join(totals.select("node_id", "total_mean"), "node_id")
+    listed = F.array_sort(F.collect_list(F.struct("node_id", "truth", "total_mean")))
+    return rows.groupBy(*by).agg(listed.alias("nodes"), F.avg("total_mean").alias("mean_sir_total"), F.stddev_pop("total_mean").alias("std_sir_total"))

@@ -1,42 +1,61 @@
-"""Driver loops over DataFrames: iterate to a fix-point with the lineage cut by checkpoints."""
+"""Driver loops over DataFrames: iterate to a fix-point with the lineage cut by written tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
 
-def checkpoints_ready(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own.
+
+    Only a local session without either gets a temporary folder; a cluster without one fails.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir():
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tables-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder."""
-    checkpoints_ready(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and written as Parquet to the shared folder.
+
+    The plan restarts at the files, whose size Spark knows: a join broadcasts them only where they
+    are below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Remove the files of a cut that no plan needs any more."""
+    if path := getattr(df, "_cut_path", None):
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str | None = None, rounds: int = 100, every: int = 1) -> DataFrame:
-    """Apply ``step`` until no row has the flag ``changed`` or for ``rounds`` rounds.
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str) -> DataFrame:
+    """Apply ``step`` until no row has the flag ``changed``, however many rounds that takes.
 
-    ``step`` maps the state to the next one; with ``changed`` it adds that boolean column.
-    The lineage is cut every ``every`` rounds; the flag is only looked at then.
+    ``step`` maps the state to the next one with that boolean column; it has to come to rest, as
+    values that only fall to a bound do. Every round's state is written; the one before goes.
     """
-    for i in range(1, rounds + 1):
-        state = step(state)
-        if i % every and i < rounds:
-            state = state.drop(changed) if changed else state
-            continue
-        state = cut(state)
-        if changed:
-            done = state.where(changed).isEmpty()
-            state = state.drop(changed)
-            if done:
-                return state
-    if changed and not done:
-        raise RuntimeError(f"no fix-point in {rounds} rounds")
-    return state
+    made = None
+    while True:
+        new = cut(step(state))
+        done = new.where(changed).isEmpty()
+        forget(made)
+        made, state = new, new.drop(changed)
+        if done:
+            return state

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loops import cut
+
 
 @dataclass
 class Graph:
@@ -22,6 +24,12 @@ class Graph:
         """Both directions of every edge."""
         return self.edges.select("src", "dst").unionAll(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
+    def cut(self) -> Graph:
+        """The same graph written once to the shared folder; a graph that is there already stays."""
+        if all(hasattr(x, "_cut_path") for x in (self.nodes, self.edges)):
+            return self
+        return Graph(cut(self.nodes), cut(self.edges))
+
     def checked(self) -> Graph:
         """Fails if an edge's node has no group."""
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
@@ -43,7 +51,6 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"), F.trim("value").alias("line"))
 
 
-
 def read_edges(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Raw (src, dst) rows. Strict lines hold two integers; else blanks and ``#`` lines are skipped."""
     rows = _fields(spark, path).where("line <> ''")

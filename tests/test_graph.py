@@ -238,7 +238,7 @@ def test_registry_query_runs_every_name(monkeypatch):
     monkeypatch.setattr(registry, "run_methods", lambda g, rankings, names, betas=(), **how: asked.append((names, betas)) or [type("Out", (), {"drop": lambda self, c: self})()])
     queries.queries()["method_registry"](None, "")
     [(names, betas)] = asked
-    assert sorted(betas) == [0.01, 0.1, 0.5, 0.99] and set(names) == set(registry.all_names(betas)) and len(names) == 142
+    assert sorted(betas) == [0.01, 0.1, 0.5, 0.99] and set(names) == set(registry.all_names(betas)) and len(names) == 166
 
 
 def test_customer_sir_takes_the_reference_runs(spark, monkeypatch):
@@ -273,6 +273,6 @@ def test_sensitive_ranks_report_a_graph_beyond_their_bound(spark, monkeypatch):
     """fspr on a larger graph is listed, not left out in silence; so is what is built on it when asked alone."""
     groups, edges = random_graph(2)
     g = framed(spark, groups, edges)
-    monkeypatch.setattr(fairrank, "DENSE_NODES", 13)
+    monkeypatch.setattr(fairrank, "PROGRAMME_EDGES", 13)
     assert registry.run_methods(g, [[0, 1]], ["degree", "fspr"])[1] == [("graph", "fspr")]
     assert registry.run_methods(g, [[0, 1]], ["restricted_fspr"]) == (None, [("graph", "restricted_fspr")])
