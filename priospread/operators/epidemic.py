@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_by
-from ..plans.loops import cut
+from ..plans.loops import mark
 from ..sources.text import Graph
 from .degrees import degree
 
@@ -51,7 +51,7 @@ def spread(graph: Graph, seeds: DataFrame, probability: float, simulations: int)
     has an infected node.
     """
     adjacency = graph.cut().adjacency
-    front = cut(seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))).alias("sim")).select("seed", "sim", F.col("seed").alias("node_id"), F.lit(0).alias("step")))
+    front = mark(seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))).alias("sim")).select("seed", "sim", F.col("seed").alias("node_id"), F.lit(0).alias("step")))
     reached = front
     hit = coin(F.col("src"), F.col("dst"), F.col("seed"), F.col("sim")) < F.lit(int(probability * PRIME))
     step = 0
@@ -59,10 +59,10 @@ def spread(graph: Graph, seeds: DataFrame, probability: float, simulations: int)
         step += 1
         tries = front.withColumnRenamed("node_id", "src").join(adjacency, "src").where(hit)
         new = tries.select("seed", "sim", F.col("dst").alias("node_id")).distinct().join(reached, ["seed", "sim", "node_id"], "left_anti")
-        front = cut(new.withColumn("step", F.lit(step)))
+        front = mark(new.withColumn("step", F.lit(step)))
         reached = reached.unionAll(front)
         if step % 8 == 0:
-            reached = cut(reached)
+            reached = mark(reached)
     return reached
 
 

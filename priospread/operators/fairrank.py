@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, forget
+from ..plans.loops import cut, forget, mark
 
 FOLLOW, EPSILON, ROUNDS = 0.85, 1e-4, 100
 #: Nodes up to which a programme holds its matrix (32 MB), and edges and nodes that one process
@@ -41,7 +41,7 @@ def _settled(state: DataFrame, step, rounds: int, epsilon: float | None) -> Data
     by that factor every time.
     """
     for _ in range(rounds):
-        new = cut(step(state))
+        new = mark(step(state))
         moved = None
         if epsilon is not None:
             old = state.select("node_id", F.col("value").alias("old"))
@@ -86,13 +86,13 @@ def global_uniform(ranks: DataFrame, nodes: DataFrame, phi: DataFrame, rounds: i
     """(share - mass) / size added to every node of a group; debts below zero are taken from the rest."""
     of = ranks.join(nodes, "node_id")
     sums = of.groupBy("group_id").agg(F.sum("value").alias("mass"), F.count("*").alias("size")).join(phi, "group_id")
-    state = cut(of.join(F.broadcast(sums), "group_id").select("node_id", "group_id", (F.col("value") + (F.col("share") - F.col("mass")) / F.col("size")).alias("value")))
+    state = mark(of.join(F.broadcast(sums), "group_id").select("node_id", "group_id", (F.col("value") + (F.col("share") - F.col("mass")) / F.col("size")).alias("value")))
     for _ in range(rounds):
         debt = state.groupBy("group_id").agg(F.sum(F.when(F.col("value") < 0, -F.col("value")).otherwise(F.lit(0.0))).alias("debt"), F.count_if(F.col("value") > 0).alias("rich"))
         if debt.where("debt > 1e-15 and rich > 0").isEmpty():
             break
         paid = F.when(F.col("value") < 0, F.lit(0.0)).when(F.col("value") > 0, F.col("value") - F.col("debt") / F.col("rich")).otherwise(F.col("value"))
-        state = cut(state.join(F.broadcast(debt), "group_id").select("node_id", "group_id", paid.alias("value")))
+        state = mark(state.join(F.broadcast(debt), "group_id").select("node_id", "group_id", paid.alias("value")))
     return state.select("node_id", F.greatest("value", F.lit(0.0)).alias("value"))
 
 
@@ -319,7 +319,7 @@ def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, rounds: i
         back = flow.groupBy("source").agg(F.sum("value").alias("kept"))
         home = start.join(back, "source", "left").select("source", F.col("source").alias("node_id"), (1.0 - F.coalesce("kept", F.lit(0.0))).alias("value"))
         state = flow.unionAll(home).groupBy("source", "node_id").agg(F.sum("value").alias("value"))
-        state = cut(state)  # the state is used twice a round: an uncut plan would double each time
+        state = mark(state)  # the state is used twice a round: an uncut plan would double each time
     return state.join(nodes.select("node_id", "group_id"), "node_id").groupBy("source", "group_id").agg(F.sum("value").alias("mass"))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, forget
+from ..plans.loops import cut, forget, mark
 from ..sources.text import Graph
 from .degrees import degree
 
@@ -91,18 +91,18 @@ def coreness(graph: Graph) -> DataFrame:
     if all(x.limit(TASK_EDGES + 1).count() <= TASK_EDGES for x in (graph.nodes, graph.edges)):
         return _one_task(graph)
     adjacency = cut(graph.adjacency.repartition("src"))
-    state = cut(degree(graph))
+    state = mark(degree(graph))
     frontier: DataFrame | None = None  # nodes whose neighbours fell
     while True:
         values = state.select(F.col("node_id").alias("dst"), "value")
         asked = adjacency if frontier is None else adjacency.join(frontier, "src", "left_semi")
         new = h_index(asked.join(values, "dst")).withColumnRenamed("value", "new")
-        fallen = cut(state.join(new, "node_id").where("new < value").select("node_id", "new"))
+        fallen = mark(state.join(new, "node_id").where("new < value").select("node_id", "new"))
         if fallen.isEmpty():
             return state
-        after = cut(state.join(fallen, "node_id", "left").select("node_id", F.coalesce("new", "value").alias("value")))
+        after = mark(state.join(fallen, "node_id", "left").select("node_id", F.coalesce("new", "value").alias("value")))
         touched = adjacency.join(fallen.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src").distinct()
-        frontier_new = cut(touched)
+        frontier_new = mark(touched)
         forget(state)
         forget(fallen)
         forget(frontier)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexi
-from ..plans.loops import cut, forget
+from ..plans.loops import cut, forget, mark
 from ..sources.text import Graph
 
 ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
@@ -57,8 +57,9 @@ def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA,
         value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("p")) + (1 - alpha) * F.col("p")
         state = new.select("node_id", "p", "deg", value.alias("value"), F.abs(value - F.col("value")).alias("change"))
         if i % every == 0 or i == rounds:
+            state = mark(state)
             forget(made)
-            made = state = cut(state)
+            made = state
             if tolerance is not None and state.agg(F.sum("change")).first()[0] < n * tolerance:
                 break
         state = state.drop("change")

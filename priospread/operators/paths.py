@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, forget, iterate
+from ..plans.loops import cut, forget, iterate, mark
 from ..sources.text import Graph
 
 #: Edges and nodes that a worker may hold for path counting (16 MB of ids, below 150 MB as lists).
@@ -30,7 +30,7 @@ def distances(graph: Graph, most: int | None = None, sources: DataFrame | None =
     adjacency = graph.cut().adjacency
     starts = sources.select(F.col("node_id").alias("src")).distinct() if sources is not None else None
     front = adjacency if starts is None else adjacency.join(starts, "src", "left_semi")
-    front = cut(front.select("src", "dst", F.lit(1).alias("d")))
+    front = mark(front.select("src", "dst", F.lit(1).alias("d")))
     seen, step, parts = front, 1, [front]
     while most is None or step < most:
         step += 1
@@ -38,7 +38,7 @@ def distances(graph: Graph, most: int | None = None, sources: DataFrame | None =
         new = front.join(hop, "dst").where("to <> src").select("src", F.col("to").alias("dst")).distinct()
         for old in parts[-2:]:  # a neighbour of the frontier lies in it, beside it or ahead
             new = new.join(old, ["src", "dst"], "left_anti")
-        front = cut(new.withColumn("d", F.lit(step)))
+        front = mark(new.withColumn("d", F.lit(step)))
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
@@ -106,23 +106,23 @@ def _dependencies(graph: Graph, sources: DataFrame) -> DataFrame:
     each level hands (1 + dependency) / paths to its predecessors. A level is one written table.
     """
     adjacency = graph.adjacency
-    levels = [cut(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("paths")))]
+    levels = [mark(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("paths")))]
     seen = [levels[0].select("s", "v")]
     while True:
         ahead = levels[-1].join(adjacency, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("w")).agg(F.sum("paths").alias("paths")).withColumnRenamed("w", "v")
         for old in seen[-2:]:  # a neighbour of a level lies in it, beside it or ahead
             ahead = ahead.join(old, ["s", "v"], "left_anti")
-        level = cut(ahead)
+        level = mark(ahead)
         if level.isEmpty():
             break
         levels.append(level)
         seen.append(level.select("s", "v"))
-    owed = cut(levels[-1].withColumn("owed", F.lit(0.0)))
+    owed = mark(levels[-1].withColumn("owed", F.lit(0.0)))
     parts = []
     for level in reversed(levels[:-1]):
         parts.append(owed.groupBy(F.col("v").alias("node_id")).agg(F.sum("owed").alias("part")))
         back = owed.select("s", F.col("v").alias("dst"), ((1 + F.col("owed")) / F.col("paths")).alias("give")).join(adjacency, "dst").groupBy("s", F.col("src").alias("v")).agg(F.sum("give").alias("give"))
-        owed = cut(level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("owed")))
+        owed = mark(level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("owed")))
     if not parts:
         return sources.select("node_id", F.lit(0.0).alias("part")).limit(0)
     return reduce(DataFrame.unionAll, parts).groupBy("node_id").agg(F.sum("part").alias("part"))

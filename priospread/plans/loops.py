@@ -1,4 +1,4 @@
-"""Driver loops over DataFrames: iterate to a fix-point with the lineage cut by written tables."""
+"""Driver loops over DataFrames: iterate to a fix-point with the lineage cut by written tables and checkpoints."""
 
 from __future__ import annotations
 
@@ -37,8 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def mark(df: DataFrame) -> DataFrame:
+    """The state of one round, checkpointed to the shared folder: less to set up than a table."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        out._cut_path = file.get()
+    return out
+
+
 def forget(df: DataFrame | None) -> None:
-    """Remove the files of a cut that no plan needs any more."""
+    """Remove the files of a cut or mark that no plan needs any more."""
     if path := getattr(df, "_cut_path", None):
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,7 +65,7 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: s
     """
     made = None
     while True:
-        new = cut(step(state))
+        new = mark(step(state))
         done = new.where(changed).isEmpty()
         forget(made)
         made, state = new, new.drop(changed)

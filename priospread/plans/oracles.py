@@ -101,9 +101,11 @@ far AS MATERIALIZED (SELECT src, dst, min(d) AS d FROM walk GROUP BY src, dst)""
 
 
 def gravity(mass: str, name: str = "grav") -> str:
-    return f"""{name} AS MATERIALIZED (
-  SELECT n.node_id, coalesce(max(m.value) * sum(o.value / (d * d)), 0.0)::DOUBLE AS value FROM nodes n JOIN {mass} m ON m.node_id = n.node_id
-  LEFT JOIN near ON near.src = n.node_id LEFT JOIN {mass} o ON o.node_id = near.dst GROUP BY n.node_id)"""
+    """Whole sums in 36ths (squared distances are 1, 4 and 9), so ties do not depend on the order of adding."""
+    return f"""{name}36 AS MATERIALIZED (
+  SELECT n.node_id, CAST(max(m.value) AS BIGINT) * coalesce(sum(CAST(o.value AS BIGINT) * (36 // (d * d))), 0)::BIGINT AS value FROM nodes n JOIN {mass} m ON m.node_id = n.node_id
+  LEFT JOIN near ON near.src = n.node_id LEFT JOIN {mass} o ON o.node_id = near.dst GROUP BY n.node_id),
+{name} AS MATERIALIZED (SELECT node_id, value::DOUBLE / 36 AS value FROM {name}36)"""
 
 
 TRIANGLES = "tri AS MATERIALIZED (SELECT a.src AS u, a.dst AS v, b.dst AS w FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst)"
@@ -256,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "bfs3_counts": q(COSOURCE, NEAR, "SELECT src AS node_id, d, count(*) AS n FROM near GROUP BY src, d"),
         "local_gravity_rank": q(COSOURCE, DEGREE, NEAR, gravity("deg"), scored("grav")),
         "gravity_rank": q(COSOURCE, *core_mass, NEAR, gravity("core"), scored("grav")),
-        "extended_gravity_rank": q(COSOURCE, *core_mass, NEAR, gravity("core"), "eg AS (SELECT n.node_id, coalesce(sum(g.value), 0)::DOUBLE AS value FROM nodes n LEFT JOIN adj ON src = n.node_id LEFT JOIN grav g ON g.node_id = dst GROUP BY n.node_id)", scored("eg")),
+        "extended_gravity_rank": q(COSOURCE, *core_mass, NEAR, gravity("core"), "eg AS (SELECT n.node_id, coalesce(sum(g.value), 0)::DOUBLE / 36 AS value FROM nodes n LEFT JOIN adj ON src = n.node_id LEFT JOIN grav36 g ON g.node_id = dst GROUP BY n.node_id)", scored("eg")),
         "gravity_h_rank": q(
             COSOURCE, *h_chain(1), NEAR,
             "hv AS MATERIALIZED (SELECT n.node_id, count(*) FILTER (d.value >= h.value)::DOUBLE AS value FROM nodes n JOIN h1 h ON h.node_id = n.node_id LEFT JOIN adj ON src = n.node_id LEFT JOIN deg d ON d.node_id = dst GROUP BY n.node_id)",
