@@ -9,14 +9,16 @@ score is the logistic of the intercept plus one table lookup per feature and pai
 Training takes at most ``SAMPLE_ROWS`` labelled rows (those with the smallest hash of the key),
 which is the documented bound; scoring reads every row in one narrow pass.
 
-Edge cases: null and empty texts have all features 0 and a score; labels that are null or
-repeated rows with unequal labels train as given or are left out when null; without any label,
-or with a single class, the score is the base rate smoothed by one row of each class.
+Edge cases: null and empty texts have all features 0 and a score; bytes that are not UTF-8 count
+as U+FFFD; null labels are left out, repeated keys train once; repeated rows are scored each;
+very long texts are scored whole, one at a time; without any label, or with a single class, the
+score is the base rate smoothed by one row of each class.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order, map_texts
+from .common import hash_order, map_texts, one_row_per_key
 
 #: Most labelled rows that are trained on, and the score from which a document counts as good.
 SAMPLE_ROWS, THRESHOLD = 12_000, 0.7
@@ -162,22 +164,20 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     return model
 
 
-def featured(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    fields = pa.schema([("x", pa.list_(pa.float64()))])
-    return map_texts(docs, [key, *keep], text, lambda: lambda texts: [[features(t) for t in texts]], fields)
-
-
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_ROWS) -> Gam:
-    """Fit on at most ``sample`` labelled rows; only their texts leave the scan."""
-    chosen = (
-        labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("double").alias("_y"))
-        .orderBy(hash_order(F.col(key)), F.col(key), "_y").limit(sample)
-    )
-    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # bounded by ``sample``
-    got: pd.DataFrame = featured(rows, key, text, ("_y",)).select("_y", "x").limit(4 * sample).toPandas()
-    order = np.lexsort(np.array([*np.stack(got.x).T, got._y.to_numpy()])) if len(got) else []
+    """Fit on at most ``sample`` labelled documents, one row of each key; only their texts leave the scan.
+
+    A key with several labels trains on the least one, a key with several texts on the least text
+    by hash: the model does not depend on the order in which tasks end.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("double")).alias("y"))
+    chosen = known.orderBy(hash_order("k"), "k").limit(sample)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # bounded by ``sample``
+    rows = map_texts(rows, ["k", "y"], "t", lambda: lambda texts: [[zlib.crc32(t) for t in texts], [features(t) for t in texts]], pa.schema([("h", pa.int64()), ("x", pa.list_(pa.float64()))]))
+    got: pd.DataFrame = one_row_per_key(rows, "k", ["h", "x"]).select("y", "x").toPandas()  # at most ``sample`` rows
+    order = np.lexsort(np.array([*np.stack(got.x).T, got.y.to_numpy()])) if len(got) else []
     got = got.iloc[order]  # sums do not depend on the order in which tasks end
-    return fit(np.stack(got.x) if len(got) else np.zeros((0, len(FEATURES))), got._y.to_numpy(float))
+    return fit(np.stack(got.x) if len(got) else np.zeros((0, len(FEATURES))), got.y.to_numpy(float))
 
 
 def score_quality(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -196,14 +196,17 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``.
+
+    Rows that repeat a key or a text are judged each; a null text is judged as empty and stays
+    null, other texts come back as they are; very long texts are judged whole, one at a time;
+    columns of any name pass through.
+    """
     model = train_quality(docs, labels.where(~held_out(key)), key, text)
-    cols = [c for c in docs.columns if c != text]
-    null_text = docs.withColumn("_null_text", F.col(text).isNull())
+    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
 
     def work(texts):
-        s = model.score(np.array([features(t) for t in texts]))
-        return s >= threshold, pa.array(texts, pa.binary()).cast(pa.string())
+        return [model.score(np.array([features(t) for t in texts])) >= threshold]
 
-    out = map_texts(null_text, [*cols, "_null_text"], text, lambda: work, pa.schema([("_good", pa.bool_()), ("_kept", pa.string())]))
-    return out.where("_good").select(*[F.when(~F.col("_null_text"), F.col("_kept")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    good = map_texts(bare, ["row"], "t", lambda: work, pa.schema([("good", pa.bool_())])).where("good")
+    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, then character Markov models compared by log-likelihood ratio.
 
-Two first-order Markov models over a 66-symbol alphabet, one of random strings and one of
-ordinary identifiers, are trained from labelled samples. A run of identifier characters that
+Two first-order Markov models over the 68 symbols of ALPHABET, one of random strings and one of
+ordinary identifiers, are trained from labelled samples: seeded random strings, and all words of
+identifier characters in all documents that no fixed pattern touches. A run of identifier characters that
 no fixed pattern covers is a secret when the summed log-likelihood ratio, and its mean per
 character, pass the thresholds.
 
-Edge cases: null and empty texts have no spans; offsets are code points of the whole text;
-repeated rows are scanned each; an untrained model (no samples) is uniform on both sides and
-adds no span.
+Edge cases: null and empty texts have no spans; offsets are code points of the whole text, in
+which a byte that is not UTF-8 counts as one; repeated rows are scanned each; very long texts are
+scanned whole, one at a time; extra columns are ignored; over an empty table the ordinary model is
+uniform.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order, map_texts
+from .common import map_texts, sound
 
 # The base patterns and the least lengths that a match needs.
 ASSIGN = rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,8 +40,8 @@ _SYMBOL[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
 LEAST_RUN, LEAST_RATIO, LEAST_MEAN = 20, 12.0, 0.45
 #: Weight, in counts, of a symbol's own share against its pairs.
 BACK_OFF = 20.0
-#: Documents whose words train the ordinary model, and random strings made for the other.
-SAMPLE_DOCS, SAMPLE_RANDOM, SAMPLE_SEED = 2000, 6000, 7
+#: Random strings made for the model of secrets.
+SAMPLE_RANDOM, SAMPLE_SEED = 6000, 7
 
 _assign = re.compile(ASSIGN, re.I)
 _access, _hex = re.compile(rb"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)), re.compile(rb"[0-9a-f]{%d,}" % LEAST_HEX)
@@ -53,48 +56,98 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = SAMPLE_SEED) -> list[byte
     return [bytes(rng.choices(pools[i % len(pools)], k=rng.randint(20, 44))) for i in range(n)]
 
 
-def train(secret: Iterable[bytes], ordinary: Iterable[bytes]) -> np.ndarray:
-    """Log-likelihood ratio of each symbol pair; row n is the start.
+def pair_counts(samples: Iterable[bytes]) -> np.ndarray:
+    """How often each symbol follows each; the last row counts first symbols."""
+    n = len(ALPHABET) + 1
+    counts = np.zeros((n + 1) * n, np.int64)
+    held: list[bytes] = []
+
+    def add() -> None:
+        x = _SYMBOL[np.frombuffer(b"\0".join(held), np.uint8)]
+        first = np.zeros(len(x), bool)
+        first[np.cumsum([0, *[len(s) + 1 for s in held[:-1]]])] = True
+        gap = np.zeros(len(x), bool)
+        gap[np.flatnonzero(first)[1:] - 1] = True  # the separators
+        nonlocal counts
+        counts += np.bincount(n * n + x[first & ~gap], minlength=len(counts))
+        inner = ~gap[1:] & ~gap[:-1]
+        counts += np.bincount(n * x[:-1][inner] + x[1:][inner], minlength=len(counts))
+        held.clear()
+
+    for s in samples:
+        if s:
+            held.append(s)
+        if len(held) >= 4096:
+            add()
+    if held:
+        add()
+    return counts.reshape(n + 1, n)
+
+
+def log_ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each symbol pair from the pair counts of both classes.
 
     Pairs back off to the symbols' own shares (add-one), so a pair that no sample shows is as
     unlikely as its symbols and not as likely as any other.
     """
-    n = len(ALPHABET) + 1
 
-    def model(samples: Iterable[bytes]) -> np.ndarray:
-        counts = np.zeros((n + 1, n))
-        for s in samples:
-            x = _SYMBOL[np.frombuffer(s, np.uint8)]
-            if len(x):
-                counts[n, x[0]] += 1
-                np.add.at(counts, (x[:-1], x[1:]), 1)
-        alone = (counts.sum(0) + 1) / (counts.sum() + n)
+    def model(counts: np.ndarray) -> np.ndarray:
+        alone = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
         return np.log((counts + BACK_OFF * alone) / (counts.sum(1, keepdims=True) + BACK_OFF))
 
-    return model(secret) - model(ordinary)
+    return model(secret.astype(float)) - model(ordinary.astype(float))
+
+
+def train(secret: Iterable[bytes], ordinary: Iterable[bytes]) -> np.ndarray:
+    """Log-likelihood ratio of each symbol pair; the last row is the start."""
+    return log_ratios(pair_counts(secret), pair_counts(ordinary))
+
+
+def identifiers(text: bytes) -> Iterator[bytes]:
+    """Samples labelled ordinary: runs of identifier characters that no fixed pattern touches."""
+    covered = Covered(base_spans(text))
+    return (m[0] for m in _identifier.finditer(text) if not covered.touches(*m.span()))
 
 
-def train_from(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Train on seeded random strings against the identifiers of at most ``sample`` documents.
+def train_from(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Train on labelled samples: seeded random strings (secret) against all identifiers of all documents.
 
-    The documents are those with the smallest hash of their key; runs that a fixed pattern
-    matches are no ordinary identifiers. At most 400 identifiers of each come to the driver.
+    Each task counts symbol pairs in a table of fixed size; the tables are added up in Spark and
+    one of them comes to the driver, so the model covers every text and no text leaves its task.
     """
-    chosen = docs.select(key).orderBy(hash_order(F.col(key)), F.col(key)).limit(sample).distinct()
+    n = len(ALPHABET) + 1
+    rows = docs.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+
+    def run(batches):
+        counts = np.zeros((n + 1, n), np.int64)
+        for b in batches:
+            counts += pair_counts(x for t in b.column("t") for x in identifiers(sound(t.as_py())))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+
+    counted = np.zeros((n + 1) * n, np.int64)
+    for r in rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 70 * 69 rows
+        counted[r["at"]] = r["n"]
+    return log_ratios(pair_counts(random_samples()), counted.reshape(n + 1, n))
+
 
-    def worker():
-        def work(texts):
-            out = []
-            for t in texts:
-                spans = base_spans(t)
-                out.append([m[0] for m in _identifier.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in spans)][:400])
-            return [out]
+class Covered:
+    """Merged spans, for overlap tests by bisection."""
 
-        return work
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
 
-    rows = map_texts(docs.join(F.broadcast(chosen), key, "left_semi"), [key], text, worker, pa.schema([("ids", pa.list_(pa.binary()))]))
-    ordinary = (bytes(x) for r in rows.select("ids").limit(2 * sample).toLocalIterator() for x in r["ids"])
-    return train(random_samples(), ordinary)
+    def touches(self, start: int, end: int) -> bool:
+        """Whether a span overlaps [start, end)."""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -105,15 +158,14 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: bytes, ratios: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, covered = [], Covered(taken)
     for m in _run.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for _, s, e in taken):
+        if covered.touches(*m.span()):
             continue
         x = _SYMBOL[np.frombuffer(m[0], np.uint8)]
         ratio = ratios[-1, x[0]] + ratios[x[:-1], x[1:]].sum()
         if ratio >= LEAST_RATIO and ratio >= LEAST_MEAN * len(x):
-            out.append((3, start, end))
+            out.append((3, *m.span()))
     return out
 
 
@@ -164,10 +216,18 @@ def redact_text(text: bytes, ratios: np.ndarray, mark: bytes = b"[secret]") -> b
 
 
 def redact_secrets(docs: DataFrame, ratios: np.ndarray | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with secrets cut out of ``text``; null texts stay null."""
+    """All columns of ``docs`` with secrets cut out of ``text``.
+
+    Null texts stay null, and a text without a secret comes back byte for byte; in one with a secret
+    bytes that are not UTF-8 become U+FFFD. Repeated rows are treated each, very long texts whole,
+    one at a time; columns of any name pass through.
+    """
     ratios = train_from(docs, key, text) if ratios is None else ratios
-    rest, made = [c for c in docs.columns if c != text], pa.schema([("_redacted", pa.string())])
-    rows = docs.withColumn("_null_text", F.col(text).isNull())
-    work = lambda: lambda texts: [[redact_text(t, ratios).decode("utf-8", "replace") for t in texts]]
-    out = map_texts(rows, [*rest, "_null_text"], text, work, made)
-    return out.select(*[F.when(~F.col("_null_text"), F.col("_redacted")).alias(text) if c == text else F.col(c) for c in docs.columns])
+    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
+
+    def work(texts):
+        made = [redact_text(t, ratios) for t in texts]
+        return [[None if x is t else x.decode() for x, t in zip(made, texts)]]
+
+    out = map_texts(bare, ["row"], "t", lambda: work, pa.schema([("redacted", pa.string())]))
+    return out.select(*[F.coalesce("redacted", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
