@@ -70,8 +70,8 @@ def url_sql(rules=url.RULES, turns: int = url.TURNS) -> str:
     case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values)) + " END"
     host = lambda u: f"translate(regexp_extract({u}, '^[^/?#]*'), '{url.UPPER}', '{url.LOWER}')"
     steps = "".join(f"""
-s{i} AS MATERIALIZED (SELECT kind, host, CAST(sum(part) AS BIGINT) AS mass FROM (
-  SELECT s.kind, e.dst AS host, (s.mass * {url.FOLLOW} // 100) * e.share // {url.PARTS} AS part FROM s{i - 1} s JOIN shares e ON e.kind = s.kind AND e.host = s.host
+s{i} AS MATERIALIZED (SELECT kind, host, sum(part)::HUGEINT AS mass FROM (
+  SELECT s.kind, e.dst AS host, (s.mass * {url.FOLLOW} // 100) * e.w // e.o AS part FROM s{i - 1} s JOIN shares e ON e.kind = s.kind AND e.host = s.host
   UNION ALL SELECT kind, host, mass * {100 - url.FOLLOW} // 100 FROM s0) GROUP BY kind, host),""" for i in range(1, turns + 1))
     return f"""
 WITH r AS (
@@ -91,11 +91,12 @@ up AS (
 edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY src, dst),
 way AS (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
 shares AS MATERIALIZED (
-  SELECT kind, src AS host, dst, CAST({url.PARTS} * w // sum(w) OVER (PARTITION BY kind, src) AS BIGINT) AS share FROM way),
+  SELECT kind, src AS host, dst, w::HUGEINT AS w, (sum(w) OVER (PARTITION BY kind, src))::HUGEINT AS o FROM way),
 seeds AS (SELECT CASE judged WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE judged IS NOT NULL GROUP BY ALL),
-s0 AS MATERIALIZED (SELECT kind, host, CAST({url.UNIT}::HUGEINT * n // sum(n) OVER (PARTITION BY kind) AS BIGINT) AS mass FROM seeds),{steps}
+s0 AS MATERIALIZED (SELECT kind, host, {url.FINE}::HUGEINT * n // (sum(n) OVER (PARTITION BY kind))::HUGEINT AS mass FROM seeds),{steps}
+whole AS MATERIALIZED (SELECT kind, host, mass * {url.FINE}::HUGEINT // (sum(mass) OVER (PARTITION BY kind))::HUGEINT AS mass FROM s{turns}),
 m AS (
-  SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM s{turns} GROUP BY host),
+  SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM whole GROUP BY host),
 x AS (SELECT host, CAST(CASE WHEN t + d > 0 THEN 100 * d // (t + d) ELSE 0 END AS BIGINT) AS share FROM m)
 SELECT page_id, j.host, path, rule, coalesce(judged, CASE WHEN x.share >= {url.SHARE} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(x.share, 0) AS distrust_share
 FROM j LEFT JOIN x ON x.host = j.host
