@@ -1,24 +1,26 @@
-"""Embedding near-duplicates: blocks of a pivot index, compared without loss.
+"""Embedding near-duplicates: a pivot-permutation index with inverted lists and exact verification.
 
-Reference points are a bounded sample of the vectors themselves. Every vector belongs to the
-region of its nearest pivot. The regions of a label, in order of their pivots, fill blocks of
-about ``BLOCK`` vectors; a larger region is cut into blocks of its own by a hash. Two blocks are
-compared unless the triangle inequality shows for all their regions that no pair can be near:
-the angle between two pivots is at most the radii of both regions and the angle of a link. So
-every link is found, however dense or hot its surroundings.
+Reference points (pivots) are drawn from the vectors; one too near an earlier one is left out, so
+a dense group holds a pivot or two and not one for each share of the rows. A vector is described
+by its NEAREST pivots in order of nearness. Inverted lists hold, for each pivot, the vectors that
+name it. Two vectors are candidates when they share the nearest pivot, or SHARED pivots at all;
+the cosine of every candidate pair is then computed in double precision.
 
-A block is one row, and a pair of blocks is one task: a matrix product in double precision gives
-the cosines. A pair of vectors belongs to one pair of blocks, so it is counted once. Tasks return
-link counts per vector and a spanning forest of the links instead of all pairs. Vectors that are
-equal bit for bit are one class with a count, so groups of exact copies, however large, are one
-row of the index.
+A pair meets in one list only: that of the pivot whose two places in the descriptions add up to
+least. Vectors of one nearest pivot therefore meet in its list, however many other pivots they
+share, and all of them are compared: a hot group of near copies loses no link. A long list is cut
+into blocks of ``BLOCK`` vectors in the order of their nearest pivots; a task compares two blocks
+by matrix products, and block pairs that can only hold pairs of another list are left out.
 
-Vectors without structure (all far from every pivot) leave no pair of blocks out: the work then
-grows with the square of a label's classes.
+Tasks return link counts per vector and a spanning forest of the links instead of all pairs.
+Vectors that are equal bit for bit are one class with a count, so groups of exact copies, however
+large, are one row of the index. With a number of pivots that grows with the root of the rows the
+work grows with rows^1.5, and with the square of a group only where it is one of near copies.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components and rows with a
 null label link with nothing and are their own component; vectors of unequal length never link;
-rows that repeat an id count as vectors each, with one component; a null id is left out of links.
+rows that repeat an id count as vectors each, with one component; a null id is left out of links;
+ties in nearness go to the smaller pivot number; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +40,10 @@ from .components import connected_components
 
 #: Least cosine of a link.
 COSINE = 0.93
-#: Pivots (least, most, per square root of the classes), vectors of a block.
-LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, BLOCK = 64, 2048, 1.0, 1024
+#: Pivots (least, most, per square root of the classes), drawn vectors for each, the cosine to an
+#: earlier pivot from which one is left out, pivots that describe a vector, pivots that make a
+#: candidate, vectors of a block.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, DRAWN, APART, NEAREST, SHARED, BLOCK = 64, 16_384, 1.0, 4, 0.5, 8, 2, 1024
 
 
 def _matrix(rows) -> np.ndarray:
@@ -51,6 +56,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def separated(x: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` unit rows that are not near an earlier one that was taken."""
+    kept, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for row in x:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ row).max() < APART:
+            kept[n], n = row, n + 1
+    return kept[:n]
+
+
+def meets(a: np.ndarray, b: np.ndarray, pivot: int) -> np.ndarray:
+    """Which pairs of descriptions are candidates whose list is that of ``pivot``.
+
+    Candidates share the nearest pivot, or SHARED pivots; their list is that of the shared pivot
+    with the least sum of places, the smaller number on ties.
+    """
+    same = a[:, :, None] == b[:, None, :]
+    place = np.arange(a.shape[1])[:, None] + np.arange(b.shape[1])[None, :]
+    wide = int(max(a.max(initial=0), b.max(initial=0))) + 1
+    cost = np.where(same, place * wide + a[:, :, None], np.iinfo(np.int64).max).reshape(len(a), -1)
+    least = cost.min(1)
+    enough = (a[:, 0] == b[:, 0]) | (same.sum((1, 2)) >= min(SHARED, a.shape[1]))
+    return enough & (least % wide == pivot) & (least < np.iinfo(np.int64).max)
+
+
 def forest(mask: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the symmetric link matrix ``mask``."""
     out, waits = [], np.ones(len(mask), bool)
@@ -77,69 +108,73 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
     n = classes.count()
     some = math.ceil(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOT_RATE * math.sqrt(n))))
     by_size: dict[int, list] = {}
-    for r in classes.orderBy(hash_order("id"), "id").limit(some).select("v").collect():  # at most MOST_PIVOTS rows
+    for r in classes.orderBy(hash_order("id"), "id").limit(DRAWN * some).select("v").collect():  # at most DRAWN * MOST_PIVOTS rows
         by_size.setdefault(len(r["v"]), []).append(r["v"])
-    pivots = {k: _unit(_matrix(x)) for k, x in by_size.items()}
+    pivots = {k: separated(_unit(_matrix(x)), some) for k, x in by_size.items()}
 
     def describe(batches):
         for pdf in batches:
             for size, part in pdf.groupby(pdf.v.map(len)):
-                # A length without a pivot is one region as wide as can be.
-                at, angle = np.full(len(part), -1), np.full(len(part), math.pi)
+                # A length without a pivot has one list for all its vectors.
+                named = np.zeros((len(part), 1), np.int32)
                 if (p := pivots.get(size)) is not None:
-                    near = _unit(_matrix(part.v)) @ p.T
-                    at, angle = near.argmax(1), np.arccos(np.clip(near.max(1), -1, 1))
-                yield part.assign(size=size, pivot=at, angle=angle)
-
-    described = checkpoint(classes.mapInPandas(describe, T.StructType([*classes.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
-    regions = described.groupBy("label", "size", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    before = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).over(Window.partitionBy("label", "size").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1))
-    # Small regions share the blocks 0, 1, ..; a large one has parts of a block below 0.
-    regions = regions.withColumn("block", F.when(F.col("n") > BLOCK, -2 - F.col("pivot")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / BLOCK)).cast("long"))
-    regions = checkpoint(regions.withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    packed = described.join(regions.select("label", "size", "pivot", "block", "parts"), ["label", "size", "pivot"]).withColumn("at", F.struct("block", part.alias("part")))
-    packed = packed.groupBy("label", "size", "at").agg(F.sort_array(F.collect_list(F.struct("id", "copies", "v"))).alias("m"))
-    packed = checkpoint(packed.select("label", "size", "at", F.col("m.id").alias("ids"), F.col("m.copies").alias("copies"), F.flatten("m.v").alias("v")))
-    blocks = regions.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("label", "size", F.struct("block", "part").alias("at")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("pivot", "radius")).alias("r"))
-    blocks = blocks.select("label", "size", "at", "n", F.col("r.pivot").alias("pivots"), F.col("r.radius").alias("radii"))
-    lo, hi = (blocks.select("label", "size", *[F.col(c).alias(f"{side}_{c}") for c in ("at", "n", "pivots", "radii")]) for side in ("lo", "hi"))
-    pairs = lo.join(hi, ["label", "size"]).where("lo_at < hi_at or lo_at = hi_at and lo_n > 1")
-    link = math.acos(max(-1.0, min(1.0, cosine))) + 1e-6
-
-    def near_pairs(batches):
-        for pdf in batches:
-            keep = []
-            for size, a, b, r, q in zip(pdf["size"], pdf.lo_pivots, pdf.hi_pivots, pdf.lo_radii, pdf.hi_radii):
-                if (p := pivots.get(size)) is None:
-                    keep.append(True)
-                    continue
-                apart = np.arccos(np.clip(p[a] @ p[b].T, -1, 1))
-                keep.append(bool((apart <= np.asarray(r)[:, None] + np.asarray(q)[None, :] + link).any()))
-            yield pdf.loc[keep, ["pair"]]
-
-    pairs = checkpoint(pairs.withColumn("pair", F.monotonically_increasing_id()))
-    near = pairs.select("pair", "size", "lo_pivots", "hi_pivots", "lo_radii", "hi_radii").mapInPandas(near_pairs, "pair long")
-    pairs = checkpoint(pairs.select("pair", "label", "size", "lo_at", "hi_at").join(near, "pair"))
-    sides = pairs.select("pair", "label", "size", F.col("lo_at").alias("at"), F.lit(0).alias("side"), (F.col("lo_at") == F.col("hi_at")).alias("own")).unionAll(pairs.where("lo_at <> hi_at").select("pair", "label", "size", "hi_at", F.lit(1), F.lit(False)))
-    dealt = sides.join(packed, ["label", "size", "at"]).select("pair", "side", "own", "size", "ids", "copies", "v")
+                    near = -(_unit(_matrix(part.v)) @ p.T)
+                    named = np.argsort(near, axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+                yield part.assign(size=size, named=list(named))
+
+    described = classes.mapInPandas(describe, T.StructType([*classes.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("named", T.ArrayType(T.IntegerType()))]))
+    described = checkpoint(described)
+    lists = described.select("label", "size", F.explode("named").alias("pivot"), F.col("named")[0].alias("first"), "id")
+    # A list's blocks hold vectors in the order of their nearest pivots; a nearest pivot of many
+    # vectors has blocks of its own, dealt by a hash.
+    parts = lists.groupBy("label", "size", "pivot", "first").agg(F.count("*").alias("n"))
+    before = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).over(Window.partitionBy("label", "size", "pivot").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("block", F.when(F.col("n") > BLOCK, -2 - F.col("first")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / BLOCK)).cast("long"))
+    parts = checkpoint(parts.withColumn("cuts", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / F.lit(BLOCK))).otherwise(1).cast("int")))
+    blocks = parts.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).groupBy("label", "size", "pivot", F.struct("block", "cut").alias("at")).agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.sum("n").alias("n"))
+    one, two = (blocks.select("label", "size", "pivot", *[F.col(c).alias(f"{side}_{c}") for c in ("at", "lo", "hi", "n")]) for side in ("a", "b"))
+    # Block numbers only; pairs of one nearest pivot other than the list's meet in that pivot's list.
+    alone = (F.col("a_lo") == F.col("a_hi")) & (F.col("a_lo") == F.col("b_lo")) & (F.col("a_lo") == F.col("b_hi")) & (F.col("a_lo") != F.col("pivot"))
+    pairs = one.join(two, ["label", "size", "pivot"]).where("a_at < b_at or a_at = b_at and a_n > 1").where(~alone)
+    pairs = checkpoint(pairs.select(F.monotonically_increasing_id().alias("pair"), "label", "size", "pivot", "a_at", "b_at"))
+    sides = pairs.select("pair", "label", "size", "pivot", F.col("a_at").alias("at"), F.lit(0).alias("side"), (F.col("a_at") == F.col("b_at")).alias("own")).unionAll(pairs.where("a_at <> b_at").select("pair", "label", "size", "pivot", "b_at", F.lit(1), F.lit(False)))
+    # Narrow rows are dealt first; each vector joins once it is known which tasks it goes to.
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    placed = lists.join(parts.select("label", "size", "pivot", "first", "block", "cuts"), ["label", "size", "pivot", "first"]).select("label", "size", "pivot", "id", F.struct("block", cut.alias("cut")).alias("at"))
+    dealt = placed.join(sides, ["label", "size", "pivot", "at"]).groupBy("label", "id").agg(F.collect_list(F.struct("pair", "pivot", "side", "own")).alias("to"))
+    dealt = described.join(dealt, ["label", "id"]).select("id", "copies", "v", "named", F.explode("to").alias("e")).select("e.*", "id", "copies", "v", "named")
     id_type = to_arrow_type(classes.schema["id"].dataType)
 
     def compare(table: pa.Table) -> pa.Table:
-        if not table["own"][0].as_py() and table.num_rows < 2:  # the hash left a part of a region empty
-            return pa.table({"id": pa.array([], id_type), "n": pa.array([], pa.int64()), "other": pa.array([], id_type)})
-        table = table.sort_by("side")
-        size, sides = table["size"][0].as_py(), []
-        for i in range(table.num_rows):
-            ids, v = table["ids"][i].values, table["v"][i].values.to_numpy().reshape(-1, size)
-            sides.append((ids, table["copies"][i].values.to_numpy(), v, _unit(v)))
+        none = pa.table({"id": pa.array([], id_type), "n": pa.array([], pa.int64()), "other": pa.array([], id_type)})
+        sides, here = [], table["pivot"][0].as_py()
+        for side in (0, 1):
+            part = table.filter(pa.compute.equal(table["side"], side)).combine_chunks()
+            if part.num_rows:
+                v = _matrix(part["v"].to_pylist())
+                sides.append((part["id"].combine_chunks(), part["copies"].to_numpy(), v, _unit(v), np.array(part["named"].to_pylist())))
+        if not sides or (len(sides) == 1 and not table["own"][0].as_py()):  # the hash left a block empty
+            return none
         a, b = sides[0], sides[-1]
         cosines = a[3] @ b[3].T
-        mask = cosines >= cosine - 1e-9
+        near = cosines >= cosine - 1e-9
         if a is b:
-            np.fill_diagonal(mask, False)
-        for i, j in zip(*np.nonzero(mask & (cosines < cosine + 1e-9))):  # at the bound: decided in plain order
-            mask[i, j] = exact_cosine(a[2][i], b[2][j]) >= cosine
+            np.fill_diagonal(near, False)
+        i, j = np.nonzero(near)
+        good = np.zeros(len(i), bool)
+        for at in range(0, len(i), 65_536):
+            part = slice(at, at + 65_536)
+            good[part] = meets(a[4][i[part]], b[4][j[part]], here)
+        i, j = i[good], j[good]
+        for k in np.flatnonzero(cosines[i, j] < cosine + 1e-9):  # at the bound: decided in plain order
+            good_pair = exact_cosine(a[2][i[k]], b[2][j[k]]) >= cosine
+            if not good_pair:
+                i[k] = -1
+        i, j = i[i >= 0], j[i >= 0]
+        if not len(i):
+            return none
+        mask = np.zeros(near.shape, bool)
+        mask[i, j] = True
         parts = [(a[0], mask @ b[1])] if a is b else [(a[0], mask @ b[1]), (b[0], a[1] @ mask)]
         found, other, n = [], [], []
         for ids, links in parts:
