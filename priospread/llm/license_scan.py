@@ -5,8 +5,10 @@ One automaton holds every notice phrase and the identifier tag; a tag's expressi
 from the raw text and parsed with the precedence with > and > or.
 
 Edge cases: null and empty texts have no words and score 0; a phrase at both ends of a text
-counts; overlapping phrases all count; repeated rows are scanned each; malformed expressions
-add no label and are counted in ``n_malformed``; extra columns are ignored.
+counts; overlapping phrases all count; repeated rows are scanned each; bytes that are not UTF-8
+count as U+FFFD; very long texts are scanned whole, one at a time; the tag's words without a colon
+are prose; malformed expressions add no label and are counted in ``n_malformed``; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -56,8 +58,9 @@ TRUST_TAG, TRUST_BASE, TRUST_MORE = 0.95, 0.8, 0.5
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes.maketrans(SEPARATORS + bytes(range(0x41, 0x5B)), b" " * len(SEPARATORS) + bytes(range(0x61, 0x7B)))
-_EXPRESSION = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff\n\r(]*([^\n\r]*)", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+(?::[A-Za-z0-9.\-]+)?")
+# The tag's words, a colon, and the expression on the same line or, behind comment marks, on the next.
+_EXPRESSION = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\"']?[ \t]*:[ \t\"']*(?:\r?\n[ \t#*/;\"'-]*)?([^\n\r]*)", re.I)
+_TOKEN = re.compile(r"\(|\)|[/,](?=[ ]*[A-Za-z0-9])|[A-Za-z0-9.+\-]+(?::[A-Za-z0-9.\-]+)?")
 _LEVEL = {"or": 1, "and": 2, "with": 3}
 
 
@@ -74,8 +77,9 @@ def family(identifier: str) -> str:
 def evaluate(expression: str) -> tuple[list[str], float] | None:
     """Identifiers and openness of a licence expression; None if it is malformed.
 
-    Shunting-yard to postfix, which is evaluated as it is made. Trailing prose after a complete
-    expression (comment ends, full stops) is left out.
+    Shunting-yard to postfix, which is evaluated as it is made. WITH joins one identifier and one
+    exception, nothing else. ``/`` and ``,`` before a known licence mean OR, as in older tags.
+    Trailing prose after a complete expression (comment ends, full stops) is left out.
     """
     values: list[tuple[list[str], float]] = []
     ops: list[str] = []
@@ -83,25 +87,34 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
     def reduce_top() -> None:
         op, right, left = ops.pop(), values.pop(), values.pop()
         if op == "with":
-            values.append(([left[0][0] + "-with-" + right[0][0], *left[0][1:]], min(1.0, left[1] + 0.1)))
+            values.append(([left[0][0] + "-with-" + right[0][0]], min(1.0, left[1] + 0.1)))
         else:
             values.append((left[0] + right[0], (min if op == "and" else max)(left[1], right[1])))
 
-    operand, depth = True, 0  # operand: the next token has to start an operand
-    for token in _TOKEN.findall(expression):
+    operand, depth, last = True, 0, ""  # operand: the next token has to start an operand; last: the kind before
+    tokens = _TOKEN.findall(expression)
+    for k, token in enumerate(tokens):
         low = token.lower()
+        if token in "/,":
+            after = tokens[k + 1] if k + 1 < len(tokens) else ""
+            if operand or family(after.rstrip(".-")) not in OPENNESS:
+                break
+            low = "or"
         if low in _LEVEL:
-            if operand:
+            if operand or (low == "with" and last != "identifier"):
                 return None
             while ops and ops[-1] != "(" and _LEVEL[ops[-1]] >= _LEVEL[low]:
                 reduce_top()
             ops.append(low)
-            operand = True
+            operand, last = True, low
         elif token == "(":
             if not operand:
                 break
+            if last == "with":
+                return None
             ops.append(token)
             depth += 1
+            last = token
         elif token == ")":
             if operand or not depth:
                 if operand or not values:
@@ -111,6 +124,7 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
                 reduce_top()
             ops.pop()
             depth -= 1
+            last = token
         else:
             if not operand:
                 if depth:
@@ -119,7 +133,7 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
             if not (name := low.rstrip(".-")):
                 return None
             values.append(([name], OPENNESS.get(family(name), UNKNOWN_OPENNESS)))
-            operand = False
+            operand, last = False, "exception" if last == "with" else "identifier"
     if operand or depth:
         return None
     while ops:

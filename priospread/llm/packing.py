@@ -12,8 +12,10 @@ source or a very long document moves nothing. A document longer than the largest
 whole windows by itself. ``sequence_id`` holds the task number above bit 40, so ids are unique
 without an exchange.
 
-Edge cases: null and empty texts have the end token only; repeated rows are packed each; a
-piece never crosses documents, every id lies in exactly one piece, offsets have no gaps.
+Edge cases: null and empty texts have the end token only; bytes that are not UTF-8 count as
+U+FFFD; repeated rows and keys are packed each; a text of any length is held whole by its task; a
+piece never crosses documents, every id lies in exactly one piece, offsets have no gaps; an empty
+table has no pieces; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sound
 from .word_bpe import WordBpe
 
 #: Context sizes, the window that padded sequences have, the id that ends a document, the
@@ -127,8 +130,8 @@ def balanced(windows: list[int], groups: int) -> list[int]:
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and SCHEMA: one row per piece of every document of ``docs``; no shuffle."""
-    rows = docs.select(key, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
-    schema = T.StructType([rows.schema[key], *SCHEMA.fields])
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType), *SCHEMA.fields])
     names = [f.name for f in SCHEMA.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +169,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, t) for c, t in zip(cols[1:], [pa.int64()] * 6 + [pa.int32(), pa.int64()])]], [key, *names])
 
         for b in batches:
-            key_type = b.schema.field(key).type
-            for k, t in zip(b.column(key).to_pylist(), b.column("_text").to_pylist()):
-                ids = bpe.encode(t, END_ID)
+            key_type = b.schema.field("key").type
+            for k, t in zip(b.column("key").to_pylist(), (x.as_py() for x in b.column("text"))):
+                ids = bpe.encode(sound(t), END_ID)
                 streams[n_doc], left[n_doc] = (k, ids), len(ids)
                 packer.add(n_doc, len(ids))
                 n_doc += 1
