@@ -12,15 +12,17 @@ The model file ranks its pieces by merge order and holds no probabilities, so a
 weighs (r + 1)^-THETA: Zipf's law, flattened by the temperature.
 
 Distinct segments of a slice of texts are filtered together, position by position; occurrences
-are sampled together, step by step. Long segments are filtered one at a time with rescaling.
+are sampled together, step by step. Long segments are filtered one at a time, each sum with its own unit.
 
-Edge cases: null and empty texts have no pieces; a literal U+2581 is spelled by bytes and stays
-itself; repeated rows with equal keys get equal segmentations; a null key seeds as the empty
-string; texts without spaces are one segment.
+Edge cases: null and empty texts have no pieces; bytes that are not UTF-8 count as U+FFFD; a
+literal U+2581 is spelled by bytes and stays itself; repeated rows with equal keys get equal
+segmentations; a null key seeds as the empty string; a run without spaces is cut after every LONG
+characters; a very long text is sampled in parts of whole segments; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, mix64
 
-#: Temperature, seed, texts of a slice, longest segment that is filtered with others.
-THETA, SEED, SLICE, SHORT = 0.6, 5, 256, 40
-_SEGMENT = re.compile(r"\n| *[^ \n]+| +")
+#: Temperature, seed, texts of a slice, characters of a slice (a longer text is taken in parts),
+#: longest segment that is filtered with others, characters after which a run without spaces is cut.
+THETA, SEED, SLICE, PART, SHORT, LONG = 0.6, 5, 256, 1 << 20, 40, 4096
+_SEGMENT = re.compile(r"\n| {0,%d}[^ \n]{1,%d}| {1,%d}" % (LONG, LONG, LONG))
+_RANGE = np.arange(1024)
 _G, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
@@ -134,10 +138,44 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
         return (mix64(seed + np.uint64(step + 1) * _B) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def segments_of(text: str) -> list[str]:
+    return _SEGMENT.findall(" " + text) if text else []
+
+
 def sample_slice(model: PieceModel, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
-    """Sampled ids of each text."""
+    """Sampled ids of each text; texts are worked on in parts of at most PART characters or a segment."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    jobs: list[tuple[int, int, list[str]]] = []  # text, number of its first segment, segments
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if jobs:
+            for (i, _, _), ids in zip(jobs, _sample(model, [x for _, _, x in jobs], [seeds[i] for i, _, _ in jobs], [k for _, k, _ in jobs])):
+                out[i].append(ids)
+        jobs.clear()
+        held = 0
+
+    for i, t in enumerate(texts):
+        found, first, size = segments_of(t), 0, 0
+        for k, s in enumerate(found):
+            size += len(s)
+            if held + size > PART and (k > first or jobs):
+                if k > first:
+                    jobs.append((i, first, found[first:k]))
+                flush()
+                first, size = k, len(s)
+        if first < len(found):
+            jobs.append((i, first, found[first:]))
+            held += size
+    flush()
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+
+def _sample(model: PieceModel, texts: list[list[str]], seeds: list[int], firsts: list[int]) -> list[np.ndarray]:
+    """Sampled ids of lists of segments, whose first one has the given number in its text."""
     seen: dict[str, int] = {}
-    per_text = [[seen.setdefault(s, len(seen)) for s in _SEGMENT.findall(" " + t)] if t else [] for t in texts]
+    per_text = [[seen.setdefault(s, len(seen)) for s in found] for found in texts]
     segments = list(seen)
     if not segments:
         return [np.zeros(0, np.int64) for _ in texts]
@@ -162,19 +200,25 @@ def sample_slice(model: PieceModel, texts: list[str], seeds: list[int]) -> list[
         for n in range(1, min(end, model.longest) + 1):
             total += alpha[base[live] + end - n] * weight[n - 1, first[live] + end - n]
         alpha[base[live] + end] = total
+    # Long sums leave the range of doubles: each position keeps its sum and the logarithm of its unit.
+    unit = np.zeros(len(alpha)) if (size > SHORT).any() else None
     for s in np.flatnonzero(size > SHORT).tolist():
-        a, w, b = alpha[base[s] : base[s] + size[s] + 1], weight[:, first[s] : first[s + 1]], 0
+        a, u, w = alpha[base[s] : base[s] + size[s] + 1], unit[base[s] : base[s] + size[s] + 1], weight[:, first[s] : first[s + 1]]
+        near, now = np.zeros(model.longest), 0.0  # sums of the last positions, newest first, in the unit of now
+        near[0] = 1.0
         for end in range(1, size[s] + 1):
-            lo = max(0, end - model.longest)
-            back = np.arange(end - 1, lo - 1, -1)
-            a[end] = (a[back] * w[end - 1 - back, back]).sum()
-            if not 1e-30 < a[end] < 1e30:  # only ratios within a piece's reach matter
-                a[max(b, lo) : end + 1] /= a[end]
-        del b
+            k = min(end, model.longest)
+            total = float(near[:k] @ w[_RANGE[:k], end - 1 - _RANGE[:k]])
+            near[1:] = near[:-1].copy()
+            near[0] = total
+            if not 1e-30 < total < 1e30:
+                near /= total
+                now, total = now + math.log(total), 1.0
+            a[end], u[end] = total, now
     # Backward sampling of all occurrences; long segments carry on alone at the end.
     occ = np.array([i for ids in per_text for i in ids], np.int64)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in per_text])
-    number = np.arange(len(occ)) - np.repeat(np.cumsum([0] + [len(x) for x in per_text])[:-1], [len(x) for x in per_text])
+    number = np.arange(len(occ)) - np.repeat(np.cumsum([0] + [len(x) for x in per_text])[:-1] - np.array(firsts, np.int64), [len(x) for x in per_text])
     with np.errstate(over="ignore"):
         seed = mix64(np.array(seeds, np.uint64)[row] + number.astype(np.uint64) * _G)
     at, live = size[occ].copy(), np.arange(len(occ))
@@ -182,7 +226,7 @@ def sample_slice(model: PieceModel, texts: list[str], seeds: list[int]) -> list[
     step = 0
     while len(live):
         s = occ[live]
-        left = _uniform(seed[live], step) * _mass(alpha, weight, base, first, s, at[live], model.longest)
+        left = _uniform(seed[live], step) * _mass(alpha, unit, weight, base, first, s, at[live], model.longest)
         took, found = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
         reach, last = at[live], np.ones(len(live), np.int64)
         for n in range(1, min(int(reach.max()), model.longest) + 1):
@@ -191,6 +235,8 @@ def sample_slice(model: PieceModel, texts: list[str], seeds: list[int]) -> list[
                 break
             start = reach[open_] - n
             part = alpha[base[s[open_]] + start] * weight[n - 1, first[s[open_]] + start]
+            if unit is not None:
+                part *= np.exp(unit[base[s[open_]] + start] - unit[base[s[open_]] + reach[open_]])
             last[open_] = np.where(part > 0, n, last[open_])
             left[open_] -= part
             hit = open_[(left[open_] < 0) & (part > 0)]
@@ -218,13 +264,15 @@ def sample_slice(model: PieceModel, texts: list[str], seeds: list[int]) -> list[
     return [what[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _mass(alpha, weight, base, first, s, reach, longest) -> np.ndarray:
-    """Sum over the edges that end at ``reach``: alpha there, but of rescaled long segments too."""
+def _mass(alpha, unit, weight, base, first, s, reach, longest) -> np.ndarray:
+    """Sum over the edges that end at ``reach``, in the unit of that position."""
+    if unit is None:
+        return alpha[base[s] + reach]
     total = np.zeros(len(s))
     for n in range(1, min(int(reach.max()), longest) + 1):
         ok = np.flatnonzero(reach >= n)
-        start = reach[ok] - n
-        total[ok] += alpha[base[s[ok]] + start] * weight[n - 1, first[s[ok]] + start]
+        start = base[s[ok]] + reach[ok] - n
+        total[ok] += alpha[start] * np.exp(unit[start] - unit[base[s[ok]] + reach[ok]]) * weight[n - 1, first[s[ok]] + reach[ok] - n]
     return total
 
 
