@@ -39,11 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def mark(df: DataFrame) -> DataFrame:
     """The state of one round, checkpointed to the shared folder: less to set up than a table."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    out = df.checkpoint()
-    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    done = df.checkpoint()
+    rows = done._jdf.queryExecution().logical().rdd()
+    # A checkpoint keeps the size that its plan was estimated at, and joins multiply sizes: in a loop
+    # the estimate doubles its digits every round, until planning takes all time and memory. The same
+    # rows as a new frame have the default size instead.
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    file = rows.getCheckpointFile()
     if file.isDefined():
         out._cut_path = file.get()
     return out
