@@ -237,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
     fracs = f"SELECT node_id, rank, rank + (count(*) OVER (PARTITION BY rank) - 1) / 2.0::DOUBLE AS fractional_rank FROM ({ranked('deg', kind='rank')})"
     tie = "SELECT 1 AS j UNION ALL SELECT 2 UNION ALL SELECT 3"
     jump = "CASE group_id " + " ".join(f"WHEN {g} THEN {0.5**i}" for i, g in enumerate(RANKING)) + " ELSE 0 END"
-    cum = lambda ks, ts, limit: f"SELECT method, k, t, round(100 * avg(share), {DIGITS}) AS score FROM (SELECT method, ranking, k, t, avg(CASE WHEN s <= {limit} THEN 1.0::DOUBLE ELSE 0 END) AS share FROM (SELECT *, count(*) OVER (PARTITION BY ranking, method) AS n FROM pairs) CROSS JOIN (SELECT unnest({ks}) AS k) CROSS JOIN (SELECT unnest({ts}) AS t) WHERE m <= k GROUP BY ALL) GROUP BY ALL"
+    cum = lambda ks, ts, hit: f"SELECT method, k, t, round(100 * avg(share), {DIGITS}) AS score FROM (SELECT method, ranking, k, t, avg(CASE WHEN {hit} THEN 1.0::DOUBLE ELSE 0 END) AS share FROM (SELECT *, count(*) OVER (PARTITION BY ranking, method) AS n FROM pairs) CROSS JOIN (SELECT unnest({ks}) AS k) CROSS JOIN (SELECT unnest({ts}) AS t) WHERE m <= k GROUP BY ALL) GROUP BY ALL"
     out = {
         "edges_customer_cosource": q(COSOURCE, "SELECT src, dst FROM edges"),
         "degree_rank": q(COSOURCE, DEGREE, ranked("deg")),
@@ -304,8 +304,8 @@ def oracle_sql() -> dict[str, str]:
             *metrics(), "ml AS (SELECT *, len(string_split(ranking, '_'))::INTEGER AS ranking_length FROM metrics)",
             "SELECT CASE grouping(method, ranking, ranking_length) WHEN 3 THEN 'by_method' WHEN 1 THEN 'by_ranking' ELSE 'by_ranking_length' END AS level, method, ranking, ranking_length, round(avg(mrr), 6) AS mrr_mean, round(stddev_samp(mrr), 6) AS mrr_std, round(avg(precision_at_5), 6) AS precision_at_5_mean, round(stddev_samp(precision_at_5), 6) AS precision_at_5_std, count(*) AS count FROM ml GROUP BY GROUPING SETS ((method), (method, ranking), (method, ranking_length))"),
         "node_ranks": q(*pairs(), "SELECT node_id, method, s AS ground_truth_rank, m AS method_rank, ranking, count(*) OVER (PARTITION BY ranking, method) AS n_nodes FROM pairs"),
-        "cumulative_score": q(*pairs(), cum("[1, 3]", "[1, 5]", "t")),
-        "cumulative_score_percent": q(*pairs(), cum("[1]", "[5, 20]", "greatest(1, ceil(n * t / 100.0))")),
+        "cumulative_score": q(*pairs(), cum("[1, 3]", "[1, 5]", "s <= t")),
+        "cumulative_score_percent": q(*pairs(), cum("[1]", "[5, 20]", "s / n::DOUBLE * 100 <= t")),
         "best_spreaders": q(
             NATIONS, DEGREE, *spread(), truth(RANKING, "tr"), f"sdv AS (SELECT node_id, [{', '.join(f'max(std) FILTER (group_id = {g})' for g in RANKING)}] AS sd FROM sir GROUP BY node_id)",
             "f AS (SELECT node_id, v, sd FROM deg JOIN tr USING (node_id) JOIN sdv USING (node_id) WHERE value = (SELECT max(value) FROM deg))", "bs AS (SELECT * FROM f WHERE v = (SELECT max(v) FROM f))",
