@@ -61,8 +61,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder in ``spark.checkpoint.dir``, which all executors share."""
-    _checkpoints(spark := df.sparkSession)
-    done = df.checkpoint()
+    _checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_round(df: DataFrame) -> DataFrame:
+    """The same for the state of a loop's round."""
+    done, spark = checkpoint(df), df.sparkSession
     # A checkpoint keeps the size that its plan was estimated at, and joins multiply sizes: in a loop
     # the estimate doubles its digits every round, until planning takes all time and memory. The same
     # rows as a new frame have the default size instead.

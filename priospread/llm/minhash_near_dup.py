@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts, mix64, restrict
+from .common import BROADCAST_BYTES, BROADCAST_IDS, checkpoint, map_texts, mix64, restrict
 from .components import connected_components
 
 WORDS, THRESHOLD_PERCENT = 5, 75
@@ -279,15 +279,19 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> Da
     def worker():
         hashes = _WordHashes()
 
-        def work(texts):
+        def work(texts, digests):
             found = [shingles(t, words, hashes).tobytes() for t in texts]
-            return [hashlib.blake2b(x, digest_size=16).digest() for x in found], found
+            return [[x if hashlib.blake2b(x, digest_size=16).digest() == d else None for x, d in zip(found, digests)]]
 
         return work
 
-    some = restrict(docs, wanted.select("key").distinct(), "key")
-    made = map_texts(some, [], "text", worker, pa.schema([("digest", pa.binary()), ("s", pa.binary())]))
-    return wanted.select("id", "digest").join(made.groupBy("digest").agg(F.first("s").alias("s")), "digest").select("id", "s")
+    # The class comes with the row, so sets are shuffled once, by the number that joins need. A row
+    # whose key repeats with another text is not of the class.
+    n, size = wanted.limit(BROADCAST_IDS + 1).agg(F.count("*"), F.sum(F.octet_length(F.col("key").cast("string")) + 40)).first()
+    few = n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
+    some = docs.join(F.broadcast(wanted) if few else wanted, "key")
+    made = map_texts(some, ["id"], "text", worker, pa.schema([("s", pa.binary())]), also=["digest"])
+    return made.where("s is not null").groupBy("id").agg(F.first("s").alias("s"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
