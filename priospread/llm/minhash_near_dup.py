@@ -8,7 +8,7 @@
    and more that still hold several components are compared in blocks of ``BLOCK`` members: a
    task holds two blocks of signatures and prunes their pairs in memory. It returns the members
    that have an unpruned partner in another component, each with its best one; the best pairs are
-   verified and merge components. Members of a bucket's largest component meet the others only. Where waiting members of a bucket are then still in several
+   verified and merge components. Where waiting members of a bucket are then still in several
    components, they meet once more, with their full shingle sets, and a task returns the links
    that join components. A pair counts in the first bucket it shares; pairs inside a component
    need no comparison, and no list of all pairs is ever written.
@@ -22,10 +22,9 @@ shingles share a 64-bit hash with probability 5e-20.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer than
 five words the whole sequence is the one shingle; bytes that are not UTF-8 count as U+FFFD; rows
-that repeat a key with one text share its class, with other texts each row has the class of its
-text; a null key counts as no row of its class, whose component it gets, and is null without one;
-very long texts are taken whole, one at a time; an empty table has no rows; extra columns of any
-name are ignored.
+that repeat a key count as one document, linked with what any of their texts is near to; a null
+key counts as no row of its class, whose component it gets, and is null without one; very long
+texts are taken whole; an empty table has no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, BROADCAST_IDS, checkpoint, map_texts, mix64, restrict
+from .common import checkpoint, map_texts, mix64, restrict
 from .components import connected_components
 
 WORDS, THRESHOLD_PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS, SEED = 32, 4, 16, 1e-4, 20_011
-#: Members of a block of a bucket, and bytes of their full sets.
-BLOCK, BLOCK_BYTES = 1024, 64 << 20
+#: Members of a block of a bucket.
+BLOCK = 1024
 #: Word hashes that a task keeps.
 CACHE_WORDS = 250_000
 #: Pairs of a block pair that are compared at once.
@@ -182,7 +181,8 @@ def _first_shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(i):
         return i, j, matches
     sig = _blocks(t.column("sig"))
-    band = band_keys(sig[0]).index(t.column("key")[0].as_py())
+    key = t.column("key")[0].as_py()  # a repeated id brings the signatures of its other texts too
+    band = next(k.index(key) for k in map(band_keys, sig) if key in k)
     part = slice(0, band * ROWS)
     alone = ~(sig[i, part] == sig[j, part]).reshape(len(i), band, ROWS).all(2).any(1)
     return i[alone], j[alone], matches[alone]
@@ -221,26 +221,16 @@ def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
 
-def _blocked(at: DataFrame, wide: DataFrame, work, schema: str, sizes: DataFrame | None = None) -> DataFrame:
+def _blocked(at: DataFrame, wide: DataFrame, work, schema: str) -> DataFrame:
     """``work`` over the block pairs of the mixed buckets of ``at(key, id, component)``.
 
-    Members of a bucket's largest component need no comparison among themselves: they have blocks
-    of their own, which meet the blocks of the other members only. So a bucket that one stray
-    member makes mixed deals its members once, and not to each pair of its blocks. Each task
-    streams sorted buckets and holds one block pair at a time. Rows are dealt while they are
-    narrow; the columns of ``wide`` (a row per id) join last, so signatures and sets are shuffled
-    once. With ``sizes`` (id, bytes) a block holds about BLOCK_BYTES at most.
+    Each row goes to the tasks of its block with every block of its bucket; a task streams sorted
+    buckets and holds one block pair at a time. Rows are dealt while they are narrow; the columns
+    of ``wide`` (a row per id) join last, so signatures and sets are shuffled once.
     """
-    if sizes is not None:
-        at = at.join(sizes, "id")
-    size = F.sum(F.col("bytes")) if sizes is not None else F.lit(0)
-    parts = at.groupBy("key", "component").agg(F.count("*").alias("n"), size.alias("b"))
-    whole = parts.groupBy("key").agg(F.max(F.struct("n", "component", "b")).alias("big"), F.sum("n").alias("n"), F.sum("b").alias("b")).where("n > big.n")
-    cuts = lambda n, b: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(b / F.lit(BLOCK_BYTES))).cast("int")
-    whole = whole.select("key", F.col("big.component").alias("big"), cuts(F.col("n") - F.col("big.n"), F.col("b") - F.col("big.b")).alias("few"), cuts(F.col("big.n"), F.col("big.b")).alias("many"))
-    dealt = at.join(whole, "key").withColumn("inside", F.col("component") == F.col("big"))
-    dealt = dealt.withColumn("block", F.when(F.col("inside"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    dealt = at.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
     dealt = dealt.join(wide, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
@@ -272,31 +262,20 @@ def _mixed(members: DataFrame, state: DataFrame | None, least: int) -> DataFrame
     return checkpoint(at.join(mixed.select("key"), "key"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id`` and the sorted shingle hashes ``s`` of the wanted classes, from the rows of their least keys."""
-    wanted = checkpoint(restrict(classes.select("id", "key", "digest"), ids, "id"))
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id`` and the sorted shingle hashes ``s`` of the wanted documents."""
 
     def worker():
         hashes = _WordHashes()
+        return lambda texts: [[shingles(t, words, hashes).tobytes() for t in texts]]
 
-        def work(texts, digests):
-            found = [shingles(t, words, hashes).tobytes() for t in texts]
-            return [[x if hashlib.blake2b(x, digest_size=16).digest() == d else None for x, d in zip(found, digests)]]
+    made = map_texts(restrict(docs, ids, "id"), ["id"], "text", worker, pa.schema([("s", pa.binary())]))
+    return made.groupBy("id").agg(F.first("s").alias("s"))
 
-        return work
 
-    # The class comes with the row, so sets are shuffled once, by the number that joins need. A row
-    # whose key repeats with another text is not of the class.
-    n, size = wanted.limit(BROADCAST_IDS + 1).agg(F.count("*"), F.sum(F.octet_length(F.col("key").cast("string")) + 40)).first()
-    few = n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
-    some = docs.join(F.broadcast(wanted) if few else wanted, "key")
-    made = map_texts(some, ["id"], "text", worker, pa.schema([("s", pa.binary())]), also=["digest"])
-    return made.where("s is not null").groupBy("id").agg(F.first("s").alias("s"))
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    sets = _sets(docs, classes, _ids(pairs), words)
+    sets = _sets(docs, _ids(pairs), words)
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").select("a", "b", "s_a", "s_b")
 
     def run(batches):
@@ -310,7 +289,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def signer():
         hashes = _WordHashes()
@@ -323,43 +302,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return signed
 
     fields = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
-    rows = checkpoint(map_texts(docs, ["key"], "text", signer, fields))
-    # A class of equal sets has a number of its own, so a key that repeats with other texts is in
-    # several classes; its least key stands for it in the result.
-    classes = rows.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    classes = checkpoint(classes.withColumn("id", F.monotonically_increasing_id()))
+    rows = checkpoint(map_texts(docs, ["id"], "text", signer, fields))
+    classes = checkpoint(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    # One row per id: a repeated id with unequal texts is in several classes; all of them count.
     signatures = classes.select("id", "sig")
-    banded = signatures.mapInArrow(_band_rows, "key long, id long")
+    banded = signatures.mapInArrow(_band_rows, "key long, id " + rows.schema["id"].dataType.simpleString())
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = checkpoint(banded.join(shared, "key"))
+    kind = rows.schema["id"].dataType.simpleString()
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
     near = checkpoint(members.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     near = checkpoint(_prune(near, signatures))
-    links = checkpoint(_verify(near, docs, classes, words, percent))
+    links = checkpoint(_verify(near, docs, words, percent))
     state = None if links.isEmpty() else connected_components(links)
     at = _mixed(members, state, 3)  # buckets of two were decided by their hub
     wanted = lambda rows: checkpoint(rows.select("id").distinct())
-    waiting = checkpoint(_blocked(at, restrict(signatures, wanted(at), "id"), _waiting, "key long, id long, mate long"))
+    waiting = checkpoint(_blocked(at, restrict(signatures, wanted(at), "id"), _waiting, f"key long, id {kind}, mate {kind}"))
     if not waiting.isEmpty():
         best = waiting.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
-        links = links.unionAll(checkpoint(_verify(checkpoint(best.join(near, ["a", "b"], "left_anti")), docs, classes, words, percent)))
+        links = links.unionAll(checkpoint(_verify(checkpoint(best.join(near, ["a", "b"], "left_anti")), docs, words, percent)))
         state = None if links.isEmpty() else connected_components(links)
         at = _mixed(waiting.select("key", "id").distinct(), state, 2)
         if not at.isEmpty():
             ids = wanted(at)
-            wide = restrict(signatures, ids, "id").join(_sets(docs, classes, ids, words), "id")
-            sizes = classes.select("id", (F.col("n") * 8).alias("bytes"))
-            links = links.unionAll(checkpoint(_blocked(at, wide, lambda t: _joining(t, percent), "a long, b long", sizes)))
+            wide = restrict(signatures, ids, "id").join(_sets(docs, ids, words), "id")
+            links = links.unionAll(checkpoint(_blocked(at, wide, lambda t: _joining(t, percent), f"a {kind}, b {kind}")))
             state = None if links.isEmpty() else connected_components(links)
 
-    named = classes.select("digest", "key", "id")
+    classes = classes.select("digest", "id")
     if state is not None:
-        named = named.join(state, "id", "left").select("digest", "key", F.coalesce("component", "id").alias("component"))
-        least = checkpoint(named.groupBy("component").agg(F.min("key").alias("least"), F.count("*").alias("k")).where("k > 1"))
-        named = named.join(least, "component", "left").select("digest", F.coalesce("least", "key").alias("component"))
+        classes = classes.join(state, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     else:
-        named = named.select("digest", F.col("key").alias("component"))
-    out = rows.join(named, "digest", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+        classes = classes.withColumnRenamed("id", "component")
+    out = rows.join(classes, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
