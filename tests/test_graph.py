@@ -276,3 +276,56 @@ def test_sensitive_ranks_report_a_graph_beyond_their_bound(spark, monkeypatch):
     monkeypatch.setattr(fairrank, "PROGRAMME_EDGES", 13)
     assert registry.run_methods(g, [[0, 1]], ["degree", "fspr"])[1] == [("graph", "fspr")]
     assert registry.run_methods(g, [[0, 1]], ["restricted_fspr"]) == (None, [("graph", "restricted_fspr")])
+
+
+def test_core_numbers_at_any_size(spark, monkeypatch):
+    """The frontier form equals the one-task form; a path of 1,000 nodes comes to rest."""
+    groups, edges = random_graph(3, n=30, p=0.2)
+    g = framed(spark, groups, edges)
+    small = values(hindex.coreness(g))
+    monkeypatch.setattr(hindex, "TASK_EDGES", 0)
+    assert values(hindex.coreness(g)) == small
+    monkeypatch.undo()
+    path = framed(spark, dict.fromkeys(range(1000), 0), [(i, i + 1) for i in range(999)])
+    assert set(values(hindex.coreness(path)).values()) == {1}
+
+
+def test_programme_without_its_matrix(monkeypatch):
+    """Products with the rank operator give what the matrix gives; 2,500 nodes meet their share."""
+    import pandas as pd
+
+    groups, edges = random_graph(9)
+    both = pd.DataFrame(edges + [(b, a) for a, b in edges], columns=["src", "dst"])
+    nodes = pd.DataFrame({"node_id": list(groups), "group_id": [g % 2 for g in groups.values()]})
+    dense = fairrank.sensitive_jump(both, nodes, 0.5)
+    monkeypatch.setattr(fairrank, "DENSE_NODES", 0)
+    free = fairrank.sensitive_jump(both, nodes, 0.5)
+    assert free.value.to_numpy() == pytest.approx(dense.value.to_numpy(), abs=1e-7)
+    rng = np.random.default_rng(1)
+    e = np.unique(np.sort(rng.integers(0, 2500, (6000, 2)), axis=1), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
+    large = fairrank.sensitive_jump(pd.DataFrame(np.concatenate([e, e[:, ::-1]]), columns=["src", "dst"]), pd.DataFrame({"node_id": np.arange(2500), "group_id": np.arange(2500) % 2}), 0.6, steps=60)
+    assert large.value[1::2].sum() == pytest.approx(0.6, abs=1e-6)
+
+
+def test_level_by_level_betweenness(spark, monkeypatch):
+    groups, edges = random_graph(4)
+    g = framed(spark, groups, edges)
+    want = values(paths.betweenness(g))
+    monkeypatch.setattr(paths, "WORKER_EDGES", 0)
+    assert values(paths.betweenness(g)) == pytest.approx(want)
+
+
+def test_weighted_tau_counts_all_pairs():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(1, 9, 70).astype(float), rng.integers(1, 9, 70).astype(float)
+
+    def one(a, b):
+        r = np.empty(70)
+        r[np.lexsort((b, a))[::-1]] = np.arange(70)
+        w = 1 / (1 + r)
+        ww = w[:, None] + w
+        da, db = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        return (ww * da * db).sum() / np.sqrt((ww * da**2).sum() * (ww * db**2).sum())
+
+    assert agreement.weighted_tau(x, y) == pytest.approx((one(x, y) + one(y, x)) / 2)
