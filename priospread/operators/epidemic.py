@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_by
-from ..plans.loops import mark
+from ..plans.loops import cut, iterate, mark
 from ..sources.text import Graph
 from .degrees import degree
 
@@ -16,6 +18,8 @@ from .degrees import degree
 PRIME = 2_147_483_647
 FACTORS = {"u": 7919, "v": 104729, "seed": 1299709, "sim": 15485863}
 OFFSETS = (12345, 67891, 424243)
+#: Open edges of one run that a task may hold (16 MB of ids); beyond, labels come from joins.
+RUN_EDGES = 1_000_000
 
 
 def threshold(graph: Graph) -> DataFrame:
@@ -75,12 +79,83 @@ def reach(graph: Graph, seeds: DataFrame, probability: float, simulations: int)
     got = spread(graph, seeds, probability, simulations).join(graph.nodes.withColumnRenamed("node_id", "n"), F.col("node_id") == F.col("n"))
     counts = got.groupBy("seed", "sim", "group_id").agg(F.count("*").alias("c"))
     sums = counts.groupBy("seed", "group_id").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+    return _moments(graph, seeds, sums, simulations)
+
+
+def _moments(graph: Graph, seeds: DataFrame, sums: DataFrame, simulations: int) -> DataFrame:
+    """Mean and population deviation of every seed and group from the sums of counts and squares."""
     grid = seeds.select(F.col("node_id").alias("seed")).distinct().crossJoin(F.broadcast(graph.nodes.select("group_id").distinct()))  # a row per seed and group: the result itself
     mean = F.coalesce("s", F.lit(0)) / F.lit(simulations)
     var = F.coalesce("s2", F.lit(0)) / F.lit(simulations) - mean * mean
     return grid.join(sums, ["seed", "group_id"], "left").select(F.col("seed").alias("node_id"), "group_id", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.lit(simulations).cast("long").alias("num_simulations"))
 
 
+def open_components(graph: Graph, probability: float, simulations: int, run_edges: int = RUN_EDGES) -> DataFrame:
+    """``sim``, ``node_id``, ``component``: nodes with an open edge in a run and the smallest id they reach.
+
+    An edge is open in a run by one coin for both directions. Runs are grouped by their number and
+    labelled in one task each while a run's open edges are expected below ``run_edges`` (the edges
+    are counted); larger graphs are labelled by joins until no label changes. Both give the same.
+    """
+    graph = graph.cut()
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long")))
+    # Every edge becomes a row a run, so a table of few files is dealt to all cores first.
+    edges = graph.edges.select("src", "dst").repartition(graph.edges.sparkSession.sparkContext.defaultParallelism)
+    heads = coin(F.col("src"), F.col("dst"), F.lit(0).cast("long"), F.col("sim")) < F.lit(int(probability * PRIME))
+    opened = edges.select("src", "dst", runs.alias("sim")).where(heads)
+    if graph.edges.count() * probability <= run_edges:
+        return opened.groupBy("sim").applyInPandas(_label_run, "sim long, node_id long, component long")
+    opened = cut(opened)  # the coins are tossed once
+    adjacency = cut(opened.select("sim", "src", "dst").unionAll(opened.select("sim", F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+    def step(state: DataFrame) -> DataFrame:
+        near = adjacency.join(state.select("sim", F.col("node_id").alias("dst"), "component"), ["sim", "dst"]).groupBy("sim", F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
+        low = state.join(near, ["sim", "node_id"]).select("sim", "node_id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        up = state.select("sim", F.col("node_id").alias("component"), F.col("component").alias("up"))
+        return low.join(up, ["sim", "component"]).select("sim", "node_id", F.col("up").alias("component"), (F.col("up") < F.col("was")).alias("changed"))
+
+    return iterate(adjacency.select("sim", F.col("src").alias("node_id")).distinct().withColumn("component", F.col("node_id")), step, "changed")
+
+
+def _label_run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest reachable id of every node of one run: least labels of neighbours, then of labels."""
+    ids, codes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
+    a, b = codes[: len(pdf)], codes[len(pdf) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pd.DataFrame({"sim": pdf["sim"].iloc[0], "node_id": ids, "component": ids[label]})
+
+
+def percolated_reach(graph: Graph, probability: float, simulations: int, run_edges: int = RUN_EDGES) -> DataFrame:
+    """The columns of ``reach`` for every node as a seed, with one set of runs for all seeds.
+
+    Whoever is infected recovers after one round, so an edge is tried at most once in a run and
+    whom a seed reaches is its component over the open edges: each seed's reach has the law that
+    ``reach`` draws from. Within a run all seeds share the coins, so seeds are not independent of
+    each other, runs are. Work grows with edges * runs, not with seeds * reached nodes * runs.
+    """
+    graph = graph.cut()
+    labels = cut(open_components(graph, probability, simulations, run_edges))
+    of = labels.join(graph.nodes.select("node_id", "group_id"), "node_id")
+    counts = of.groupBy("sim", "component", "group_id").agg(F.count("*").alias("c"))
+    sums = labels.join(counts, ["sim", "component"]).groupBy(F.col("node_id").alias("seed"), "group_id").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+    # In runs without an open edge a node reaches itself alone.
+    runs = labels.groupBy("node_id").agg(F.count("*").alias("joined"))
+    alone = F.lit(simulations) - F.coalesce("joined", F.lit(0))
+    alone = graph.nodes.select("node_id", "group_id").join(runs, "node_id", "left").select(F.col("node_id").alias("seed"), "group_id", alone.alias("s"), alone.alias("s2"))
+    sums = sums.unionByName(alone).groupBy("seed", "group_id").agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"))
+    return _moments(graph, graph.nodes, sums, simulations)
+
+
 def reach_vectors(sir: DataFrame, ranking: Sequence[int], value: str = "mean") -> DataFrame:
     """``node_id``, ``vec``: values of the ranked groups in order, 0 where a group is missing."""
     parts = [F.coalesce(F.max(F.when(F.col("group_id") == g, F.col(value))), F.lit(0.0)) for g in ranking]

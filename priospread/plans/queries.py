@@ -248,10 +248,10 @@ def sir_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _customer_reach(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
-    """The customer graph, which grows with the tables, and its reach in SIR_RUNS runs."""
+    """The customer graph, which grows with the tables, and its reach in SIR_RUNS runs, each for all seeds."""
     g = cosource_graph(spark, sf)
     g = Graph(cut(g.nodes), cut(g.edges))
-    return g, epidemic.reach(g, g.nodes, PROBABILITY, SIR_RUNS)
+    return g, epidemic.percolated_reach(g, PROBABILITY, SIR_RUNS)
 
 
 def sir_reach_cosource(spark: SparkSession, sf: str) -> DataFrame:

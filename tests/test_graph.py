@@ -242,31 +242,48 @@ def test_registry_query_runs_every_name(monkeypatch):
 
 
 def test_customer_sir_takes_the_reference_runs(spark, monkeypatch):
-    """SIR on the customer graph: 1000 runs of every node, equal to a plain simulation."""
+    """SIR on the customer graph: 1000 runs for every node, equal to a plain search over the open edges."""
     from priospread.plans import queries
 
     groups, edges = random_graph(6, n=10)
+    groups[99] = 4  # a node without edges, alone in its group
     monkeypatch.setattr(queries, "cosource_graph", lambda *a: framed(spark, groups, edges))
     got = {(r.node_id, r.group_id): r for r in queries.queries()["sir_reach_cosource"](spark, "").collect()}
     assert len(got) == len(groups) * len(set(groups.values())) and {r.num_simulations for r in got.values()} == {1000}
-    adj, f = near(groups, edges), epidemic.FACTORS
-    for seed in groups:
-        sums = dict.fromkeys(groups.values(), 0)
-        for sim in range(1000):
+    f, counts = epidemic.FACTORS, {}
+    for sim in range(1000):
+        adj = {u: set() for u in groups}
+        for u, v in edges:
+            h = (u * f["u"] + v * f["v"] + sim * f["sim"] + 17) % epidemic.PRIME
+            for c in epidemic.OFFSETS:
+                h = (h * h + c * (h % 65536) + c) % epidemic.PRIME
+            if h < int(queries.PROBABILITY * epidemic.PRIME):
+                adj[u].add(v)
+                adj[v].add(u)
+        for seed in groups:
             seen, front = {seed}, {seed}
             while front:
-                new = set()
-                for u in front:
-                    for v in adj[u] - seen:
-                        h = (u * f["u"] + v * f["v"] + seed * f["seed"] + sim * f["sim"] + 17) % epidemic.PRIME
-                        for c in epidemic.OFFSETS:
-                            h = (h * h + c * (h % 65536) + c) % epidemic.PRIME
-                        if h < int(queries.PROBABILITY * epidemic.PRIME):
-                            new.add(v)
-                seen, front = seen | new, new
-            for u in seen:
-                sums[groups[u]] += 1
-        assert all(got[seed, g].mean == pytest.approx(n / 1000) for g, n in sums.items())
+                front = {v for u in front for v in adj[u]} - seen
+                seen |= front
+            for g in set(groups.values()):
+                counts.setdefault((seed, g), []).append(sum(groups[u] == g for u in seen))
+    for key, c in counts.items():
+        assert got[key]["mean"] == pytest.approx(np.mean(c)) and got[key]["std"] == pytest.approx(np.std(c), abs=1e-6)
+
+
+def test_percolated_reach_has_the_law_of_single_runs(spark):
+    """Open components give the means and deviations of seed-by-seed runs; joins and tasks give equal labels."""
+    groups, edges = random_graph(8, n=16, p=0.3)
+    g = framed(spark, groups, edges).cut()
+    single = {(r.node_id, r.group_id): r for r in epidemic.reach(g, g.nodes, 0.3, 1500).collect()}
+    shared = {(r.node_id, r.group_id): r for r in epidemic.percolated_reach(g, 0.3, 1500).collect()}
+    assert single.keys() == shared.keys()
+    for key, a in single.items():
+        b = shared[key]
+        assert abs(a["mean"] - b["mean"]) < 5 * ((a["std"] ** 2 + b["std"] ** 2) / 1500) ** 0.5 + 1e-9
+        assert a["std"] == pytest.approx(b["std"], rel=0.15, abs=0.02)
+    rows = lambda **how: sorted(map(tuple, epidemic.open_components(g, 0.3, 40, **how).select("sim", "node_id", "component").collect()))
+    assert rows() == rows(run_edges=0)
 
 
 def test_sensitive_ranks_report_a_graph_beyond_their_bound(spark, monkeypatch):
