@@ -10,6 +10,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -67,11 +68,20 @@ class Run:
     seed: int = 42
     made: dict[str, DataFrame | None] = field(default_factory=dict)
     shared: dict[str, DataFrame] = field(default_factory=dict)  # bases of the graph, over rankings
+    locks: dict[str, threading.RLock] = field(default_factory=dict)
+
+    def lock(self, key: str) -> threading.RLock:
+        """Held while a base is made, so that methods that run side by side make it once.
+
+        What a method is built on never leads back to it, so no two wait for each other.
+        """
+        return self.locks.setdefault(key, threading.RLock())
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self.shared:
-            self.shared[name] = cut(make())
-        return self.shared[name]
+        with self.lock(f"shared:{name}"):
+            if name not in self.shared:
+                self.shared[name] = cut(make())
+            return self.shared[name]
 
     def near(self) -> DataFrame:
         return self.once("_near", lambda: paths.distances(self.graph, local.REACH))
@@ -204,8 +214,14 @@ def all_names(betas: Sequence[float] = ()) -> list[str]:
 
 def ranked(run: Run, name: str, betas: Sequence[float] = ()) -> DataFrame | None:
     """``node_id``, ``value``, ``vec``, ``rank`` of a method by name; None where it has no result."""
-    if name in run.made:
+    with run.lock(name):
+        if name not in run.made:
+            out = _make_ranked(run, name, betas)
+            run.made[name] = None if out is None else cut(out.select("node_id", "value", "vec", "rank"))
         return run.made[name]
+
+
+def _make_ranked(run: Run, name: str, betas: Sequence[float]) -> DataFrame | None:
     table = METHODS | {k: f for b in betas for k, f in beta_methods(b).items()}
     pairs = COMPOSITES | {k: v for b in betas for k, v in beta_composites(b).items()}
     out: DataFrame | None
@@ -229,8 +245,7 @@ def ranked(run: Run, name: str, betas: Sequence[float] = ()) -> DataFrame | None
         out = None
     else:
         raise KeyError(name)
-    run.made[name] = None if out is None else cut(out.select("node_id", "value", "vec", "rank"))
-    return run.made[name]
+    return out
 
 
 class TimedOut(Exception):
@@ -259,29 +274,42 @@ def with_limit(spark, name: str, seconds: float, work: Callable[[], DataFrame |
     return result["df"]
 
 
-def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+def _wave(name: str, betas: Sequence[float]) -> int:
+    """0 for methods, 1 for pairs of methods, 2 for restrictions of either."""
+    if name.startswith("restricted_"):
+        return 2
+    return int(name in COMPOSITES or any(name in beta_composites(b) for b in betas))
+
+
+def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0, workers: int = 1) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out or were too large.
 
-    Such a method is skipped for later rankings, with everything built on it.
+    Such a method is skipped for later rankings, with everything built on it. Methods come before
+    pairs, pairs before restrictions; ``workers`` of them run side by side (1 for runtimes that do
+    not disturb each other), which helps where a round's set-up outweighs its work.
     """
     shared: dict[str, DataFrame] = {}
     graph = graph.cut()
-    spark, out, late = graph.nodes.sparkSession, None, []
-    lock = threading.Lock()
+    spark, parts, late = graph.nodes.sparkSession, [], []
     for ranking in rankings:
-        run = Run(graph, ranking, shared=shared)
-        for name in names:
-            if any(x == name or name.endswith(f"_{x}") for _, x in late):
-                continue
+        run, got, took = Run(graph, ranking, shared=shared), {}, {}
+
+        def one(name: str) -> None:
+            if any(x == name or name.endswith(f"_{x}") for _, x in list(late)):
+                return
             began = time.time()
             try:
-                got = with_limit(spark, f"{graph_name}:{name}", limit, lambda: ranked(run, name, betas))
+                got[name] = with_limit(spark, f"{graph_name}:{name}", limit, lambda: ranked(run, name, betas))
             except (TimedOut, TooLarge):
-                with lock:
-                    late.append((graph_name, name))
-                continue
-            if got is None:
-                continue
-            row = got.select(F.lit(graph_name).alias("graph_name"), F.lit(replicate).alias("replicate_id"), F.lit(lexi.ranking_key(ranking)).alias("ranking"), F.lit(name).alias("method"), "node_id", F.col("rank").cast("long").alias("rank"), F.lit(time.time() - began).alias("runtime"), F.coalesce(lexi.render(F.col("vec")), F.col("value").cast("string")).alias("value"))
-            out = row if out is None else out.unionAll(row)
-    return out, late
+                late.append((graph_name, name))
+            took[name] = time.time() - began
+
+        for wave in range(3):
+            with ThreadPoolExecutor(max(1, workers)) as pool:
+                list(pool.map(one, [n for n in names if _wave(n, betas) == wave]))
+        for name in names:
+            if got.get(name) is not None:
+                parts.append(got[name].select(F.lit(graph_name).alias("graph_name"), F.lit(replicate).alias("replicate_id"), F.lit(lexi.ranking_key(ranking)).alias("ranking"), F.lit(name).alias("method"), "node_id", F.col("rank").cast("long").alias("rank"), F.lit(took[name]).alias("runtime"), F.coalesce(lexi.render(F.col("vec")), F.col("value").cast("string")).alias("value")))
+    while len(parts) > 1:  # unions of halves: their plans are analysed log n times, not n
+        parts = [a.unionAll(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+    return parts[0] if parts else None, late

@@ -421,7 +421,7 @@ def method_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Every named method, with the blended ones of all betas, through the registry on the nation graph."""
     g = nation_trade_graph(spark, sf)
     g = Graph(cut(g.nodes), cut(g.edges))
-    return registry.run_methods(g, [RANKING], registry.all_names(BETAS), BETAS, graph_name="nations")[0].drop("runtime")
+    return registry.run_methods(g, [RANKING], registry.all_names(BETAS), BETAS, graph_name="nations", workers=8)[0].drop("runtime")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
