@@ -135,22 +135,57 @@ def group_sizes(n: int, groups: int, distribution: str, minority: float = 0.1) -
 
 
 def from_config(spark: SparkSession, config: dict, replicate: int = 0) -> tuple[str, Graph]:
-    """Name and graph of one entry: type, n, avg_degree, group_sizes or fractions, alpha, assignment, seed."""
+    """Name and graph of one entry of a configuration.
+
+    Keys: name, type (ER or SBM), n, avg_degree, num_groups, group_sizes (fractions of n that add
+    up to 1), group_assignment (random, or aligned with the communities), and for SBM
+    community_sizes and alpha; random_seed, 1000 further for each replicate.
+    """
     seed = replicate_seed(int(config.get("random_seed", 42)), replicate)
-    n, name = int(config["n"]), f"{config['name']}_rep{replicate}"
-    fractions = list(config.get("group_fractions") or [1 / int(config.get("num_groups", 2))] * int(config.get("num_groups", 2)))
-    if config.get("type", "ER").upper() == "ER":
-        nodes = spark.range(n).select(F.col("id").alias("node_id"))
-        return name, Graph(assign_groups(nodes, fractions, seed), uniform_graph(spark, n, float(config["avg_degree"]), seed))
-    sizes = [round(f * n) for f in fractions[:-1]]
-    edges, blocks = block_graph(spark, [*sizes, n - sum(sizes)], float(config["avg_degree"]), float(config.get("alpha", 0.2)), seed)
-    groups = blocks if config.get("assignment", "aligned") == "aligned" else assign_groups(blocks.select("node_id"), fractions, seed)
-    return name, Graph(groups, edges)
+    n, degree_ = int(config["n"]), float(config["avg_degree"])
+    fractions, assignment = [float(f) for f in config["group_sizes"]], config.get("group_assignment", "random")
+    if len(fractions) != int(config.get("num_groups", len(fractions))) or abs(sum(fractions) - 1) >= 1e-6:
+        raise ValueError(f"group_sizes must be num_groups fractions that add up to 1: {fractions}")
+    communities = None
+    if config["type"] == "ER":
+        edges = uniform_graph(spark, n, degree_, seed)
+    elif config["type"] == "SBM":
+        sizes = [int(c) for c in config["community_sizes"]]
+        if sum(sizes) != n:
+            raise ValueError(f"community_sizes must add up to n: {sizes}")
+        edges, communities = block_graph(spark, sizes, degree_, float(config.get("alpha", 0.2)), seed)
+    else:
+        raise ValueError(f"unknown graph type: {config['type']}")
+    if assignment == "random":
+        nodes = assign_groups(spark.range(n).select(F.col("id").alias("node_id")), fractions, seed)
+    elif assignment == "aligned" and communities is not None:
+        nodes = communities
+    else:
+        raise ValueError(f"unknown group assignment for {config['type']}: {assignment}")
+    return f"{config['name']}_rep{replicate}", Graph(nodes, edges)
+
+
+def generate_all(spark: SparkSession, config: dict, folder: str, tier: str = "all") -> list[str]:
+    """Write every graph of a configuration's tier (sir_optimal, fast_only or all) in all its replicates."""
+    tiers = ("sir_optimal", "fast_only")
+    if tier not in (*tiers, "all"):
+        raise ValueError(f"unknown tier: {tier}")
+    common, names = config["global"], []
+    for entry in (x for t in tiers if tier in (t, "all") for x in config["graphs"].get(t) or []):
+        entry = entry | {"random_seed": common["random_seed"]}
+        for replicate in range(int(common["replicates_per_config"])):
+            name, graph = from_config(spark, entry, replicate)
+            write_graph(graph, folder, name, replicate_seed(int(entry["random_seed"]), replicate), replicate)
+            names.append(name)
+    return names
 
 
 def write_graph(graph: Graph, folder: str, name: str, seed: int, replicate: int = 0) -> None:
     """Edge and group text files (``u v`` and ``node group`` lines) and the metadata as JSON."""
+    graph = graph.cut()
     line = lambda df, a, b: df.select(F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")).alias("value"))
     line(graph.edges, "src", "dst").write.mode("overwrite").text(f"{folder}/{name}_edges.txt")
     line(graph.nodes, "node_id", "group_id").write.mode("overwrite").text(f"{folder}/{name}_groups.txt")
-    metadata(graph, name, seed, replicate).write.mode("overwrite").json(f"{folder}/{name}_metadata.json")
+    files = {"edge_file": f"{name}_edges.txt", "group_file": f"{name}_groups.txt"}
+    out = metadata(graph, name, seed, replicate).withColumn("num_groups", F.size("group_counts"))
+    out.withColumns({k: F.lit(v) for k, v in files.items()}).write.mode("overwrite").json(f"{folder}/{name}_metadata.json")
