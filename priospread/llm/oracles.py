@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import chat_format as chat
+from . import divergence_audit as audit
+from . import scaled_sketch as sketch
+from . import treap_search as lexical
 from . import url_filter as url
 from .topk_search import SCALE, TOP
 
@@ -63,6 +66,70 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.id, d.doc_id) AS com
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+#: A-Z of a text in lower case.
+LOWERED = f"translate(coalesce(text, ''), '{sketch.UPPER}', '{sketch.LOWER}')"
+
+LEXICAL = rf"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d),
+i AS (
+  SELECT item_id, term, count(*) AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+s AS (
+  SELECT item_id, f.doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN d ON d.doc_id = f.doc_id, a GROUP BY item_id, f.doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {lexical.TOP}
+"""
+
+_HASHES = lambda t: f"list_transform(range(1, greatest(len({t}) - {sketch.WORDS - 2}, 2)), lambda i: left(md5(array_to_string({t}[i:i + {sketch.WORDS - 1}], ' ')), {sketch.DIGITS}))"
+_WORDS = lambda t: rf"regexp_extract_all(translate({t}, '{sketch.UPPER}', '{sketch.LOWER}'), '[^{sketch.SPACE}]+')"
+_KEPT = lambda h: f"list_sort(list_distinct(list_filter({h}, lambda x: x < '{sketch.below()}')))"
+_LIKE = lambda a, b: f"""CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) WHEN len({a}) = len({b}) THEN 1.0::DOUBLE ELSE 0.0 END"""
+
+FINGERPRINT = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id) AS at, count(*) OVER () AS all_n FROM documents),
+e AS (
+  SELECT d.doc_id, d.n, d.text, x.text AS next, substring(d.text, 1, d.n - d.n // {sketch.EDIT}) || substring(x.text, 1, d.n // {sketch.EDIT}) AS edited
+  FROM d JOIN d x ON x.at = d.at % d.all_n + 1),
+w AS (SELECT *, {_WORDS('text')} AS w1, {_WORDS('edited')} AS w2, {_WORDS('next')} AS w3 FROM e),
+h AS (SELECT *, {', '.join(f"CASE WHEN len(w{k}) > 0 THEN {_HASHES(f'w{k}')} ELSE [] END AS h{k}" for k in (1, 2, 3))} FROM w),
+s AS (SELECT *, {', '.join(f"CASE WHEN len(h{k}) > 0 AND list_min(h{k}) >= '{sketch.below()}' THEN [list_min(h{k})] ELSE {_KEPT(f'h{k}')} END AS s{k}" for k in (1, 2, 3))} FROM h)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s1, ',') AS fingerprint, array_to_string(s2, ',') AS edited_fingerprint,
+  {_LIKE('s1', 's2')} AS near_edited, {_LIKE('s1', 's3')} AS near_next
+FROM s
+"""
+
+_SHARE = lambda n, total, v: f"1 + ({audit.FINE}::HUGEINT * ({n} + 2)) // ({total} + 2 * {v})"
+AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWERED} AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= {audit.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+l AS (SELECT lang, sum(total)::BIGINT AS total FROM g GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {_SHARE('coalesce(c.n, 0)', 'g.total', 'v.v')} AS p
+  FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+q AS (SELECT c.lang, c.term, {_SHARE('sum(n)::BIGINT', 'l.total', 'v.v')} AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY c.lang, c.term, l.total, v.v),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {audit.TOP_TERMS}
+"""
+
 
 def url_sql(rules=url.RULES, turns: int = url.TURNS) -> str:
     order = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r))
@@ -107,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_near_dup": NEAR_VECTORS, "op4_topk_search": TOPK, "op7_chat_format": CHAT,
         "op8_url_filter": url_sql(), "op10_minhash_near_dup": NEAR_TEXTS,
+        "op11_treap_search": LEXICAL, "op12_scaled_fingerprint": FINGERPRINT, "op13_divergence_audit": AUDIT,
     }

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats
 from .common import read
+from .divergence_audit import audit_sources
 from .license_scan import scan_licenses
 from .minhash_near_dup import near_duplicates
 from .packing import pack_documents
 from .piece_sampling import round_trip
 from .pivot_near_dup import embedding_near_duplicates
 from .quality_gam import held_out, score_quality, train_quality
+from .scaled_sketch import fingerprint_documents
 from .secret_scan import scan_secrets
 from .topk_search import top_inner_products
+from .treap_search import rank_documents
 from .url_filter import filter_urls
 
 
@@ -64,8 +67,21 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_secret_scan, op3_embedding_near_dup, op4_topk_search, op5_piece_sampling,
         op6_packing, op7_chat_format, op8_url_filter, op9_quality_gam, op10_minhash_near_dup,
+        op11_treap_search, op12_scaled_fingerprint, op13_divergence_audit,
     )}
