@@ -4,12 +4,13 @@ A sketch holds every hash of a text's distinct shingles that lies below a fixed
 of the range of hashes. Whatever two texts share, their sketches share in the same fraction, so sketches
 merge by union and estimate how much of one text is contained in a text (or a collection) of quite
 another size. A text none of whose hashes lies below keeps its least one, so only blank texts have an
-empty sketch. A hash is the first 16 hex digits of the shingle's MD5; as strings they order as numbers.
+empty sketch. A hash is the number in the first 15 hex digits of the shingle's MD5.
 
 A document's successor in id order is found without a window over the table: narrow rows (id, text hash,
 length) are dealt into ranges, each takes the next row of its range, and the last of a range the first of
-the range after it. Texts are shuffled once, by id; successors send the prefix that their predecessor
-needs, and their sketch.
+the range after it. Texts are shuffled once, by id, with their sketches; successors send the prefix that
+their predecessor needs, and their sketch. A sketch knows where its hashes stand, so an edited text takes
+over those of the words that stay and hashes only the words from the seam on.
 
 Edge cases: null texts count as empty; empty and blank texts have the empty sketch, alike to another
 empty one (1.0) and to nothing else (0.0); with fewer than five words the whole sequence is the one
@@ -31,7 +32,9 @@ from .common import checkpoint, fresh
 WORDS, SCALE, EDIT = 5, 8, 4
 # What is lower-cased, what parts words.
 UPPER, LOWER, SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\\x20\\x09-\\x0D"
-DIGITS = 16
+DIGITS = 15
+#: The place of a hash that no edit keeps.
+NOWHERE = 2**31 - 1
 
 
 def below(scale: int = SCALE) -> str:
@@ -39,22 +42,54 @@ def below(scale: int = SCALE) -> str:
     return f"{-(-(1 << 4 * DIGITS) // scale):0{DIGITS}x}" if scale > 1 else "g"
 
 
-def with_sketch(df: DataFrame, text: str, name: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """``df`` and the sorted array ``name`` of the hashes that the sketch of ``text`` retains."""
-    found, hashes, least, kept = (fresh(df, f"_{x}") for x in ("words", "hashes", "least", "kept"))
-    split = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), f"[{SPACE}]+")
-    out = df.withColumn(found, F.filter(split, lambda w: w != ""))
-    n = F.size(found)
-    starts = F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1)))
-    hashed = F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(F.col(found), i, words), " ").cast("binary")), 1, DIGITS))
-    out = out.withColumn(hashes, F.when(n > 0, hashed).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn(kept, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < below(scale))))).withColumn(least, F.array_min(hashes))
-    some = (F.size(kept) > 0) | F.col(least).isNull()
-    return out.withColumn(name, F.when(some, F.col(kept)).otherwise(F.array(least))).drop(found, hashes, least, kept)
+def _words(text: Column) -> Column:
+    """The lower-cased words of a text."""
+    return F.filter(F.split(F.translate(text, UPPER, LOWER), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def fingerprint(sketch: str | Column) -> Column:
-    return F.array_join(sketch, ",")
+def _hashes(found: str, words: int) -> Column:
+    """The MD5 of each shingle of the array ``found``, as hex digits."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found) - words + 1, F.lit(1)))
+    digits = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(F.col(found), i, words), " ").cast("binary")))
+    return F.when(F.size(found) > 0, digits).otherwise(F.array().cast("array<string>"))
+
+
+def _number(digits: Column) -> Column:
+    return F.conv(F.substring(digits, 1, DIGITS), 16, 10).cast("long")
+
+
+def with_sketch(df: DataFrame, text: str, name: str, at: str | None = None, words: int = WORDS, scale: int = SCALE) -> DataFrame:
+    """``df`` and the sorted array ``name`` of the hashes that the sketch of ``text`` retains.
+
+    ``at`` adds the number of the shingle where each first stands.
+    """
+    found, hashes, held = (fresh(df, f"_{x}") for x in ("words", "hashes", "held"))
+    out = df.withColumn(found, _words(F.coalesce(F.col(text), F.lit("")))).withColumn(hashes, _hashes(found, words))
+    low = F.transform(hashes, lambda h, i: F.when(h < below(scale), F.struct(_number(h).alias("h"), (i + 1).alias("at"))))
+    out = out.withColumn(held, F.array_sort(F.filter(low, lambda x: x.isNotNull())))
+    out = out.withColumn(held, F.filter(held, lambda x, i: (i == 0) | (x["h"] != F.get(held, i - 1)["h"])))
+    some = (F.size(held) > 0) | (F.size(hashes) == 0)
+    out = out.withColumn(name, F.when(some, F.transform(held, lambda x: x["h"])).otherwise(F.array(_number(F.array_min(hashes)))))
+    if at:
+        out = out.withColumn(at, F.when(some, F.transform(held, lambda x: x["at"])).otherwise(F.array(F.lit(NOWHERE))))
+    return out.drop(found, hashes, held)
+
+
+def _with_edited_sketch(df: DataFrame, words: int, scale: int) -> DataFrame:
+    """``edited_sketch`` of ``edited`` from ``sketch`` and ``at`` of the text, whose first ``stay`` words stay
+    as they are but for the last one, which may have grown."""
+    from_ = F.greatest(F.col("stay") - words + 1, F.lit(1))
+    out = df.withColumn("_all", _words(F.col("edited"))).withColumn("_tail", F.slice("_all", from_, F.greatest(F.size("_all"), F.lit(1))))
+    fresh_ = F.transform(F.filter(_hashes("_tail", words), lambda h: h < below(scale)), _number)
+    kept = F.filter("sketch", lambda h, i: F.get("at", i) <= F.col("stay") - words)
+    out = out.withColumn("_kept", F.array_sort(F.array_distinct(F.concat(kept, fresh_))))
+    some = (F.size("_kept") > 0) | (F.size("_all") == 0)
+    return out.withColumn("edited_sketch", F.when(some, F.col("_kept")).otherwise(F.array(_number(F.array_min(_hashes("_all", words)))))).drop("_all", "_tail", "_kept")
+
+
+def fingerprint(sketch: str) -> Column:
+    """The retained hashes as hex digits, rising."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), ",")
 
 
 def containment(a: str, b: str) -> Column:
@@ -96,13 +131,18 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     place = ["z", "k", "h"]
     ids = rows.select(*place, F.length("text").alias("n")).groupBy(*place).agg(F.max("n").alias("n"))
     order = checkpoint(successors(checkpoint(ids), place))
-    texts = with_sketch(rows.repartition(*place), "text", "sketch", words, scale)
+    texts = with_sketch(rows, "text", "sketch", "at", words, scale).repartition(*place)
     wants = order.select(*[F.col(f"next.{c}").alias(c) for c in place], *[F.col(c).alias(f"to_{c}") for c in place], F.floor(F.col("n") / EDIT).cast("int").alias("cut"))
-    sent = texts.join(wants, place).select(*[F.col(f"to_{c}").alias(c) for c in place], "cut", F.struct(F.expr("substring(text, 1, cut)").alias("prefix"), F.col("sketch").alias("next_sketch")).alias("sent"))
-    sent = sent.groupBy(*place, "cut").agg(F.first("sent").alias("sent"))  # successors that repeat send the same
-    n = F.length("text")
-    out = texts.join(sent, place).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.col("sent.prefix")))
-    out = with_sketch(out.select("z", "k", n.cast("long").alias("n_chars"), "sketch", F.col("sent.next_sketch").alias("next_sketch"), "edited"), "edited", "edited_sketch", words, scale)
+    # Both joins read the same columns of the texts, so one shuffle of them serves both.
+    cut = F.when(F.size("at") >= 0, F.col("cut")).alias("cut")
+    sent = texts.join(wants, place).select(*[F.col(f"to_{c}").alias(c) for c in place], F.struct(cut, F.expr("substring(text, 1, cut)").alias("prefix"), F.col("sketch").alias("next_sketch")).alias("sent"))
+    sent = sent.groupBy(*place).agg(F.first("sent").alias("sent"))  # successors that repeat send the same
+    own = F.expr("substring(text, 1, length(text) - sent.cut)")
+    out = texts.join(sent, place).select(
+        "z", "k", F.length("text").cast("long").alias("n_chars"), "sketch", "at", F.col("sent.next_sketch").alias("next_sketch"),
+        F.concat(own, F.col("sent.prefix")).alias("edited"), F.size(_words(own)).alias("stay"),
+    )
+    out = _with_edited_sketch(out, words, scale)
     return out.select(
         F.when(~F.col("z"), F.col("k")).alias(key), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"),
