@@ -69,23 +69,24 @@ def fractional_rank(df: DataFrame, rank: str, by: Sequence[str] = (), name: str
     return df.join(sizes, [*by, rank]).withColumn(name, F.col(rank) + (F.col("_n") - 1) / 2).drop("_n")
 
 
-def tie_break(primary: DataFrame, secondary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def tie_break(primary: DataFrame, secondary: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Competition rank on (primary rank, secondary rank); a missing secondary comes last.
 
-    Keeps the primary's value.
+    Keeps the primary's value. ``rows`` is the primary's row count if it is known: without it the plan runs
+    once more to count it.
     """
     second = secondary.select(*by, "node_id", F.col("rank").alias("_second"))
-    rows = primary.join(second, [*by, "node_id"], "left")
+    both = primary.join(second, [*by, "node_id"], "left")
     key = F.struct("rank", F.coalesce("_second", F.lit(2**62)))
-    return rank_by(rows.withColumn("_both", key).drop("rank"), F.col("_both"), by, "rank", "competition", descending=False).drop("_both", "_second")
+    return rank_by(both.withColumn("_both", key).drop("rank"), F.col("_both"), by, "rank", "competition", False, rows).drop("_both", "_second")
 
 
-def restrict(ranked: DataFrame, nodes: DataFrame, groups: Sequence[int], first: bool = False, by: Sequence[str] = ()) -> DataFrame:
+def restrict(ranked: DataFrame, nodes: DataFrame, groups: Sequence[int], first: bool = False, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Nodes of the ranked groups (or of the first one) before the others, each side by its rank."""
     chosen = [int(g) for g in (groups[:1] if first else groups)]
-    rows = ranked.join(nodes.select("node_id", (~F.col("group_id").isin(chosen)).cast("int").alias("_out")), "node_id")
+    sided = ranked.join(nodes.select("node_id", (~F.col("group_id").isin(chosen)).cast("int").alias("_out")), "node_id")
     key = F.struct("_out", "rank")
-    return rank_by(rows.withColumn("_both", key).drop("rank", "_out"), F.col("_both"), by, "rank", "competition", descending=False).drop("_both")
+    return rank_by(sided.withColumn("_both", key).drop("rank", "_out"), F.col("_both"), by, "rank", "competition", False, rows).drop("_both")
 
 
 def top_spreader(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -101,6 +102,38 @@ def select_nodes(results: DataFrame, most_rank: int | None = None, top: int | No
     return rows.where(F.col("rank") <= (most_rank or 1)).select("node_id").distinct()
 
 
-def with_ties(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+def with_ties(df: DataFrame, value: str, k: int, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Rows at or above the k-th value."""
-    return rank_by(df, F.col(value), by, "_rank", "competition").where(F.col("_rank") <= k).drop("_rank")
+    return rank_by(df, F.col(value), by, "_rank", "competition", rows=rows).where(F.col("_rank") <= k).drop("_rank")
+
+
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "at") -> DataFrame:
+    """``df`` and each row's 0-based place ``name`` in its group by ``order`` (columns, rising; equal rows in any order).
+
+    Rows are dealt into ranges of (group, order), numbered inside a range, and moved by the rows of the
+    group in ranges before: no group is in one task. Group columns must hold no nulls.
+    """
+    rows = cut(df)
+    ranges = max(1, -(-rows.count() // ONE_RANGE))
+    rows = cut(rows.repartitionByRange(ranges, *by, *order).withColumn("_strip", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(*by, "_strip").orderBy(*order)) - 1
+    sizes = rows.groupBy(*by, "_strip").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*by, "_strip", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.withColumn("_inside", inside).join(offsets, [*by, "_strip"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_strip", "_inside", "_before")
+
+
+def median_vectors(df: DataFrame, by: Sequence[str], vec: str = "vec", std: str | None = None) -> DataFrame:
+    """``n`` and the lexicographic median of each group's vectors, as ``median`` (and ``median_std`` beside it).
+
+    Vectors are sorted falling; of equal means the smaller deviation comes first, component by component. The
+    median is the middle one, or the mean of the two middle ones. Found by place, without a list of the group.
+    """
+    key = F.transform(vec, lambda x: -x) if std is None else F.flatten(F.zip_with(vec, std, lambda m, s: F.array(-m, s)))
+    cols = [vec] if std is None else [vec, std]
+    placed = positions(df.where(F.col(vec).isNotNull()).select(*by, *cols, key.alias("_key")), by, ["_key"])
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("n"))
+    middle = placed.join(sizes, list(by)).where((F.col("at") == F.floor((F.col("n") - 1) / 2)) | (F.col("at") == F.floor(F.col("n") / 2)))  # one or two rows
+    mean = lambda c: F.zip_with(F.min_by(c, "at"), F.max_by(c, "at"), lambda a, b: (a + b) / 2)
+    out = [mean(vec).alias("median")] + ([] if std is None else [mean(std).alias("median_std")])
+    return middle.groupBy(*by).agg(F.max("n").alias("n"), *out)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import fractional_rank
 from ..plans.loops import cut
+from .dominance import rank_agreement
 
 # The default cut-offs.
 TOP_K, TOP_PERCENT = (1, 5, 10, 20, 50), (1, 3, 5, 10)
@@ -44,98 +43,15 @@ def metrics(pairs: DataFrame, by: Sequence[str] = ("method",), top: Sequence[int
     return rows.groupBy(*by).agg(*cols)
 
 
-def _ahead(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: earlier places of smaller value, their count and summed weight (merge counting)."""
-    n = len(values)
-    _, y = np.unique(values, return_inverse=True)
-    order, w = np.arange(n), weights
-    count, total, width = np.zeros(n, np.int64), np.zeros(n), 1
-    while width < n:
-        # Runs of ``width`` places are sorted by value; each pair is merged, all pairs in one sort.
-        run = np.arange(n) // (2 * width)
-        right = (np.arange(n) // width) % 2 == 1
-        merged = np.lexsort((~right[np.arange(n)], y[order], run))  # on a tie the right side first: it counts smaller ones only
-        left_w, left_n = np.where(right[merged], 0.0, w[order[merged]]), (~right[merged]).astype(np.int64)
-        sums, nums = np.cumsum(left_w), np.cumsum(left_n)
-        start = run[merged] * 2 * width
-        base_w, base_n = np.where(start > 0, sums[start - 1], 0.0), np.where(start > 0, nums[start - 1], 0)
-        here = right[merged]
-        who = order[merged][here]
-        total[who] += (sums - base_w)[here]
-        count[who] += (nums - base_n)[here]
-        order, width = order[merged], 2 * width
-    return count, total
-
-
-def kendall_parts(m: np.ndarray, s: np.ndarray) -> float:
-    """Kendall's tau-b of two rank vectors in n log n: ties by counts, discordance by merging."""
-    n = len(m)
-    order = np.lexsort((s, m))
-    m, s = m[order], s[order]
-    tied = lambda *x: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(x), axis=1, return_counts=True)[1])
-    both, n1, n2, n0 = tied(m, s), tied(m), tied(s), n * (n - 1) // 2
-    swaps = int(_ahead(-s, np.ones(n))[0].sum())
-    if n0 in (n1, n2):
-        return 0.0
-    return (n0 - n1 - n2 + both - 2 * swaps) / float(np.sqrt(float(n0 - n1)) * np.sqrt(float(n0 - n2)))
-
-
-def _weighted_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
-    """Sum over all pairs of (w_i + w_j) * sign(a_i - a_j) * sign(b_i - b_j), in n log n."""
-    n, out = len(a), 0.0
-    for sign in (1, -1):  # concordant pairs, then discordant ones as concordant with -b
-        y = sign * b
-        # Equal a: falling y, so that such pairs never look ordered.
-        order = np.lexsort((-y, a))
-        count, total = _ahead(y[order], w[order])
-        out += sign * float((total + count * w[order]).sum())
-    return out if n else 0.0
-
-
-def weighted_tau(x: np.ndarray, y: np.ndarray, invert: bool = False) -> float:
-    """Weighted tau with additive hyperbolic weights, the mean over both orders of importance.
-
-    Pairs weigh 1 / (1 + r_i) + 1 / (1 + r_j); r counts from the largest (x, y). Ranks passed as
-    they are put the weight on the worst nodes; ``invert`` turns them around.
-    """
-    x, y = (-np.asarray(x, float), -np.asarray(y, float)) if invert else (np.asarray(x, float), np.asarray(y, float))
-
-    def untied(a: np.ndarray, w: np.ndarray) -> float:
-        """Weight of the pairs that differ in ``a``: (size - own block) * w summed over nodes."""
-        _, of, sizes = np.unique(a, return_inverse=True, return_counts=True)
-        return float((w * (len(a) - sizes[of])).sum())
-
-    def one(a: np.ndarray, b: np.ndarray) -> float:
-        r = np.empty(len(a))
-        r[np.lexsort((b, a))[::-1]] = np.arange(len(a))
-        w = 1 / (1 + r)
-        ta, tb = untied(a, w), untied(b, w)
-        return _weighted_pairs(a, b, w) / np.sqrt(ta * tb) if ta and tb else float("nan")
-
-    return (one(x, y) + one(y, x)) / 2
-
-
-def kendall(pairs: DataFrame, by: Sequence[str] = ("method",), weighted: bool = True) -> DataFrame:
-    """``kendall_tau`` and ``weighted_tau`` per group, nodes aligned by id; undefined tau is 0.
-
-    One task per (method, ranking, probability): a group is two numbers per node, counted in
-    n log n by merging, so 100 million nodes are some GB of one task and no pair is ever listed.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        m, s = pdf.m.to_numpy(), pdf.s.to_numpy()
-        w = weighted_tau(m, s) if weighted and len(m) > 1 else float("nan")
-        keys = {k: [pdf[k].iloc[0]] for k in by}
-        return pd.DataFrame({**keys, "kendall_tau": [kendall_parts(m, s) if len(m) > 1 else 0.0], "weighted_tau": [w]})
-
-    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in by)
-    return pairs.groupBy(*by).applyInPandas(run, f"{schema}, kendall_tau double, weighted_tau double")
+def kendall(pairs: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """``kendall_tau`` and ``weighted_tau`` per group; undefined, the first is 0 and the second NaN."""
+    out = rank_agreement(pairs, by)
+    return out.select(*by, "kendall_tau", F.coalesce("weighted_tau", F.lit(float("nan"))).alias("weighted_tau"))
 
 
 def kendall_sql(pairs: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """Tau-b alone, per group."""
-    return kendall(pairs, by, weighted=False).drop("weighted_tau")
+    return kendall(pairs, by).drop("weighted_tau")
 
 
 def compare(methods: DataFrame, truth: DataFrame, vectors: DataFrame | None = None, group: str = "none") -> DataFrame:

@@ -169,9 +169,87 @@ def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
 
-def step_fair_proportional(edges: DataFrame, nodes: DataFrame, phi: DataFrame, **how) -> DataFrame:
-    """Buckets spread by plain PageRank."""
-    weight = directed_pagerank(edges, nodes).select("node_id", F.col("value").alias("weight"))
+def step_fair_directions(edges: DataFrame, nodes: DataFrame, phi: DataFrame, excess: DataFrame, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+    """``direction``, ``node_id``, ``value``: the step rule for many bucket vectors in one loop.
+
+    ``excess`` holds ``direction``, ``node_id``, ``weight``. The state is keyed by (direction, node): a round is one
+    join with the edges and one aggregate for all directions, which stop together, when the last one has moved
+    by less than ``epsilon``. Each direction's values are those of ``step_fair`` with its own ``excess``.
+    """
+    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
+    counts = out_counts(edges, nodes).join(F.broadcast(phi), "group_id")  # phi: a row a group
+    part = counts.groupBy(F.col("src").alias("node_id")).agg(F.min(F.col("share") / F.col("k")).alias("x"))
+    x = cut(nodes.select("node_id").join(part, "node_id", "left").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x")))
+    owed = x.crossJoin(F.broadcast(phi)).join(counts.select(F.col("src").alias("node_id"), "group_id", "k"), ["node_id", "group_id"], "left")
+    owed = cut(owed.select("node_id", "group_id", (F.col("share") - F.col("x") * F.coalesce("k", F.lit(0))).alias("e")).where("e <> 0"))
+    weights = excess.select("direction", "node_id", F.col("weight").alias("w")).join(nodes, "node_id")
+    totals = weights.groupBy("direction", "group_id").agg(F.sum("w").alias("t"))  # a row a direction and group
+    spread = weights.join(totals, ["direction", "group_id"]).select("direction", "node_id", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(F.lit(0.0)).alias("s"))
+    every = nodes.join(fair_jump(nodes, phi), "node_id").join(x, "node_id").join(excess.select("direction").distinct())  # the state itself
+    base = cut(every.join(spread, ["direction", "node_id"], "left").fillna(0.0, ["s"]))
+    state = mark(base.select("direction", "node_id", F.col("jump").alias("value")))
+    links = cut(edges.join(x.withColumnRenamed("node_id", "src"), "src").repartition("src"))
+    for _ in range(rounds):
+        flow = links.join(state.withColumnRenamed("node_id", "src"), "src").groupBy("direction", F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("x")).alias("direct"))
+        buckets = owed.join(state, "node_id").groupBy("direction", "group_id").agg(F.sum(F.col("value") * F.col("e")).alias("bucket"))
+        rows = base.join(flow, ["direction", "node_id"], "left").join(buckets, ["direction", "group_id"], "left")
+        rows = rows.withColumn("got", FOLLOW * (F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")))
+        lost = rows.groupBy("direction").agg((1.0 - F.sum("got")).alias("lost"))
+        new = rows.join(lost, "direction").select("direction", "node_id", (F.col("got") + F.col("lost") * F.col("jump")).alias("value"))
+        new = mark(new.join(state.select("direction", "node_id", F.col("value").alias("old")), ["direction", "node_id"]))
+        moved = None if epsilon is None else new.groupBy("direction").agg(F.sum(F.abs(F.col("value") - F.col("old"))).alias("m")).agg(F.max("m")).first()[0] or 0.0
+        forget(state)
+        state = new
+        if moved is not None and moved < epsilon:
+            break
+    return state.select("direction", "node_id", "value")
+
+
+def search_excess(edges: DataFrame, nodes: DataFrame, phi: DataFrame, plain: DataFrame, directions: int = 30, iterations: int = 30, step: float = 1.0, least_step: float = 1e-10, seed: int = 42, **how) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The bucket vector whose step-fair ranks come nearest to ``plain``, these ranks, and the loss so far at each turn.
+
+    From even buckets on, each turn draws ``directions`` random directions (seeded hashes, length 1), adds
+    ``step`` times each to the vector, sets what falls below zero to zero and scales groups back to 1, and
+    ranks all of them in one loop. The best one is taken if its squared distance falls, else the step is halved.
+    """
+    nodes, plain = cut(nodes.select("node_id", "group_id")), cut(plain.select("node_id", F.col("value").alias("aim")))
+    edges, phi = cut(edges.select("src", "dst")), cut(phi)
+
+    def scaled(df: DataFrame) -> DataFrame:
+        totals = df.groupBy("direction", "group_id").agg(F.sum("weight").alias("t"))
+        return df.join(totals, ["direction", "group_id"]).select("direction", "node_id", "group_id", F.when(F.col("t") > 0, F.col("weight") / F.col("t")).otherwise(F.lit(0.0)).alias("weight"))
+
+    def judged(excess: DataFrame) -> tuple[DataFrame, list]:
+        values = cut(step_fair_directions(edges, nodes, phi, excess, **how))
+        loss = values.join(plain, "node_id").groupBy("direction").agg(F.sum((F.col("value") - F.col("aim")) ** 2).alias("loss"))
+        return values, loss.orderBy("loss", "direction").limit(1).collect()  # one row
+
+    now = cut(scaled(nodes.select(F.lit(0).alias("direction"), "node_id", "group_id", F.lit(1.0).alias("weight"))))
+    ranks, best = judged(now)
+    losses = [best[0]["loss"]] if best else []
+    for turn in range(iterations if best else 0):
+        if step < least_step:
+            break
+        number = F.explode(F.sequence(F.lit(1), F.lit(directions))).alias("direction")
+        toss = (F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "direction", "node_id"), F.lit(2**40)) / 2**39 - 1).alias("toss")
+        drawn = now.select("node_id", "group_id", "weight", number).select("*", toss)
+        length = drawn.groupBy("direction").agg(F.sqrt(F.sum(F.col("toss") ** 2)).alias("length"))
+        moved = drawn.join(F.broadcast(length), "direction").select("direction", "node_id", "group_id", F.greatest(F.lit(0.0), F.col("weight") + step * F.col("toss") / F.col("length")).alias("weight"))
+        tried = cut(scaled(moved))
+        values, best = judged(tried)
+        if best[0]["loss"] < losses[-1]:
+            chosen = F.col("direction") == best[0]["direction"]
+            now, ranks = cut(tried.where(chosen).withColumn("direction", F.lit(0))), values.where(chosen)
+            losses.append(best[0]["loss"])
+        else:
+            step /= 2
+            losses.append(losses[-1])
+    return now.select("node_id", "weight"), ranks.select("node_id", "value"), losses
+
+
+def step_fair_proportional(edges: DataFrame, nodes: DataFrame, phi: DataFrame, plain: DataFrame | None = None, **how) -> DataFrame:
+    """Buckets spread by plain PageRank, which ``plain`` gives if it is known."""
+    weight = (directed_pagerank(edges, nodes) if plain is None else plain).select("node_id", F.col("value").alias("weight"))
     return step_fair(edges, nodes, phi, None, weight, **how)
 
 
@@ -181,27 +259,27 @@ def unfavoured(ranks: DataFrame, nodes: DataFrame, phi: DataFrame) -> int:
     return mass.orderBy(F.desc(F.col("share") - F.col("mass")), F.desc("group_id")).select("group_id").first()[0]
 
 
-def _top_weights(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int) -> tuple[int, DataFrame]:
+def _top_weights(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, plain: DataFrame | None = None) -> tuple[int, DataFrame]:
     """The unfavoured group and ``node_id``: its k nodes of most PageRank, and all other groups."""
-    ranks = cut(directed_pagerank(edges, nodes).join(nodes, "node_id"))
+    ranks = cut((directed_pagerank(edges, nodes) if plain is None else plain).join(nodes, "node_id"))
     short = unfavoured(ranks.select("node_id", "value"), nodes, phi)
     top = ranks.where(F.col("group_id") == short).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
     return short, cut(ranks.where(F.col("group_id") != short).select("node_id").unionAll(top))
 
 
-def hybrid_top(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, **how) -> DataFrame:
+def hybrid_top(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, plain: DataFrame | None = None, **how) -> DataFrame:
     """The unfavoured group's bucket goes to its k nodes of most PageRank only."""
-    _, chosen = _top_weights(edges, nodes, phi, k)
+    _, chosen = _top_weights(edges, nodes, phi, k, plain)
     return step_fair(edges, nodes, phi, None, chosen.withColumn("weight", F.lit(1.0)), **how)
 
 
-def hybrid_top_neighbourhood(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+def hybrid_top_neighbourhood(edges: DataFrame, nodes: DataFrame, phi: DataFrame, k: int, rounds: int = ROUNDS, epsilon: float | None = EPSILON, plain: DataFrame | None = None) -> DataFrame:
     """Neighbourhood fairness whose unfavoured group gets at most 1 / out-degree from a neighbour.
 
     What that leaves of the group's share, and the whole share where a node has no neighbour in the
     group, goes to the group's k nodes of most PageRank; other groups' buckets are spread evenly.
     """
-    short, chosen = _top_weights(edges, nodes, phi, k)
+    short, chosen = _top_weights(edges, nodes, phi, k, plain)
     nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
     degree = edges.groupBy("src").agg(F.count("*").alias("out"))
     counts = cut(out_counts(edges, nodes).join(degree, "src").join(F.broadcast(phi), "group_id"))
@@ -225,7 +303,7 @@ def hybrid_top_neighbourhood(edges: DataFrame, nodes: DataFrame, phi: DataFrame,
     return _settled(base.withColumn("value", F.col("jump")), step, rounds, epsilon).select("node_id", "value")
 
 
-def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: DataFrame, kind: str = "uniform", k: int | None = None, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> DataFrame:
+def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: DataFrame, kind: str = "uniform", k: int | None = None, rounds: int = ROUNDS, epsilon: float | None = EPSILON, plain: DataFrame | None = None) -> DataFrame:
     """Two groups: fairness among the nodes of ``targets`` (node_id) only.
 
     A node with h of its d neighbours in the targets sends them h / d of its mass: each the share x
@@ -250,7 +328,7 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     out = out.withColumn("x", x).withColumn("rest", h / F.col("d") - F.col("x") * h).withColumn("to", F.when(F.col("likes") == zero, one).when(F.col("likes") == one, zero))
     out = cut(out.select("src", "d", "x", "rest", "to", F.when(F.col("to") == zero, F.col("h0")).otherwise(F.col("h1")).alias("own")))
     if kind == "proportional":
-        weight = directed_pagerank(edges, nodes).join(hit, "node_id").select("node_id", "group_id", F.col("value").alias("w"))
+        weight = (directed_pagerank(edges, nodes) if plain is None else plain).join(hit, "node_id").select("node_id", "group_id", F.col("value").alias("w"))
     else:
         weight = hit.withColumn("w", F.lit(1.0))
     total = weight.groupBy("group_id").agg(F.sum("w").alias("t"))
@@ -273,9 +351,9 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     return _settled(base.withColumn("value", F.lit(1.0 / n)), step, rounds, epsilon).select("node_id", "value")
 
 
-def top_targets(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def top_targets(edges: DataFrame, nodes: DataFrame, k: int, plain: DataFrame | None = None) -> DataFrame:
     """The k nodes of most plain PageRank, ties to the smaller id."""
-    return directed_pagerank(edges, nodes).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
+    return (directed_pagerank(edges, nodes) if plain is None else plain).orderBy(F.desc("value"), "node_id").limit(k).select("node_id")
 
 
 def attribute_jump(nodes: DataFrame, attributes: DataFrame, attribute: int) -> DataFrame:
@@ -298,13 +376,13 @@ def all_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame | None = None, k
     if k is None:
         made = {
             "global_uniform": global_uniform(plain, nodes, phi), "global_proportional": global_proportional(plain, nodes, phi),
-            "lfpr_u": step_fair(edges, nodes, phi, **how), "lfpr_p": step_fair_proportional(edges, nodes, phi, **how),
+            "lfpr_u": step_fair(edges, nodes, phi, **how), "lfpr_p": step_fair_proportional(edges, nodes, phi, plain, **how),
             "lfpr_n": neighbourhood_fair(edges, nodes, phi, **how),
         }
     else:
-        some = cut(top_targets(edges, nodes, k))
-        made = {f"lfpr_{name}_topk": target_fair(edges, nodes, phi, some, kind, k, **how) for name, kind in (("n", "neighbourhood"), ("u", "uniform"), ("p", "proportional"))}
-        made |= {"lfpr_hu_topk": hybrid_top(edges, nodes, phi, k, **how), "lfpr_hn_topk": hybrid_top_neighbourhood(edges, nodes, phi, k, **how)}
+        some = cut(top_targets(edges, nodes, k, plain))
+        made = {f"lfpr_{name}_topk": target_fair(edges, nodes, phi, some, kind, k, plain=plain, **how) for name, kind in (("n", "neighbourhood"), ("u", "uniform"), ("p", "proportional"))}
+        made |= {"lfpr_hu_topk": hybrid_top(edges, nodes, phi, k, plain, **how), "lfpr_hn_topk": hybrid_top_neighbourhood(edges, nodes, phi, k, plain=plain, **how)}
     return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("algorithm"), "node_id", "value") for name, df in {"pagerank": plain, **made}.items()])
 
 
@@ -323,6 +401,31 @@ def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, rounds: i
     return state.join(nodes.select("node_id", "group_id"), "node_id").groupBy("source", "group_id").agg(F.sum("value").alias("mass"))
 
 
+def source_masses(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, epsilon: float | None = 1e-9) -> DataFrame:
+    """``source``, ``group_id``, ``mass`` of every node as a source, from one vector a group.
+
+    Summed over the targets of a group, PageRank personalised to v is the row of v in (1 - a) (I - a P)^-1 times
+    the group's indicator. That product needs no row of its own for each source: y = 1_c + a P y is
+    iterated along reversed edges for all sources at once, so the state is nodes times groups and not nodes squared.
+    Mass that leaks at sinks returns to its source, which scales a source's masses to 1. Stops when no
+    value moves by ``epsilon``, or after ``rounds``; without ``epsilon`` after exactly ``rounds``.
+    """
+    out = edges.groupBy("src").agg(F.count("*").alias("out"))
+    edges = cut(edges.select("src", "dst").join(out, "src").repartition("dst"))
+    home = cut(nodes.select("node_id", "group_id", F.lit(1.0).alias("own")))
+    state = mark(home.select("node_id", "group_id", F.col("own").alias("value"), F.lit(1.0).alias("moved")))
+    for _ in range(rounds):
+        back = edges.join(state.select(F.col("node_id").alias("dst"), "group_id", "value"), "dst").groupBy(F.col("src").alias("node_id"), "group_id").agg(F.sum(FOLLOW * F.col("value") / F.col("out")).alias("back"))
+        new = back.unionAll(home.select("node_id", "group_id", F.col("own"))).groupBy("node_id", "group_id").agg(F.sum("back").alias("new"))
+        new = mark(new.join(state.select("node_id", "group_id", "value"), ["node_id", "group_id"], "left").select("node_id", "group_id", F.col("new").alias("value"), F.abs(F.col("new") - F.coalesce("value", F.lit(0.0))).alias("moved")))
+        forget(state)
+        state = new
+        if epsilon is not None and (state.agg(F.max("moved")).first()[0] or 0.0) < epsilon:
+            break
+    whole = state.groupBy("node_id").agg(F.sum("value").alias("whole"))
+    return state.join(whole, "node_id").select(F.col("node_id").alias("source"), "group_id", (F.col("value") / F.col("whole")).alias("mass"))
+
+
 def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, phi: DataFrame | None = None) -> DataFrame:
     """Per node: out and in degree, share of same-group neighbours both ways, position by rank.
 

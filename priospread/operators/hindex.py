@@ -11,7 +11,7 @@ from ..plans.loops import cut, forget, mark
 from ..sources.text import Graph
 from .degrees import degree
 
-#: Edges and nodes that one task may hold: 8 MB of ids as they come, below 60 MB while peeled.
+#: Edges and nodes that one task may be asked to hold: 8 MB of ids as they come, below 60 MB while peeled.
 TASK_EDGES = 250_000
 
 
@@ -78,32 +78,30 @@ def _one_task(graph: Graph) -> DataFrame:
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "node_id long, value long")
 
 
-def coreness(graph: Graph) -> DataFrame:
+def coreness(graph: Graph, one_task: bool = False) -> DataFrame:
     """Core numbers: the h-index chain until it rests, however many rounds that takes.
 
-    A graph of at most TASK_EDGES edges and as many nodes (counted first) is done by one task.
-
     A node's value can only fall after a neighbour's did, so a round looks at the neighbours of
-    the nodes that fell in the round before (the frontier) and leaves all others alone. On chains
-    the frontier is a few nodes a round.
+    the nodes that fell in the round before (the frontier) and leaves all others alone. A round is
+    one written state, whose flag ``fell`` is the next frontier. ``one_task`` lets a single task
+    peel the whole graph, which may then have TASK_EDGES edges and nodes at most.
     """
     graph = graph.cut()
-    if all(x.limit(TASK_EDGES + 1).count() <= TASK_EDGES for x in (graph.nodes, graph.edges)):
+    if one_task:
+        if any(x.limit(TASK_EDGES + 1).count() > TASK_EDGES for x in (graph.nodes, graph.edges)):
+            raise ValueError(f"one task holds {TASK_EDGES} edges and nodes at most")
         return _one_task(graph)
     adjacency = cut(graph.adjacency.repartition("src"))
-    state = mark(degree(graph))
-    frontier: DataFrame | None = None  # nodes whose neighbours fell
-    while True:
+    state, first = mark(degree(graph).withColumn("fell", F.lit(True))), True
+    while first or not state.where("fell").isEmpty():
         values = state.select(F.col("node_id").alias("dst"), "value")
-        asked = adjacency if frontier is None else adjacency.join(frontier, "src", "left_semi")
+        asked = adjacency
+        if not first:
+            touched = adjacency.join(state.where("fell").select(F.col("node_id").alias("dst")), "dst").select("src").distinct()
+            asked = adjacency.join(touched, "src", "left_semi")
         new = h_index(asked.join(values, "dst")).withColumnRenamed("value", "new")
-        fallen = mark(state.join(new, "node_id").where("new < value").select("node_id", "new"))
-        if fallen.isEmpty():
-            return state
-        after = mark(state.join(fallen, "node_id", "left").select("node_id", F.coalesce("new", "value").alias("value")))
-        touched = adjacency.join(fallen.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src").distinct()
-        frontier_new = mark(touched)
+        low = F.least("value", F.coalesce("new", "value"))
+        after = mark(state.join(new, "node_id", "left").select("node_id", low.alias("value"), (low < F.col("value")).alias("fell")))
         forget(state)
-        forget(fallen)
-        forget(frontier)
-        state, frontier = after, frontier_new
+        state, first = after, False
+    return state.select("node_id", "value")

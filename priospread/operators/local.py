@@ -9,7 +9,7 @@ from ..plans.loops import cut
 from ..sources.text import Graph
 from .degrees import degree
 from .hindex import coreness, h_chain
-from .paths import by_sources, distances
+from .paths import distances, per_source, waves
 
 #: Steps that gravity sums reach.
 REACH = 3
@@ -119,32 +119,39 @@ def gravity_h_index(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
     return rows.select("node_id", (F.exp(-F.coalesce("c", F.lit(0.0))) * F.col("value")).alias("value"))
 
 
-def local_global(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
+def local_global(graph: Graph) -> DataFrame:
     """deg(i) / n * sum over reachable j of sqrt(deg j) / d."""
-    return _degree_distance(graph, degree(graph).select("node_id", F.sqrt("value").alias("e")), pairs, both=False)
+    graph = graph.cut()
+    e = cut(degree(graph).select("node_id", F.sqrt("value").alias("e")))
+    far = waves(graph, lambda new, sources, d: per_source(new.join(e, "node_id"), sources, {"far": "e"}).select("node_id", (F.col("far") / d).alias("far")))
+    return _degree_distance(graph, far)
+
 
+def entropy_degree_distance(graph: Graph) -> DataFrame:
+    """deg(i) / n * sum of sqrt(e_i + e_j) / d; e: entropy of the neighbours' degree shares.
 
-def entropy_degree_distance(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
-    """deg(i) / n * sum of sqrt(e_i + e_j) / d; e: entropy of the neighbours' degree shares."""
+    The root does not split into a part of i and one of j, so a step's words are unfolded to pairs, which are
+    summed up per source before they leave their task.
+    """
+    graph = graph.cut()
     near = graph.adjacency.join(degree(graph).select(F.col("node_id").alias("dst"), F.col("value").alias("dj")), "dst")
     # With T the neighbours' degree sum, -sum p log p is log T - sum(d log d) / T.
     sums = near.groupBy(F.col("src").alias("node_id")).agg(F.sum("dj").alias("t"), F.sum(F.col("dj") * F.log2("dj")).alias("l"))
-    e = _all(graph, sums, F.log2("t") - F.col("l") / F.col("t")).withColumnRenamed("value", "e")
-    return _degree_distance(graph, cut(e), pairs, both=True)
-
-
-def _degree_distance(graph: Graph, e: DataFrame, pairs: DataFrame | None, both: bool) -> DataFrame:
-    def far(rows: DataFrame) -> DataFrame:
-        rows = rows.join(e.select(F.col("node_id").alias("dst"), F.col("e").alias("ej")), "dst")
-        if both:
-            rows = rows.join(e.select(F.col("node_id").alias("src"), F.col("e").alias("ei")), "src")
-            # The entropy of one neighbour is 0 up to rounding; keep roots real.
-            term = F.sqrt(F.greatest(F.col("ei") + F.col("ej"), F.lit(0.0))) / F.col("d")
-        else:
-            term = F.col("ej") / F.col("d")
-        return rows.groupBy(F.col("src").alias("node_id")).agg(F.sum(term).alias("far"))
-
-    sums = by_sources(graph, far) if pairs is None else far(pairs)
+    e = cut(_all(graph, sums, F.log2("t") - F.col("l") / F.col("t")).withColumnRenamed("value", "e"))
+
+    def work(new: DataFrame, sources: DataFrame, d: int) -> DataFrame:
+        own = sources.join(e, "node_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bit", "e"))).alias("own"))  # 64 entries
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("new"), i) == 1)
+        pairs = new.join(e.withColumnRenamed("e", "ej"), "node_id").join(own, "block").select("block", "own", "ej", F.explode(bits).alias("bit"))
+        # The entropy of one neighbour is 0 up to rounding; keep roots real.
+        term = F.sqrt(F.greatest(F.col("ej") + F.col("own")[F.col("bit")], F.lit(0.0)))
+        return pairs.groupBy("block", "bit").agg(F.sum(term).alias("far")).join(sources, ["block", "bit"]).select("node_id", (F.col("far") / d).alias("far"))
+
+    return _degree_distance(graph, waves(graph, work))
+
+
+def _degree_distance(graph: Graph, far: DataFrame) -> DataFrame:
+    sums = far.groupBy("node_id").agg(F.sum("far").alias("far"))
     n = graph.nodes.agg(F.count("*").alias("n"))
     out = degree(graph).join(sums, "node_id").crossJoin(F.broadcast(n))
     return _all(graph, out.select("node_id", (F.col("value") / F.col("n") * F.col("far")).alias("value")))

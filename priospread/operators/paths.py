@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.loops import cut, forget, iterate, mark
 from ..sources.text import Graph
 
-#: Edges and nodes that a worker may hold for path counting (16 MB of ids, below 150 MB as lists).
+#: Edges and nodes that a worker may be asked to hold for path counting (16 MB of ids, below 150 MB as lists).
 WORKER_EDGES = 500_000
 #: Pairs of a batch of sources.
 BATCH_PAIRS = 200_000_000
@@ -70,30 +70,55 @@ def largest_component(graph: Graph) -> Graph:
     return Graph(nodes, graph.edges.join(chosen.withColumnRenamed("node_id", "src"), "src", "left_semi"))
 
 
-def by_sources(graph: Graph, work: Callable[[DataFrame], DataFrame], most_pairs: int | None = None) -> DataFrame:
-    """``work`` over the distances of all pairs, some sources at a time.
+def waves(graph: Graph, work: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """``work`` over each wave of breadth-first searches from all nodes, 64 sources a word.
 
-    All pairs are n^2 rows. Sources are dealt by a hash into batches of about ``most_pairs`` pairs;
-    the pairs of a batch are gone once ``work`` has aggregated them per source.
+    Sources are numbered in blocks of 64 by their place in a written table. The state is a row a
+    (block, node) with the words ``seen`` and ``new``, whose bits are the sources that have reached the node
+    so far and in the last step; a step is one join with the edges and a ``bit_or``. ``work`` gets the
+    rows (block, node_id, new) of a step, the sources (block, bit, node_id) and the distance, and returns
+    what it aggregates of them, so pairs of nodes are never stored.
     """
     graph = graph.cut()
-    n = graph.nodes.count()
-    batches = max(1, -(-n * n // (most_pairs or BATCH_PAIRS)))
-    parts = []
-    for i in range(batches):
-        some = graph.nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == i) if batches > 1 else None
-        pairs = distances(graph, sources=some)
-        parts.append(cut(work(pairs)) if batches > 1 else work(pairs))
-        if batches > 1:
-            for x in getattr(pairs, "_parts", []):
-                forget(x)
+    at = F.monotonically_increasing_id()
+    sources = cut(graph.nodes.select("node_id", at.alias("at")))
+    sources = cut(sources.select("node_id", F.shiftrightunsigned("at", 6).alias("block"), F.expr("cast(at & 63 as int)").alias("bit")))
+    adjacency = cut(graph.adjacency.repartition("src"))
+    start = sources.groupBy("block", "node_id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("new"))
+    state, d, parts = mark(start.select("block", "node_id", F.col("new").alias("seen"), "new")), 0, []
+    while True:
+        d += 1
+        hop = adjacency.join(state.where("new <> 0").select("block", F.col("node_id").alias("src"), "new"), "src").groupBy("block", F.col("dst").alias("node_id")).agg(F.bit_or("new").alias("hop"))
+        both = state.select("block", "node_id", "seen").join(hop, ["block", "node_id"], "full").fillna(0, ["seen", "hop"])
+        after = mark(both.select("block", "node_id", F.expr("seen | hop").alias("seen"), F.expr("hop & ~seen").alias("new")))
+        forget(state)
+        state = after
+        if state.where("new <> 0").isEmpty():
+            break
+        parts.append(cut(work(state.where("new <> 0").select("block", "node_id", "new"), sources, d)))
+    if not parts:  # no edges: the first step reached nobody
+        return work(state.where("new <> 0").select("block", "node_id", "new"), sources, d)
     return reduce(DataFrame.unionAll, parts)
 
 
+def per_source(new: DataFrame, sources: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """``node_id`` of each source and, over the nodes whose bit it is, the ``sums`` (SQL expressions by name)."""
+    parts = [F.struct(F.lit(i).alias("bit"), *[F.sum(F.expr(f"if((new & shiftleft(1L, {i})) <> 0, {x}, null)")).alias(n) for n, x in sums.items()]) for i in range(64)]
+    got = new.groupBy("block").agg(F.array(*parts).alias("of")).select("block", F.explode("of").alias("of")).select("block", "of.*")
+    return got.where(f"{next(iter(sums))} is not null").join(sources, ["block", "bit"]).select("node_id", *sums)
+
+
+def distance_counts(graph: Graph) -> DataFrame:
+    """``node_id``, ``d``, ``r``: how many nodes each node reaches in d steps and no fewer."""
+    return waves(graph, lambda new, sources, d: per_source(new, sources, {"r": "1L"}).select("node_id", F.lit(d).alias("d"), "r"))
+
+
 def closeness(graph: Graph, pairs: DataFrame | None = None, scaled: bool = True) -> DataFrame:
     """(r - 1) / sum of distances, times (r - 1) / (n - 1) for r reached nodes if ``scaled``."""
-    summed = lambda rows: rows.groupBy(F.col("src").alias("node_id")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
-    sums = by_sources(graph, summed) if pairs is None else summed(pairs)
+    if pairs is None:
+        sums = distance_counts(graph).groupBy("node_id").agg(F.sum(F.col("d") * F.col("r")).alias("total"), F.sum("r").alias("r"))
+    else:
+        sums = pairs.groupBy(F.col("src").alias("node_id")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
     n = graph.nodes.agg((F.count("*") - 1).alias("n"))
     value = F.col("r") / F.col("total") * ((F.col("r") / F.col("n")) if scaled else F.lit(1.0))
     return graph.nodes.select("node_id").join(sums, "node_id", "left").crossJoin(F.broadcast(n)).select("node_id", F.coalesce(value, F.lit(0.0)).alias("value"))
@@ -151,17 +176,18 @@ def path_sums(source: int, near: list[np.ndarray]) -> np.ndarray:
     return delta
 
 
-def betweenness(graph: Graph, sources: DataFrame | None = None, tasks: int = 64) -> DataFrame:
-    """Normalised betweenness without endpoints: Brandes per source, sources in parallel.
+def betweenness(graph: Graph, sources: DataFrame | None = None, tasks: int = 64, one_task: bool = False) -> DataFrame:
+    """Normalised betweenness without endpoints: Brandes level by level, some sources at a time.
 
-    A graph of at most WORKER_EDGES edges and nodes (counted first) is broadcast and each task
-    takes some sources; a larger one goes level by level over DataFrames, some sources at a time.
-    With ``sources`` the sum over those is scaled up to all nodes (an estimate).
+    With ``sources`` the sum over those is scaled up to all nodes (an estimate). ``one_task`` broadcasts the
+    graph, which may then have WORKER_EDGES edges and nodes at most, and each task takes some sources.
     """
     graph = graph.cut()
     asked = cut((graph.nodes if sources is None else sources).select("node_id").distinct())
     n, k = graph.nodes.count(), asked.count()
-    if n <= WORKER_EDGES and graph.edges.limit(WORKER_EDGES + 1).count() <= WORKER_EDGES:
+    if one_task:
+        if n > WORKER_EDGES or graph.edges.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
+            raise ValueError(f"a worker holds {WORKER_EDGES} edges and nodes at most")
         parts = _shared_dependencies(graph, asked.repartition(min(tasks, max(1, k)), "node_id"))
     else:
         batches = max(1, -(-n * k // BATCH_PAIRS))

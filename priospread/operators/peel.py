@@ -2,12 +2,13 @@
 
 The degree vector only falls as nodes leave and has values in a total order, so the generalised
 core theorem (Batagelj and Zaversnik 2002) holds and the result does not depend on the order of
-ties. Two forms give the same vectors:
+ties. Three forms give the same vectors:
 
-* ``fixpoint_cores``: a local fix-point over DataFrames, one join and one window a round; for
-  graphs of any size.
-* ``grouped_cores``: one task per ranking peels the whole graph; for graphs whose edge count is
-  checked to be below ``TASK_EDGES``, where many rankings run in parallel.
+* ``frontier_cores``: a local fix-point over DataFrames for any number of rankings at once and graphs of any
+  size. A round looks at the neighbours of nodes whose vector fell in the round before and at no others.
+* ``fixpoint_cores``: the same fix-point for one ranking, all nodes every round.
+* ``grouped_cores``: one task per ranking peels the whole graph; for small graphs, on request, whose edge
+  count is checked to be below ``TASK_EDGES``.
 
 Vectors are integers (blends are scaled by 100), so equal vectors are equal exactly.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexi
-from ..plans.loops import cut, iterate
+from ..plans.loops import cut, forget, iterate, mark
 from ..sources.text import Graph
 from .degrees import degree_vector
 
@@ -73,6 +74,55 @@ def fixpoint_cores(graph: Graph, ranking: Sequence[int], beta: int = 0, scale: i
     return iterate(cut(start), step, "changed")
 
 
+def frontier_cores(graph: Graph, rankings: Sequence[Sequence[int]], beta: int = 0, scale: int = 1) -> DataFrame:
+    """``ranking``, ``node_id``, ``vec`` for all rankings in one loop, keyed by (ranking, node).
+
+    Nodes outside a ranking add nothing to anyone, so only edges towards ranked nodes take part, and only
+    ranked nodes that fell make a frontier. A round is one written state with the flag ``fell``. Shorter
+    rankings carry zeros up to the longest one's length, which leaves their order as it is.
+    """
+    graph = graph.cut()
+    width = max(len(r) for r in rankings)
+    keys = [lexi.ranking_key(r) for r in rankings]
+    adjacency = cut(graph.adjacency.repartition("src"))
+    pad = lambda row: row + [0] * (width - len(row))
+    ranked = F.explode(F.array(*[F.struct(F.lit(k).alias("ranking"), F.array(*[F.lit(int(g)) for g in r]).alias("groups")) for k, r in zip(keys, rankings)]))
+    placed = graph.nodes.select("node_id", "group_id", ranked.alias("r")).select("node_id", F.col("r.ranking").alias("ranking"), F.nullif(F.array_position("r.groups", F.col("group_id")), F.lit(0)).alias("pos"))
+    adds = {(k, i + 1): pad(row) for k, r in zip(keys, rankings) for i, row in enumerate(_weights(r, beta, scale))}
+
+    def own(i: int):
+        out = F
+        for (k, pos), row in adds.items():
+            out = out.when((F.col("ranking") == k) & (F.col("pos") == pos), F.lit(row[i]).cast("long"))
+        return out.otherwise(F.lit(0).cast("long")).alias(f"o{i}")
+
+    each = [f"o{i}" for i in range(width)]
+    mine = cut(placed.select("ranking", "node_id", (F.col("pos").isNotNull()).alias("in"), *[own(i) for i in range(width)]))
+    towards = mine.where("`in`").select("ranking", F.col("node_id").alias("dst"), *each)
+    sums = adjacency.join(towards, "dst").groupBy("ranking", F.col("src").alias("node_id")).agg(*[F.sum(o).alias(f"d{o}") for o in each])
+    start = F.array(*[F.col(o) + F.coalesce(f"d{o}", F.lit(0)) for o in each])
+    state, first = mark(mine.join(sums, ["ranking", "node_id"], "left").select(*mine.columns, start.alias("vec"), F.lit(True).alias("fell"))), True
+    while first or not state.where("fell").isEmpty():
+        near = state.where("`in`").select("ranking", F.col("node_id").alias("dst"), "vec", *each, "fell")
+        rows = adjacency.join(near, "dst")
+        if not first:
+            touched = rows.where("fell").select("ranking", "src").distinct()
+            rows = rows.join(touched, ["ranking", "src"], "left_semi")
+        rows = rows.groupBy("ranking", "src", "vec").agg(*[F.sum(o).alias(o) for o in each])
+        down = Window.partitionBy("ranking", "src").orderBy(F.desc("vec")).rowsBetween(Window.unboundedPreceding, 0)
+        upto = rows.select("ranking", F.col("src").alias("node_id"), F.col("vec").alias("near"), *[F.sum(o).over(down).alias(f"c{o}") for o in each])
+        both = upto.join(mine.select("ranking", "node_id", *each), ["ranking", "node_id"])
+        best = both.groupBy("ranking", "node_id").agg(F.max(F.least(F.col("near"), F.array(*[F.col(f"c{o}") + F.col(o) for o in each]))).alias("best"))
+        me = F.array(*[F.col(o) for o in each])
+        # Nodes that no frontier touches have no ``best`` and stay; the first round touches all that have ranked neighbours.
+        low = F.when(F.col("best").isNotNull(), F.least("vec", F.greatest(me, F.col("best")))).otherwise(F.col("vec"))
+        after = mark(state.join(best, ["ranking", "node_id"], "left").select(*mine.columns, low.alias("vec"), (low < F.col("vec")).alias("fell")))
+        forget(state)
+        state, first = after, False
+    length = F.size(F.split("ranking", "_"))
+    return state.select("ranking", "node_id", F.slice("vec", F.lit(1), length).alias("vec"))
+
+
 def peel_arrays(n: int, src: np.ndarray, dst: np.ndarray, pos: np.ndarray, add: list[list[int]]) -> list[tuple[int, ...]]:
     """Peel vectors of nodes 0..n-1; ``pos`` is -1 outside the ranking."""
     s = len(add)
@@ -104,15 +154,11 @@ def peel_arrays(n: int, src: np.ndarray, dst: np.ndarray, pos: np.ndarray, add:
 
 
 def grouped_cores(graph: Graph, rankings: Sequence[Sequence[int]], beta: int = 0, scale: int = 1) -> DataFrame:
-    """``ranking``, ``node_id``, ``vec`` for several rankings, one task each."""
+    """``ranking``, ``node_id``, ``vec`` for several rankings, one task each, of a graph within TASK_EDGES."""
     graph = graph.cut()
     edges, nodes = graph.edges.select("src", "dst"), graph.nodes.select("node_id", "group_id")
     if any(x.limit(TASK_EDGES + 1).count() > TASK_EDGES for x in (edges, nodes)):
-        parts = [fixpoint_cores(graph, r, beta, scale).select(F.lit(lexi.ranking_key(r)).alias("ranking"), "node_id", "vec") for r in rankings]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
+        raise ValueError(f"one task holds {TASK_EDGES} edges and nodes at most: use frontier_cores")
     # Nodes ride along as loops (node, node, group); the graph is small and checked.
     rows = edges.select("src", "dst", F.lit(None).cast("int").alias("g")).unionAll(nodes.select("node_id", "node_id", "group_id"))
     keys = F.explode(F.array(*[F.lit(lexi.ranking_key(r)) for r in rankings]))

@@ -69,6 +69,7 @@ class Run:
     made: dict[str, DataFrame | None] = field(default_factory=dict)
     shared: dict[str, DataFrame] = field(default_factory=dict)  # bases of the graph, over rankings
     locks: dict[str, threading.RLock] = field(default_factory=dict)
+    one_task: bool = False  # whether a task may hold the whole graph
 
     def lock(self, key: str) -> threading.RLock:
         """Held while a base is made, so that methods that run side by side make it once.
@@ -86,6 +87,13 @@ class Run:
     def near(self) -> DataFrame:
         return self.once("_near", lambda: paths.distances(self.graph, local.REACH))
 
+    def coreness(self) -> DataFrame:
+        return self.once("coreness", lambda: hindex.coreness(self.graph, self.one_task))
+
+    def cores(self, graph: Graph, ranking: Sequence[int], beta: int = 0, scale: int = 1) -> DataFrame:
+        form = peel.grouped_cores if self.one_task else peel.frontier_cores
+        return form(graph, [ranking], beta, scale).select("node_id", "vec")
+
     def directed(self) -> DataFrame:
         return self.graph.adjacency
 
@@ -104,12 +112,12 @@ def _h(k: int) -> Callable[[Run], DataFrame]:
 
 
 def _lexi(run: Run) -> DataFrame:
-    return peel.grouped_cores(run.graph, [run.ranking]).select("node_id", "vec")
+    return run.cores(run.graph, run.ranking)
 
 
 def _extended(run: Run) -> DataFrame | None:
     more = peel.extended(run.graph, run.ranking)
-    return None if more is None else peel.grouped_cores(more[0], [more[1]]).select("node_id", "vec")
+    return None if more is None else run.cores(*more)
 
 
 def _random(run: Run) -> DataFrame:
@@ -155,14 +163,14 @@ def _sensitive(run: Run, base: float = 0.5) -> DataFrame | None:
 
 
 METHODS: dict[str, Callable[[Run], DataFrame | None]] = {
-    "coreness": lambda r: hindex.coreness(r.graph),
+    "coreness": lambda r: hindex.coreness(r.graph, r.one_task),
     "degree": lambda r: degrees.degree(r.graph),
-    "betweenness": lambda r: paths.betweenness(r.graph),
+    "betweenness": lambda r: paths.betweenness(r.graph, one_task=r.one_task),
     "pagerank": lambda r: pagerank.pagerank(r.graph),
     **{f"h{k}_index": _h(k) for k in range(1, 6)},
     "closeness_centrality": lambda r: paths.closeness(r.graph),
-    "gravity_centrality": lambda r: local.gravity(r.graph, r.once("coreness", lambda: hindex.coreness(r.graph)), r.near()),
-    "extended_gravity_centrality": lambda r: local.extended_gravity(r.graph, r.near(), r.once("coreness", lambda: hindex.coreness(r.graph))),
+    "gravity_centrality": lambda r: local.gravity(r.graph, r.coreness(), r.near()),
+    "extended_gravity_centrality": lambda r: local.extended_gravity(r.graph, r.near(), r.coreness()),
     "local_gravity": lambda r: local.local_gravity(r.graph, r.near()),
     "gravity_h_index": lambda r: local.gravity_h_index(r.graph, r.near()),
     "clustering_coefficient_centrality": lambda r: local.clustering_coefficient(r.graph),
@@ -185,7 +193,7 @@ def beta_methods(beta: float) -> dict[str, Callable[[Run], DataFrame | None]]:
     scaled, label = round(beta * 100), f"{beta:g}"
     base = {
         f"betas_degree_lexicographic_{label}": lambda r: degrees.blended_degree_vector(r.graph, r.ranking, scaled),
-        f"betas_lexipeeling_{label}": lambda r: peel.grouped_cores(r.graph, [r.ranking], scaled, 100).select("node_id", "vec"),
+        f"betas_lexipeeling_{label}": lambda r: r.cores(r.graph, r.ranking, scaled, 100),
         f"betas_pagerank_exponential_jump_{label}": lambda r: pagerank.pagerank(r.graph, pagerank.exponential_jump(r.graph, r.ranking, 0.5 + beta)),
         f"betas_fspr_{label}": lambda r: _sensitive(r, 0.5 + beta),
         f"betas_lfpr_u_{label}": lambda r: _step_fair(r, 0.5 + beta),
@@ -281,18 +289,19 @@ def _wave(name: str, betas: Sequence[float]) -> int:
     return int(name in COMPOSITES or any(name in beta_composites(b) for b in betas))
 
 
-def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0, workers: int = 1) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0, workers: int = 1, one_task: bool = False) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out or were too large.
 
     Such a method is skipped for later rankings, with everything built on it. Methods come before
     pairs, pairs before restrictions; ``workers`` of them run side by side (1 for runtimes that do
-    not disturb each other), which helps where a round's set-up outweighs its work.
+    not disturb each other), which helps where a round's set-up outweighs its work. ``one_task`` lets
+    tasks hold the whole graph for core numbers, peels and path counts, within these methods' bounds.
     """
     shared: dict[str, DataFrame] = {}
     graph = graph.cut()
     spark, parts, late = graph.nodes.sparkSession, [], []
     for ranking in rankings:
-        run, got, took = Run(graph, ranking, shared=shared), {}, {}
+        run, got, took = Run(graph, ranking, shared=shared, one_task=one_task), {}, {}
 
         def one(name: str) -> None:
             if any(x == name or name.endswith(f"_{x}") for _, x in list(late)):

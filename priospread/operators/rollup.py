@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexi import median_vector
+from ..functions.ranks import median_vectors
 from ..plans.loops import cut
 
 # The levels of the summary tables.
@@ -114,8 +114,9 @@ def best_spreaders(methods: DataFrame, vectors: DataFrame, sizes: Sequence[int])
 
 
 def median_reach(methods: DataFrame, vectors: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Lexicographic median of the reach vectors of each method's rank-1 nodes."""
-    return methods.where("rank = 1").join(vectors, "node_id").groupBy(*by).agg(median_vector(F.collect_list("vec")).alias("median_reach"), F.count("*").alias("n"))
+    """Lexicographic median of the reach vectors of each method's rank-1 nodes; with ``sd`` in ``vectors`` also of these."""
+    rows = methods.where("rank = 1").join(vectors, "node_id")
+    return median_vectors(rows, by, "vec", "sd" if "sd" in vectors.columns else None).withColumnsRenamed({"median": "median_reach", "median_std": "median_reach_std"})
 
 
 # Parts of composite names, methods that are always selected, and methods that need a ranking.

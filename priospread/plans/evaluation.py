@@ -30,7 +30,7 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LEVELS = f"lv AS (SELECT [{', '.join(repr(n) for n in NAMES)}][(p_partkey % {len(NAMES)} + 1)::INTEGER] AS method, (max(p_size % 7) * 10 + min(p_size % 7))::DOUBLE AS score FROM part GROUP BY 1)"
-COMPOSITE = "(" + " OR ".join(f"contains(method, '{p}')" for p in ("lexipeeling_coreness", "lexipeeling_degree", "lexipeeling_degree_lexicographic", "degree_lexicographic_lexipeeling", "restricted_degree_lexicographic")) + ")"
+COMPOSITE = "(" + " OR ".join(f"contains(method, '{p}')" for p in rollup.COMPOSITE_PARTS) + ")"
 
 
 def selected_methods(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,8 @@ def first_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_with_ties(spark: SparkSession, sf: str) -> DataFrame:
-    return with_ties(degrees.degree(cosource_graph(spark, sf)), "value", 10)
+    g = cosource_graph(spark, sf)
+    return with_ties(degrees.degree(g), "value", 10, rows=g.nodes.count())
 
 
 def modal_ranks(spark: SparkSession, sf: str) -> DataFrame:

@@ -160,24 +160,39 @@ f{k} AS MATERIALIZED (SELECT node_id, got + (1 - (SELECT sum(got) FROM g{k})) *
     return [*out, f"fair AS (SELECT * FROM f{rounds})"]
 
 
-def spread(rounds: int = 25) -> list[str]:
-    """SIR rounds, unrolled: a path visits each of the 25 nations once at most."""
+def lfpr_p(rounds: int) -> list[str]:
+    """The step rule of two groups with buckets spread by plain PageRank of as many rounds."""
+    step = lfpr_u(0)
+    out = [*pagerank(rounds, "1"), step[0], step[1],
+           "bs AS MATERIALIZED (SELECT t.node_id, t.group_id, 0.5::DOUBLE / size AS jump, pr.value / sum(pr.value) OVER (PARTITION BY t.group_id) AS s FROM two t JOIN size2 USING (group_id) JOIN pr USING (node_id))",
+           step[3], step[4], "f0 AS MATERIALIZED (SELECT node_id, jump AS value FROM bs)"]
+    for k in range(1, rounds + 1):
+        out.append(f"""g{k} AS MATERIALIZED (
+  SELECT b.node_id, b.jump, 0.85::DOUBLE * (coalesce(d.direct, 0) + b.s * CASE WHEN b.group_id = 1 THEN (SELECT sum(value * e1) FROM f{k - 1} JOIN x2 USING (node_id)) ELSE (SELECT sum(value * e0) FROM f{k - 1} JOIN x2 USING (node_id)) END) AS got FROM bs b
+  LEFT JOIN (SELECT dst AS node_id, sum(f.value * x) AS direct FROM adj JOIN f{k - 1} f ON f.node_id = src JOIN x2 ON x2.node_id = src GROUP BY dst) d USING (node_id)),
+f{k} AS MATERIALIZED (SELECT node_id, got + (1 - (SELECT sum(got) FROM g{k})) * jump AS value FROM g{k})""")
+    return [*out, f"fair AS (SELECT * FROM f{rounds})"]
+
+
+def spread(rounds: int = 25, probability: float = PROBABILITY, tag: str = "") -> list[str]:
+    """SIR rounds, unrolled: a path visits each of the 25 nations once at most. ``tag`` ends the tables' names."""
     h = f"((src * {FACTORS['u']} + dst * {FACTORS['v']} + seed * {FACTORS['seed']} + sim * {FACTORS['sim']} + 17) % {PRIME})"
-    out = [f"t0 AS MATERIALIZED (SELECT node_id AS seed, sim, node_id FROM nodes CROSS JOIN (SELECT unnest(range({RUNS})) AS sim))", "v0 AS (SELECT * FROM t0)"]
+    t, v, cnt = f"t{tag}", f"v{tag}", f"cnt{tag}"
+    out = [f"{t}0 AS MATERIALIZED (SELECT node_id AS seed, sim, node_id FROM nodes CROSS JOIN (SELECT unnest(range({RUNS})) AS sim))", f"{v}0 AS (SELECT * FROM {t}0)"]
     for k in range(1, rounds + 1):
         coin = "h0"
-        inner = f"SELECT t.seed, t.sim, a.dst, {h} AS h0 FROM t{k - 1} t JOIN adj a ON a.src = t.node_id"
+        inner = f"SELECT t.seed, t.sim, a.dst, {h} AS h0 FROM {t}{k - 1} t JOIN adj a ON a.src = t.node_id"
         for i, c in enumerate(OFFSETS):
             inner = f"SELECT seed, sim, dst, (h{i} * h{i} + {c} * (h{i} % 65536) + {c}) % {PRIME} AS h{i + 1} FROM ({inner})"
             coin = f"h{i + 1}"
-        out.append(f"t{k} AS MATERIALIZED (SELECT DISTINCT seed, sim, dst AS node_id FROM ({inner}) x WHERE {coin} < {int(PROBABILITY * PRIME)} AND NOT EXISTS (SELECT 1 FROM v{k - 1} v WHERE v.seed = x.seed AND v.sim = x.sim AND v.node_id = x.dst))")
-        out.append(f"v{k} AS MATERIALIZED (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM t{k})")
-    out.append(f"cnt AS (SELECT seed, sim, group_id, count(*) AS c FROM v{rounds} JOIN nodes USING (node_id) GROUP BY ALL)")
-    out.append(f"""sir AS MATERIALIZED (
+        out.append(f"{t}{k} AS MATERIALIZED (SELECT DISTINCT seed, sim, dst AS node_id FROM ({inner}) x WHERE {coin} < {int(probability * PRIME)} AND NOT EXISTS (SELECT 1 FROM {v}{k - 1} v WHERE v.seed = x.seed AND v.sim = x.sim AND v.node_id = x.dst))")
+        out.append(f"{v}{k} AS MATERIALIZED (SELECT * FROM {v}{k - 1} UNION ALL SELECT * FROM {t}{k})")
+    out.append(f"{cnt} AS (SELECT seed, sim, group_id, count(*) AS c FROM {v}{rounds} JOIN nodes USING (node_id) GROUP BY ALL)")
+    out.append(f"""sir{tag} AS MATERIALIZED (
   SELECT g.seed AS node_id, g.group_id, coalesce(s, 0) / {float(RUNS)}::DOUBLE AS mean,
     sqrt(greatest(coalesce(s2, 0) / {float(RUNS)}::DOUBLE - (coalesce(s, 0) / {float(RUNS)}::DOUBLE) * (coalesce(s, 0) / {float(RUNS)}::DOUBLE), 0)) AS std
   FROM (SELECT n.node_id AS seed, g.group_id FROM nodes n CROSS JOIN (SELECT DISTINCT group_id FROM nodes) g) g
-  LEFT JOIN (SELECT seed, group_id, sum(c) AS s, sum(c * c) AS s2 FROM cnt GROUP BY seed, group_id) c ON c.seed = g.seed AND c.group_id = g.group_id)""")
+  LEFT JOIN (SELECT seed, group_id, sum(c) AS s, sum(c * c) AS s2 FROM {cnt} GROUP BY seed, group_id) c ON c.seed = g.seed AND c.group_id = g.group_id)""")
     return out
 
 

@@ -67,9 +67,8 @@ def coreness_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def priority_core_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """The peel of a ranking in one task per ranking (the edge count is checked)."""
     g = cosource_graph(spark, sf)
-    cores = peel.grouped_cores(g, [RANKING]).select("node_id", "vec")
+    cores = peel.frontier_cores(g, [RANKING]).select("node_id", "vec")
     return _ranked(g, cores, "vec").select("node_id", lexi.render(F.col("vec")).alias("value"), "rank")
 
 
@@ -102,17 +101,17 @@ def target_rankings(spark: SparkSession, sf: str) -> DataFrame:
 
 def restricted_degree_rank(spark: SparkSession, sf: str) -> DataFrame:
     g = cosource_graph(spark, sf)
-    return restrict(_ranked(g, degrees.degree(g)), g.nodes, RANKING).select("node_id", "value", "rank")
+    return restrict(_ranked(g, degrees.degree(g)), g.nodes, RANKING, rows=g.nodes.count()).select("node_id", "value", "rank")
 
 
 def restricted_first_degree_rank(spark: SparkSession, sf: str) -> DataFrame:
     g = cosource_graph(spark, sf)
-    return restrict(_ranked(g, degrees.degree(g)), g.nodes, RANKING, first=True).select("node_id", "value", "rank")
+    return restrict(_ranked(g, degrees.degree(g)), g.nodes, RANKING, first=True, rows=g.nodes.count()).select("node_id", "value", "rank")
 
 
 def tiebreak_degree_h1(spark: SparkSession, sf: str) -> DataFrame:
-    g = cosource_graph(spark, sf)
-    return tie_break(_ranked(g, degrees.degree(g)), _ranked(g, hindex.h_chain(g, 1))).select("node_id", "value", "rank")
+    g = cosource_graph(spark, sf).cut()  # both ranks are of the same edges
+    return tie_break(_ranked(g, degrees.degree(g)), _ranked(g, hindex.h_chain(g, 1)), rows=g.nodes.count()).select("node_id", "value", "rank")
 
 
 def fractional_degree_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,7 +420,7 @@ def method_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Every named method, with the blended ones of all betas, through the registry on the nation graph."""
     g = nation_trade_graph(spark, sf)
     g = Graph(cut(g.nodes), cut(g.edges))
-    return registry.run_methods(g, [RANKING], registry.all_names(BETAS), BETAS, graph_name="nations", workers=8)[0].drop("runtime")
+    return registry.run_methods(g, [RANKING], registry.all_names(BETAS), BETAS, graph_name="nations", workers=8, one_task=True)[0].drop("runtime")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SUFFIX = re.compile(r"L(?P<lengths>.*?)_S(?P<strategies>.*?)(?:_R(?P<count>[+-]?\d+))?", re.DOTALL)
 _NOTHING = {"lengths": [], "strategies": [], "random_count": None}
@@ -66,3 +67,32 @@ def rankings_of(methods: DataFrame) -> list[list[int]]:
     """The distinct rankings of a table of method results, by their names."""
     names = sorted(r["ranking"] for r in methods.select("ranking").where("ranking is not null").distinct().collect())  # a row a ranking
     return [[int(g) for g in name.split("_")] for name in names]
+
+
+_COMPARISON = r"([^/]*)_r([0-9_]+)_p([0-9.]+?)(?:_betas_([^/]*))?_comparison\.(?:parquet|csv)"
+
+
+def read_comparisons(spark: SparkSession, folder: str, graph: str | None = None, ranking: str | None = None, probability: float | None = None) -> DataFrame:
+    """All comparison files of a folder, or of its ``sem_<n>`` folders, as one table.
+
+    Graph, ranking, probability, beta group (``none`` without one) and noise level (null outside such a
+    folder) come from the files' names; those of the arguments are looked for by name, so no other file is
+    opened. Files may differ in their columns: the table has all of them. Parquet, or CSV where there is none.
+    Files whose names hold no ranking are left out; a folder without any file is an error.
+    """
+    name = f"{graph or '*'}_r{ranking or '[0-9]*'}_p{'*' if probability is None else f'{probability:.4f}'}"
+    for kind in ("parquet", "csv"):
+        ends = ["_comparison"] + ([] if probability is None else ["_betas_*_comparison"])
+        found = [x for sub in ("", "sem_*/") for end in ends for x in listed(spark, folder, f"{sub}{name}{end}.{kind}")]
+        found = [x for x in found if re.fullmatch(_COMPARISON, x.rsplit("/", 1)[-1])]
+        if found:
+            rows = spark.read.option("mergeSchema", "true").parquet(*found) if kind == "parquet" else spark.read.csv(found, header=True, inferSchema=True)
+            break
+    else:
+        raise FileNotFoundError(f"no comparison files in {folder}")
+    at = F.col("_metadata.file_path")
+    of = lambda k: F.regexp_extract(at, f"/{_COMPARISON}", k)
+    level = F.regexp_extract(at, r"/sem_(\d+)/[^/]*(?:/[^/]*)?$", 1)
+    made = {"graph_name": of(1), "ranking": of(2), "infection_prob": of(3).cast("double"), "betas_group": F.when(of(4) == "", "none").otherwise(of(4)), "sem": F.nullif(level, F.lit("")).cast("int")}
+    # Spark's own writer makes a folder of a file: the name is then the folder's.
+    return rows.select("*", *[x.alias(f"_{c}") for c, x in made.items()]).drop(*made).withColumnsRenamed({f"_{c}": c for c in made})

@@ -46,3 +46,21 @@ def nation_trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = weights.join(F.broadcast(average), F.col("w") > F.col("mean")).select("src", "dst")
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_regionkey").cast("int").alias("group_id"))
     return Graph(nodes, canonical(edges))
+
+
+def flag_trade_graphs(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+    """The trade graphs of nations, one a return flag, as one graph, and the ``graph_name`` of its nodes.
+
+    A node is the flag's code point times 100 plus the nation; an edge has more line items than the flag's mean.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.ascii("l_returnflag") * 100).cast("long").alias("f"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    buyers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))
+    sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("b"))
+    pairs = lines.join(orders, "l_orderkey").join(buyers, "c_custkey").join(sellers, "l_suppkey").where("a <> b")
+    weights = pairs.groupBy("f", (F.col("f") + F.least("a", "b")).alias("src"), (F.col("f") + F.greatest("a", "b")).alias("dst")).agg(F.count("*").alias("w"))
+    edges = weights.join(weights.groupBy("f").agg(F.avg("w").alias("mean")), "f").where("w > mean").select("src", "dst")
+    ends = weights.select(F.col("src").alias("node_id")).unionAll(weights.select("dst")).distinct()
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("int").alias("group_id"))
+    nodes = ends.join(regions, F.col("node_id") % 100 == F.col("k")).select("node_id", "group_id")
+    return Graph(nodes, edges), nodes.select("node_id", F.concat(F.lit("trade_"), F.char(F.floor(F.col("node_id") / 100))).alias("graph_name"))

@@ -1,3 +1,4 @@
+import ast
 import importlib.util
 import os
 import shutil
@@ -5,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -15,16 +18,25 @@ def test_entry_and_names(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_imports_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_imports_without_the_subpackage(tmp_path, gone):
     to = tmp_path / "repo"
-    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; assert 'degree_rank' in e.queries() and not any(q.startswith('op') for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *gone))
+    code = "import __spark_entry__ as e; assert 'degree_rank' in e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env=env)
 
 
+def imported(tree):
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Import):
+            yield from (a.name for a in x.names)
+        elif isinstance(x, ast.ImportFrom):
+            yield from (f"{x.module or ''}.{a.name}" for a in x.names)
+
+
 def test_library_does_not_import_the_subpackage():
     for p in (ROOT / "priospread").rglob("*.py"):
-        if "llm" not in p.parts:
-            assert "llm" not in p.read_text(), p
+        if p.parent.name != "llm":
+            assert not [m for m in imported(ast.parse(p.read_text())) if {"llm", "corpus_pipeline"} & set(m.split("."))], p
     assert importlib.util.find_spec("priospread.plans.queries")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priospread.functions import lexi, ranks
-from priospread.operators import agreement, degrees, epidemic, fairrank, hindex, local, paths, peel, registry, report, targets
+from priospread.operators import degrees, epidemic, fairrank, hindex, local, paths, peel, registry, report, targets
 from priospread.operators.generate import assign_groups, block_probabilities, grown_graph, uniform_graph
 from priospread.sources.text import Graph, canonical, compact_ids, load_graph, read_edges
 
@@ -152,19 +152,6 @@ def test_strategies(spark):
         targets.strategy_rankings(m, [5])
 
 
-def test_kendall_forms_agree(spark):
-    rng = np.random.default_rng(1)
-    m, s = rng.integers(1, 8, 60), rng.integers(1, 9, 60)
-    want = sum(np.sign(m[i] - m[j]) * np.sign(s[i] - s[j]) for i in range(60) for j in range(i))
-    n0, n1, n2 = 60 * 59 / 2, *(sum(c * (c - 1) / 2 for c in np.unique(x, return_counts=True)[1]) for x in (m, s))
-    want /= ((n0 - n1) * (n0 - n2)) ** 0.5
-    assert agreement.kendall_parts(m, s) == pytest.approx(want)
-    pairs = spark.createDataFrame([("x", i, int(a), int(b)) for i, (a, b) in enumerate(zip(m, s))], "method string, node_id long, m int, s int")
-    assert agreement.kendall_sql(pairs).first().kendall_tau == pytest.approx(want)
-    assert agreement.kendall(pairs).first().kendall_tau == pytest.approx(want)
-    assert agreement.weighted_tau(m, m) == pytest.approx(1.0)
-
-
 def test_spreading_at_the_ends(spark):
     g = framed(spark, {0: 0, 1: 1, 2: 1, 3: 0}, [(0, 1), (1, 2)])
     sure = {(r.node_id, r.group_id): (r["mean"], r["std"]) for r in epidemic.reach(g, g.nodes, 1.0, 3).collect()}
@@ -299,9 +286,7 @@ def test_core_numbers_at_any_size(spark, monkeypatch):
     """The frontier form equals the one-task form; a path of 1,000 nodes comes to rest."""
     groups, edges = random_graph(3, n=30, p=0.2)
     g = framed(spark, groups, edges)
-    small = values(hindex.coreness(g))
-    monkeypatch.setattr(hindex, "TASK_EDGES", 0)
-    assert values(hindex.coreness(g)) == small
+    assert values(hindex.coreness(g)) == values(hindex.coreness(g, one_task=True))
     monkeypatch.undo()
     path = framed(spark, dict.fromkeys(range(1000), 0), [(i, i + 1) for i in range(999)])
     assert set(values(hindex.coreness(path)).values()) == {1}
@@ -323,26 +308,3 @@ def test_programme_without_its_matrix(monkeypatch):
     e = e[e[:, 0] != e[:, 1]]
     large = fairrank.sensitive_jump(pd.DataFrame(np.concatenate([e, e[:, ::-1]]), columns=["src", "dst"]), pd.DataFrame({"node_id": np.arange(2500), "group_id": np.arange(2500) % 2}), 0.6, steps=60)
     assert large.value[1::2].sum() == pytest.approx(0.6, abs=1e-6)
-
-
-def test_level_by_level_betweenness(spark, monkeypatch):
-    groups, edges = random_graph(4)
-    g = framed(spark, groups, edges)
-    want = values(paths.betweenness(g))
-    monkeypatch.setattr(paths, "WORKER_EDGES", 0)
-    assert values(paths.betweenness(g)) == pytest.approx(want)
-
-
-def test_weighted_tau_counts_all_pairs():
-    rng = np.random.default_rng(2)
-    x, y = rng.integers(1, 9, 70).astype(float), rng.integers(1, 9, 70).astype(float)
-
-    def one(a, b):
-        r = np.empty(70)
-        r[np.lexsort((b, a))[::-1]] = np.arange(70)
-        w = 1 / (1 + r)
-        ww = w[:, None] + w
-        da, db = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
-        return (ww * da * db).sum() / np.sqrt((ww * da**2).sum() * (ww * db**2).sum())
-
-    assert agreement.weighted_tau(x, y) == pytest.approx((one(x, y) + one(y, x)) / 2)
