@@ -79,7 +79,8 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
 
     Shunting-yard to postfix, which is evaluated as it is made. WITH joins one identifier and one
     exception, nothing else. ``/`` and ``,`` before a known licence mean OR, as in older tags.
-    Trailing prose after a complete expression (comment ends, full stops) is left out.
+    Comment ends and full stops after a complete expression are left out, and prose if all identifiers
+    are of known families; an unknown one that prose follows is a word of that prose: malformed.
     """
     values: list[tuple[list[str], float]] = []
     ops: list[str] = []
@@ -91,6 +92,7 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
         else:
             values.append((left[0] + right[0], (min if op == "and" else max)(left[1], right[1])))
 
+    strange = prose = False
     operand, depth, last = True, 0, ""  # operand: the next token has to start an operand; last: the kind before
     tokens = _TOKEN.findall(expression)
     for k, token in enumerate(tokens):
@@ -129,12 +131,14 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
             if not operand:
                 if depth:
                     return None
+                prose = bool(low.strip(".-+"))
                 break
             if not (name := low.rstrip(".-")):
                 return None
             values.append(([name], OPENNESS.get(family(name), UNKNOWN_OPENNESS)))
+            strange |= last != "with" and family(name) not in OPENNESS
             operand, last = False, "exception" if last == "with" else "identifier"
-    if operand or depth:
+    if operand or depth or (strange and prose):
         return None
     while ops:
         reduce_top()

@@ -72,3 +72,15 @@ def test_tag_labels_and_score():
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prose_after_a_tag_is_no_licence(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = {
+        tag + "see the file LICENSE for details": ("", 1), tag + "the licence of this file": ("", 1), tag + "Foo-1.0 OR what the author says": ("", 1),
+        tag + "none of these": ("", 1), tag + "MIT see the file LICENSE": ("mit", 0), tag + "MIT OR Apache-2.0. All of it": ("apache-2.0,mit", 0),
+        tag + "LicenseRef-Ours": ("licenseref-ours", 0), tag + "LicenseRef-Ours -->": ("licenseref-ours", 0), tag + "Foo-1.0 */": ("foo-1.0", 0), tag + "Foo-1.0.": ("foo-1.0", 0),
+        tag + "GPL-2.0-only WITH Classpath-exception-2.0 as stated": ("gpl-2.0-only-with-classpath-exception-2.0", 0),
+    }
+    got = {r.text: (r.labels, r.n_malformed) for r in scan_licenses(spark.createDataFrame([(t, t) for t in rows], "text string, t string"), "text", "t").withColumnRenamed("doc_id", "text").collect()}
+    assert got == rows
