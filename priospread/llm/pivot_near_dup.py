@@ -1,8 +1,9 @@
 """Embedding near-duplicates: a pivot-permutation index with inverted lists and exact verification.
 
 Reference points (pivots) are drawn from the vectors; one too near an earlier one is left out, so
-a dense group holds a pivot or two and not one for each share of the rows. A vector is described
-by its NEAREST pivots in order of nearness. Inverted lists hold, for each pivot, the vectors that
+a dense group holds a pivot or two and not one for each share of the rows; how near depends on how
+many are left, so vectors that share a common direction have pivots as well. A vector is described
+by its NEAREST pivots in order of nearness, both seen from the mean of the drawn vectors. Inverted lists hold, for each pivot, the vectors that
 name it. Two vectors are candidates when they share the nearest pivot, or SHARED pivots at all;
 the cosine of every candidate pair is then computed in double precision.
 
@@ -40,10 +41,13 @@ from .components import connected_components
 
 #: Least cosine of a link.
 COSINE = 0.93
-#: Pivots (least, most, per square root of the classes), drawn vectors for each, the cosine to an
-#: earlier pivot from which one is left out, pivots that describe a vector, pivots that make a
-#: candidate, vectors of a block.
-LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, DRAWN, APART, NEAREST, SHARED, BLOCK = 64, 16_384, 1.0, 4, 0.5, 8, 2, 1024
+#: Pivots (least, most, per square root of the classes), drawn vectors for each, pivots that describe
+#: a vector, pivots that make a candidate, vectors of a block.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE, DRAWN, NEAREST, SHARED, BLOCK = 64, 16_384, 1.0, 4, 8, 2, 1024
+#: Cosines to an earlier pivot from which one is left out: the first that leaves three quarters of the pivots asked for.
+APART = (0.5, 0.6, 0.7, 0.8, 0.9)
+#: Bytes of pivots that travel to every task, and of drawn vectors that come to the driver.
+PIVOT_BYTES, DRAWN_BYTES = 32 << 20, 64 << 20
 
 
 def _matrix(rows) -> np.ndarray:
@@ -56,13 +60,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def separated(x: np.ndarray, most: int) -> np.ndarray:
+def pivots_of(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` pivots among unit rows, as far apart as leaves three quarters of them.
+
+    Vectors that share a direction are all near each other by a narrow angle and would leave a handful of
+    pivots; ranks of cosines to pivots that share it as well still tell such vectors apart. A group of near
+    copies holds a pivot or two at any of these angles.
+    """
+    for apart in APART:
+        if 4 * len(found := separated(x, most, apart)) >= 3 * most:
+            break
+    return found
+
+
+def centred(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots as unit directions from the mean of the unit rows, and that mean.
+
+    Nearness is the cosine's part that differs between pivots: without the mean taken off, the pivots that lie
+    along it are everyone's nearest. Cosines of links are those of the vectors as they are.
+    """
+    mean = x.mean(0)
+    p = pivots_of(x, most) - mean
+    return p / np.maximum(np.sqrt((p * p).sum(1, keepdims=True)), 1e-12), mean
+
+
+def separated(x: np.ndarray, most: int, apart: float) -> np.ndarray:
     """The first ``most`` unit rows that are not near an earlier one that was taken."""
     kept, n = np.empty((min(most, len(x)), x.shape[1])), 0
     for row in x:
         if n == len(kept):
             break
-        if not n or (kept[:n] @ row).max() < APART:
+        if not n or (kept[:n] @ row).max() < apart:
             kept[n], n = row, n + 1
     return kept[:n]
 
@@ -105,12 +133,13 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     rows = rows.select("id", F.when(F.col("sound") & F.col("label").isNotNull() & F.col("id").isNotNull(), F.struct("label", "v")).alias("class"))
     classes = checkpoint(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "class.label", "class.v", "copies"))
-    n = classes.count()
-    some = math.ceil(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOT_RATE * math.sqrt(n))))
-    by_size: dict[int, list] = {}
-    for r in classes.orderBy(hash_order("id"), "id").limit(DRAWN * some).select("v").collect():  # at most DRAWN * MOST_PIVOTS rows
-        by_size.setdefault(len(r["v"]), []).append(r["v"])
-    pivots = {k: separated(_unit(_matrix(x)), some) for k, x in by_size.items()}
+    n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    some = math.ceil(min(MOST_PIVOTS, max(1, PIVOT_BYTES // (8 * width)), max(LEAST_PIVOTS, PIVOT_RATE * math.sqrt(n))))
+    drawn = max(some, min(DRAWN * some, DRAWN_BYTES // (8 * width)))
+    sizes: dict[int, list] = {}
+    for v in classes.orderBy(hash_order("id"), "id").limit(drawn).select("v").toArrow().column("v"):
+        sizes.setdefault(len(v), []).append(v.values.to_numpy())
+    pivots = {k: centred(_unit(_matrix(x)), some) for k, x in sizes.items()}
 
     def describe(batches):
         for pdf in batches:
@@ -118,7 +147,7 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
                 # A length without a pivot has one list for all its vectors.
                 named = np.zeros((len(part), 1), np.int32)
                 if (p := pivots.get(size)) is not None:
-                    near = -(_unit(_matrix(part.v)) @ p.T)
+                    near = -((_unit(_matrix(part.v)) - p[1]) @ p[0].T)
                     named = np.argsort(near, axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
                 yield part.assign(size=size, named=list(named))
 

@@ -151,6 +151,25 @@ def test_pairs_meet_in_one_list():
     assert (met.sum(0) == ((shared >= P.SHARED) | (a[:, 0] == b[:, 0]))).all()
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.6, 0.7])
+def test_index_of_vectors_that_share_a_direction(mean):
+    """50,000 vectors of a mean cosine: few pairs are candidates, planted near pairs are among them."""
+    rng, n, dim, planted = np.random.default_rng(3), 50_000, 64, 500
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(n, dim))) * (1 - mean) ** 0.5 + unit(rng.normal(size=dim)) * mean**0.5
+    src, dst = rng.integers(0, n // 2, planted), n // 2 + np.arange(planted)
+    c, u = rng.uniform(P.COSINE, 0.99, (planted, 1)), unit(x[src])
+    off = rng.normal(size=(planted, dim))
+    off = unit(off - (off * u).sum(1, keepdims=True) * u)
+    x[dst] = c * u + (1 - c * c) ** 0.5 * off
+    u, some = P._unit(x), 224
+    pivots, middle = P.centred(u[rng.permutation(n)[: P.DRAWN * some]], some)
+    named = np.argsort(-((u - middle) @ pivots.T), axis=1, kind="stable")[:, : P.NEAREST]
+    meet = lambda a, b: (a[:, 0] == b[:, 0]) | ((a[:, :, None] == b[:, None, :]).sum((1, 2)) >= P.SHARED)
+    i, j = rng.integers(0, n, (2, 60_000))
+    assert meet(named[i], named[j]).mean() < 0.06 and meet(named[src], named[dst]).mean() > 0.99
+
+
 def test_share_of_rows_that_the_threshold_algorithm_scores():
     """Lists of falling spread stop early; lists without structure are read to the end (see the README)."""
     rng = np.random.default_rng(1)
@@ -181,14 +200,14 @@ def test_masses_against_plain_python(spark):
         for (a, _), w in way:
             out[a] = out.get(a, 0) + w
         total = sum(w for (k, _), w in seeds.items() if k == kind)
-        start = {h: U.FINE * w // total for (k, h), w in seeds.items() if k == kind}
-        state = dict(start)
-        for _ in range(U.TURNS):
-            new = {h: m * (100 - U.FOLLOW) // 100 for h, m in start.items()}
+        fine = U.UNIT * (sum(edges.values()) + sum(seeds.values()))
+        home = {h: (fine * w // total) * (100 - U.FOLLOW) // 100 for (k, h), w in seeds.items() if k == kind}
+        state, was = dict(home), None
+        while state != was:
+            was, state = state, dict(home)
             for (a, b), w in way:
-                if a in state:
-                    new[b] = new.get(b, 0) + (state[a] * U.FOLLOW // 100) * w // out[a]
-            state = new
+                if a in was:
+                    state[b] = state.get(b, 0) + (was[a] * U.FOLLOW // 100) * w // out[a]
         left = sum(state.values())
         for h, m in state.items():
             want.setdefault(h, [0, 0])[at] = m * U.FINE // left
