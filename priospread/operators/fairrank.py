@@ -87,10 +87,12 @@ def global_uniform(ranks: DataFrame, nodes: DataFrame, phi: DataFrame, rounds: i
     of = ranks.join(nodes, "node_id")
     sums = of.groupBy("group_id").agg(F.sum("value").alias("mass"), F.count("*").alias("size")).join(phi, "group_id")
     state = mark(of.join(F.broadcast(sums), "group_id").select("node_id", "group_id", (F.col("value") + (F.col("share") - F.col("mass")) / F.col("size")).alias("value")))
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         debt = state.groupBy("group_id").agg(F.sum(F.when(F.col("value") < 0, -F.col("value")).otherwise(F.lit(0.0))).alias("debt"), F.count_if(F.col("value") > 0).alias("rich"))
         if debt.where("debt > 1e-15 and rich > 0").isEmpty():
             break
+        if not left:
+            raise RuntimeError(f"debts did not settle in {rounds} rounds")
         paid = F.when(F.col("value") < 0, F.lit(0.0)).when(F.col("value") > 0, F.col("value") - F.col("debt") / F.col("rich")).otherwise(F.col("value"))
         state = mark(state.join(F.broadcast(debt), "group_id").select("node_id", "group_id", paid.alias("value")))
     return state.select("node_id", F.greatest("value", F.lit(0.0)).alias("value"))
@@ -506,7 +508,8 @@ def fair_programme(edges: pd.DataFrame, nodes: pd.DataFrame, row, gamma: float =
 
     ``row(Q, plain, groups)`` gives (a, b), one linear condition on the jump vector. Accelerated
     gradients, projected exactly; only products with Q are formed. With ``near_itself`` the target
-    is |v - p|^2 (Q = I). None if infeasible.
+    is |v - p|^2 (Q = I). None if infeasible; the column ``settled`` tells whether the last step moved less
+    than 1e-10, or ``steps`` ran out before.
     """
     ids = np.sort(nodes.node_id.to_numpy())
     n = len(ids)
@@ -538,7 +541,7 @@ def fair_programme(edges: pd.DataFrame, nodes: pd.DataFrame, row, gamma: float =
 
     if near_itself:
         v = project(plain)
-        return pd.DataFrame({"node_id": ids, "jump": v, "value": v})
+        return pd.DataFrame({"node_id": ids, "jump": v, "value": v, "settled": True})
     x = np.full(n, n**-0.5)
     for _ in range(30):  # the largest singular value, from below
         x = q.back(q(x))
@@ -546,14 +549,16 @@ def fair_programme(edges: pd.DataFrame, nodes: pd.DataFrame, row, gamma: float =
         x /= size
     rate = 1 / (1.05 * size)
     v = z = project(np.full(n, 1 / n))
-    t = 1.0
+    t, settled = 1.0, False
     for _ in range(steps):
         new = project(z - rate * q.back(q(z) - plain))
+        if (z - new) @ (new - v) > 0:  # the momentum points uphill: start it again
+            t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, moved, v, t = new + (t - 1) / t2 * (new - v), np.abs(new - v).max(), new, t2
-        if moved < 1e-10:
+        if settled := bool(moved < 1e-10):
             break
-    return pd.DataFrame({"node_id": ids, "jump": v, "value": q(v)})
+    return pd.DataFrame({"node_id": ids, "jump": v, "value": q(v), "settled": settled})
 
 
 def sensitive_jump(edges: pd.DataFrame, nodes: pd.DataFrame, share: float = 0.5, protected: int = 1, gamma: float = 0.15, steps: int = 1500) -> pd.DataFrame | None:

@@ -59,6 +59,10 @@ class TooLarge(Exception):
     """A graph beyond the bound of a method."""
 
 
+class NotSettled(Exception):
+    """A programme that ran out of steps before it came to rest."""
+
+
 @dataclass
 class Run:
     """One graph and ranking; ``made`` holds each base once."""
@@ -156,10 +160,12 @@ def _sensitive(run: Run, base: float = 0.5) -> DataFrame | None:
         loops = pdf.src == pdf.dst
         named = pdf[loops].rename(columns={"src": "node_id", "g": "group_id"})[["node_id", "group_id"]]
         got = fairrank.sensitive_jump(pdf[~loops].sort_values(["src", "dst"]), named, share)
-        return pd.DataFrame({"node_id": [], "value": []}) if got is None else got[["node_id", "value"]]
+        return pd.DataFrame({"node_id": [], "value": [], "settled": []}) if got is None else got[["node_id", "value", "settled"]]
 
-    out = cut(rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, "node_id long, value double"))
-    return None if out.isEmpty() else out
+    out = cut(rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, "node_id long, value double, settled boolean"))
+    if not out.where("not settled").isEmpty():
+        raise NotSettled("the programme ran out of steps")
+    return None if out.isEmpty() else out.drop("settled")
 
 
 METHODS: dict[str, Callable[[Run], DataFrame | None]] = {
@@ -290,7 +296,7 @@ def _wave(name: str, betas: Sequence[float]) -> int:
 
 
 def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence[str], betas: Sequence[float] = (), graph_name: str = "graph", replicate: int = 0, limit: float = 3600.0, workers: int = 1, one_task: bool = False) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out or were too large.
+    """One long frame of all methods over all rankings, and the (graph, method) pairs that timed out, were too large or did not settle.
 
     Such a method is skipped for later rankings, with everything built on it. Methods come before
     pairs, pairs before restrictions; ``workers`` of them run side by side (1 for runtimes that do
@@ -309,7 +315,7 @@ def run_methods(graph: Graph, rankings: Sequence[Sequence[int]], names: Sequence
             began = time.time()
             try:
                 got[name] = with_limit(spark, f"{graph_name}:{name}", limit, lambda: ranked(run, name, betas))
-            except (TimedOut, TooLarge):
+            except (TimedOut, TooLarge, NotSettled):
                 late.append((graph_name, name))
             took[name] = time.time() - began
 

