@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import forget, mark
 from ..sources.text import Graph
 from .degrees import degree
 
@@ -83,65 +82,37 @@ def assign_groups(nodes: DataFrame, fractions: Sequence[float], seed: int = 42)
 
 
 def grown_graph(spark: SparkSession, n: int, start: int, edges_each: int, minority: float, homophily: float | tuple[float, float], seed: int = 42, tries: int = 1000) -> Graph:
-    """Preferential attachment with two groups, grown by all nodes at once.
+    """Preferential attachment with two groups, on the driver: growth is sequential by nature.
 
     Starts as a clique with both groups. ``homophily`` is one number or one for each group of the
     new node. A candidate, drawn by its degree before this node came, is tried again if it is linked
     already, if it has the same group and the draw is below the homophily, or if it has the other
     group and the draw is not. An edge that finds no end in ``tries`` is left out; only a node that
-    got none at all is linked to one at random.
-
-    Every new node has ``edges_each`` slots. Drawing by degree is drawing one of the edge ends so far: a
-    clique node's, a new node's own, or the other end of an earlier slot, which the slot then copies. Draws are
-    seeded hashes of (slot, try), so a slot only waits for the slot that it copies and for the earlier slots
-    of its node, never for the draws in between. A round settles all slots whose sources are settled, or
-    moves them to their next try; copies point backwards, so the rounds needed grow with the logarithm of the
-    nodes. The own end of an edge that was left out stays in the urn (``tries`` makes that rare).
+    got none at all is linked to one at random. The size is bounded by the driver's memory.
     """
     each = homophily if isinstance(homophily, tuple) else (homophily, homophily)
-    start = min(start, n)
-    group = lambda v: (_coin(seed, F.lit("group"), v) < minority).cast("int")
-    first = [r["g"] for r in spark.range(start).select(group(F.col("id")).alias("g")).collect()]  # the clique
-    flip = len(set(first)) < 2 <= start
-    of = lambda v: F.when((v == 0) & F.lit(flip), 1 - group(v)).otherwise(group(v))
-    nodes = spark.range(n).select(F.col("id").alias("node_id"), of(F.col("id")).alias("group_id"))
-    clique = spark.range(start).select(F.col("id").alias("dst"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id"))).alias("src")).where("src < dst").select("src", "dst")
-    ends = start * (start - 1)
-    if n <= start or start < 1:
-        return Graph(nodes, clique)
-    slots = F.explode(F.sequence(F.lit(0), F.lit(max(1, edges_each) - 1))).alias("j")
-    waits = spark.range(start, n).select(F.col("id").alias("v"), slots).select("v", "j", ((F.col("v") - start) * max(1, edges_each) + F.col("j")).alias("slot"), F.lit(0).alias("at"))
-    waits, done, parts = mark(waits), None, []
-    per, none = max(1, edges_each), F.lit(None).cast("long")
-    empty = spark.createDataFrame([], "slot long, v long, j int, u long")
-    while not waits.isEmpty():
-        urn = F.lit(ends) + 2 * per * (F.col("v") - start)
-        q = F.floor(_coin(seed, F.lit("end"), F.col("slot"), F.col("at")) * urn)
-        drawn = waits.withColumn("q", F.when(urn > 0, q)).withColumn("r", F.col("q") - ends)
-        other = F.floor(F.col("r") / 2)
-        drawn = drawn.withColumn("copies", F.when((F.col("r") >= 0) & (F.col("r") % 2 == 1), other))
-        drawn = drawn.withColumn("own", F.when(F.col("r") < 0, F.col("q") % start).when(F.col("copies").isNull(), start + F.floor(other / per)))
-        settled = empty if done is None else done
-        source = settled.select(F.col("slot").alias("copies"), F.col("u").alias("copied"), F.lit(True).alias("there"))
-        before = settled.groupBy("v").agg(F.collect_list("u").alias("taken"), F.count("*").alias("k"))  # edges_each entries
-        rows = drawn.join(source, "copies", "left").join(before, "v", "left")
-        ready = (F.coalesce("k", F.lit(0)) == F.col("j")) & (F.col("copies").isNull() | F.col("there"))
-        u = F.coalesce("own", "copied")
-        toss = _coin(seed, F.lit("toss"), F.col("slot"), F.col("at")) < F.when(of(F.col("v")) == 0, each[0]).otherwise(each[1])
-        fits = F.lit(edges_each > 0) & u.isNotNull() & ~F.coalesce(F.array_contains("taken", u), F.lit(False)) & (toss != (of(F.col("v")) == of(u)))
-        last = (F.col("at") + 1 >= tries) | (urn == 0) | F.lit(edges_each < 1)
-        alone = (F.col("j") == per - 1) & (F.size(F.coalesce("taken", F.array().cast("array<long>"))) == 0)
-        anyone = F.when(alone, F.floor(_coin(seed, F.lit("any"), F.col("slot")) * F.col("v")))
-        end = F.when(fits, u).when(last, anyone).otherwise(none)
-        turn = mark(rows.select("slot", "v", "j", "at", end.alias("u"), ready.alias("ready"), (ready & (fits | last)).alias("over")))
-        forget(waits)
-        waits = mark(turn.where("not over").select("v", "j", "slot", (F.col("at") + F.col("ready").cast("int")).alias("at")))
-        parts.append(turn.where("over").select("slot", "v", "j", "u"))
-        if len(parts) == 8:
-            parts = [mark(reduce(DataFrame.unionAll, parts))]
-        done = reduce(DataFrame.unionAll, parts)
-    grown = done.where("u is not null").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    return Graph(nodes, clique.unionAll(grown))
+    rng = random.Random(seed)
+    group = [int(rng.random() < minority) for _ in range(n)]
+    if start >= 2 and len(set(group[:start])) < 2:
+        group[0] = 1 - group[0]
+    edges = [(a, b) for b in range(start) for a in range(b)]
+    ends = [x for e in edges for x in e]  # a node as often as its degree
+    for v in range(start, n):
+        chosen: list[int] = []
+        for _ in range(edges_each if ends else 0):
+            for _ in range(tries):
+                u, draw = rng.choice(ends), rng.random()
+                same = group[u] == group[v]
+                if u not in chosen and not (same and draw < each[group[v]]) and (same or draw < each[group[v]]):
+                    chosen.append(u)
+                    break
+        if not chosen and v:
+            chosen = [rng.randrange(v)]
+        for u in chosen:
+            edges.append((u, v))
+            ends += [u, v]
+    nodes = spark.createDataFrame(list(enumerate(group)), "node_id long, group_id int")
+    return Graph(nodes, spark.createDataFrame(sorted(edges), "src long, dst long"))
 
 
 def metadata(graph: Graph, name: str, seed: int, replicate: int = 0) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from priospread.functions import ranks
 from priospread.operators import fairrank, hindex, local, paths, peel
-from priospread.operators.generate import grown_graph
 
 from .test_graph import framed, near, random_graph, values
 
@@ -169,52 +168,3 @@ def test_search_of_bucket_vectors_comes_nearer(spark):
     assert values(again) == pytest.approx(values(ranks), abs=1e-12)
     aim = values(plain)
     assert sum((v - aim[u]) ** 2 for u, v in values(ranks).items()) == pytest.approx(losses[-1])
-
-
-def sequential_growth(n, start, each, minority, homophily, seed):
-    """The same law, node after node."""
-    rng = random.Random(seed)
-    group = [int(rng.random() < minority) for _ in range(n)]
-    edges = [(a, b) for b in range(start) for a in range(b)]
-    ends = [x for e in edges for x in e]
-    for v in range(start, n):
-        chosen = []
-        while len(chosen) < each:
-            u, same = rng.choice(ends), None
-            same = group[u] == group[v]
-            if u not in chosen and (rng.random() < homophily[group[v]]) != same:
-                chosen.append(u)
-        edges += [(u, v) for u in chosen]
-        ends += [x for u in chosen for x in (u, v)]
-    return group, edges
-
-
-def growth_facts(group, edges, n):
-    deg = np.bincount(np.array(edges).ravel(), minlength=n)
-    mixed = np.mean([group[a] != group[b] for a, b in edges])
-    return mixed, np.mean(deg >= 6), np.mean(deg >= 20), np.mean([d for u, d in enumerate(deg) if group[u]])
-
-
-def test_growth_by_all_nodes_at_once(spark):
-    n, start, each, minority, homophily = 5000, 4, 2, 0.3, (0.2, 0.35)
-    g = grown_graph(spark, n, start, each, minority, homophily, seed=3).cut()
-    edges = [(r.src, r.dst) for r in g.edges.collect()]
-    group = {r.node_id: r.group_id for r in g.nodes.collect()}
-    assert len(edges) == len(set(edges)) == 6 + (n - start) * each and all(a < b for a, b in edges) and len(group) == n
-    assert {group[i] for i in range(start)} == {0, 1} and abs(sum(group.values()) / n - minority) < 0.03
-    got = growth_facts([group[i] for i in range(n)], edges, n)
-    plain = np.array([growth_facts(*sequential_growth(n, start, each, minority, homophily, s), n) for s in range(6)])
-    assert (np.abs(np.array(got) - plain.mean(0)) < 6 * plain.std(0) + 0.004).all()
-    again = {(r.src, r.dst) for r in grown_graph(spark, n, start, each, minority, homophily, seed=3).edges.collect()}
-    assert again == set(edges)
-
-
-def test_growth_at_its_edges(spark):
-    one = grown_graph(spark, 6, 1, 2, 0.5, 0.5)
-    assert {r.dst for r in one.edges.collect()} == set(range(1, 6))  # every node got at least one edge
-    none = grown_graph(spark, 6, 3, 0, 0.5, 0.5)
-    assert none.edges.count() == 3 + 3 and grown_graph(spark, 3, 5, 2, 0.5, 0.5).edges.count() == 3
-    never = grown_graph(spark, 8, 3, 2, 0.5, (1.0, 1.0), tries=3)  # same group never fits
-    groups = {r.node_id: r.group_id for r in never.nodes.collect()}
-    linked = {r.dst for r in never.edges.collect() if r.dst >= 3}
-    assert linked == set(range(3, 8)) and len(groups) == 8
