@@ -150,3 +150,18 @@ def test_pipeline_matches_its_stages(spark):
     pieces = pipeline.packing(spark, clean, sf)
     assert pieces.select("doc_id").distinct().count() == clean.count()
     assert pipeline.run(spark, sf).select("doc_id").distinct().count() == clean.count()
+
+
+def test_links_of_odd_pages_are_those_of_the_sql(spark):
+    """A vertical tab is no white space there, and a long s is a letter of a scheme."""
+    import duckdb
+
+    from priospread.llm.oracles import url_sql
+
+    html = ['<a href=\v"http://v.org/es/">', '<a href=\t"http://t.org/es/">', '<a href="http\u017f://s.org/es/">', '<a href="http://w.org\v/es/">']
+    rows = [(i, f"http://h{i}.test/", h) for i, h in enumerate(html)] + [(9 + i, f"http://{c}.org/es/", None) for i, c in enumerate("vtsw")]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    got = sorted(tuple(r) for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted(con.execute(url_sql()).fetchall()) and [r[4] for r in got[:4]] == ["allow", "block", "block", "allow"]
