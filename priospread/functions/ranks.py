@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.loops import cut
 
@@ -24,11 +25,22 @@ ONE_RANGE = 100_000
 
 def _bounds(keys: DataFrame) -> list:
     """At most RANGES - 1 order keys that split a sample of the distinct keys evenly."""
-    found = sorted(r["_k"] for r in keys.select("_k").where("_k is not null").distinct().orderBy(F.xxhash64("_k")).limit(BOUND_SAMPLE).collect())
+    found = [r["_k"] for r in keys.select("_k").where("_k is not null").distinct().orderBy(F.xxhash64("_k")).limit(BOUND_SAMPLE).orderBy("_k").collect()]
     step = max(1, len(found) // RANGES)
     return found[step::step][: RANGES - 1]
 
 
+def _literal(value, of: T.DataType) -> Column:
+    """A collected order key as a column: ``F.lit`` takes no rows."""
+    if value is None:
+        return F.lit(None).cast(of)
+    if isinstance(of, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in of])
+    if isinstance(of, T.ArrayType):
+        return F.array(*[_literal(x, of.elementType) for x in value]).cast(of)
+    return F.lit(value).cast(of)
+
+
 def rank_by(df: DataFrame, order: Column, by: Sequence[str] = (), name: str = "rank", kind: str = "dense", descending: bool = True, rows: int | None = None) -> DataFrame:
     """``df`` with the column ``name``: dense or competition rank of ``order`` within ``by``.
 
@@ -44,7 +56,8 @@ def rank_by(df: DataFrame, order: Column, by: Sequence[str] = (), name: str = "r
     keyed = cut(keyed)
     keys = cut(keyed.groupBy(*by, "_k").agg(F.count("*").alias("_n")))
     bounds = _bounds(keys)
-    inside = sum((F.when(F.col("_k") >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    kind_of = keys.schema["_k"].dataType
+    inside = sum((F.when(F.col("_k") >= _literal(b, kind_of), 1).otherwise(0) for b in bounds), F.lit(0))
     keys = keys.withColumn("_r", F.when(F.col("_k").isNull(), F.lit(-1) if descending else F.lit(len(bounds) + 1)).otherwise(inside))
     step = F.lit(1).cast("long") if kind == "dense" else F.col("_n")
     local = Window.partitionBy(*by, "_r").orderBy(turn("_k")).rowsBetween(Window.unboundedPreceding, -1)

@@ -134,6 +134,19 @@ def test_restrict_and_tie_break(spark):
     assert values(ranks.tie_break(base, second), "rank") == {1: 1, 0: 2, 2: 3, 3: 4}
 
 
+def test_ranks_by_pairs_in_ranges(spark, monkeypatch):
+    """Restricted and tie-broken ranks order by pairs; beyond one range their bounds are pairs too."""
+    nodes = spark.createDataFrame([(i, i % 3) for i in range(200)], "node_id long, group_id int")
+    base = spark.createDataFrame([(i, i * 7 % 11) for i in range(200)], "node_id long, rank int")
+    second = spark.createDataFrame([(i, i * 5 % 13) for i in range(0, 200, 3)], "node_id long, rank int")
+    made = lambda: [values(ranks.restrict(base, nodes, [2, 0], first), "rank") for first in (False, True)] + [values(ranks.tie_break(base, second), "rank")]
+    one = made()
+    lists = base.select("node_id", F.when(F.col("node_id") % 5 > 0, F.struct(F.array("rank", F.lit(1)).alias("a"), F.lit(None).cast("int").alias("b"))).alias("k"))
+    listed = values(ranks.rank_by(lists, F.col("k")), "rank")
+    monkeypatch.setattr(ranks, "ONE_RANGE", 0)
+    assert made() == one and values(ranks.rank_by(lists, F.col("k")), "rank") == listed
+
+
 def test_lexicographic_helpers(spark):
     row = spark.range(1).select(
         lexi.lexi_compare(F.array(F.lit(1), F.lit(5)), F.array(F.lit(2), F.lit(3))).alias("less"),
