@@ -1,7 +1,8 @@
 """Fair PageRank: global adjustments, locally fair steps, neighbourhood fairness, quadratic programmes.
 
 Graphs here are directed, ``edges(src, dst)`` and ``nodes(node_id, group_id)``, and ``phi`` holds
-each group's target share. An undirected graph comes in as both directions.
+each group's target share. An undirected graph comes in as both directions, or as ``Meetings``, whose sums
+over neighbours stand for the joins with the edges.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.loops import cut, forget, mark
+from .meetings import Meetings
 
 FOLLOW, EPSILON, ROUNDS = 0.85, 1e-4, 100
 #: Nodes up to which a programme holds its matrix (32 MB), and edges and nodes that one process
@@ -68,6 +70,10 @@ def directed_pagerank(edges: DataFrame, nodes: DataFrame, jump: DataFrame | None
     return _settled(base.withColumn("value", F.lit(1.0 / max(1, n))), step, rounds, epsilon).select("node_id", "value")
 
 
+def _kept(edges: DataFrame | Meetings) -> DataFrame | Meetings:
+    return edges if isinstance(edges, Meetings) else cut(edges.select("src", "dst"))
+
+
 def _mixed(base: DataFrame, got: DataFrame) -> DataFrame:
     """0.85 of what was received, and all that is missing to one by the jump vector."""
     rows = base.join(got, "node_id", "left").withColumn("got", FOLLOW * F.coalesce("got", F.lit(0.0)))
@@ -100,6 +106,8 @@ def global_uniform(ranks: DataFrame, nodes: DataFrame, phi: DataFrame, rounds: i
 
 def out_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``src``, ``group_id``, ``k``: out-neighbours of a node in each group."""
+    if isinstance(edges, Meetings):
+        return edges.group_counts(nodes)
     return edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").groupBy("src", "group_id").agg(F.count("*").alias("k"))
 
 
@@ -110,11 +118,15 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     nodes in ``targets``, which then are the only receivers of buckets).
     """
     nodes = cut(nodes.select("node_id", "group_id"))
-    edges = cut(edges.select("src", "dst"))
-    phi = cut(phi)
+    edges, phi = _kept(edges), cut(phi)
     counts = cut(out_counts(edges, nodes))
-    dealt = edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(counts, ["src", "group_id"]).join(F.broadcast(phi), "group_id")
-    dealt = cut(dealt.select("src", "dst", (F.col("share") / F.col("k")).alias("weight")).repartition("src"))  # partitioned once for all rounds
+    met = isinstance(edges, Meetings)
+    if met:  # a neighbour's weight depends on the receiver's group only
+        direct = edges.by_class(nodes.select("node_id", F.col("group_id").alias("class")))
+        dealt = cut(counts.join(F.broadcast(phi), "group_id").select("src", F.col("group_id").alias("class"), (F.col("share") / F.col("k")).alias("weight")))
+    else:
+        dealt = edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(counts, ["src", "group_id"]).join(F.broadcast(phi), "group_id")
+        dealt = cut(dealt.select("src", "dst", (F.col("share") / F.col("k")).alias("weight")).repartition("src"))  # partitioned once for all rounds
     chosen = nodes if targets is None else nodes.join(targets.select("node_id").distinct(), "node_id", "left_semi")
     sizes = cut(chosen.groupBy("group_id").agg(F.count("*").alias("size")).join(phi, "group_id"))  # one row a group
     # The groups that a node has no neighbour in.
@@ -125,7 +137,8 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     marked = base if targets is None else base.join(targets.select("node_id", F.lit(True).alias("hit")).distinct(), "node_id", "left")
 
     def step(state: DataFrame) -> DataFrame:
-        flow = dealt.join(state.select(F.col("node_id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("weight")).alias("direct"))
+        sent = dealt.join(state.select(F.col("node_id").alias("src"), "value"), "src").withColumn("part", F.col("value") * F.col("weight"))
+        flow = direct(sent) if met else sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
         bucket = without.join(state.select("node_id", "value"), "node_id").groupBy("group_id").agg(F.sum(F.col("value") * F.col("share")).alias("bucket"))
         per = sizes.join(bucket, "group_id", "left").select("group_id", (F.coalesce("bucket", F.lit(0.0)) / F.col("size")).alias("even"))
         rows = marked.join(flow, "node_id", "left").join(F.broadcast(per), "group_id", "left")
@@ -146,8 +159,8 @@ def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int
     phi_c / k_c. Any number of groups; with two, the favoured one is given whole by the neighbours.
     Buckets are spread evenly, or by ``excess`` (node_id, weight), within their group.
     """
-    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
-    counts = out_counts(edges, nodes).join(F.broadcast(phi), "group_id")  # phi: a row a group
+    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), _kept(edges), cut(phi)
+    counts = cut(out_counts(edges, nodes).join(F.broadcast(phi), "group_id"))  # phi: a row a group
     part = counts.groupBy(F.col("src").alias("node_id")).agg(F.min(F.col("share") / F.col("k")).alias("x"))
     x = cut(nodes.select("node_id").join(part, "node_id", "left").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x")))
     # What a node owes each bucket: a row per node and group, as long as the result for all groups.
@@ -160,7 +173,8 @@ def step_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, favoured: int
     passed = float(phi.join(totals.where("t > 0"), "group_id").agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0])
 
     def step(state: DataFrame) -> DataFrame:
-        flow = edges.join(state.join(x, "node_id").select(F.col("node_id").alias("src"), (F.col("value") * F.col("x")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
+        sent = state.join(x, "node_id").select("node_id", (F.col("value") * F.col("x")).alias("direct"))
+        flow = edges.sums(sent, ["direct"]) if isinstance(edges, Meetings) else edges.join(sent.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("direct").alias("direct"))
         buckets = owed.join(state.select("node_id", "value"), "node_id").groupBy("group_id").agg(F.sum(F.col("value") * F.col("e")).alias("bucket"))  # a row a group
         rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
         got = F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")
@@ -314,7 +328,8 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     that group, over all its targets where there is none (``neighbourhood``). Other neighbours get
     1 / d. What is left jumps: k / n by groups to the targets, evenly to the others.
     """
-    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), cut(edges.select("src", "dst")), cut(phi)
+    nodes, edges, phi = cut(nodes.select("node_id", "group_id")), _kept(edges), cut(phi)
+    met = isinstance(edges, Meetings)
     hit = cut(targets.select("node_id").distinct().join(nodes, "node_id"))
     shares = {r["group_id"]: float(r["share"]) for r in phi.orderBy("group_id").collect()}
     if len(shares) != 2 or hit.select("group_id").distinct().count() != 2:
@@ -322,7 +337,11 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     (zero, share0), (one, share1) = shares.items()
     n, many = nodes.count(), hit.count()
     k = many if k is None else k
-    out = edges.join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left").groupBy("src").agg(F.count("*").alias("d"), F.count_if(F.col("g") == zero).alias("h0"), F.count_if(F.col("g") == one).alias("h1"))
+    if met:
+        flags = hit.select("node_id", (F.col("group_id") == zero).cast("long").alias("h0"), (F.col("group_id") == one).cast("long").alias("h1"))
+        out = edges.degrees().join(edges.sums(flags, ["h0", "h1"]), "node_id", "left").fillna(0, ["h0", "h1"]).select(F.col("node_id").alias("src"), F.col("deg").alias("d"), "h0", "h1")
+    else:
+        out = edges.join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left").groupBy("src").agg(F.count("*").alias("d"), F.count_if(F.col("g") == zero).alias("h0"), F.count_if(F.col("g") == one).alias("h1"))
     h = F.col("h0") + F.col("h1")
     likes0 = F.col("h0") / h >= share0
     out = out.withColumn("likes", F.when(h > 0, F.when(likes0, zero).otherwise(one)))
@@ -337,7 +356,12 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     sizes = hit.groupBy("group_id").agg(F.count("*").alias("size")).join(phi, "group_id")
     taking = weight.join(F.broadcast(total), "group_id").join(F.broadcast(sizes), "group_id").select("node_id", (F.col("w") / F.col("t")).alias("s"), (F.lit(k / n) * F.col("share") / F.col("size")).alias("j"))
     base = cut(nodes.join(taking, "node_id", "left").select("node_id", "group_id", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("j", F.lit(1.0 / n)).alias("jump")))
-    links = edges.join(out, "src").join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left")
+    if met:  # the amount depends on whether the receiver is a target, and of which group
+        side = F.when(F.col("g") == zero, 1).when(F.col("g") == one, 2).otherwise(0).alias("class")
+        direct = edges.by_class(cut(nodes.select("node_id").join(hit.select("node_id", F.col("group_id").alias("g")), "node_id", "left").select("node_id", side)))
+        links = out.withColumn("g", F.explode(F.array(F.lit(None).cast("long"), F.lit(zero).cast("long"), F.lit(one).cast("long")))).withColumn("dst", side)
+    else:
+        links = edges.join(out, "src").join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left")
     near = (F.col("g") == F.col("to")) & (F.col("own") > 0) if kind == "neighbourhood" else F.lit(False)
     amount = F.when(F.col("g").isNull(), 1 / F.col("d")).otherwise(F.col("x") + F.when(near, F.col("rest") / F.col("own")).otherwise(F.lit(0.0)))
     dealt = cut(links.select("src", "dst", amount.alias("w")))
@@ -345,7 +369,8 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
 
     def step(state: DataFrame) -> DataFrame:
         now = state.select(F.col("node_id").alias("src"), "value")
-        flow = dealt.join(now, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("w")).alias("direct"))
+        sent = dealt.join(now, "src").select("src", "dst", (F.col("value") * F.col("w")).alias("part"))
+        flow = direct(sent.withColumnRenamed("dst", "class")) if met else sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
         buckets = owed.join(now, "src").groupBy("group_id").agg(F.sum(F.col("value") * F.col("rest")).alias("bucket"))
         rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
         return _mixed(base, rows.select("node_id", (F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")).alias("got")))
@@ -412,6 +437,8 @@ def source_masses(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, epsi
     Mass that leaks at sinks returns to its source, which scales a source's masses to 1. Stops when no
     value moves by ``epsilon``, or after ``rounds``; without ``epsilon`` after exactly ``rounds``.
     """
+    if isinstance(edges, Meetings):
+        return _met_masses(edges, nodes, rounds, epsilon)
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     edges = cut(edges.select("src", "dst").join(out, "src").repartition("dst"))
     home = cut(nodes.select("node_id", "group_id", F.lit(1.0).alias("own")))
@@ -428,16 +455,45 @@ def source_masses(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, epsi
     return state.join(whole, "node_id").select(F.col("node_id").alias("source"), "group_id", (F.col("value") / F.col("whole")).alias("mass"))
 
 
+def _met_masses(met: Meetings, nodes: DataFrame, rounds: int, epsilon: float | None) -> DataFrame:
+    """``source_masses`` of a graph of meetings: a column a group, so a round sums all groups at once."""
+    groups = [r[0] for r in nodes.select("group_id").distinct().orderBy("group_id").collect()]  # a row a group
+    cols = [f"y{i}" for i in range(len(groups))]
+    own = [F.col("group_id").eqNullSafe(F.lit(g)).cast("double") for g in groups]
+    home = cut(nodes.join(met.degrees(), "node_id", "left").select("node_id", "group_id", "deg"))
+    state = mark(home.select("*", *[o.alias(c) for o, c in zip(own, cols)]))
+    for _ in range(rounds):
+        got = met.sums(state, cols).select("node_id", *[F.col(c).alias(f"got_{c}") for c in cols])
+        new = [o + F.coalesce(FOLLOW * F.col(f"got_{c}") / F.col("deg"), F.lit(0.0)) for o, c in zip(own, cols)]
+        moved = F.greatest(F.lit(0.0), *[F.abs(n - F.col(c)) for n, c in zip(new, cols)], F.lit(0.0))
+        new = mark(state.drop("moved").join(got, "node_id", "left").select("node_id", "group_id", "deg", *[n.alias(c) for n, c in zip(new, cols)], moved.alias("moved")))
+        forget(state)
+        state = new
+        if epsilon is not None and (state.agg(F.max("moved")).first()[0] or 0.0) < epsilon:
+            break
+    of = nodes.schema["group_id"].dataType
+    each = F.explode(F.array(*[F.struct(F.lit(g).cast(of).alias("group_id"), F.col(c).alias("value")) for g, c in zip(groups, cols)]))
+    whole = sum((F.col(c) for c in cols[1:]), F.col(cols[0])) if cols else F.lit(1.0)
+    rows = state.select(F.col("node_id").alias("source"), whole.alias("whole"), each.alias("e"))
+    return rows.where("e.value > 0").select("source", "e.group_id", (F.col("e.value") / F.col("whole")).alias("mass"))
+
+
 def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, phi: DataFrame | None = None) -> DataFrame:
     """Per node: out and in degree, share of same-group neighbours both ways, position by rank.
 
     With ``phi`` also ``excess``: the share of its mass that the step rule sends to buckets.
     """
     of = nodes.select("node_id", "group_id")
-    pairs = edges.join(of.select(F.col("node_id").alias("src"), F.col("group_id").alias("gs")), "src").join(of.select(F.col("node_id").alias("dst"), F.col("group_id").alias("gd")), "dst")
-    same = F.avg((F.col("gs") == F.col("gd")).cast("double"))
-    out = pairs.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("out_degree"), same.alias("out_homophily"))
-    into = pairs.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("in_degree"), same.alias("in_homophily"))
+    if isinstance(edges, Meetings):  # neighbours are both
+        met = out_counts(edges, nodes).join(of.select(F.col("node_id").alias("src"), F.col("group_id").alias("gs")), "src").groupBy(F.col("src").alias("node_id"))
+        same = F.sum(F.when(F.col("group_id") == F.col("gs"), F.col("k")).otherwise(0)) / F.sum("k")
+        out = cut(met.agg(F.sum("k").alias("out_degree"), same.alias("out_homophily")))
+        into = out.toDF("node_id", "in_degree", "in_homophily")
+    else:
+        pairs = edges.join(of.select(F.col("node_id").alias("src"), F.col("group_id").alias("gs")), "src").join(of.select(F.col("node_id").alias("dst"), F.col("group_id").alias("gd")), "dst")
+        same = F.avg((F.col("gs") == F.col("gd")).cast("double"))
+        out = pairs.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("out_degree"), same.alias("out_homophily"))
+        into = pairs.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("in_degree"), same.alias("in_homophily"))
     from ..functions.ranks import rank_by
 
     placed = rank_by(ranks.select("node_id", "value"), F.struct("value", -F.col("node_id")), name="position", kind="competition")
@@ -450,8 +506,12 @@ def local_metrics(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, phi: Dat
 
 def neighbour_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node_id``, ``group_id``, ``n_in``, ``n_out`` and their shares: neighbours of a node in each group."""
-    into = out_counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_in"))
-    out = out_counts(edges, nodes).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_out"))
+    if isinstance(edges, Meetings):  # neighbours are both
+        counts = cut(out_counts(edges, nodes))
+    else:
+        counts = None
+    into = (out_counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes) if counts is None else counts).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_in"))
+    out = (out_counts(edges, nodes) if counts is None else counts).select(F.col("src").alias("node_id"), "group_id", F.col("k").alias("n_out"))
     both = into.join(out, ["node_id", "group_id"], "full").fillna(0, ["n_in", "n_out"])
     total = both.groupBy("node_id").agg(F.sum("n_in").alias("i"), F.sum("n_out").alias("o"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexi
 from ..plans.loops import cut, forget, mark
 from ..sources.text import Graph
+from .meetings import Meetings
 
 ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 
@@ -35,23 +36,26 @@ def pagerank(graph: Graph, jump: DataFrame | None = None, alpha: float = ALPHA,
 
     Stops when the summed change is below n * tolerance, or, with tolerance None, after exactly
     ``rounds``. Each round is one join with the edges, which stay partitioned by their source,
-    and one aggregate. A round uses the state three times, so the lineage is cut each round.
+    and one aggregate; a graph of meetings is summed by its places instead. A round uses the state three times, so the lineage is cut each round.
     """
     graph = graph.cut()
     jump = uniform_jump(graph) if jump is None else jump
     total = jump.agg(F.sum("jump"), F.count("*")).first()
     if not total[0]:
         jump, total = uniform_jump(graph), (total[1], total[1])
+    links = graph.links
+    met = isinstance(links, Meetings)
+    degree = links.degrees() if met else links.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("deg"))
     base = cut(
-        graph.nodes.select("node_id").join(jump, "node_id").join(graph.adjacency.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("deg")), "node_id", "left")
+        graph.nodes.select("node_id").join(jump, "node_id").join(degree, "node_id", "left")
         .select("node_id", (F.col("jump") / F.lit(float(total[0]))).alias("p"), F.coalesce("deg", F.lit(0)).alias("deg"))
     )
-    adjacency, n = cut(graph.adjacency.repartition("src")), total[1]
+    adjacency, n = None if met else cut(links.repartition("src")), total[1]
     state = base.select("node_id", "p", "deg", F.col("p").alias("value"))
     made = None
     for i in range(1, rounds + 1):
-        flow = adjacency.join(state.where("deg > 0").select(F.col("node_id").alias("src"), (F.col("value") / F.col("deg")).alias("part")), "src")
-        got = flow.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
+        parts = state.where("deg > 0").select("node_id", (F.col("value") / F.col("deg")).alias("got"))
+        got = links.sums(parts, ["got"]) if met else adjacency.join(parts.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("got").alias("got"))
         loose = state.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("value"))), F.lit(0.0)).alias("loose"))  # one row
         new = state.join(got, "node_id", "left").crossJoin(F.broadcast(loose))
         value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("p")) + (1 - alpha) * F.col("p")

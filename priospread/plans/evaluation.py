@@ -124,13 +124,13 @@ def global_uniform_fair(spark: SparkSession, sf: str) -> DataFrame:
 def step_fair_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The step rule over all five groups."""
     g = comoment_graph(spark, sf).cut()
-    out = fairrank.step_fair(g.adjacency, g.nodes, pagerank.target_distribution(g.nodes, base.RANKING), rounds=10, epsilon=None)
+    out = fairrank.step_fair(g.links, g.nodes, pagerank.target_distribution(g.nodes, base.RANKING), rounds=10, epsilon=None)
     return out.select("node_id", F.round("value", base.DIGITS).alias("value"))
 
 
 def neighbour_groups(spark: SparkSession, sf: str) -> DataFrame:
     g = comoment_graph(spark, sf).cut()
-    out = fairrank.neighbour_stats(g.adjacency, g.nodes)
+    out = fairrank.neighbour_stats(g.links, g.nodes)
     return out.select("node_id", "group_id", "n_in", "n_out", F.round("share_in", base.DIGITS).alias("share_in"), F.round("share_out", base.DIGITS).alias("share_out"))
 
 

@@ -208,7 +208,7 @@ def global_proportional_fair(spark: SparkSession, sf: str) -> DataFrame:
 
 def lfpr_n_20(spark: SparkSession, sf: str) -> DataFrame:
     g = comoment_graph(spark, sf)
-    out = fairrank.neighbourhood_fair(g.adjacency, g.nodes, pagerank.target_distribution(g.nodes, RANKING), rounds=20, epsilon=None)
+    out = fairrank.neighbourhood_fair(g.links, g.nodes, pagerank.target_distribution(g.nodes, RANKING), rounds=20, epsilon=None)
     return out.select("node_id", F.round("value", DIGITS).alias("value"))
 
 
@@ -220,7 +220,7 @@ def two_groups(graph: Graph) -> tuple[DataFrame, DataFrame]:
 
 def lfpr_u_20(spark: SparkSession, sf: str) -> DataFrame:
     g = comoment_graph(spark, sf)
-    out = fairrank.step_fair(g.adjacency, *two_groups(g), rounds=20, epsilon=None)
+    out = fairrank.step_fair(g.links, *two_groups(g), rounds=20, epsilon=None)
     return out.select("node_id", F.round("value", DIGITS).alias("value"))
 
 

@@ -175,7 +175,7 @@ def node_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Degrees, homophily both ways and place by PageRank of the moment graph's users, with the step rule's excess."""
     g = comoment_graph(spark, sf).cut()
     scores = pagerank.pagerank(g, rounds=20, tolerance=None).select("node_id", F.round("value", base.DIGITS).alias("value"))
-    out = fairrank.local_metrics(g.adjacency, g.nodes, cut(scores), fairrank.default_phi(g.nodes))
+    out = fairrank.local_metrics(g.links, g.nodes, cut(scores), fairrank.default_phi(g.nodes))
     return out.select("node_id", "group_id", "out_degree", "in_degree", *[F.round(c, base.DIGITS).alias(c) for c in ("out_homophily", "in_homophily", "excess")], "position")
 
 
@@ -194,7 +194,7 @@ def lfpr_p_10(spark: SparkSession, sf: str) -> DataFrame:
     g = comoment_graph(spark, sf).cut()
     nodes, phi = base.two_groups(g)
     plain = pagerank.pagerank(g, rounds=10, tolerance=None)
-    out = fairrank.step_fair_proportional(g.adjacency, nodes, phi, plain=plain, rounds=10, epsilon=None)
+    out = fairrank.step_fair_proportional(g.links, nodes, phi, plain=plain, rounds=10, epsilon=None)
     return out.select("node_id", F.round("value", base.DIGITS).alias("value"))
 
 
@@ -203,7 +203,7 @@ def _fair(spark: SparkSession, sf: str, work) -> DataFrame:
     g = comoment_graph(spark, sf).cut()
     nodes, phi = base.two_groups(g)
     plain = cut(pagerank.pagerank(g, rounds=10, tolerance=None))
-    return work(g.adjacency, nodes, phi, plain).select("node_id", F.round("value", base.DIGITS).alias("value"))
+    return work(g.links, nodes, phi, plain).select("node_id", F.round("value", base.DIGITS).alias("value"))
 
 
 def global_uniform_debt(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,7 +43,7 @@ def priority_cores_cosource(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_masses_20(spark: SparkSession, sf: str) -> DataFrame:
     g = comoment_graph(spark, sf).cut()
-    out = fairrank.source_masses(g.adjacency, g.nodes, rounds=20, epsilon=None)
+    out = fairrank.source_masses(g.links, g.nodes, rounds=20, epsilon=None)
     return out.select("source", "group_id", F.round("mass", base.DIGITS).alias("mass"))
 
 

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.meetings import Meetings
 from ..plans.loops import cut
 
 
@@ -18,6 +19,18 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    #: Of a graph of meetings, who was where (node_id, place): sums over neighbours then need no edges.
+    members: DataFrame | None = None
+    _links: Meetings | None = None
+
+    @property
+    def links(self) -> DataFrame | Meetings:
+        """What sums over neighbours go along: the members' meetings, prepared once, or both directions of every edge."""
+        if self.members is None:
+            return self.adjacency
+        if self._links is None:
+            self._links = Meetings(self.members)
+        return self._links
 
     @property
     def adjacency(self) -> DataFrame:
@@ -28,6 +41,8 @@ class Graph:
         """The same graph written once to the shared folder; a graph that is there already stays."""
         if all(hasattr(x, "_cut_path") for x in (self.nodes, self.edges)):
             return self
+        if self.members is not None:  # the edges are many, and not needed
+            return self if hasattr(self.nodes, "_cut_path") else Graph(cut(self.nodes), self.edges, self.members, self._links)
         return Graph(cut(self.nodes), cut(self.edges))
 
     def checked(self) -> Graph:
