@@ -9,6 +9,7 @@ surplus pairs are found and kept.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -63,6 +64,18 @@ def repeated_pairs(u: np.ndarray, mu: np.ndarray, v: np.ndarray, mv: np.ndarray,
         at = stop
 
 
+def _packed(lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's places in order as differences, deflated: some two bytes a place where the cells need a node many times."""
+    for batch in lists:
+        places = batch.column("places")
+        parts = np.split(places.flatten().to_numpy(), np.cumsum(np.diff(places.offsets.to_numpy()))[:-1]) if batch.num_rows else []
+        yield pa.record_batch({"node_id": batch.column("node_id"), "packed": pa.array([zlib.compress(np.diff(np.sort(x), prepend=0).tobytes(), 1) for x in parts], pa.binary())})
+
+
+def _unpacked(packed: pa.Array) -> list[np.ndarray]:
+    return [np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in packed.to_pylist()]
+
+
 def _surplus(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The repeated pairs of one cell, which holds the members of two blocks (or of one)."""
     sides: dict[bool, list] = {False: [], True: []}
@@ -71,37 +84,48 @@ def _surplus(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = batch.column("one")[0].as_py() if one is None and batch.num_rows else one
         for right in (False, True):
             part = batch.filter(pa.compute.equal(batch.column("right"), right))
-            lists = part.column("members")
-            counts = np.diff(lists.offsets.to_numpy())
-            sides[right].append((lists.flatten().to_numpy(), np.repeat(part.column("place").to_numpy(), counts)))
+            lists = _unpacked(part.column("packed"))
+            if lists:
+                sides[right].append((np.repeat(part.column("node_id").to_numpy(), [len(x) for x in lists]), np.concatenate(lists)))
     left, other = ([np.concatenate(x) for x in zip(*sides[k])] if sides[k] else [np.zeros(0, np.int64)] * 2 for k in (False, True))
     for a, b, w in repeated_pairs(*left, *(left if one else other)):
         keep = a < b if one else np.ones(len(a), bool)  # blocks of unlike nodes give each pair once
         yield pa.record_batch({"src": np.minimum(a, b)[keep], "dst": np.maximum(a, b)[keep], "more": w[keep].astype(np.int64) - 1})
 
 
+def by_node(members: DataFrame) -> DataFrame:
+    """``node_id``, ``places``: each place once."""
+    return members.groupBy("node_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+
+def _met_twice(lists: DataFrame, rows: int) -> DataFrame:
+    blocks = max(1, -(-rows // BLOCK_ROWS))
+    packed = lists.select("node_id", "places").mapInArrow(_packed, "node_id long, packed binary").withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("o")
+    cells = packed.select("node_id", "b", "packed", other).select((F.least("b", "o") * blocks + F.greatest("b", "o")).alias("cell"), (F.col("b") > F.col("o")).alias("right"), (F.col("b") == F.col("o")).alias("one"), "node_id", "packed")
+    # Packed cells are small for the work in them: with a number of their own, partitions are not merged.
+    return cells.repartition(blocks * (blocks + 1), "cell").groupBy("cell").applyInArrow(_surplus, "src long, dst long, more long")
+
+
 def surplus_pairs(members: DataFrame, rows: int) -> DataFrame:
     """``src`` < ``dst`` that share more than one place, and ``more``: how many beyond the first.
 
     Nodes are dealt into blocks by a hash and each pair of blocks is one group, so pairs are found where
     the members of two blocks meet and are never shuffled; a block of members goes to as many groups as there are blocks.
     """
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    lists = members.groupBy("place", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).alias("b")).agg(F.collect_list("node_id").alias("members"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("o")
-    cells = lists.select("place", "b", "members", other).select((F.least("b", "o") * blocks + F.greatest("b", "o")).alias("cell"), (F.col("b") > F.col("o")).alias("right"), (F.col("b") == F.col("o")).alias("one"), "place", "members")
-    return cells.groupBy("cell").applyInArrow(_surplus, "src long, dst long, more long")
+    return _met_twice(by_node(members), rows)
 
 
 class Meetings:
-    """The neighbours of ``members`` (node_id, place: long, distinct rows), both directions of every edge."""
+    """The neighbours of ``members`` (node_id, place: long), both directions of every edge."""
 
     def __init__(self, members: DataFrame) -> None:
-        self.members = cut(members.select("node_id", "place").repartition("node_id"))
-        rows, self.nodes, self.places = self.members.agg(F.count("*"), F.count_distinct("node_id"), F.count_distinct("place")).first()
-        half = cut(surplus_pairs(self.members, rows))
-        both = half.unionAll(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "more"))
-        self.surplus = cut(both.repartition("dst"))  # a node's rows are together: rounds add them up where they are
+        self.lists = cut(by_node(members))  # a row a node, which rounds unfold
+        self.members = self.lists.select("node_id", F.explode("places").alias("place"))
+        rows, self.nodes = self.lists.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)), F.count("*")).first()
+        self.places = self.members.agg(F.count_distinct("place")).first()[0]
+        # As they come out of their cells, each pair once: a shuffle by node and both directions would be most of the disk.
+        self.surplus = cut(_met_twice(self.lists, rows))
 
     def sums(self, values: DataFrame, cols: Sequence[str]) -> DataFrame:
         """``node_id`` and each of ``cols`` summed over the node's neighbours; values must not be negative.
@@ -111,10 +135,12 @@ class Meetings:
         few = lambda df, n: F.broadcast(df) if n <= BROADCAST else df
         zero = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0))
         values = values.select("node_id", *cols)
-        here = self.members.join(few(values, self.nodes), "node_id").groupBy("place").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
+        place = F.explode("places").alias("place")
+        here = self.lists.join(few(values, self.nodes), "node_id").select(place, *cols).groupBy("place").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
         # Each place less the own part: where the others' parts are 0, so is the difference.
-        met = self.members.join(few(here, self.places), "place").join(few(values, self.nodes), "node_id", "left").groupBy("node_id").agg(*[F.sum(F.col(f"_{c}") - zero(c)).alias(f"_{c}") for c in cols])
-        less = self.surplus.join(few(values.withColumnRenamed("node_id", "src"), self.nodes), "src").groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(F.col("more") * F.col(c)).alias(f"-{c}") for c in cols])
+        met = self.lists.join(few(values, self.nodes), "node_id", "left").select("node_id", place, *cols).join(few(here, self.places), "place").groupBy("node_id").agg(*[F.sum(F.col(f"_{c}") - zero(c)).alias(f"_{c}") for c in cols])
+        pairs = self.surplus.unionAll(self.surplus.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "more"))
+        less = pairs.join(few(values.withColumnRenamed("node_id", "src"), self.nodes), "src").groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(F.col("more") * F.col(c)).alias(f"-{c}") for c in cols])
         return met.join(less, "node_id", "left").select("node_id", *[F.greatest(zero(f"_{c}") - zero(f"-{c}"), F.lit(0)).alias(c) for c in cols])
 
     def degrees(self) -> DataFrame:

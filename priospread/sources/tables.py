@@ -28,10 +28,11 @@ def cosource_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def comoment_graph(spark: SparkSession, sf_dir: str, groups: int = 5) -> Graph:
     """Users who were active in the same minute; ``members`` are the users of each minute."""
-    seen = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").cast("long").alias("u"), F.date_trunc("minute", "ts").alias("m")).distinct()
+    active = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").cast("long").alias("u"), F.date_trunc("minute", "ts").alias("m"))
+    seen = active.distinct()
     edges = seen.join(seen.withColumnRenamed("u", "v"), "m").where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
-    nodes = seen.select(F.col("u").alias("node_id")).distinct().withColumn("group_id", F.pmod("node_id", F.lit(groups)).cast("int"))
-    return Graph(nodes, edges, seen.where("m is not null").select(F.col("u").alias("node_id"), F.unix_micros("m").alias("place")))
+    nodes = active.select(F.col("u").alias("node_id")).distinct().withColumn("group_id", F.pmod("node_id", F.lit(groups)).cast("int"))
+    return Graph(nodes, edges, active.where("m is not null").select(F.col("u").alias("node_id"), (F.unix_micros("m") / 60_000_000).cast("long").alias("place")))
 
 
 def nation_trade_graph(spark: SparkSession, sf_dir: str) -> Graph:

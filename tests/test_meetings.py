@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,21 @@ def test_operators_need_no_edges(met, monkeypatch, most):
         assert same(lambda g: fairrank.source_masses(g.links, nodes, rounds=3, epsilon=None).select("source", "group_id", "mass"))
         assert same(lambda g: fairrank.target_fair(g.links, two, half, nodes.where("node_id < 12").select("node_id"), "neighbourhood", rounds=3, epsilon=None))
     assert lean.links.degrees().where("node_id = 99").isEmpty()
+
+
+def test_disk_of_meetings(met, spark):
+    members, _, pairs, _ = met
+    links = meetings.Meetings(members.unionAll(members))  # rows that repeat count once
+    got = sorted(tuple(r) for r in links.surplus.collect())
+    assert got == sorted((*p, w - 1) for p, w in pairs.items() if w > 1)  # each pair is kept once, not in both directions
+    degrees = Counter(x for p in pairs for x in p)
+    assert dict(map(tuple, links.degrees().collect())) == degrees
+    none = meetings.Meetings(members.limit(0))
+    assert none.surplus.isEmpty() and none.degrees().isEmpty()
+
+
+def test_packed_places():
+    lists = [[5], [-60, 0, 2**40], [], list(range(1000))]
+    batch = pa.record_batch({"node_id": pa.array(range(4), pa.int64()), "places": pa.array(lists, pa.list_(pa.int64()))})
+    packed = next(iter(meetings._packed(iter([batch.slice(1)])))).column("packed")
+    assert [x.tolist() for x in meetings._unpacked(packed)] == lists[1:] and len(packed[2].as_py()) < 100
