@@ -122,8 +122,9 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     counts = cut(out_counts(edges, nodes))
     met = isinstance(edges, Meetings)
     if met:  # a neighbour's weight depends on the receiver's group only
-        direct = edges.by_class(nodes.select("node_id", F.col("group_id").alias("class")))
-        dealt = cut(counts.join(F.broadcast(phi), "group_id").select("src", F.col("group_id").alias("class"), (F.col("share") / F.col("k")).alias("weight")))
+        widen, direct = edges.by_class(nodes.select("node_id", F.col("group_id").alias("class")))
+        # A row a node with a weight a group, so a round unfolds nothing.
+        dealt = cut(widen(counts.join(F.broadcast(phi), "group_id").select("src", F.col("group_id").alias("class"), (F.col("share") / F.col("k")).alias("part"))))
     else:
         dealt = edges.join(nodes.select(F.col("node_id").alias("dst"), "group_id"), "dst").join(counts, ["src", "group_id"]).join(F.broadcast(phi), "group_id")
         dealt = cut(dealt.select("src", "dst", (F.col("share") / F.col("k")).alias("weight")).repartition("src"))  # partitioned once for all rounds
@@ -137,8 +138,11 @@ def neighbourhood_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, round
     marked = base if targets is None else base.join(targets.select("node_id", F.lit(True).alias("hit")).distinct(), "node_id", "left")
 
     def step(state: DataFrame) -> DataFrame:
-        sent = dealt.join(state.select(F.col("node_id").alias("src"), "value"), "src").withColumn("part", F.col("value") * F.col("weight"))
-        flow = direct(sent) if met else sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
+        if met:
+            flow = direct(dealt.join(state.select("node_id", "value"), "node_id").select("node_id", *[(F.col("value") * F.col(c)).alias(c) for c in dealt.columns[1:]]))
+        else:
+            sent = dealt.join(state.select(F.col("node_id").alias("src"), "value"), "src")
+            flow = sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("value") * F.col("weight")).alias("direct"))
         bucket = without.join(state.select("node_id", "value"), "node_id").groupBy("group_id").agg(F.sum(F.col("value") * F.col("share")).alias("bucket"))
         per = sizes.join(bucket, "group_id", "left").select("group_id", (F.coalesce("bucket", F.lit(0.0)) / F.col("size")).alias("even"))
         rows = marked.join(flow, "node_id", "left").join(F.broadcast(per), "group_id", "left")
@@ -358,7 +362,7 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     base = cut(nodes.join(taking, "node_id", "left").select("node_id", "group_id", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("j", F.lit(1.0 / n)).alias("jump")))
     if met:  # the amount depends on whether the receiver is a target, and of which group
         side = F.when(F.col("g") == zero, 1).when(F.col("g") == one, 2).otherwise(0).alias("class")
-        direct = edges.by_class(cut(nodes.select("node_id").join(hit.select("node_id", F.col("group_id").alias("g")), "node_id", "left").select("node_id", side)))
+        widen, direct = edges.by_class(cut(nodes.select("node_id").join(hit.select("node_id", F.col("group_id").alias("g")), "node_id", "left").select("node_id", side)))
         links = out.withColumn("g", F.explode(F.array(F.lit(None).cast("long"), F.lit(zero).cast("long"), F.lit(one).cast("long")))).withColumn("dst", side)
     else:
         links = edges.join(out, "src").join(hit.select(F.col("node_id").alias("dst"), F.col("group_id").alias("g")), "dst", "left")
@@ -370,7 +374,7 @@ def target_fair(edges: DataFrame, nodes: DataFrame, phi: DataFrame, targets: Dat
     def step(state: DataFrame) -> DataFrame:
         now = state.select(F.col("node_id").alias("src"), "value")
         sent = dealt.join(now, "src").select("src", "dst", (F.col("value") * F.col("w")).alias("part"))
-        flow = direct(sent.withColumnRenamed("dst", "class")) if met else sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
+        flow = direct(widen(sent.withColumnRenamed("dst", "class"))) if met else sent.groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("direct"))
         buckets = owed.join(now, "src").groupBy("group_id").agg(F.sum(F.col("value") * F.col("rest")).alias("bucket"))
         rows = base.join(flow, "node_id", "left").join(F.broadcast(buckets), "group_id", "left")
         return _mixed(base, rows.select("node_id", (F.coalesce("direct", F.lit(0.0)) + F.coalesce("bucket", F.lit(0.0)) * F.col("s")).alias("got")))

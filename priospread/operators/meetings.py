@@ -157,14 +157,19 @@ class Meetings:
         each = F.explode(F.array(*[F.struct(F.lit(g).cast(nodes.schema["group_id"].dataType).alias("group_id"), F.col(c).alias("k")) for g, c in zip(groups, cols)]))
         return self.sums(flags, cols).select(F.col("node_id").alias("src"), each.alias("e")).select("src", "e.*").where("k > 0")
 
-    def by_class(self, classes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        """From parts (src, class, part) to ``node_id``, ``direct``: what a node's neighbours have for its class (node_id, class)."""
+    def by_class(self, classes: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+        """Two steps to ``node_id``, ``direct``: what a node's neighbours have for its class (node_id, class).
+
+        The first makes parts (src, class, part) a row a node, with a column a class, the second sums such rows up.
+        """
         names = [r[0] for r in classes.select("class").distinct().orderBy("class").collect()]  # a row a class
         cols = [f"c{i}" for i in range(len(names))]
         mine = F.coalesce(*[F.when(F.col("class") == F.lit(x), F.col(c)) for x, c in zip(names, cols)])
 
-        def direct(parts: DataFrame) -> DataFrame:
-            wide = parts.groupBy(F.col("src").alias("node_id")).agg(*[F.sum(F.when(F.col("class") == F.lit(x), F.col("part")).otherwise(F.lit(0.0))).alias(c) for x, c in zip(names, cols)])
+        def widen(parts: DataFrame) -> DataFrame:
+            return parts.groupBy(F.col("src").alias("node_id")).agg(*[F.sum(F.when(F.col("class") == F.lit(x), F.col("part")).otherwise(F.lit(0.0))).alias(c) for x, c in zip(names, cols)])
+
+        def direct(wide: DataFrame) -> DataFrame:
             return self.sums(wide, cols).join(classes, "node_id").select("node_id", mine.alias("direct"))
 
-        return direct
+        return widen, direct

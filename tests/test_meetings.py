@@ -1,6 +1,7 @@
 """Sums over the neighbours of a graph of meetings, against the same graph's edges."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priospread.operators import fairrank, meetings, pagerank
+from priospread.plans import loops
 from priospread.sources.text import Graph
 
 
@@ -74,3 +76,20 @@ def test_packed_places():
     batch = pa.record_batch({"node_id": pa.array(range(4), pa.int64()), "places": pa.array(lists, pa.list_(pa.int64()))})
     packed = next(iter(meetings._packed(iter([batch.slice(1)])))).column("packed")
     assert [x.tolist() for x in meetings._unpacked(packed)] == lists[1:] and len(packed[2].as_py()) < 100
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("write", [loops.cut, loops.mark])
+def test_written_frames_leave_no_shuffle_files(spark, write):
+    before, setting = _shuffle_files(spark), spark.conf.get(loops.CLEANUP)
+    done = write(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().join(spark.range(700).withColumnRenamed("id", "k").repartition(3, "k"), "k"))
+    end = time.time() + 10  # files go by messages
+    while (left := _shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(loops.CLEANUP) == setting
+    assert done.count() == 700 and done.agg(F.sum("count")).first()[0] == 5000
